@@ -1,8 +1,14 @@
 """The queries of this subpackage, one per operator, and SQL for those that SQL can express."""
 
+from windgrid.llm.id_store import op4_content_addressed_ids
+from windgrid.llm.near_dedup import op1_minhash_near_dedup
 from windgrid.llm.packing import op9_best_fit_packing
+from windgrid.llm.pieces import op7_sentencepiece_backtracking
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_content_addressed_ids": op4_content_addressed_ids,
+    "op7_sentencepiece_backtracking": op7_sentencepiece_backtracking,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
