@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from windgrid.llm import tokens
 from windgrid.llm.scratch import Scratch, table
 
-WINDOW, SMALLEST, LARGEST = 16, 128, 4096
+WINDOW, SMALLEST, LARGEST = 8, 128, 4096
 #: A boundary in about 2 ** CUT_BITS ids.
 CUT_BITS = 9
 NAME = 16

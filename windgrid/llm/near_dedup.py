@@ -332,6 +332,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One document of each group, with the columns that docs has: that of the smallest doc_id.
+
+    Of repeated rows (equal doc_id) one stays, the smallest of equal ones; rows without a doc_id stay.
+    """
+    scratch = Scratch(docs.sparkSession, "unique")
+    found = near_duplicates(docs, width, percent).where("doc_id is not null")
+    gone = scratch.save(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("again")).where("not kept or again"), "gone")
+    again = gone.where("kept").select("__id")
+    key = F.col("doc_id").cast("long") == F.col("__id")
+    small = gone.count() <= BROADCAST_ROWS
+    single = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    if again.isEmpty():
+        return single
+    return single.unionByName(docs.join(F.broadcast(again) if small else again, key, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
