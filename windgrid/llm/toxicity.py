@@ -17,7 +17,6 @@ empty table gives no rows; columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,39 +30,42 @@ from pyspark.sql import functions as F
 from windgrid.llm.sampling import bounded, fold, labelled
 from windgrid.llm.scratch import bounded_batches, table
 
-#: Labelled texts and unlabelled texts in the sample for the fit, and the words kept of each at most for it.
+#: Labelled texts and unlabelled texts in the sample for the fit. Their words come to the driver as 4-byte codes.
 MOST_LABELLED, MOST_UNLABELLED = 24_000, 12_000
 #: A word is a feature if that many of the sampled toxic texts have it.
 LEAST_TEXTS = 4
-MOST_WORDS = 50_000
+MOST_FEATURES = 2_000
 THRESHOLD = 0.7
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+def codes(text: str | None) -> set[int]:
+    """32-bit codes of the distinct words, in lower case."""
+    return {zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(WORD.findall(text.lower()))} if text else set()
 
 
 @dataclass(frozen=True)
 class PuModel:
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
 
     def score(self, text: str | None) -> float:
         get = self.weights.get
-        total = self.bias + sum(get(w, 0.0) for w in words(text))
+        total = self.bias + sum(get(w, 0.0) for w in codes(text))
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
 class Rows:
-    """A sparse 0/1 matrix: for each row the places of its ones."""
+    """A sparse 0/1 matrix over the features `names` (sorted codes): for each row the places of its ones."""
 
-    def __init__(self, rows: list[list[int]], scale: np.ndarray):
-        self.n = len(rows)
-        self.at = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.word = np.array([w for r in rows for w in r], dtype=np.int64)
-        self.scale = scale
+    def __init__(self, rows: list[np.ndarray], names: np.ndarray, scale: np.ndarray):
+        self.n, self.scale = len(rows), scale
+        flat = np.concatenate([np.empty(0, np.uint32), *rows])
+        at = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        place = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+        known = names[place] == flat
+        self.at, self.word = at[known], place[known]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, (w * self.scale)[self.word], minlength=self.n)
@@ -76,24 +78,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[dict[str, float], float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[dict[int, float], float]:
     """Weights and bias that minimize the non-negative risk with the logistic loss (Adam, full batches)."""
-    in_p: dict[str, int] = {}
-    in_u: dict[str, int] = {}
-    for rows, counts in ((positive, in_p), (unlabelled, in_u)):
-        for r in rows:
-            for w in r:
-                counts[w] = counts.get(w, 0) + 1
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    share = {w: (c / n_p, in_u.get(w, 0) / n_u) for w, c in in_p.items() if c >= LEAST_TEXTS}
-    # how far above chance the word is among the toxic texts, in standard errors; little evidence, little scale
-    lift = {w: np.log((p + 0.5 / n_p) / (u + 0.5 / n_u)) * (1 - np.exp(-((p - u) ** 2) * n_p / (8 * (u + 1 / n_p)))) for w, (p, u) in share.items() if p > u}
-    names = sorted(lift, key=lambda w: (-lift[w] * share[w][0], w))[:2000]
-    if not names:
+    names, in_p = np.unique(np.concatenate([np.empty(0, np.uint32), *positive]), return_counts=True)
+    names, in_p = names[in_p >= LEAST_TEXTS], in_p[in_p >= LEAST_TEXTS]
+    all_u, counts_u = np.unique(np.concatenate([np.empty(0, np.uint32), *unlabelled]), return_counts=True)
+    place = np.minimum(np.searchsorted(all_u, names), max(0, len(all_u) - 1))
+    in_u = np.where(all_u[place] == names, counts_u[place], 0) if len(all_u) else np.zeros(len(names))
+    p, u = in_p / n_p, in_u / n_u
+    # how far above chance the word is among the toxic texts; little evidence, little scale
+    lift = np.log((p + 0.5 / n_p) / (u + 0.5 / n_u)) * (1 - np.exp(-((p - u) ** 2) * n_p / (8 * (u + 1 / n_p))))
+    best = np.sort(np.lexsort((names, -lift * p))[: min(MOST_FEATURES, int((p > u).sum()))])
+    names, scale = names[best], lift[best]
+    if not len(names):
         return {}, float(np.log(prior / (1 - prior)))
-    place = {w: k for k, w in enumerate(names)}
-    scale = np.array([lift[w] for w in names])
-    p, u = (Rows([[place[w] for w in r if w in place] for r in rows], scale) for rows in (positive, unlabelled))
+    p, u = Rows(positive, names, scale), Rows(unlabelled, names, scale)
     x = np.zeros(len(names) + 1)
     x[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(x), np.zeros_like(x)
@@ -110,7 +110,7 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, step
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     found = x[:-1] * scale
-    return {w: float(found[k]) for w, k in place.items() if abs(found[k]) > 1e-3}, float(x[-1])
+    return {int(w): float(f) for w, f in zip(names, found, strict=True) if abs(f) > 1e-3}, float(x[-1])
 
 
 def settle(scores: np.ndarray, labels: np.ndarray, prior: float) -> float:
@@ -129,23 +129,24 @@ def settle(scores: np.ndarray, labels: np.ndarray, prior: float) -> float:
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else s[k] - 1)) / 2)
 
 
-def unlike(rows: list[set[str]]) -> list[set[str]]:
-    """One of the rows that share the two smallest hashes of their words: near copies would count a word twice."""
-    seen: dict[tuple, set[str]] = {}
+def unlike(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """One of the rows that share the two smallest codes: near copies would count a word twice."""
+    seen: dict[tuple, np.ndarray] = {}
     for r in rows:
-        seen.setdefault(tuple(heapq.nsmallest(2, (zlib.crc32(w.encode()) for w in r))), r)
+        seen.setdefault(tuple(r[:2].tolist()), r)
     return list(seen.values())
 
 
-def _sample(rows: DataFrame) -> list[tuple]:
-    """doc_id, words, label: words are taken in the tasks, texts stay there."""
+def _sample(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """label, sorted word codes: codes are taken in the tasks, texts stay there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(words(t.as_py()))[:MOST_WORDS] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([" ".join(x) for x in found], pa.string())], names=["label", "words"])
+            found = [np.sort(np.fromiter(codes(t.as_py()), dtype=np.uint32)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], names=["label", "codes"])
 
-    return [(r["label"], set(r["words"].split())) for r in rows.select("label", "text").mapInArrow(run, "label int, words string").collect()]
+    got = rows.select("label", "text").mapInArrow(run, "label int, codes binary").toArrow()
+    return list(zip(got["label"].to_pylist(), (np.frombuffer(x.as_py(), dtype=np.uint32) for x in got["codes"]), strict=True))
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic") -> PuModel:
@@ -159,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
     if not positive or not unlabelled:
         return PuModel({}, float(np.log(prior / (1 - prior))))
     weights, bias = fit(unlike(positive), unlike(unlabelled), prior)
-    raw = np.array([bias + sum(weights.get(w, 0.0) for w in x) for _, x in known])
+    raw = np.array([bias + sum(weights.get(w, 0.0) for w in x.tolist()) for _, x in known])
     cut = settle(raw, np.array([y == 1 for y, _ in known]), prior)
     return PuModel(weights, bias - cut + float(np.log(THRESHOLD / (1 - THRESHOLD))))
 
