@@ -134,10 +134,10 @@ def train(docs: DataFrame, keep: Column) -> CodeModel | None:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).where(keep)
     count = docs.count()
-    rows = bounded(known, "doc_id", MOST_TEXTS, count).select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
-    if not rows:
+    rows = bounded(known, "doc_id", MOST_TEXTS, count).select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    if not rows.num_rows:
         return None
-    return fit(np.array([np.frombuffer(r["x"], dtype=np.float16) for r in rows]).astype(np.float32), [r["lang"] for r in rows])
+    return fit(np.array([np.frombuffer(x.as_py(), dtype=np.float16) for x in rows["x"]]).astype(np.float32), rows["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: CodeModel | None) -> DataFrame:

@@ -157,10 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
             x = _matrix(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
-    rows = labelled(docs, labels, label, keep, MOST_LABELLED).select("label", "text").mapInArrow(run, "label int, x array<double>").collect()
-    if not rows:
+    rows = labelled(docs, labels, label, keep, MOST_LABELLED).select("label", "text").mapInArrow(run, "label int, x array<double>").toArrow()
+    if not rows.num_rows:
         return None
-    return fit(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]))
+    return fit(np.array(rows["x"].to_pylist()), np.array(rows["label"].to_pylist()))
 
 
 def score(docs: DataFrame, model: RankModel | None, carry: list[str] | None = None) -> DataFrame:
