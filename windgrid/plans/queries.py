@@ -1,4 +1,6 @@
 """All registered queries of the engine's own operators."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from windgrid.plans import aggregates, fields, projections, setops, tracks  # noqa: F401
+from windgrid.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
