@@ -157,7 +157,7 @@ def op8_multi_index_hashing(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH c AS (
-    SELECT vec_id, list_sum(list_transform(range(64), i -> CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i::INTEGER) ELSE 0::HUGEINT END))::HUGEINT AS code
+    SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i::INTEGER) ELSE 0::HUGEINT END))::HUGEINT AS code
     FROM embeddings WHERE len(embedding) = 64
 ), d AS (
     SELECT q.vec_id AS query_id, r.vec_id, bit_count(xor(q.code, r.code)) AS distance

@@ -14,12 +14,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windgrid.runtime import ship
+
 #: Rows and bytes per Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small in this session, unless the session has set its own size."""
+    """Keeps Arrow batches small in this session, unless it has set its own size, and sends the package to workers."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
