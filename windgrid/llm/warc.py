@@ -92,10 +92,15 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, content) of the gzip members of an archive."""
     at = 0
     while at < len(data):
-        one = zlib.decompressobj(31)
-        content = one.decompress(data[at:] if at else data)
-        size = len(data) - at - len(one.unused_data)
-        yield at, size, content
+        one, parts, end = zlib.decompressobj(31), [], at
+        while not one.eof:
+            part = data[end : end + 65536]
+            if not part:
+                raise ValueError("an archive ends within a record")
+            parts.append(one.decompress(part))
+            end += len(part)
+        size = end - at - len(one.unused_data)
+        yield at, size, b"".join(parts)
         at += size
 
 
@@ -233,7 +238,7 @@ def op10_warc_index_merge(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     archives = write(table(spark, sf_dir, "pages"), scratch)
     runs = scratch.save(captures(archives), "runs")
-    return merged(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return merged(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = """
