@@ -10,7 +10,11 @@ from windgrid.functions import geo
 from windgrid.operators.joins import successors
 from windgrid.operators.ordering import top_k
 
-ORDER = F.struct("us", "event_id")
+
+
+def order():
+    """Time, then row: the order within a track."""
+    return F.struct("us", "event_id")
 
 
 def tier(n: str = "n"):
@@ -26,7 +30,7 @@ def tracklets(legs: DataFrame) -> DataFrame:
 
 def leg_ends(legs: DataFrame) -> DataFrame:
     """First and last position of each leg."""
-    ends = [f(c, ORDER).alias(f"{p}_{c}") for p, f in (("start", F.min_by), ("end", F.max_by)) for c in ("lat", "lon", "alt", "us")]
+    ends = [f(c, order()).alias(f"{p}_{c}") for p, f in (("start", F.min_by), ("end", F.max_by)) for c in ("lat", "lon", "alt", "us")]
     return legs.groupBy("ident", "leg").agg(F.count("*").alias("n"), *ends)
 
 
