@@ -28,6 +28,8 @@ from windgrid.llm.scratch import Scratch
 CAPACITY = 1024
 #: Fillings looked at for one largest piece before its best filling so far is taken.
 SEARCH_NODES = 3_000
+#: Wastes of a sequence that a search accepts at once; one search for each.
+ACCEPTED = (0, 1, 2, 4, 6, 8, 10, 12, 16, 24)
 #: A lookup is sent to every executor up to this many rows (about 50 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
 
@@ -40,8 +42,8 @@ class Filling:
     parts: tuple[tuple[int, int], ...]
 
 
-def complete(counts: np.ndarray, largest: int, capacity: int, nodes: int = SEARCH_NODES) -> list[tuple[int, int]]:
-    """The filling around one piece of length `largest` that wastes least.
+def complete(counts: np.ndarray, largest: int, capacity: int, enough: int = 0, nodes: int = SEARCH_NODES) -> list[tuple[int, int]]:
+    """The first filling around one piece of length `largest` that wastes no more than `enough`, or the least.
 
     Depth first over lengths from long to short, as many of each as fit first. Fillings that leave room
     for a piece still there are dominated and not formed. A branch is cut when the waste it cannot avoid
@@ -60,7 +62,7 @@ def complete(counts: np.ndarray, largest: int, capacity: int, nodes: int = SEARC
     waste, best = room + 1, ()
     stack: list[tuple[int, int, tuple]] = [(0, room, ())]
     for _ in range(nodes):
-        if not stack or waste == 0:
+        if not stack or waste <= enough:
             break
         i, free, chosen = stack.pop()
         while i < len(lengths) and lengths[i] > free:
@@ -99,11 +101,14 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Filling]:
     return out
 
 
-def bin_completion(counts: np.ndarray, capacity: int) -> list[Filling]:
-    """Fills sequences around the largest piece left; a filling is used as often as the counts allow."""
+def bin_completion(counts: np.ndarray, capacity: int, enough: int = 0) -> list[Filling]:
+    """Fills sequences around the largest piece left; a filling is used as often as the counts allow.
+
+    enough: waste that is accepted at once. Without any, exact fillings use up the short pieces early.
+    """
     left, out = counts.astype(np.int64).copy(), []
     while (there := np.nonzero(left)[0]).size:
-        parts = complete(left, int(there[-1]), capacity)
+        parts = complete(left, int(there[-1]), capacity, enough)
         times = max(1, min(int(left[n]) // k for n, k in parts))
         for n, k in parts:
             left[n] -= k * times
@@ -111,14 +116,28 @@ def bin_completion(counts: np.ndarray, capacity: int) -> list[Filling]:
     return out
 
 
+def fewest_possible(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound: for every a, pieces above capacity - a stand alone, those above half do not share, and the
+    pieces from a to half need what room those leave."""
+    n = np.arange(capacity + 1)
+    much, many = np.concatenate([[0], np.cumsum(counts * n)]), np.concatenate([[0], np.cumsum(counts)])
+    half, best = capacity // 2, 0
+    for a in range(half + 1):
+        alone, apart = many[-1] - many[capacity - a + 1], many[capacity - a + 1] - many[half + 1]
+        room = apart * capacity - (much[capacity - a + 1] - much[half + 1])
+        best = max(best, int(alone + apart + max(0, -(-(much[half + 1] - much[a] - room) // capacity))))
+    return best
+
+
 def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[Filling]:
-    """Bin completion, or the best-fit incumbent where that needs fewer sequences."""
-    incumbent = best_fit_decreasing(counts, capacity)
+    """The best of the best-fit incumbent and of bin completions with several accepted wastes."""
     total = lambda fillings: sum(f.times for f in fillings)
-    if total(incumbent) == -(-int((counts * np.arange(len(counts))).sum()) // capacity):
-        return incumbent
-    found = bin_completion(counts, capacity)
-    return found if total(found) <= total(incumbent) else incumbent
+    best, least = best_fit_decreasing(counts, capacity), fewest_possible(counts, capacity)
+    for enough in ACCEPTED:
+        if total(best) == least:
+            break
+        best = min(best, bin_completion(counts, capacity, enough), key=total)
+    return best
 
 
 def places(fillings: list[Filling]) -> list[tuple[int, int, int, int, int, int]]:
