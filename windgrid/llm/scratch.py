@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from windgrid.runtime import ship
 
 #: Rows and bytes per Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -52,12 +52,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """A folder for one run of an operator."""
+    """A folder for one run of an operator. What the run's result may still read goes when the program ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
