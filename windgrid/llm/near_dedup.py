@@ -7,15 +7,25 @@ their union lies in both with probability J. From that follow the three steps:
 1. The `KEYS` smallest values are posted to inverted lists. Similar sets share none of them with
    probability (1 - J) ** KEYS, 1.3e-10 at 0.85 (sets of up to KEYS values are posted whole).
 2. The smallest values of the union of two sketches estimate J; a pair is dropped when the estimate is
-   so low that a similar pair shows it with probability below 1e-9.
+   so low that a similar pair shows it with probability below `ODDS`.
+   Before that, a parity sketch (each value flips one of PARITY bits) bounds how much the sets differ:
+   the bits in which two such sketches differ are never more than the values in which the sets do. It
+   drops only pairs that cannot be similar.
 3. The pairs left are confirmed on the full sets.
 
 Texts with equal sets are one representative from the start. A list is never expanded to all its
-pairs: in a few rounds every list links its members to one pivot, the member whose values are the most
-common, and confirmed links merge. Lists that still hold several components are then compared in
-blocks of bounded size, by sketch, where members of one component are not compared; lists of more than
-`BLOCK` members are first replaced by runs of `RUN` values that follow one another in a sketch, which
-documents that merely share a passage seldom have in common.
+pairs. In a few rounds every list links its members to one pivot, the member whose values are the most
+common, and confirmed links merge. What still holds several components is settled by its size:
+
+- Lists of up to `SHORT` members are compared pair by pair, across components.
+- Members of longer lists are posted again under runs of `RUN` values that follow one another in a
+  sketch, which documents that merely share a passage seldom have in common; short lists are compared.
+- The long lists of runs are crowds of versions of one text. A member x is posted by its difference D to
+  a common pivot (what it has beyond the pivot, then what it lacks), since x and y differ by as much as
+  their D do. Sets that are similar differ by at most T = (n_x + n_y) * 15 / 185. So their D share at
+  least (|D_x| + |D_y| - T) / 2 values, one of them among the first T + 1 of both with enough left
+  behind it (prefix and position filter); if that bound is below one, both are near the pivot and meet
+  under a key of their own. That is exact, and versions that strayed apart share little of their D.
 
 Defined cases: a null or empty text, or one of white space only, has an empty set and is linked with
 nothing; a null doc_id is no document of a group (component_id null, kept false); repeated rows are
@@ -38,10 +48,16 @@ from windgrid.llm.scratch import Scratch, table
 WIDTH = 5
 #: 100 * |intersection| >= PERCENT * |union|
 PERCENT = 85
-SKETCH, KEYS = 64, 12
-#: Adjacent sketch values that make a key of a long list, from a sketch of RUN_SKETCH values.
-RUN, RUN_SKETCH = 6, 128
-BLOCK = 512
+KEYS, SKETCH = 12, 128
+#: Bits of the parity sketch.
+PARITY = 512
+#: Chance that the estimate drops a pair that is similar.
+ODDS = 1e-7
+#: Adjacent values that make a key of a long list, from the RUN_SKETCH smallest; similar sets have no run in
+#: common with probability 3e-10 (never, if both are smaller than that).
+RUN, RUN_SKETCH = 3, 48
+#: Members of a list up to which all its pairs are looked at, and of a block of a longer one.
+SHORT, BLOCK = 64, 4096
 PIVOT_ROUNDS = 2
 #: Ids of paired documents are sent to every executor up to this many (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 500_000
@@ -85,50 +101,63 @@ class Shingler:
         return np.unique(out)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    """Unsigned to signed 64-bit in the same order."""
-    return (x ^ np.uint64(1 << 63)).view(np.int64)
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.binary()), ("sketch", pa.binary()), ("parity", pa.binary())])
+SETS_SQL = "doc_id long, n long, print binary, keys binary, sketch binary, parity binary"
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sketch", pa.binary())])
+def parity(s: np.ndarray) -> bytes:
+    """Bit i is set if an odd number of values falls on it."""
+    return np.packbits(np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def _parities(cells: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), dtype=np.uint64).reshape(len(cells), PARITY // 64)
+
+
+def most_apart(total, percent: int):
+    """The values in which two similar sets of `total` values together may differ at most."""
+    return total * (100 - percent) // (100 + percent)
 
 
 def _sets(width: int):
+    """Texts -> size, fingerprint and smallest values of their sets; sketches hold the upper halves of values."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         shingle = Shingler(width)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            counts, prints, sketches = [], [], []
-            for t in texts:
+            rows = []
+            for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 s = shingle(t.as_py())
-                counts.append(len(s))
-                prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sketches.append(_signed(s[:RUN_SKETCH]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())], schema=SETS)
+                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, s[:KEYS].tobytes(), (s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), parity(s)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), SETS.types, strict=True)], schema=SETS)
 
     return run
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, n, sketch -> rep, n, key for each of the KEYS smallest values."""
+    """rep, n, keys -> rep, n, key for each of the smallest values."""
     for batch in batches:
-        flat = [np.frombuffer(x.as_py(), dtype=np.int64)[:KEYS] for x in batch.column("sketch")]
-        sizes = [len(x) for x in flat]
-        at = np.repeat(np.arange(len(flat)), sizes)
-        keys = np.concatenate(flat) if flat else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(keys, pa.int64())], names=["rep", "n", "key"])
+        flat = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column("keys")]
+        at = pa.array(np.repeat(np.arange(len(flat)), [len(x) for x in flat]))
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), batch.column("n").take(at), pa.array(np.concatenate([np.empty(0, np.int64), *flat]))], names=["rep", "n", "key"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> tuple[int, int]:
     """How many of the (up to k) smallest values of the union lie in both sketches, and of how many."""
-    union = np.union1d(a, b)[:k]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return int(np.searchsorted(both, union[-1], side="right")) if len(union) else 0, len(union)
+    both = np.sort(np.concatenate([a, b]))
+    twice = both[1:] == both[:-1]
+    first = np.append(True, ~twice) if len(both) else np.empty(0, dtype=bool)
+    m = min(k, int(first.sum()))
+    if not m:
+        return 0, 0
+    last = both[np.nonzero(first)[0][m - 1]]
+    return int((twice & (both[1:] <= last)).sum()), m
 
 
-def _least_shared(percent: int, odds: float = 1e-9) -> list[int]:
+def _least_shared(percent: int, odds: float = ODDS) -> list[int]:
     """For m union values, the count below which a pair at the limit falls with probability under `odds`."""
     from math import comb
 
@@ -142,29 +171,41 @@ def _least_shared(percent: int, odds: float = 1e-9) -> list[int]:
 
 
 def _passing(percent: int):
-    """Pairs with both sketches -> the pairs whose estimate and sizes allow the similarity."""
+    """Pairs with sizes, parities and sketches -> the pairs that can be similar by all three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = _least_shared(percent)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sketch_a"), batch.column("sketch_b"), strict=True):
-                both, m = estimate(np.frombuffer(x.as_py(), dtype=np.int64)[:SKETCH], np.frombuffer(y.as_py(), dtype=np.int64)[:SKETCH])
-                keep.append(both >= least[m])
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            apart = np.bitwise_count(_parities(batch.column("pa").to_pylist()) ^ _parities(batch.column("pb").to_pylist())).sum(axis=1)
+            keep = apart <= most_apart(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), percent)
+            for k in np.nonzero(keep)[0].tolist():
+                both, m = estimate(np.frombuffer(batch.column("ka")[k].as_py(), dtype="<u4"), np.frombuffer(batch.column("kb")[k].as_py(), dtype="<u4"))
+                keep[k] = both >= least[m]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that hold on the full sets; those are built again from the texts of paired documents only."""
+def _full(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, s: the full sets of the documents in ids (one column), built again from their texts."""
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
             sets = [shingle(t.as_py()).tobytes() for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "s"])
 
+    ids = ids.distinct()
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary").dropDuplicates(["doc_id"])
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that hold on the full sets."""
+
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -174,74 +215,65 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(full, "doc_id long, s binary").dropDuplicates(["doc_id"])
+    sets = _full(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), width)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     return left.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(holds, "a long, b long")
 
 
-def _runs(percent: int):
-    """rep, n, sketch -> one row for each run of adjacent sketch values.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, sketch -> rep, key for each run of RUN adjacent values (the whole set, if it is smaller)."""
+    for batch in batches:
+        keys, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, x in enumerate(batch.column("sketch")):
+            s = np.frombuffer(x.as_py(), dtype="<u4")[:RUN_SKETCH].astype(np.uint64)
+            width = min(RUN, len(s))
+            out = np.full(len(s) - width + 1, np.uint64(width), dtype=np.uint64)
+            for k in range(width):
+                out = _mix(out * MIX + s[k : k + len(out)])
+            keys.append(out.view(np.int64))
+            at.append(np.full(len(out), i))
+        where = pa.array(np.concatenate(at))
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(where), pa.array(np.concatenate(keys))], names=["rep", "key"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows that agree in their first `keys` columns, from rows sorted by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:keys] != held[0][:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    Runs of 3 for sets whose sketch holds them whole (two of those that are similar always share one),
-    and for the sets a little larger that may be similar to them; runs of RUN for all longer ones.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i, (n, x) in enumerate(zip(batch.column("n").to_pylist(), batch.column("sketch"), strict=True)):
-                s = np.frombuffer(x.as_py(), dtype=np.int64).view(np.uint64)
-                widths = [min(3, n)] if n * percent <= RUN_SKETCH * 100 else []
-                for width in widths + [RUN] * (n >= RUN_SKETCH):
-                    out = np.full(len(s) - width + 1, np.uint64(width), dtype=np.uint64)
-                    for k in range(width):
-                        out = _mix(out * MIX + s[k : k + len(out)])
-                    keys.append(out.view(np.int64))
-                    at.append(np.full(len(out), i))
-            where = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(where), pa.array(np.concatenate(keys))], names=["rep", "key"])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    return run
+
+def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for a, b in found:
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=PAIR)
 
 
-def _blocks(percent: int):
-    """Rows sorted by key and block pair -> candidate pairs of different components by estimate and size."""
+def _short(percent: int):
+    """Members of short lists (key, rep, n, comp, sketch, parity) -> pairs of different components that the estimate passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.array(_least_shared(percent))
-        held: list = []
-        name = None
-
-        def flush() -> pa.RecordBatch:
-            a, b = _compare(held, least, percent)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "rep", "n", "comp", "sketch")), strict=True)
-            for key, i, j, own, rep, n, comp, sketch in rows:
-                if name != (key, i, j):
-                    if len(held) > 1:
-                        yield flush()
-                    held.clear()
-                    name = (key, i, j)
-                held.append((rep, n, comp, own, i == j, sketch))
-        if len(held) > 1:
-            yield flush()
+        yield from _pairs(_compare(g, least, percent) for g in _groups(batches, 1) if len({x[3] for x in g}) > 1)
 
     return run
 
 
-def _compare(held: list, least: np.ndarray, percent: int) -> tuple[list, list]:
-    """Pairs of different components within one cell (of different blocks, if it joins two)."""
-    held = sorted(held, key=lambda x: (x[1], x[0]))
-    n, comp, own = (np.array([x[c] for x in held]) for c in (1, 2, 3))
-    same = held[0][4]
-    sketches = [np.frombuffer(x[5], dtype=np.int64)[:SKETCH] for x in held]
-    codes = np.zeros((len(held), SKETCH), dtype=np.int64)  # 0: no value
+def _compare(group: list[tuple], least: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    group = sorted(group, key=lambda x: (x[2], x[1]))
+    rep, n, comp = (np.array([x[c] for x in group], dtype=np.int64) for c in (1, 2, 3))
+    sketches = [np.frombuffer(x[4], dtype="<u4") for x in group]
+    odd = _parities([x[5] for x in group])
+    codes = np.zeros((len(group), SKETCH), dtype=np.int64)  # 0: no value
     names = np.unique(np.concatenate(sketches), return_inverse=True)[1] + 1
     at = 0
     for k, x in enumerate(sketches):
@@ -249,18 +281,150 @@ def _compare(held: list, least: np.ndarray, percent: int) -> tuple[list, list]:
         at += len(x)
     flags = np.zeros(int(names.max()) + 1, dtype=np.int64)
     a, b = [], []
-    for k in range(1, len(held)):
+    for k in range(1, len(group)):
         low = int(np.searchsorted(n[:k], -(-percent * n[k] // 100)))
         flags[codes[k]] = 1
         flags[0] = 0
-        open_ = (flags[codes[low:k]].sum(axis=1) >= least[len(sketches[k])]) & (comp[low:k] != comp[k])
+        likely = (flags[codes[low:k]].sum(axis=1) >= least[len(sketches[k])]) & (comp[low:k] != comp[k])
         flags[codes[k]] = 0
-        for m in np.nonzero(open_ if same else open_ & (own[low:k] != own[k]))[0] + low:
+        m = np.nonzero(likely)[0] + low
+        for m in m[np.bitwise_count(odd[m] ^ odd[k]).sum(axis=1) <= most_apart(n[m] + n[k], percent)]:
             both, of = estimate(sketches[m], sketches[k])
             if both >= least[of]:
-                a.append(min(held[m][0], held[k][0]))
-                b.append(max(held[m][0], held[k][0]))
-    return a, b
+                a.append(rep[m])
+                b.append(rep[k])
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
+#: The key under which a pivot's nearest versions meet.
+NEAR = -1
+
+
+def _differences(percent: int):
+    """a, b (pivot), both full sets -> pivot, value, rep, n, d, place for the first values of a's difference to b."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("pivot", "value", "rep", "n", "d", "place")), ("parity", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "sa", "sb")), strict=True):
+                s, p = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
+                beyond, lacking = np.setdiff1d(s, p, assume_unique=True), np.setdiff1d(p, s, assume_unique=True)
+                n, d = len(s), len(beyond) + len(lacking)
+                most = most_apart(n + 100 * n // percent, percent)  # T for the largest partner
+                first = np.concatenate([beyond, lacking])[: most + 1].view(np.int64)
+                k = len(first)
+                near = d <= most
+                values = np.append(first, np.full(int(near), NEAR, dtype=np.int64))
+                places = np.append(np.arange(k), np.zeros(int(near), dtype=np.int64))
+                parts.append([np.full(len(values), b.as_py()), values, np.full(len(values), a.as_py()), np.full(len(values), n), np.full(len(values), d), places, [parity(s)] * len(values)])
+            if parts:
+                *numbers, cells = zip(*parts, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)) for c in numbers), pa.array([x for c in cells for x in c], pa.binary())], schema=schema)
+
+    return run
+
+
+def _prefixes(percent: int):
+    """Sorted rows (pivot, value, i, j, own, rep, n, d, place, comp, parity) -> pairs that can still be similar."""
+
+    def compare(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        own, rep, n, d, place, comp = (np.array([x[c] for x in group], dtype=np.int64) for c in range(4, 10))
+        across, near = group[0][2] != group[0][3], group[0][1] == NEAR
+        # the members of the largest component are only met by others
+        names, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        rest = np.nonzero(inverse != counts.argmax())[0]
+        left, odd, a, b = d - place, _parities([x[10] for x in group]), [], []
+        for k in rest:
+            most = most_apart(n[k] + n, percent)
+            shared = -(-(d[k] + d - most) // 2)  # values that both differences must have
+            fits = (shared <= 0 if near else (shared > 0) & (np.minimum(left[k], left) >= shared)) & (comp != comp[k])
+            if across:
+                fits &= own != own[k]
+            m = np.nonzero(fits)[0]
+            m = m[np.bitwise_count(odd[m] ^ odd[k]).sum(axis=1) <= most[m]]
+            a.append(np.full(len(m), rep[k]))
+            b.append(rep[m])
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pairs(compare(g) for g in _groups(batches, 4) if len({x[9] for x in g}) > 1)
+
+    return run
+
+
+class _Search:
+    """One run over the representatives: their lists, the links found so far and the components these make."""
+
+    def __init__(self, scratch: Scratch, texts: DataFrame, reps: DataFrame, width: int, percent: int):
+        self.scratch, self.texts, self.reps, self.width, self.percent = scratch, texts, reps, width, percent
+        self.links: DataFrame | None = None
+        self.labels = scratch.spark.createDataFrame([], "node long, comp long")
+
+    def with_comp(self, df: DataFrame) -> DataFrame:
+        return df.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def merge(self, pairs: DataFrame, step: str) -> None:
+        """Confirms pairs (a, b) that the estimate passes, adds them to the links and finds the components anew."""
+        side = lambda c: self.reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"), F.col("parity").alias(f"p{c}"))
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_passing(self.percent), "a long, b long")
+        likely = self.scratch.save(likely, f"likely_{step}")
+        new = self.scratch.save(_confirmed(self.texts, likely, self.width, self.percent), f"links_{step}")
+        self.links = new if self.links is None else self.links.unionByName(new)
+        self.labels = components(self.links, self.scratch, step)
+
+    def pivot_round(self, lists: DataFrame, round_: int) -> None:
+        """Links every list to its most common member, and later to the most common one of another component."""
+        state = self.scratch.save(self.with_comp(lists).select("key", "rep", "n", "fame", "comp"), f"state_{round_}")
+        best = F.max(F.struct("fame", "rep", "n", "comp")).alias("p")
+        if round_:
+            first = state.groupBy("key").agg(best).select("key", F.col("p.comp").alias("done"))
+            pivots = state.join(first, "key").where("comp <> done").groupBy("key").agg(best)
+        else:
+            pivots = state.groupBy("key").agg(best)
+        fits = (F.col("n") * 100 >= F.col("p.n") * self.percent) & (F.col("p.n") * 100 >= F.col("n") * self.percent)
+        pairs = state.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & fits)
+        self.merge(pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct(), f"pivot_{round_}")
+        self.scratch.drop(f"state_{round_}")
+
+    def mixed(self, lists: DataFrame) -> DataFrame:
+        """lists (key, rep, ...) of more than one component, with comp and the size m."""
+        named = self.with_comp(lists.drop("m"))
+        size = named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "m")
+        return named.join(size, "key")
+
+    def rest(self, lists: DataFrame) -> None:
+        """All pairs that are still open: short lists, short lists of runs, crowds."""
+        open_ = self.scratch.save(self.mixed(lists.select("key", "rep")), "open")
+        long_ = open_.where(F.col("m") > SHORT).select("rep").distinct().join(self.reps.select("rep", "sketch"), "rep")
+        runs = self.mixed(self.scratch.save(long_.mapInArrow(_runs, "rep long, key long").distinct(), "runs"))
+        runs = self.scratch.save(runs.select("key", "rep", "comp", "m"), "open_runs")
+        short = open_.where(F.col("m") <= SHORT).select("key", "rep", "comp").unionByName(runs.where(F.col("m") <= SHORT).select("key", "rep", "comp"))
+        short = short.join(self.reps.select("rep", "n", "sketch", "parity"), "rep").select("key", "rep", "n", "comp", "sketch", "parity")
+        near = short.repartition("key").sortWithinPartitions("key").mapInArrow(_short(self.percent), "a long, b long")
+        near = self.scratch.save(near.distinct(), "near")
+        # one pivot for a crowd: the most common member (by its crowds) that any member has in any of its crowds
+        crowd = runs.where(F.col("m") > SHORT).select("key", "rep", "m")
+        crowd = crowd.join(crowd.groupBy("rep").agg(F.sum("m").alias("fame")), "rep").drop("m")
+        best = crowd.groupBy("key").agg(F.max(F.struct("fame", "rep")).alias("p"))
+        own = crowd.join(best, "key").groupBy("rep").agg(F.max("p").alias("p"))
+        chosen = crowd.select("key", "rep").join(own, "rep").groupBy("key").agg(F.max("p").alias("p"))
+        asked = self.scratch.save(crowd.join(chosen, "key").select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).distinct(), "asked")
+        sets = _full(self.texts, asked.select(F.col("a").alias("doc_id")).union(asked.select("b")), self.width)
+        sets = self.scratch.save(sets, "crowd_sets")
+        sets_a, sets_b = (sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        first = asked.join(sets_a, "a").join(sets_b, "b").select("a", "b", "sa", "sb").mapInArrow(_differences(self.percent), "pivot long, value long, rep long, n long, d long, place long, parity binary")
+        first = self.with_comp(self.scratch.save(first, "first"))
+        sizes = first.groupBy("pivot", "value").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("pivot", "value", "m")
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        cells = first.join(sizes, ["pivot", "value"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        one = cells.where("blocks = 1").withColumn("other", F.lit(0))
+        more = cells.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        cells = one.unionByName(more).select("pivot", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "d", "place", "comp", "parity")
+        cells = cells.repartition("pivot", "value", "i", "j").sortWithinPartitions("pivot", "value", "i", "j")
+        far = cells.mapInArrow(_prefixes(self.percent), "a long, b long")
+        self.merge(near.unionByName(far).distinct(), "rest")
+        self.scratch.drop("open", "runs", "open_runs", "near", "asked", "crowd_sets", "first")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -268,65 +432,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.save(docs.mapInArrow(_sets(width), "doc_id long, n long, print binary, sketch binary"), "sets")
+    sets = scratch.save(docs.mapInArrow(_sets(width), SETS_SQL), "sets")
     known = sets.where("doc_id is not null and print is not null")
-    reps = scratch.save(known.groupBy("print").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("print", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch"), "reps")
-    posted = scratch.save(reps.select("rep", "n", "sketch").mapInArrow(_postings, "rep long, n long, key long"), "posted")
-    lists = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    posted = scratch.save(posted.join(lists, "key"), "lists")
-    scratch.drop("posted")
-
-    texts = docs.where("doc_id is not null")
-    sketches = reps.select("rep", F.expr(f"substring(sketch, 1, {8 * SKETCH})").alias("sketch"))
-    labels = spark.createDataFrame([], "node long, comp long")
-    links = None
-
-    def merged(pairs: DataFrame, step: str) -> None:
-        """Confirms pairs, adds them to the links and finds the components anew."""
-        nonlocal links, labels
-        a = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
-        b = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
-        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_passing(percent), "a long, b long")
-        likely = scratch.save(likely, f"likely_{step}")
-        new = scratch.save(_confirmed(texts, likely, width, percent), f"links_{step}")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links, scratch, step)
-
+    reps = known.groupBy("print").agg(F.min(F.struct("doc_id", "n", "keys", "sketch", "parity")).alias("x"))
+    reps = scratch.save(reps.select("print", F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch", "x.parity"), "reps")
+    posted = scratch.save(reps.select("rep", "n", "keys").mapInArrow(_postings, "rep long, n long, key long"), "posted")
+    lists = posted.join(posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    lists = scratch.save(lists, "lists")
+    # a member's fame: the logarithms of its lists' lengths, so that one very long list does not make it
+    fame = lists.groupBy("rep").agg(F.round(F.sum(F.ln("m")), 6).alias("fame"))
+    lists = scratch.save(lists.join(fame, "rep"), "famed")
+    scratch.drop("posted", "lists")
+
+    search = _Search(scratch, docs.where("doc_id is not null"), reps, width, percent)
     for round_ in range(PIVOT_ROUNDS):
-        # the members' popularity: how many members their lists have, together
-        popular = posted.groupBy("rep").agg(F.sum("m").alias("fame"))
-        state = posted.join(popular, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "fame", F.coalesce("comp", "rep").alias("comp"))
-        if round_:
-            # the earlier pivot of a list is done; the next is the most popular outside its component
-            state = scratch.save(state, f"state_{round_}")
-            first = state.groupBy("key").agg(F.max_by("comp", F.struct("fame", "rep")).alias("done"))
-            rest = state.join(first, "key").where("comp <> done").drop("done")
-            pivots = rest.groupBy("key").agg(F.max(F.struct("fame", "rep", "n", "comp")).alias("p"))
-        else:
-            state = scratch.save(state, f"state_{round_}")
-            pivots = state.groupBy("key").agg(F.max(F.struct("fame", "rep", "n", "comp")).alias("p"))
-        fits = (F.col("n") * 100 >= F.col("p.n") * percent) & (F.col("p.n") * 100 >= F.col("n") * percent)
-        pairs = state.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & fits).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        merged(pairs, f"pivot_{round_}")
-
-    state = posted.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("comp", "rep").alias("comp"))
-    state = scratch.save(state, "state_last")
-    mixed = state.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("low"), F.max("n").alias("high")).where("x <> y").select("key")
-    open_ = state.join(mixed, "key")
-    short = open_.where(F.col("m") <= BLOCK).select("key", "rep")
-    long_ = open_.where(F.col("m") > BLOCK).select("rep").distinct().join(reps.select("rep", "n", "sketch"), "rep").mapInArrow(_runs(percent), "rep long, key long").distinct()
-    keyed = scratch.save(short.unionByName(long_.select("key", "rep")), "keyed")
-    named = keyed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    sizes = named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("m > 1 and x <> y").select("key", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    cells = named.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp").join(reps.select("rep", "n"), "rep").join(sketches, "rep")
-    cells = cells.select("key", "i", "j", "own", "rep", "n", "comp", "sketch").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    merged(cells.mapInArrow(_blocks(percent), "a long, b long").distinct(), "rest")
-
-    least = labels.groupBy("comp").agg(F.min("node").alias("component_id"))
-    named = reps.select("print", "rep").join(labels.join(least, "comp").select(F.col("node").alias("rep"), "component_id"), "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
+        search.pivot_round(lists, round_)
+    search.rest(lists)
+
+    least = search.labels.groupBy("comp").agg(F.min("node").alias("component_id"))
+    named = search.labels.join(least, "comp").select(F.col("node").alias("rep"), "component_id")
+    named = reps.select("print", "rep").join(named, "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "print").join(named, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
@@ -339,9 +464,11 @@ def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     scratch = Scratch(docs.sparkSession, "unique")
     found = near_duplicates(docs, width, percent).where("doc_id is not null")
-    gone = scratch.save(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("again")).where("not kept or again"), "gone")
-    again = gone.where("kept").select("__id")
-    key = F.col("doc_id").cast("long") == F.col("__id")
+    name = "__id" + "_" * max((len(c) for c in docs.columns), default=0)  # no column of docs
+    gone = scratch.save(found.groupBy(F.col("doc_id").alias(name)).agg(F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("again")).where("not kept or again"), "gone")
+    again = gone.where("kept").select(name)
+    gone = gone.select(name)
+    key = F.col("doc_id").cast("long") == F.col(name)
     small = gone.count() <= BROADCAST_ROWS
     single = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
     if again.isEmpty():
@@ -352,3 +479,27 @@ def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The same rows by joining all shingles; for small tables only.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, hash(array_to_string(w[k : k + 4], ' ')) AS h FROM w, unnest(range(1, greatest(1, len(w) - 4) + 1)) t(k) WHERE len(w) > 0
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+    SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (
+    SELECT a, b FROM l UNION SELECT b, a FROM l
+), r AS (
+    SELECT a AS doc_id, b AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a
+), m AS (
+    SELECT doc_id, min(other) AS least FROM r GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id, least(d.doc_id, coalesce(m.least, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

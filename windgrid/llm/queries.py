@@ -4,7 +4,7 @@ from windgrid.llm.hamming import OP8_SQL, op8_multi_index_hashing
 from windgrid.llm.id_store import op4_content_addressed_ids
 from windgrid.llm.language import op3_ecoc_language
 from windgrid.llm.media import op5_signature_sniffing
-from windgrid.llm.near_dedup import op1_minhash_near_dedup
+from windgrid.llm.near_dedup import OP1_SQL, op1_minhash_near_dedup
 from windgrid.llm.packing import op9_best_fit_packing
 from windgrid.llm.pieces import op7_sentencepiece_backtracking
 from windgrid.llm.quality import op2_bradley_terry_quality
@@ -25,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1_SQL,
     "op8_multi_index_hashing": OP8_SQL,
     "op10_warc_index_merge": OP10_SQL,
 }
