@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,8 +145,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 300, rate
     return RankModel(w, mean, spread, border, slope)
 
 
-def _matrix(texts: pa.Array) -> np.ndarray:
-    return np.array([features(t.as_py()) for t in texts]).reshape(len(texts), len(NAMES))
+def _matrix(texts) -> np.ndarray:
+    return np.array([features(t) for t in texts]).reshape(len(texts), len(NAMES))
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality") -> RankModel | None:
@@ -154,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("text"))
+            x = _matrix(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
     rows = labelled(docs, labels, label, keep, MOST_LABELLED).select("label", "text").mapInArrow(run, "label int, x array<double>").toArrow()
@@ -175,22 +176,24 @@ def score(docs: DataFrame, model: RankModel | None, carry: list[str] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = model.score(_matrix(batch.column("text"))) if model else np.full(batch.num_rows, 0.5 + THRESHOLD / 2)
+            got = model.score(_matrix(batch.column("text").to_pylist())) if model else np.full(batch.num_rows, 0.5 + THRESHOLD / 2)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: RankModel | None) -> DataFrame:
-    """The rows of docs whose score is at least THRESHOLD, with the columns that docs has."""
+    """The rows of docs whose score is at least THRESHOLD, with the columns that docs has.
+
+    Only the text goes to Python, and only the score comes back.
+    """
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = model.score(_matrix(batch.column("text"))) if model else np.ones(batch.num_rows)
-            yield batch.filter(pa.array(np.array(got, dtype=float) >= THRESHOLD))
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix(texts)) if model else 1.0, index=texts.index, dtype=float)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scored(F.col("text").cast("string")) >= THRESHOLD)
 
 
 def op2_bradley_terry_quality(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,11 +131,14 @@ def settle(scores: np.ndarray, labels: np.ndarray, prior: float) -> float:
 
 
 def unlike(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """One of the rows that share the two smallest codes: near copies would count a word twice."""
+    """One of the rows that share the two smallest codes: near copies would count a word twice.
+
+    If that leaves less than half, the rows are of few words or of few sources, and all of them count.
+    """
     seen: dict[tuple, np.ndarray] = {}
     for r in rows:
         seen.setdefault(tuple(r[:2].tolist()), r)
-    return list(seen.values())
+    return list(seen.values()) if 2 * len(seen) >= len(rows) else rows
 
 
 def _sample(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
@@ -184,15 +188,17 @@ def score(docs: DataFrame, model: PuModel, carry: list[str] | None = None) -> Da
 
 
 def accepted(docs: DataFrame, model: PuModel) -> DataFrame:
-    """The rows of docs whose score is below THRESHOLD, with the columns that docs has."""
+    """The rows of docs whose score is below THRESHOLD, with the columns that docs has.
+
+    Only the text goes to Python, and only the score comes back.
+    """
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.score(t.as_py()) for t in batch.column("text")]
-            yield batch.filter(pa.array(np.array(got, dtype=float) < THRESHOLD))
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in texts], dtype=float)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scored(F.col("text").cast("string")) < THRESHOLD)
 
 
 def held_out(remainder: int, folds: int) -> Column:
