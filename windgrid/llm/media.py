@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from windgrid.llm.scratch import Scratch, bounded_batches, table
 
@@ -94,7 +95,7 @@ def _gif(b: memoryview) -> int:
 
 def _jpeg(b: memoryview) -> int:
     at = 2
-    while at + 4 <= len(b):
+    while at + 2 <= len(b):
         if b[at] != 0xFF:
             return 0
         mark = b[at + 1]
@@ -103,13 +104,12 @@ def _jpeg(b: memoryview) -> int:
         if mark in (0x01, *range(0xD0, 0xD8)):
             at += 2
             continue
-        n = struct.unpack_from(">H", b, at + 2)[0]
+        n = struct.unpack_from(">H", b, at + 2)[0] if at + 4 <= len(b) else 0
         if n < 2:
             return 0
         at += 2 + n
         if mark == 0xDA:  # entropy-coded data up to the next marker that is no restart
-            raw = bytes(b[at:])
-            k = 0
+            raw, k = bytes(b[at:]), 0
             while (k := raw.find(b"\xff", k)) >= 0 and k + 1 < len(raw) and (raw[k + 1] == 0 or 0xD0 <= raw[k + 1] <= 0xD7):
                 k += 2
             if k < 0 or k + 1 >= len(raw):
@@ -215,7 +215,7 @@ def sniffed(rows: DataFrame, blob: str, declared: str | None = None) -> DataFram
     """rows with true_type, true_bytes, corrected (declared type was wrong) and carved spans appended."""
     bounded_batches(rows.sparkSession)
     rows = rows.drop("true_type", "true_bytes", "corrected", "carved")
-    names = rows.columns
+    names, own = rows.columns, rows.schema
     span = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def sniffed(rows: DataFrame, blob: str, declared: str | None = None) -> DataFram
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[0] != s for f, s in zip(found, said, strict=True)], pa.bool_()), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "true_type", "true_bytes", "corrected", "carved"])
 
-    schema = rows.schema.add("true_type", "string").add("true_bytes", "long").add("corrected", "boolean").add("carved", "array<struct<type:string,offset:long,length:long>>")
+    schema = StructType(own.fields[:]).add("true_type", "string").add("true_bytes", "long").add("corrected", "boolean").add("carved", DataType.fromDDL("array<struct<type:string,offset:long,length:long>>"))
     return rows.mapInArrow(run, schema)
 
 
