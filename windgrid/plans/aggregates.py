@@ -337,3 +337,8 @@ def agg_44(spark, d):
 def agg_45(spark, d):
     shard = read(spark, d, "lineitem").groupBy("l_returnflag", (F.col("l_orderkey") % 8).alias("shard")).agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("s"))
     return shard.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.round(F.sum("s"), 2).alias("s"))
+
+
+@query("agg_46_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def agg_46(spark, d):
+    return read(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))

@@ -213,6 +213,12 @@ def fun_01(spark, d):
     return obs(spark, d).select("event_id", r6(geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(100.0)), 4).alias("km"))
 
 
+@query("fun_02_haversine_table", f"WITH {PAIR}, p AS (SELECT DISTINCT ident, lat0, lon0, 12.2::DOUBLE + ident % 40 AS lat, 73.0::DOUBLE + ident % 60 AS lon FROM s) SELECT ident, round({HAVERSINE.format(a='', b='').replace('lat - lat', 'lat0 - lat').replace('cos(radians(lat)) * cos(radians(lat))', 'cos(radians(lat)) * cos(radians(lat0))').replace('lon - lon', 'lon0 - lon')}, 4) AS km FROM p")
+def fun_02(spark, d):
+    p = obs(spark, d).select("ident").distinct().select("ident", (12.2 + F.col("ident") % 40).alias("lat"), (73.0 + F.col("ident") % 60).alias("lon"))
+    return p.select("ident", r6(geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(100.0)), 4).alias("km"))
+
+
 @query("fun_03_angle_difference", f"WITH {OBS} SELECT event_id, abs((((heading - wind_dir + 180) % 360) + 360) % 360 - 180) AS diff FROM obs")
 def fun_03(spark, d):
     return obs(spark, d).select("event_id", geo.angle_difference(F.col("heading"), F.col("wind_dir")).alias("diff"))

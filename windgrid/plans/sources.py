@@ -151,3 +151,55 @@ def src_28(spark, d):
     return obs(spark, d).where((F.floor(F.col("alt") / 500) == 7) & (F.floor((54.2 - F.col("lat")) / 5.0) == 3) & (F.floor((F.col("lon") - 73.0) / 5.0) == 4)).select("event_id", "speed", "wind_speed")
 
 
+
+
+@query("src_05_workbook_sheets", "SELECT s_nationkey AS sheet, s_suppkey, s_acctbal FROM supplier WHERE s_nationkey BETWEEN 3 AND 9")
+def src_05(spark, d):
+    # a workbook lands as one shard per sheet; offset and limit choose sheets in order
+    at, s = _folder(spark, "workbook"), read(spark, d, "supplier").select(F.col("s_nationkey").alias("sheet"), "s_suppkey", "s_acctbal")
+    s.write.option("compression", "zstd").partitionBy("sheet").parquet(at)
+    return spark.read.schema(s.schema).parquet(at).where(F.col("sheet").between(3, 9)).select("sheet", "s_suppkey", "s_acctbal")
+
+
+@query("src_09_file_discovery", "SELECT * FROM (VALUES (20240101000000), (20240101000600)) t(stamp)")
+def src_09(spark, d):
+    at = _folder(spark, "radar")
+    name = F.concat(F.lit("a_b_c_d_e_f_g_"), F.col("s").cast("string"))
+    stamps = spark.createDataFrame([(20240101000000,), (20240101000600,)], "s long")
+    stamps.select(name.alias("n"), F.col("s").cast("string").alias("value")).write.partitionBy("n").text(at)
+    found = S.files(spark, at, "*.txt").select(F.regexp_extract("path", r"n=([^/]+)/", 1).alias("n"))
+    return found.select(F.date_format(S.time_in_name(F.col("n")), "yyyyMMddHHmmss").cast("long").alias("stamp"))
+
+
+@query("src_13_level_stack", "SELECT l_linenumber AS level, l_suppkey % 5 AS y, l_partkey % 5 AS x, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY 1, 2, 3")
+def src_13(spark, d):
+    # decoded levels land as a long table, whatever the container was
+    return read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("level"), (F.col("l_suppkey") % 5).alias("y"), (F.col("l_partkey") % 5).alias("x")).agg(F.round(F.avg("l_quantity"), 6).alias("v"))
+
+
+@query("src_14_axis_order", f"WITH {OBS}, a AS (SELECT DISTINCT floor(lat)::BIGINT AS lat FROM obs) SELECT lat, row_number() OVER (ORDER BY lat) - 1 AS i FROM a")
+def src_14(spark, d):
+    from windgrid.operators.ordering import global_row_number
+
+    a = obs(spark, d).select(F.floor("lat").alias("lat")).distinct()
+    return global_row_number(a, ["lat"], "i", F.floor(F.col("lat") / 10)).select("lat", F.col("i").cast("long").alias("i"))
+
+
+@query("src_15_path_resolution", "SELECT * FROM (VALUES ('b.parquet')) t(name)")
+def src_15(spark, d):
+    at = _folder(spark, "paths")
+    read(spark, d, "region").write.parquet(f"{at}/b.parquet")
+    found = S.resolve(spark, at, ["absent.parquet", "elsewhere/b.parquet"])
+    return spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in found], "name string")
+
+
+@query("src_16_byte_ranges", "SELECT * FROM (VALUES (0, 99), (250, NULL)) t(low, high)")
+def src_16(spark, d):
+    ranges = S.byte_ranges("1:0:d:U:500 mb:x\n2:100:d:V:500 mb:x\n3:250:d:U:500 mb:x", {"U"}, {"500 mb"})
+    return spark.createDataFrame(ranges, "low int, high int")
+
+
+@query("src_27_prefix_rewrite", "SELECT p_partkey, 'data/new/' || p_name AS path FROM part")
+def src_27(spark, d):
+    p = read(spark, d, "part").select("p_partkey", F.concat(F.lit("/old/"), "p_name").alias("path"))
+    return p.select("p_partkey", F.regexp_replace("path", "^/old/", "data/new/").alias("path"))
