@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from windgrid.operators.ordering import hash_sample
 from windgrid.runtime import ship
@@ -56,7 +57,7 @@ def train(rows: DataFrame, key: str, hidden: int = 16, steps: int = 200, rate: f
 def predict(rows: DataFrame, model: Network) -> DataFrame:
     """rows with delta and sigma appended."""
     ship(rows.sparkSession)
-    schema = rows.schema.add("delta", "double").add("sigma", "double")
+    schema = StructType(rows.schema.fields[:]).add("delta", "double").add("sigma", "double")
 
     def run(batches):
         for pdf in batches:

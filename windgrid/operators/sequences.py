@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from windgrid.runtime import ship
 
@@ -44,7 +45,7 @@ def smooth(t: np.ndarray, x: np.ndarray, process: float, noise: float) -> tuple[
 def smoothed(points: DataFrame, keys: list[str], order: list[str], time: str, axes: dict[str, tuple[float, float]]) -> DataFrame:
     """points with smooth_<axis> and spread_<axis>; axes: column -> (process, noise)."""
     ship(points.sparkSession)
-    schema = points.schema
+    schema = StructType(points.schema.fields[:])
     for a in axes:
         schema = schema.add(f"smooth_{a}", "double").add(f"spread_{a}", "double")
 
