@@ -12,7 +12,7 @@ from windgrid.operators import sequences as S
 from windgrid.operators import tracks as T
 from windgrid.operators.ordering import top_k
 from windgrid.plans.base import ERRORS, HAVERSINE, OBS, SCORED, errors, obs, query, r6, read, scored
-from windgrid.plans.tracks import GAP, TRACK_SQL, legs
+from windgrid.plans.tracks import TRACK_SQL, legs
 
 ENDS = f"""{TRACK_SQL}, ends AS (SELECT ident, leg, count(*) AS n, min(us) / 1e6::DOUBLE AS a, max(us) / 1e6::DOUBLE AS b, arg_min(lat, us) AS slat, arg_min(lon, us) AS slon, arg_min(alt, us) AS salt, arg_max(lat, us) AS elat, arg_max(lon, us) AS elon, arg_max(alt, us) AS ealt FROM legs GROUP BY 1, 2),
 hops AS (""" + " UNION ALL ".join(f"SELECT ident, leg, {k} AS hop, b, elat, elon, ealt, lead(leg, {k}) OVER w AS to_leg, lead(a, {k}) OVER w - b AS gap, lead(slat, {k}) OVER w AS nlat, lead(slon, {k}) OVER w AS nlon, lead(salt, {k}) OVER w AS nalt FROM ends WINDOW w AS (PARTITION BY ident ORDER BY a, leg)" for k in (1, 2, 3)) + f"""),
@@ -241,9 +241,6 @@ def seq_19(spark, d):
     return _probability(x, model).select("doc_id", r6(weights.sigmoid(a * F.col("z") + c), 4).alias("p"))
 
 
-GATE = "{h} > 150 or {g} < 10 or {g} > 1800"
-
-
 @query("seq_20_safety_gates", f"WITH {OBS} SELECT event_id, CASE WHEN heading > 150 OR event_id % 2000 < 10 OR event_id % 2000 > 1800 THEN least(alt / 15000, 1e-4) ELSE alt / 15000 END AS p FROM obs")
 def seq_20(spark, d):
     unsafe = F.expr("heading > 150 or event_id % 2000 < 10 or event_id % 2000 > 1800")
@@ -279,9 +276,6 @@ def seq_22(spark, d):
     return wide.select(rows.alias("r")).select("r.*")
 
 
-FROZEN = [0.4, -0.3, 0.2, 0.5]
-
-
 @query("seq_23_frozen_posterior", f"WITH {OBS} SELECT event_id, round(1 / (1 + exp(-(0.4 * ln(1 + speed / 50) - 0.3 * ln(1 + alt / 5000) + 0.2 * ln(1 + wind_speed / 20) + CASE WHEN source = 'turb' THEN 0.5 ELSE 0 END))), 6) AS p FROM obs")
 def seq_23(spark, d):
     z = 0.4 * F.log1p(F.col("speed") / 50) - 0.3 * F.log1p(F.col("alt") / 5000) + 0.2 * F.log1p(F.col("wind_speed") / 20) + F.when(F.col("source") == "turb", 0.5).otherwise(0.0)
@@ -542,6 +536,3 @@ def val_12(spark, d):
     grid = (0.0, 0.1, 0.2, 0.3)
     wide = errors(spark, d).agg(*[F.struct(F.lit(p).alias("p"), r6(F.sqrt(F.avg(F.pow(F.col("eu") * (1 - p), 2))) + p).alias("score")).alias(f"g{k}") for k, p in enumerate(grid)])
     return wide.select(F.explode(F.array(*[f"g{k}" for k in range(len(grid))])).alias("r")).select("r.*")
-
-
-assert GAP == 6 * 3600
