@@ -359,6 +359,7 @@ class _Search:
     def __init__(self, scratch: Scratch, texts: DataFrame, reps: DataFrame, width: int, percent: int):
         self.scratch, self.texts, self.reps, self.width, self.percent = scratch, texts, reps, width, percent
         self.links: DataFrame | None = None
+        self.tables = 0
         self.labels = scratch.spark.createDataFrame([], "node long, comp long")
 
     def with_comp(self, df: DataFrame) -> DataFrame:
@@ -378,10 +379,11 @@ class _Search:
         state = self.scratch.save(self.with_comp(lists).select("key", "rep", "n", "fame", "comp"), f"state_{round_}")
         best = F.max(F.struct("fame", "rep", "n", "comp")).alias("p")
         if round_:
-            first = state.groupBy("key").agg(best).select("key", F.col("p.comp").alias("done"))
+            first = self.scratch.save(state.groupBy("key").agg(best).select("key", F.col("p.comp").alias("done")), f"first_{round_}")
             pivots = state.join(first, "key").where("comp <> done").groupBy("key").agg(best)
         else:
             pivots = state.groupBy("key").agg(best)
+        pivots = self.scratch.save(pivots, f"pivots_{round_}")
         fits = (F.col("n") * 100 >= F.col("p.n") * self.percent) & (F.col("p.n") * 100 >= F.col("n") * self.percent)
         pairs = state.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & fits)
         self.merge(pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct(), f"pivot_{round_}")
@@ -391,7 +393,8 @@ class _Search:
         """lists (key, rep, ...) of more than one component, with comp and the size m."""
         named = self.with_comp(lists.drop("m"))
         size = named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "m")
-        return named.join(size, "key")
+        self.tables += 1
+        return named.join(self.scratch.save(size, f"mixed_{self.tables}"), "key")
 
     def rest(self, lists: DataFrame) -> None:
         """All pairs that are still open: short lists, short lists of runs, crowds."""
@@ -416,6 +419,7 @@ class _Search:
         first = asked.join(sets_a, "a").join(sets_b, "b").select("a", "b", "sa", "sb").mapInArrow(_differences(self.percent), "pivot long, value long, rep long, n long, d long, place long, parity binary")
         first = self.with_comp(self.scratch.save(first, "first"))
         sizes = first.groupBy("pivot", "value").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("pivot", "value", "m")
+        sizes = self.scratch.save(sizes, "first_sizes")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         cells = first.join(sizes, ["pivot", "value"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         one = cells.where("blocks = 1").withColumn("other", F.lit(0))
@@ -437,8 +441,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     reps = known.groupBy("print").agg(F.min(F.struct("doc_id", "n", "keys", "sketch", "parity")).alias("x"))
     reps = scratch.save(reps.select("print", F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch", "x.parity"), "reps")
     posted = scratch.save(reps.select("rep", "n", "keys").mapInArrow(_postings, "rep long, n long, key long"), "posted")
-    lists = posted.join(posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
-    lists = scratch.save(lists, "lists")
+    # what is counted per key is written before it meets the rows again: then both sides of the join are plain
+    # shuffles, and the rows of a very common key are split over several tasks
+    sizes = scratch.save(posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    lists = scratch.save(posted.join(sizes, "key"), "lists")
     # a member's fame: the logarithms of its lists' lengths, so that one very long list does not make it
     fame = lists.groupBy("rep").agg(F.round(F.sum(F.ln("m")), 6).alias("fame"))
     lists = scratch.save(lists.join(fame, "rep"), "famed")
