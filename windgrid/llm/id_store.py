@@ -174,6 +174,7 @@ class IdStore:
         each = staged.select("doc_id", "row", F.posexplode("sizes").alias("at", "size"), "names")
         each = each.select("doc_id", "row", "at", F.expr(f"substring(names, at * {NAME} + 1, {NAME})").alias("name"))
         twice = each.groupBy("name").agg(F.count("*").alias("m"), F.min(F.struct("row", "at")).alias("first")).where("m > 1").select("name", "first")
+        twice = self.scratch.save(twice, "twice")  # written first, so that the join can split a very common chunk's rows
         found = each.join(twice, "name").select("doc_id", "row", "at", ((F.col("first.row") == F.col("row")) & (F.col("first.at") == F.col("at"))).alias("own"))
         found = found.groupBy("doc_id", "row").agg(F.collect_list("at").alias("at"), F.expr("collect_list(at) filter (where own)").alias("own"))
         found = self.scratch.save(found, "found")
@@ -184,7 +185,7 @@ class IdStore:
         packs = max(1, -(-staged.count() // PACK_ROWS), self.spark.sparkContext.defaultParallelism * 2)
         order = both.repartitionByRange(packs, F.col("doc_id").asc_nulls_first(), F.col("row")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row", F.col("ids").isNotNull())
         order.mapInArrow(_split(self.dtype), STORED).write.option("compression", "zstd").partitionBy("kind").parquet(self.scratch.path("store"))
-        self.scratch.drop("staged", "found")
+        self.scratch.drop("staged", "twice", "found")
 
     def _stored(self, kind: str) -> DataFrame:
         return self.spark.read.schema(STORED).parquet(self.scratch.path("store")).where(F.col("kind") == kind)
