@@ -54,7 +54,7 @@ PARITY = 512
 #: Chance that the estimate drops a pair that is similar.
 ODDS = 1e-7
 #: Adjacent values that make a key of a long list, from the RUN_SKETCH smallest; similar sets have no run in
-#: common with probability 3e-10 (never, if both are smaller than that).
+#: common with probability 4e-10 (never, if both are smaller than that).
 RUN, RUN_SKETCH = 3, 48
 #: Members of a list up to which all its pairs are looked at, and of a block of a longer one.
 SHORT, BLOCK = 64, 4096
