@@ -224,6 +224,25 @@ def test_language(spark, docs, empty):
     assert min((words[a] != words[b]).sum() for a in range(4) for b in range(a)) >= 12
 
 
+def test_language_sample(spark, monkeypatch):
+    """The bound counts usable rows only, and rare languages are learnt, however many documents there are."""
+    texts = {"en": "the house and the garden near the river", "de": "das haus und der garten an dem fluss", "fr": "la maison et le jardin de la ville"}
+    rows = [(i, texts["en" if i % 2 else "de"], ("en" if i % 2 else "de") if i < 900 else None) for i in range(4000)] + [(5000, texts["fr"], "fr")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, fit = [], language.fit
+    monkeypatch.setattr(language, "MOST_TEXTS", 300)
+    monkeypatch.setattr(language, "fit", lambda x, y: seen.append(y) or fit(x, y))
+    model = language.train(d, F.lit(True))
+    assert model.languages == ["de", "en", "fr"] and 240 <= len(seen[0]) <= 360 and abs(seen[0].count("en") - 150) < 50
+    assert {r["lang_pred"] for r in language.predict(d.where("doc_id = 5000"), model).collect()} == {"fr"}
+    monkeypatch.setattr(language, "MOST_TEXTS", 901)
+    assert len(language.train(d, F.lit(True)).languages) == 3 and len(seen[1]) == 901
+    one_id = d.where("lang is not null").withColumn("doc_id", F.when(F.col("lang") == "de", 7).otherwise(F.col("doc_id")))
+    monkeypatch.setattr(language, "MOST_TEXTS", 60)
+    assert language.train(one_id, F.lit(True)).languages == ["de", "en", "fr"]
+    assert language.shares({"a": 1, "b": 50, "c": 10**9}, 100) == {"a": 1, "b": 49, "c": 50}
+
+
 # ---- 4
 
 

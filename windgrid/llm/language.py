@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windgrid.llm.sampling import bounded
 from windgrid.llm.scratch import bounded_batches, table
 from windgrid.llm.toxicity import held_out
 
-#: Texts in the sample for the fit.
-MOST_TEXTS = 4_000
+#: Texts in the sample for the fit, and those that a language may have even if the languages are so many that this makes more.
+MOST_TEXTS, LEAST_TEXTS = 4_000, 16
 DIMENSIONS, BITS = 4096, 31
 #: Softmax share of the second codeword from which a text is ambiguous.
 AMBIGUOUS = 0.25
@@ -121,8 +120,32 @@ def _matrix(texts: list) -> np.ndarray:
     return np.array([ngram_shares(t) for t in texts], dtype=np.float32).reshape(len(texts), DIMENSIONS)
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Texts of each language for the fit: as evenly as the counts allow, `most` together."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(LEAST_TEXTS, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
+def sample(known: DataFrame, most: int) -> DataFrame:
+    """lang, text of about `most` rows of known (doc_id, lang, text), by a hash of the id; of every language at least one."""
+    spark = known.sparkSession
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if sum(counts.values()) <= most:
+        return known.select("lang", "text")
+    bounds = [(lang, (1 << 40) * n // counts[lang]) for lang, n in shares(counts, most).items()]
+    rows = known.join(F.broadcast(spark.createDataFrame(bounds, "lang string, bound long")), "lang")
+    rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) < F.col("bound")).select("lang", "text")
+    missed = sorted(set(counts) - {r["lang"] for r in rows.select("lang").distinct().collect()})
+    if missed:  # by chance, or as its rows share one id
+        rows = rows.unionByName(known.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min("text").alias("text")))
+    return rows
+
+
 def train(docs: DataFrame, keep: Column) -> CodeModel | None:
-    """Fits the model on documents with a language for which `keep` (of doc_id) holds."""
+    """Fits the model on documents with a language for which `keep` (of doc_id) holds; every language among them is learnt."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +156,7 @@ def train(docs: DataFrame, keep: Column) -> CodeModel | None:
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).where(keep)
-    count = docs.count()
-    rows = bounded(known, "doc_id", MOST_TEXTS, count).select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    rows = sample(known, MOST_TEXTS).mapInArrow(run, "lang string, x binary").toArrow()
     if not rows.num_rows:
         return None
     return fit(np.array([np.frombuffer(x.as_py(), dtype=np.float16) for x in rows["x"]]).astype(np.float32), rows["lang"].to_pylist())
