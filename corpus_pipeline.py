@@ -25,9 +25,13 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, model)
 
 
+#: Percent of Jaccard similarity from which documents are near copies here.
+NEAR_PERCENT = 80
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return near_dedup.representatives(docs)
+    return near_dedup.representatives(docs, percent=NEAR_PERCENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

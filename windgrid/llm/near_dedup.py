@@ -4,8 +4,8 @@ A document's set is its distinct shingles of `width` words, each hashed once to
 is the `SKETCH` smallest values. Of two sets with Jaccard similarity J, each of the smallest values of
 their union lies in both with probability J. From that follow the three steps:
 
-1. The `KEYS` smallest values are posted to inverted lists. Similar sets share none of them with
-   probability (1 - J) ** KEYS, 1.3e-10 at 0.85 (sets of up to KEYS values are posted whole).
+1. The smallest values (`keys_for`: 12 at 0.85, 15 at 0.80) are posted to inverted lists. Similar sets share
+   none of k with probability (1 - J) ** k, 1.3e-10 at 0.85 and 12 (sets of up to k values are posted whole).
 2. The smallest values of the union of two sketches estimate J; a pair is dropped when the estimate is
    so low that a similar pair shows it with probability below `ODDS`.
    Before that, a parity sketch (each value flips one of PARITY bits) bounds how much the sets differ:
@@ -18,11 +18,11 @@ pairs. In a few rounds every list links its members to one pivot, the member who
 common, and confirmed links merge. What still holds several components is settled by its size:
 
 - Lists of up to `SHORT` members are compared pair by pair, across components.
-- Members of longer lists are posted again under runs of `RUN` values that follow one another in a
+- Members of longer lists are posted again under runs of (mostly) `RUN` values that follow one another in a
   sketch, which documents that merely share a passage seldom have in common; short lists are compared.
 - The long lists of runs are crowds of versions of one text. A member x is posted by its difference D to
   a common pivot (what it has beyond the pivot, then what it lacks), since x and y differ by as much as
-  their D do. Sets that are similar differ by at most T = (n_x + n_y) * 15 / 185. So their D share at
+  their D do. Sets that are similar differ by at most T = (n_x + n_y) * (1 - J) / (1 + J). So their D share at
   least (|D_x| + |D_y| - T) / 2 values, one of them among the first T + 1 of both with enough left
   behind it (prefix and position filter); if that bound is below one, both are near the pivot and meet
   under a key of their own. That is exact, and versions that strayed apart share little of their D.
@@ -48,14 +48,15 @@ from windgrid.llm.scratch import Scratch, table
 WIDTH = 5
 #: 100 * |intersection| >= PERCENT * |union|
 PERCENT = 85
-KEYS, SKETCH = 12, 128
+SKETCH = 128
+#: Chances that similar sets share none of their keys, and no run.
+KEY_ODDS, RUN_ODDS = 1.3e-10, 4e-10
 #: Bits of the parity sketch.
 PARITY = 512
 #: Chance that the estimate drops a pair that is similar.
 ODDS = 1e-7
-#: Adjacent values that make a key of a long list, from the RUN_SKETCH smallest; similar sets have no run in
-#: common with probability 4e-10 (never, if both are smaller than that).
-RUN, RUN_SKETCH = 3, 48
+#: Adjacent values that make a key of a long list (see run_sketch_for and _run_widths).
+RUN = 3
 #: Members of a list up to which all its pairs are looked at, and of a block of a longer one.
 SHORT, BLOCK = 64, 4096
 PIVOT_ROUNDS = 2
@@ -119,18 +120,45 @@ def most_apart(total, percent: int):
     return total * (100 - percent) // (100 + percent)
 
 
-def _sets(width: int):
+def keys_for(percent: int) -> int:
+    """The values that a set posts, so that similar sets share none with probability KEY_ODDS at most."""
+    k = 1
+    while k < SKETCH and (1 - percent / 100) ** k > KEY_ODDS:
+        k += 1
+    return k
+
+
+def run_sketch_for(percent: int) -> int:
+    """The smallest values from which runs are taken, so that similar sets have none in common with probability
+    RUN_ODDS at most, as far as a sketch goes (48 at 0.85, 61 at 0.80)."""
+    p, m, state = percent / 100, 0, [1.0] + [0.0] * (RUN - 1)  # chances by the length of the run at the end
+    while m < SKETCH and sum(state) > RUN_ODDS:
+        m, state = m + 1, [sum(state) * (1 - p)] + [x * p for x in state[:-1]]
+    return m
+
+
+def _run_widths(n: int, percent: int) -> list[int]:
+    """Lengths of the runs that a set of n values posts: RUN, and less where s shared values, parted by d others,
+    are sure of a shorter one only; so similar sets that are posted whole always meet."""
+    widths = {min(RUN, n)}
+    for s in range(1, n + 1):
+        for d in range(max(1, n - s), s * (100 - percent) // percent + 1):
+            widths.add(min(RUN, -(-s // (d + 1))))
+    return sorted(widths)
+
+
+def _sets(width: int, percent: int):
     """Texts -> size, fingerprint and smallest values of their sets; sketches hold the upper halves of values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        shingle = Shingler(width)
+        shingle, keys = Shingler(width), keys_for(percent)
         for batch in batches:
             rows = []
             for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 s = shingle(t.as_py())
-                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, s[:KEYS].tobytes(), (s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), parity(s)))
+                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, s[:keys].tobytes(), (s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), parity(s)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), SETS.types, strict=True)], schema=SETS)
 
@@ -220,20 +248,26 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     return left.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(holds, "a long, b long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, sketch -> rep, key for each run of RUN adjacent values (the whole set, if it is smaller)."""
-    for batch in batches:
-        keys, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, x in enumerate(batch.column("sketch")):
-            s = np.frombuffer(x.as_py(), dtype="<u4")[:RUN_SKETCH].astype(np.uint64)
-            width = min(RUN, len(s))
-            out = np.full(len(s) - width + 1, np.uint64(width), dtype=np.uint64)
-            for k in range(width):
-                out = _mix(out * MIX + s[k : k + len(out)])
-            keys.append(out.view(np.int64))
-            at.append(np.full(len(out), i))
-        where = pa.array(np.concatenate(at))
-        yield pa.RecordBatch.from_arrays([batch.column("rep").take(where), pa.array(np.concatenate(keys))], names=["rep", "key"])
+def _runs(percent: int):
+    """rep, sketch -> rep, key for each run of adjacent values (the whole set, if it is smaller)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = run_sketch_for(percent)
+        widths = [_run_widths(n, percent) for n in range(most + 1)]
+        for batch in batches:
+            keys, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, x in enumerate(batch.column("sketch")):
+                s = np.frombuffer(x.as_py(), dtype="<u4")[:most].astype(np.uint64)
+                for width in widths[len(s)]:
+                    out = np.full(len(s) - width + 1, np.uint64(width), dtype=np.uint64)
+                    for k in range(width):
+                        out = _mix(out * MIX + s[k : k + len(out)])
+                    keys.append(out.view(np.int64))
+                    at.append(np.full(len(out), i))
+            where = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(where), pa.array(np.concatenate(keys))], names=["rep", "key"])
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -400,7 +434,7 @@ class _Search:
         """All pairs that are still open: short lists, short lists of runs, crowds."""
         open_ = self.scratch.save(self.mixed(lists.select("key", "rep")), "open")
         long_ = open_.where(F.col("m") > SHORT).select("rep").distinct().join(self.reps.select("rep", "sketch"), "rep")
-        runs = self.mixed(self.scratch.save(long_.mapInArrow(_runs, "rep long, key long").distinct(), "runs"))
+        runs = self.mixed(self.scratch.save(long_.mapInArrow(_runs(self.percent), "rep long, key long").distinct(), "runs"))
         runs = self.scratch.save(runs.select("key", "rep", "comp", "m"), "open_runs")
         short = open_.where(F.col("m") <= SHORT).select("key", "rep", "comp").unionByName(runs.where(F.col("m") <= SHORT).select("key", "rep", "comp"))
         short = short.join(self.reps.select("rep", "n", "sketch", "parity"), "rep").select("key", "rep", "n", "comp", "sketch", "parity")
@@ -436,7 +470,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.save(docs.mapInArrow(_sets(width), SETS_SQL), "sets")
+    sets = scratch.save(docs.mapInArrow(_sets(width, percent), SETS_SQL), "sets")
     known = sets.where("doc_id is not null and print is not null")
     reps = known.groupBy("print").agg(F.min(F.struct("doc_id", "n", "keys", "sketch", "parity")).alias("x"))
     reps = scratch.save(reps.select("print", F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch", "x.parity"), "reps")
