@@ -93,7 +93,7 @@ def features(text: str | None) -> np.ndarray:
     out[25] = sum(x.rstrip().endswith((".", "?", "!", ":")) for x in lines) / len(lines)
     out[26] = sum(bool(_LINK.search(w)) for w in words) / n if ":" in text or "@" in text or "www." in text else 0.0
     # the worst stretch, for texts that are good but for a part
-    ends = np.arange(WINDOW, n + 1, WINDOW) if n > WINDOW else np.array([n])
+    ends = np.unique(np.append(np.arange(WINDOW, n, WINDOW // 2), n))  # by half over one another, the last one at the end
     starts = np.maximum(ends - WINDOW, 0)
     for k, x in ((27, marked), (28, upper)):
         total = np.concatenate([[0], np.cumsum(x)])
