@@ -13,6 +13,7 @@ sniffed alike; an empty table gives no rows; columns besides those named are not
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,8 +31,8 @@ UNKNOWN = "application/octet-stream"
 RATE = 8000
 #: Payloads are padded with 255 to a positive multiple of this.
 UNIT = 576
-#: A PDF's end mark is looked for within this many bytes of its start marker.
-MOST_PDF = 64 << 20
+#: A PDF's parts: where a section's table begins, its end mark, and the next file.
+_PDF = re.compile(rb"startxref|%%EOF|%PDF-")
 
 
 def _wave(b: memoryview) -> int:
@@ -145,12 +146,20 @@ def _zip(b: memoryview) -> int:
 
 
 def _pdf(b: memoryview) -> int:
-    raw = bytes(b[:MOST_PDF])
-    if not raw[5:8].replace(b".", b"").isdigit():
+    """Up to the last end mark (saved changes append sections) before the next file; files within come before the first."""
+    if not bytes(b[5:8]).replace(b".", b"").isdigit():
         return 0
-    xref = raw.find(b"startxref")
-    end = raw.find(b"%%EOF", xref) if xref > 0 else -1
-    return end + 5 if end > 0 else 0
+    end, armed = 0, False
+    for m in _PDF.finditer(b, 8):
+        what = m.group()
+        if what == b"startxref":
+            armed = True
+        elif what == b"%%EOF":
+            if armed:
+                end, armed = m.end(), False
+        elif end:
+            break
+    return end
 
 
 def _bmp(b: memoryview) -> int:
@@ -197,11 +206,17 @@ def sniff(blob: bytes | None, inside: bool = True) -> tuple[str, int, list[tuple
     if not blob:
         return UNKNOWN, 0, []
     view, kind, size, carved, beyond = memoryview(blob), UNKNOWN, 0, [], 0
+    last_table = None  # of a PDF, before the last end mark: one that begins behind it has none
     text = blob.decode("latin-1") if inside else blob[:16].decode("latin-1")
     for end, (n, what) in _automaton().iter(text):
         at = end + 1 - n
         if at < beyond:
             continue
+        if what == "application/pdf":
+            if last_table is None:
+                last_table = blob.rfind(b"startxref", 0, max(0, blob.rfind(b"%%EOF")))
+            if at > last_table:
+                continue
         if length := VALID[what](view[at:]):
             if at == 0:
                 kind, size = what, length
