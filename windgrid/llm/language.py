@@ -5,7 +5,8 @@ linear in the shares of byte n-grams, predicts that bit of a text's language. De
 loss by how well its classifier does on each language and takes the codeword with the least total, so a few
 wrong bits change nothing. A text whose two nearest codewords are almost as near as each other is flagged.
 
-Defined cases: a null text and one without a letter are `und`, with score 0 and flagged; a null lang or
+Defined cases: a null text and one without a letter (Unicode's L categories; numerals such as one half are
+none) are `und`, with score 0 and flagged; of codewords at equal loss the language first in order is taken; a null lang or
 doc_id is never trained on; repeated rows are predicted alike; with no languages to learn every text is
 `und`; with one, every text with a letter is that; an empty table gives no rows; other columns are not read.
 """
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windgrid.llm.sampling import STEPS
 from windgrid.llm.scratch import bounded_batches, table
 from windgrid.llm.toxicity import held_out
 
@@ -31,7 +33,7 @@ DIMENSIONS, BITS = 4096, 31
 AMBIGUOUS = 0.25
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 _PIECE = 1 << 20
 
 
@@ -55,6 +57,10 @@ def ngram_shares(text: str) -> np.ndarray:
     return np.sqrt(total / max(1.0, total.sum()))
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def codewords(count: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
     """`count` words of +1 and -1, each bit splitting the languages, drawn to be far apart."""
     rng = np.random.default_rng(seed)
@@ -135,17 +141,20 @@ def sample(known: DataFrame, most: int) -> DataFrame:
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if sum(counts.values()) <= most:
         return known.select("lang", "text")
-    bounds = [(lang, (1 << 40) * n // counts[lang]) for lang, n in shares(counts, most).items()]
+    bounds = [(lang, STEPS * n // counts[lang]) for lang, n in shares(counts, most).items()]
     rows = known.join(F.broadcast(spark.createDataFrame(bounds, "lang string, bound long")), "lang")
-    rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) < F.col("bound")).select("lang", "text")
+    rows = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 2) < F.col("bound")).select("lang", "text")
     missed = sorted(set(counts) - {r["lang"] for r in rows.select("lang").distinct().collect()})
     if missed:  # by chance, or as its rows share one id
         rows = rows.unionByName(known.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min("text").alias("text")))
     return rows
 
 
-def train(docs: DataFrame, keep: Column) -> CodeModel | None:
-    """Fits the model on documents with a language for which `keep` (of doc_id) holds; every language among them is learnt."""
+def train(docs: DataFrame, keep: Column, most: int | None = None) -> CodeModel | None:
+    """Fits the model on documents with a language for which `keep` (of doc_id) holds; every language among them is learnt.
+
+    most: texts in the sample for the fit, MOST_TEXTS if not given (LEAST_TEXTS of every language that has them, even beyond that).
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +165,7 @@ def train(docs: DataFrame, keep: Column) -> CodeModel | None:
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).where(keep)
-    rows = sample(known, MOST_TEXTS).mapInArrow(run, "lang string, x binary").toArrow()
+    rows = sample(known, MOST_TEXTS if most is None else most).mapInArrow(run, "lang string, x binary").toArrow()
     if not rows.num_rows:
         return None
     return fit(np.array([np.frombuffer(x.as_py(), dtype=np.float16) for x in rows["x"]]).astype(np.float32), rows["lang"].to_pylist())
@@ -170,7 +179,7 @@ def predict(docs: DataFrame, model: CodeModel | None) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 texts = batch.column("text").slice(k, 256).to_pylist()
-                there = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+                there = [i for i, t in enumerate(texts) if model and has_letter(t)]
                 lang, score, odd = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
                 if there:
                     for i, b, s, a in zip(there, *model.decode(_matrix([texts[i] for i in there])), strict=True):

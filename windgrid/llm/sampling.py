@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 1_000_000
+#: Hash values are compared in this many steps, so that the bound for few of very many rows is no zero.
+STEPS = 1 << 62
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -16,9 +17,14 @@ def fold(doc_id: Column, folds: int) -> Column:
 def bounded(rows: DataFrame, key: str, most: int, count: int | None = None) -> DataFrame:
     """About `most` rows of more, chosen by a hash of `key`; all rows if there are no more than that."""
     count = rows.count() if count is None else count
+    return rows if count <= most else rows.where(picked(F.col(key), most, count))
+
+
+def picked(key: Column, most: int, count: int) -> Column:
+    """True for about `most` of `count` rows, whatever their number, by a hash of `key`; for all if there are no more."""
     if count <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(PARTS)) < PARTS * most // count)
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key), 2) < F.lit(STEPS * most // count).cast("long")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int) -> DataFrame:

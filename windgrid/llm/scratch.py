@@ -21,7 +21,11 @@ BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small in this session, unless it has set its own size, and sends the package to workers."""
+    """Keeps Arrow batches small in this session, unless it has set its own size, and sends the package to workers.
+
+    The setting stays for later queries of the session: a plan reads it when it runs, which is after the
+    operator has returned it.
+    """
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -36,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="windgrid-")
     spark.sparkContext.setCheckpointDir(folder)
     spark.conf.set("spark.checkpoint.dir", folder)
