@@ -16,6 +16,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     A round aggregates one row per node, so hubs are no hot spots.
     """
     edges = scratch.save(links.select("a", "b").where("a <> b").distinct(), f"{name}_edges_0")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     owner = scratch.save(nodes.select("node", F.col("node").alias("comp")), f"{name}_owner_0")
     k = 0

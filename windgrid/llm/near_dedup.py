@@ -20,17 +20,19 @@ common, and confirmed links merge. What still holds several components is settle
 - Lists of up to `SHORT` members are compared pair by pair, across components.
 - Members of longer lists are posted again under runs of (mostly) `RUN` values that follow one another in a
   sketch, which documents that merely share a passage seldom have in common; short lists are compared.
-- The long lists of runs are crowds of versions of one text. A member x is posted by its difference D to
-  a common pivot (what it has beyond the pivot, then what it lacks), since x and y differ by as much as
-  their D do. Sets that are similar differ by at most T = (n_x + n_y) * (1 - J) / (1 + J). So their D share at
-  least (|D_x| + |D_y| - T) / 2 values, one of them among the first T + 1 of both with enough left
-  behind it (prefix and position filter); if that bound is below one, both are near the pivot and meet
-  under a key of their own. That is exact, and versions that strayed apart share little of their D.
+- The long lists of runs are crowds of versions of one text. Each member is held against a common pivot, and
+  those that are similar to it merge. Then a member x is posted by its difference D to the pivot (what one of
+  the two has and the other lacks), since x and y differ by as much as their D do. Sets that are similar differ
+  by at most T = (n_x + n_y) * (1 - J) / (1 + J). So their D share at least (|D_x| + |D_y| - T) / 2 values, one
+  of them among the first T + 1 of both with enough left behind it (prefix and position filter); if that bound
+  is below one, both are near the pivot and meet under a key of their own. That holds for any order of the
+  values; rare ones come first, by counts in a sketch of fixed size, so that few members meet under a value.
+  Where many do, only those outside the largest component among them go to several tasks.
 
 Defined cases: a null or empty text, or one of white space only, has an empty set and is linked with
-nothing; a null doc_id is no document of a group (component_id null, kept false); repeated rows are
-copies, of equal doc_id, and are all returned; an empty table gives no rows; other columns are not
-read.
+nothing; a null doc_id is no document of a group (component_id null, kept false); rows of equal doc_id are
+one document, whose set is all that its texts have, and are all returned, with the same values; an empty
+table gives no rows; other columns are not read. The order of the rows changes nothing.
 """
 
 from __future__ import annotations
@@ -101,6 +103,13 @@ class Shingler:
             out = _mix(out * MIX + codes[k : k + len(out)])
         return np.unique(out)
 
+    def batch(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The sets of rows of text and, for documents of several texts, more (the others)."""
+        more = batch.column("more").to_pylist() if "more" in batch.schema.names else [None] * batch.num_rows
+        for t, others in zip(batch.column("text").cast(pa.binary()), more, strict=True):
+            s = self(t.as_py())
+            yield np.unique(np.concatenate([s, *(self(x.encode("utf-8", "surrogatepass")) for x in others)])) if others else s
+
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.binary()), ("sketch", pa.binary()), ("parity", pa.binary())])
 SETS_SQL = "doc_id long, n long, print binary, keys binary, sketch binary, parity binary"
@@ -156,8 +165,7 @@ def _sets(width: int, percent: int):
         shingle, keys = Shingler(width), keys_for(percent)
         for batch in batches:
             rows = []
-            for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                s = shingle(t.as_py())
+            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle.batch(batch), strict=True):
                 rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, s[:keys].tobytes(), (s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), parity(s)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), SETS.types, strict=True)], schema=SETS)
@@ -222,7 +230,7 @@ def _full(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
-            sets = [shingle(t.as_py()).tobytes() for t in batch.column("text").cast(pa.binary())]
+            sets = [s.tobytes() for s in shingle.batch(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "s"])
 
     ids = ids.distinct()
@@ -332,26 +340,60 @@ def _compare(group: list[tuple], least: np.ndarray, percent: int) -> tuple[np.nd
 
 #: The key under which a pivot's nearest versions meet.
 NEAR = -1
+#: Counters of the sketch that orders values by how common they are in the crowds (4 bytes each, sent to every task).
+COUNTERS = 1 << 18
+
+DIFFERENCE = "pivot long, rep long, n long, similar boolean, apart binary, parity binary"
 
 
 def _differences(percent: int):
-    """a, b (pivot), both full sets -> pivot, value, rep, n, d, place for the first values of a's difference to b."""
-    schema = pa.schema([*((c, pa.int64()) for c in ("pivot", "value", "rep", "n", "d", "place")), ("parity", pa.binary())])
+    """a, b (pivot), both full sets -> a's difference to b, and whether the two are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            rows = []
             for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "sa", "sb")), strict=True):
                 s, p = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                beyond, lacking = np.setdiff1d(s, p, assume_unique=True), np.setdiff1d(p, s, assume_unique=True)
-                n, d = len(s), len(beyond) + len(lacking)
-                most = most_apart(n + 100 * n // percent, percent)  # T for the largest partner
-                first = np.concatenate([beyond, lacking])[: most + 1].view(np.int64)
-                k = len(first)
+                apart = np.setxor1d(s, p, assume_unique=True)
+                both = (len(s) + len(p) - len(apart)) // 2
+                rows.append((b.as_py(), a.as_py(), len(s), 100 * both >= percent * (len(s) + len(p) - both), apart.tobytes(), parity(s)))
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in DIFFERENCE.split(", ")])
+
+    return run
+
+
+def _counter(pivot: int, values: np.ndarray) -> np.ndarray:
+    """Places in the sketch for values of one pivot's differences."""
+    return (_mix(values ^ np.uint64(pivot & (1 << 64) - 1)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pivot, apart -> place, n: how many values fall on each counter."""
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for pivot, x in zip(batch.column("pivot").to_pylist(), batch.column("apart"), strict=True):
+            np.add.at(total, _counter(pivot, np.frombuffer(x.as_py(), dtype=np.uint64)), 1)
+    there = np.nonzero(total)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["place", "n"])
+
+
+def _prefixes(percent: int, common: np.ndarray):
+    """Differences -> pivot, value, rep, n, d, place for the first values of each, rare ones first."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("pivot", "value", "rep", "n", "d", "place")), ("parity", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for pivot, rep, n, x, odd in zip(*(batch.column(c).to_pylist() for c in ("pivot", "rep", "n", "apart", "parity")), strict=True):
+                values = np.frombuffer(x, dtype=np.uint64)
+                d, most = len(values), most_apart(n + 100 * n // percent, percent)  # T for the largest partner
+                first = values[np.lexsort((values, common[_counter(pivot, values)]))][: most + 1].view(np.int64)
                 near = d <= most
                 values = np.append(first, np.full(int(near), NEAR, dtype=np.int64))
-                places = np.append(np.arange(k), np.zeros(int(near), dtype=np.int64))
-                parts.append([np.full(len(values), b.as_py()), values, np.full(len(values), a.as_py()), np.full(len(values), n), np.full(len(values), d), places, [parity(s)] * len(values)])
+                places = np.append(np.arange(len(first)), np.zeros(int(near), dtype=np.int64))
+                parts.append([np.full(len(values), pivot), values, np.full(len(values), rep), np.full(len(values), n), np.full(len(values), d), places, [odd] * len(values)])
             if parts:
                 *numbers, cells = zip(*parts, strict=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)) for c in numbers), pa.array([x for c in cells for x in c], pa.binary())], schema=schema)
@@ -359,54 +401,85 @@ def _differences(percent: int):
     return run
 
 
-def _prefixes(percent: int):
-    """Sorted rows (pivot, value, i, j, own, rep, n, d, place, comp, parity) -> pairs that can still be similar."""
-
-    def compare(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        own, rep, n, d, place, comp = (np.array([x[c] for x in group], dtype=np.int64) for c in range(4, 10))
-        across, near = group[0][2] != group[0][3], group[0][1] == NEAR
-        # the members of the largest component are only met by others
-        names, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        rest = np.nonzero(inverse != counts.argmax())[0]
-        left, odd, a, b = d - place, _parities([x[10] for x in group]), [], []
-        for k in rest:
-            most = most_apart(n[k] + n, percent)
-            shared = -(-(d[k] + d - most) // 2)  # values that both differences must have
-            fits = (shared <= 0 if near else (shared > 0) & (np.minimum(left[k], left) >= shared)) & (comp != comp[k])
-            if across:
-                fits &= own != own[k]
-            m = np.nonzero(fits)[0]
-            m = m[np.bitwise_count(odd[m] ^ odd[k]).sum(axis=1) <= most[m]]
-            a.append(np.full(len(m), rep[k]))
-            b.append(rep[m])
-        return np.concatenate(a), np.concatenate(b)
+def _meetings(percent: int):
+    """Sorted rows (pivot, value, block, asks, rep, n, d, place, comp, main, parity) -> pairs that can still be similar.
+
+    The rows of a block that do not ask are held, about BLOCK of them; those that ask pass by, one at a time.
+    """
+
+    class Held:
+        def __init__(self, rows: list[tuple]):
+            self.rep, self.n, self.d, place, self.comp, main = (np.array([x[c] for x in rows], dtype=np.int64) for c in range(4, 10))
+            self.left, self.minor, self.odd = self.d - place, self.comp != main, _parities([x[10] for x in rows])
+
+        def meets(self, row: tuple) -> np.ndarray:
+            _, value, _, _, rep, n, d, place, comp, _, odd = row
+            most = most_apart(n + self.n, percent)
+            shared = -(-(d + self.d - most) // 2)  # values that both differences must have
+            fits = shared <= 0 if value == NEAR else (shared > 0) & (np.minimum(d - place, self.left) >= shared)
+            m = np.nonzero(fits & (self.comp != comp) & (~self.minor | (self.rep > rep)))[0]  # two that both ask meet once
+            return self.rep[m[np.bitwise_count(self.odd[m] ^ _parities([odd])).sum(axis=1) <= most[m]]]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cell, rows, held = None, [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != cell:
+                    cell, rows, held = row[:3], [], None
+                if not row[3]:
+                    rows.append(row)
+                elif rows:
+                    held = held or Held(rows)
+                    other = held.meets(row)
+                    yield np.full(len(other), row[4]), other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _pairs(compare(g) for g in _groups(batches, 4) if len({x[9] for x in g}) > 1)
+        few: list[tuple[np.ndarray, np.ndarray]] = []
+        for pair in found(batches):
+            if len(pair[0]):
+                few.append(pair)
+            if sum(len(x) for x, _ in few[-1:]) > 4096 or len(few) >= 1024:
+                yield from _pairs([tuple(map(np.concatenate, zip(*few, strict=True)))])
+                few = []
+        if few:
+            yield from _pairs([tuple(map(np.concatenate, zip(*few, strict=True)))])
 
     return run
 
 
 class _Search:
-    """One run over the representatives: their lists, the links found so far and the components these make."""
+    """One run over the representatives: their lists and the components that the links found so far make."""
 
     def __init__(self, scratch: Scratch, texts: DataFrame, reps: DataFrame, width: int, percent: int):
         self.scratch, self.texts, self.reps, self.width, self.percent = scratch, texts, reps, width, percent
-        self.links: DataFrame | None = None
         self.tables = 0
-        self.labels = scratch.spark.createDataFrame([], "node long, comp long")
+        self.labels: DataFrame | None = None  # node, comp of what is linked; a component has the name of one of its nodes
 
-    def with_comp(self, df: DataFrame) -> DataFrame:
-        return df.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    def with_comp(self, df: DataFrame, of: str = "rep", name: str = "comp") -> DataFrame:
+        if self.labels is None:
+            return df.withColumn(name, F.col(of))
+        return df.join(self.labels.select(F.col("node").alias(of), F.col("comp").alias("__comp")), of, "left").withColumn(name, F.coalesce("__comp", of)).drop("__comp")
 
     def merge(self, pairs: DataFrame, step: str) -> None:
-        """Confirms pairs (a, b) that the estimate passes, adds them to the links and finds the components anew."""
+        """Confirms pairs (a, b) that the estimate passes, and merges what they link."""
         side = lambda c: self.reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"), F.col("parity").alias(f"p{c}"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_passing(self.percent), "a long, b long")
         likely = self.scratch.save(likely, f"likely_{step}")
-        new = self.scratch.save(_confirmed(self.texts, likely, self.width, self.percent), f"links_{step}")
-        self.links = new if self.links is None else self.links.unionByName(new)
-        self.labels = components(self.links, self.scratch, step)
+        if not likely.isEmpty():
+            self.link(self.scratch.save(_confirmed(self.texts, likely, self.width, self.percent), f"links_{step}"), step)
+        self.scratch.drop(f"likely_{step}", f"links_{step}")
+
+    def link(self, links: DataFrame, step: str) -> None:
+        """Merges the components of linked pairs (a, b): only what was apart is looked at."""
+        edges = self.with_comp(self.with_comp(links, "a", "x"), "b", "y").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = components(edges, self.scratch, step)
+        if joined.isEmpty():
+            return
+        if self.labels is None:
+            self.labels = joined
+            return
+        renamed = self.labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("__new")), "comp", "left").select("node", F.coalesce("__new", "comp").alias("comp"))
+        self.labels = self.scratch.save(renamed.unionByName(joined.join(self.labels.select("node"), "node", "left_anti")), f"labels_{step}")
 
     def pivot_round(self, lists: DataFrame, round_: int) -> None:
         """Links every list to its most common member, and later to the most common one of another component."""
@@ -414,14 +487,15 @@ class _Search:
         best = F.max(F.struct("fame", "rep", "n", "comp")).alias("p")
         if round_:
             first = self.scratch.save(state.groupBy("key").agg(best).select("key", F.col("p.comp").alias("done")), f"first_{round_}")
-            pivots = state.join(first, "key").where("comp <> done").groupBy("key").agg(best)
-        else:
-            pivots = state.groupBy("key").agg(best)
-        pivots = self.scratch.save(pivots, f"pivots_{round_}")
+            # written before they are aggregated by key again: the rows of a very common key are read by many tasks
+            state = self.scratch.save(state.join(first, "key").where("comp <> done").drop("done"), f"others_{round_}")
+            if state.isEmpty():
+                return
+        pivots = self.scratch.save(state.groupBy("key").agg(best), f"pivots_{round_}")
         fits = (F.col("n") * 100 >= F.col("p.n") * self.percent) & (F.col("p.n") * 100 >= F.col("n") * self.percent)
         pairs = state.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & fits)
         self.merge(pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct(), f"pivot_{round_}")
-        self.scratch.drop(f"state_{round_}")
+        self.scratch.drop(f"state_{round_}", f"others_{round_}")
 
     def mixed(self, lists: DataFrame) -> DataFrame:
         """lists (key, rep, ...) of more than one component, with comp and the size m."""
@@ -433,36 +507,74 @@ class _Search:
     def rest(self, lists: DataFrame) -> None:
         """All pairs that are still open: short lists, short lists of runs, crowds."""
         open_ = self.scratch.save(self.mixed(lists.select("key", "rep")), "open")
-        long_ = open_.where(F.col("m") > SHORT).select("rep").distinct().join(self.reps.select("rep", "sketch"), "rep")
-        runs = self.mixed(self.scratch.save(long_.mapInArrow(_runs(self.percent), "rep long, key long").distinct(), "runs"))
-        runs = self.scratch.save(runs.select("key", "rep", "comp", "m"), "open_runs")
-        short = open_.where(F.col("m") <= SHORT).select("key", "rep", "comp").unionByName(runs.where(F.col("m") <= SHORT).select("key", "rep", "comp"))
+        if open_.isEmpty():
+            return
+        short, long_ = open_.where(F.col("m") <= SHORT).select("key", "rep", "comp"), open_.where(F.col("m") > SHORT)
+        crowd = None
+        if not long_.isEmpty():
+            long_ = long_.select("rep").distinct().join(self.reps.select("rep", "sketch"), "rep")
+            runs = self.mixed(self.scratch.save(long_.mapInArrow(_runs(self.percent), "rep long, key long").distinct(), "runs"))
+            runs = self.scratch.save(runs.select("key", "rep", "comp", "m"), "open_runs")
+            short = short.unionByName(runs.where(F.col("m") <= SHORT).select("key", "rep", "comp"))
+            crowd = runs.where(F.col("m") > SHORT).select("key", "rep", "m")
         short = short.join(self.reps.select("rep", "n", "sketch", "parity"), "rep").select("key", "rep", "n", "comp", "sketch", "parity")
         near = short.repartition("key").sortWithinPartitions("key").mapInArrow(_short(self.percent), "a long, b long")
-        near = self.scratch.save(near.distinct(), "near")
+        self.merge(self.scratch.save(near.distinct(), "near"), "near")
+        if crowd is not None and not crowd.isEmpty():
+            self.crowds(crowd)
+        self.scratch.drop("open", "runs", "open_runs", "near")
+
+    def crowds(self, crowd: DataFrame) -> None:
+        """All pairs that are still open among the members (key, rep, m) of long lists of runs."""
         # one pivot for a crowd: the most common member (by its crowds) that any member has in any of its crowds
-        crowd = runs.where(F.col("m") > SHORT).select("key", "rep", "m")
-        crowd = crowd.join(crowd.groupBy("rep").agg(F.sum("m").alias("fame")), "rep").drop("m")
-        best = crowd.groupBy("key").agg(F.max(F.struct("fame", "rep")).alias("p"))
+        crowd = self.scratch.save(crowd.join(crowd.groupBy("rep").agg(F.sum("m").alias("fame")), "rep").select("key", "rep", "fame"), "crowd")
+        best = self.scratch.save(crowd.groupBy("key").agg(F.max(F.struct("fame", "rep")).alias("p")), "crowd_best")
         own = crowd.join(best, "key").groupBy("rep").agg(F.max("p").alias("p"))
-        chosen = crowd.select("key", "rep").join(own, "rep").groupBy("key").agg(F.max("p").alias("p"))
+        chosen = self.scratch.save(crowd.select("key", "rep").join(own, "rep").groupBy("key").agg(F.max("p").alias("p")), "crowd_pivots")
         asked = self.scratch.save(crowd.join(chosen, "key").select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).distinct(), "asked")
         sets = _full(self.texts, asked.select(F.col("a").alias("doc_id")).union(asked.select("b")), self.width)
         sets = self.scratch.save(sets, "crowd_sets")
         sets_a, sets_b = (sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-        first = asked.join(sets_a, "a").join(sets_b, "b").select("a", "b", "sa", "sb").mapInArrow(_differences(self.percent), "pivot long, value long, rep long, n long, d long, place long, parity binary")
-        first = self.with_comp(self.scratch.save(first, "first"))
-        sizes = first.groupBy("pivot", "value").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("pivot", "value", "m")
-        sizes = self.scratch.save(sizes, "first_sizes")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        cells = first.join(sizes, ["pivot", "value"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        one = cells.where("blocks = 1").withColumn("other", F.lit(0))
-        more = cells.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        cells = one.unionByName(more).select("pivot", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "d", "place", "comp", "parity")
-        cells = cells.repartition("pivot", "value", "i", "j").sortWithinPartitions("pivot", "value", "i", "j")
-        far = cells.mapInArrow(_prefixes(self.percent), "a long, b long")
-        self.merge(near.unionByName(far).distinct(), "rest")
-        self.scratch.drop("open", "runs", "open_runs", "near", "asked", "crowd_sets", "first")
+        apart = asked.join(sets_a, "a").join(sets_b, "b").select("a", "b", "sa", "sb").mapInArrow(_differences(self.percent), DIFFERENCE)
+        apart = self.scratch.save(apart, "apart")
+        self.link(apart.where("similar and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "crowd")
+        # crowds that are one component by now are done
+        open_ = self.with_comp(apart.select("pivot", "rep")).groupBy("pivot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("pivot")
+        open_ = self.scratch.save(open_, "open_crowds")
+        if open_.isEmpty():
+            return
+        apart = apart.join(open_, "pivot", "left_semi")
+        common = np.zeros(COUNTERS, dtype=np.uint32)
+        counted = apart.select("pivot", "apart").mapInArrow(_common, "place int, n long").groupBy("place").agg(F.least(F.sum("n"), F.lit(2**31)).alias("n")).toArrow()
+        common[counted["place"].to_numpy()] = counted["n"].to_numpy()
+        first = apart.select("pivot", "rep", "n", "apart", "parity").mapInArrow(_prefixes(self.percent, common), "pivot long, value long, rep long, n long, d long, place long, parity binary")
+        first = self.scratch.save(self.with_comp(first), "first")
+        by_comp = first.groupBy("pivot", "value", "comp").agg(F.count("*").alias("k"))
+        cells = by_comp.groupBy("pivot", "value").agg(F.sum("k").alias("m"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("main")).where("comps > 1")
+        cells = self.scratch.save(cells.select("pivot", "value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.col("main.comp").alias("main")), "cells")
+        rows = first.join(cells, ["pivot", "value"])
+        base = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(0))
+        asking = rows.where("comp <> main").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("asks", F.lit(1))
+        met = base.unionByName(asking).select("pivot", "value", "block", "asks", "rep", "n", "d", "place", "comp", "main", "parity")
+        far = met.repartition("pivot", "value", "block").sortWithinPartitions("pivot", "value", "block", "asks").mapInArrow(_meetings(self.percent), "a long, b long")
+        self.merge(far.distinct(), "far")
+        self.scratch.drop("crowd", "asked", "crowd_sets", "apart", "first")
+
+
+def _one_set_each(docs: DataFrame, sets: DataFrame, scratch: Scratch, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Texts by doc_id and sets of all rows, where rows of one doc_id with different texts have their common set."""
+    known = sets.where("doc_id is not null").select("doc_id", F.coalesce(F.xxhash64("print"), F.lit(0)).alias("p"))
+    several = known.groupBy("doc_id").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("doc_id")
+    several = scratch.save(several, "several")
+    texts = docs.where("doc_id is not null").withColumn("more", F.lit(None).cast("array<string>"))
+    if several.isEmpty():
+        return texts, sets
+    joint = docs.join(several, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("text")).alias("more"))
+    joint = scratch.save(joint.select("doc_id", F.lit(None).cast("string").alias("text"), "more"), "joint")
+    common = scratch.save(joint.mapInArrow(_sets(width, percent), SETS_SQL), "joint_sets")
+    rows = sets.select("doc_id").join(common, "doc_id").select(*sets.columns)
+    sets = scratch.save(sets.join(several, "doc_id", "left_anti").unionByName(rows), "whole_sets")
+    return texts.join(several, "doc_id", "left_anti").unionByName(joint), sets
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -471,6 +583,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = scratch.save(docs.mapInArrow(_sets(width, percent), SETS_SQL), "sets")
+    texts, sets = _one_set_each(docs, sets, scratch, width, percent)
     known = sets.where("doc_id is not null and print is not null")
     reps = known.groupBy("print").agg(F.min(F.struct("doc_id", "n", "keys", "sketch", "parity")).alias("x"))
     reps = scratch.save(reps.select("print", F.col("x.doc_id").alias("rep"), "x.n", "x.keys", "x.sketch", "x.parity"), "reps")
@@ -478,20 +591,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # what is counted per key is written before it meets the rows again: then both sides of the join are plain
     # shuffles, and the rows of a very common key are split over several tasks
     sizes = scratch.save(posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    lists = scratch.save(posted.join(sizes, "key"), "lists")
-    # a member's fame: the logarithms of its lists' lengths, so that one very long list does not make it
-    fame = lists.groupBy("rep").agg(F.round(F.sum(F.ln("m")), 6).alias("fame"))
-    lists = scratch.save(lists.join(fame, "rep"), "famed")
-    scratch.drop("posted", "lists")
-
-    search = _Search(scratch, docs.where("doc_id is not null"), reps, width, percent)
-    for round_ in range(PIVOT_ROUNDS):
-        search.pivot_round(lists, round_)
-    search.rest(lists)
-
-    least = search.labels.groupBy("comp").agg(F.min("node").alias("component_id"))
-    named = search.labels.join(least, "comp").select(F.col("node").alias("rep"), "component_id")
-    named = reps.select("print", "rep").join(named, "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
+    search = _Search(scratch, texts, reps, width, percent)
+    if not sizes.isEmpty():
+        lists = scratch.save(posted.join(sizes, "key"), "lists")
+        # a member's fame: the logarithms of its lists' lengths, so that one very long list does not make it
+        fame = lists.groupBy("rep").agg(F.round(F.sum(F.ln("m")), 6).alias("fame"))
+        lists = scratch.save(lists.join(fame, "rep"), "famed")
+        scratch.drop("posted", "lists")
+        for round_ in range(PIVOT_ROUNDS):
+            search.pivot_round(lists, round_)
+        search.rest(lists)
+        scratch.drop("famed")
+
+    named = reps.select("print", "rep").withColumn("component_id", F.col("rep"))
+    if search.labels is not None:
+        least = search.labels.groupBy("comp").agg(F.min("node").alias("component_id"))
+        of_node = search.labels.join(least, "comp").select(F.col("node").alias("rep"), "component_id")
+        named = reps.select("print", "rep").join(of_node, "rep", "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
+    named = named.select("print", "component_id")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "print").join(named, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
@@ -500,7 +617,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with the columns that docs has: that of the smallest doc_id.
 
-    Of repeated rows (equal doc_id) one stays, the smallest of equal ones; rows without a doc_id stay.
+    Of rows of equal doc_id one stays, the first by its text, then by the whole row as JSON; rows without a
+    doc_id stay.
     """
     scratch = Scratch(docs.sparkSession, "unique")
     found = near_duplicates(docs, width, percent).where("doc_id is not null")
@@ -513,7 +631,10 @@ def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     single = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
     if again.isEmpty():
         return single
-    return single.unionByName(docs.join(F.broadcast(again) if small else again, key, "left_semi").dropDuplicates(["doc_id"]))
+    own = docs.join(F.broadcast(again) if small else again, key, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = own.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias(name))
+    return single.unionByName(first.select(f"{name}.*"))
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
