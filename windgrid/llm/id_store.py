@@ -4,22 +4,25 @@ Layout below one folder, all Parquet:
 
 ``packs``  one row per document, files in ascending doc_id order: the recipe (hashes and token counts of
            its chunks), the chunks found nowhere else (little-endian unsigned 16-bit ids, or 32-bit for
-           vocabularies that need them, zstd), and the document's Merkle leaf.
+           vocabularies that need them, zstd), and the document's Merkle leaf, of its doc_id, token count and recipe.
 ``shared`` one row per chunk that occurs more than once, named by its hash.
 ``manifest`` one row per pack: its documents and tokens, and the Merkle root of its leaves.
+``root``   one row: all documents, tokens and packs, and the root over the roots of the packs, FAN at a time.
 
 A chunk ends where a rolling hash of the last WINDOW ids has its low bits zero, so equal passages give
-equal chunks wherever they stand. ``read`` puts the documents together again and fails on any chunk,
-leaf or root that is not what its name says.
+equal chunks wherever they stand. A pack ends at PACK_TOKENS ids or PACK_ROWS documents. ``read`` puts the
+documents together again and fails on any chunk, leaf or root that is not what its name says, and on a pack
+that is missing.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids sort first and stay null; repeated
-rows are stored as documents of their own (their chunks once); an empty table gives an empty store;
-other columns are not read.
+rows are stored as documents of their own (their chunks once); an id too large for the store's width is an
+error; an empty table gives an empty store, whose root is that of nothing; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,8 +39,10 @@ WINDOW, SMALLEST, LARGEST = 8, 128, 4096
 #: A boundary in about 2 ** CUT_BITS ids.
 CUT_BITS = 9
 NAME = 16
-#: Packs are about this many documents; there is one manifest row for each.
-PACK_ROWS = 16_000
+#: A pack is closed at that many ids or documents; there is one manifest row for each.
+PACK_TOKENS, PACK_ROWS = 4 << 20, 16_000
+#: Roots that one node of the tree over the packs joins.
+FAN = 1024
 #: The packs' starts are sent to every executor up to this many packs (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
 
@@ -78,8 +83,9 @@ def chunk_name(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=NAME).digest()
 
 
-def leaf(names: bytes, n_tokens: int) -> bytes:
-    return hashlib.sha256(b"\0" + n_tokens.to_bytes(8, "little") + names).digest()
+def leaf(doc_id: int | None, names: bytes, n_tokens: int) -> bytes:
+    own = b"\0" if doc_id is None else b"\1" + doc_id.to_bytes(8, "little", signed=True)
+    return hashlib.sha256(b"\0" + own + n_tokens.to_bytes(8, "little") + names).digest()
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -105,6 +111,8 @@ def _stage(encoder: Callable[[], Callable], dtype: str):
             for at in range(0, len(docs), 128):
                 rows = []
                 for doc, ids in zip(docs[at : at + 128], encode(texts.slice(at, 128).to_pylist()), strict=True):
+                    if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
+                        raise ValueError(f"document {doc}: an id does not fit into {dtype}")
                     raw, width = ids.astype(dtype).tobytes(), np.dtype(dtype).itemsize
                     ends = boundaries(ids)
                     names = b"".join(chunk_name(raw[width * a : width * b]) for a, b in zip([0, *ends], ends, strict=False))
@@ -118,21 +126,31 @@ def _stage(encoder: Callable[[], Callable], dtype: str):
 def _split(dtype: str):
     """Documents with the places of their shared chunks, in order -> pack rows, shared chunks, manifest."""
 
-    schema = pa.schema([("kind", pa.string()), ("pack", pa.int64()), ("place", pa.int64()), ("begin", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("names", pa.binary()), ("sizes", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("payload", pa.binary())])
+    schema = pa.schema([("kind", pa.string()), ("pack", pa.int64()), ("place", pa.int64()), ("begin", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("names", pa.binary()), ("sizes", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("payload", pa.binary()), ("leaf", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze, open_ = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-        width, pack = np.dtype(dtype).itemsize, TaskContext.get().partitionId()
+        width, pack = np.dtype(dtype).itemsize, TaskContext.get().partitionId() << 24
         leaves: list[bytes] = []
         total, places = 0, None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        def summary() -> tuple:
+            return ("manifest", pack, len(leaves), None, None, total, merkle_root(leaves), None, None, None, None)
+
         for batch in batches:
             rows = []
             for doc, row, n, names, sizes, ids, at, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "n_tokens", "names", "sizes", "ids", "at", "own")), strict=True):
                 if ids is None:  # the places of the document that follows
                     places = (row, at, own)
                     continue
+                if leaves and (total + n > PACK_TOKENS or len(leaves) >= PACK_ROWS):
+                    rows.append(summary())
+                    pack, leaves, total = pack + 1, [], 0
                 shared, mine = (places[1], set(places[2])) if places and places[0] == row else ([], set())
                 if shared:
                     raw, private, low = open_(ids, max_output_size=width * n), [], 0
@@ -143,21 +161,23 @@ def _split(dtype: str):
                         if k not in held:
                             private.append(part)
                         elif k in mine:
-                            rows.append(("shared", pack, None, None, None, size, names[NAME * k : NAME * (k + 1)], None, None, squeeze(part)))
+                            rows.append(("shared", pack, None, None, None, size, names[NAME * k : NAME * (k + 1)], None, None, squeeze(part), None))
                     ids = squeeze(b"".join(private))
-                rows.append(("packs", pack, len(leaves), total, doc, n, names, sizes, sorted(shared), ids))
-                leaves.append(leaf(names, n))
+                leaves.append(leaf(doc, names, n))
+                rows.append(("packs", pack, len(leaves) - 1, total, doc, n, names, sizes, sorted(shared), ids, leaves[-1]))
                 total += n
             for k in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 1000], strict=True), schema.types, strict=True)], schema=schema)
+                yield out(rows[k : k + 1000])
         if leaves:
-            last = [("manifest", pack, len(leaves), None, None, total, merkle_root(leaves), None, None, None)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*last, strict=True), schema.types, strict=True)], schema=schema)
+            yield out([summary()])
 
     return run
 
 
-STORED = "kind string, pack long, place long, begin long, doc_id long, n_tokens long, names binary, sizes array<int>, shared array<int>, payload binary"
+STORED = "kind string, pack long, place long, begin long, doc_id long, n_tokens long, names binary, sizes array<int>, shared array<int>, payload binary, leaf binary"
+
+
+ROOT = "documents long, n_tokens long, packs long, root binary"
 
 
 class IdStore:
@@ -182,9 +202,11 @@ class IdStore:
         both = staged.select("*", none("array<int>").alias("at"), none("array<int>").alias("own")).unionByName(
             found.select("doc_id", "row", none("long").alias("n_tokens"), none("binary").alias("names"), none("array<int>").alias("sizes"), none("binary").alias("ids"), "at", "own")
         )
-        packs = max(1, -(-staged.count() // PACK_ROWS), self.spark.sparkContext.defaultParallelism * 2)
+        size = staged.agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")).first()
+        packs = max(1, -(-size["rows"] // PACK_ROWS), -(-(size["tokens"] or 0) // PACK_TOKENS), self.spark.sparkContext.defaultParallelism * 2)
         order = both.repartitionByRange(packs, F.col("doc_id").asc_nulls_first(), F.col("row")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row", F.col("ids").isNotNull())
         order.mapInArrow(_split(self.dtype), STORED).write.option("compression", "zstd").partitionBy("kind").parquet(self.scratch.path("store"))
+        self.scratch.save(self._top(), "root")
         self.scratch.drop("staged", "twice", "found")
 
     def _stored(self, kind: str) -> DataFrame:
@@ -196,6 +218,24 @@ class IdStore:
         before = Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)  # one row per pack
         return rows.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
+    def _top(self) -> DataFrame:
+        """documents, n_tokens, packs, root of the manifest as it is; a level of the tree is a job."""
+        size = self.manifest().agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.count("*").alias("packs"))
+        level = self.manifest().select((F.row_number().over(Window.orderBy("pack")) - 1).alias("i"), "root")  # one row per pack
+        n, k = level.count(), 0
+        while n > 1:
+            parts = F.transform(F.array_sort(F.collect_list(F.struct("i", "root"))), lambda x: x["root"])
+            joined = level.groupBy(F.expr(f"i div {FAN}").alias("i")).agg(F.aggregate(parts, F.expr("X'02'"), lambda a, x: F.concat(a, x)).alias("all"))
+            level = self.scratch.save(joined.select("i", F.unhex(F.sha2("all", 256)).alias("root")), f"root_{uuid.uuid4().hex}_{k}")
+            n, k = -(-n // FAN), k + 1
+        top = level.first()
+        return size.withColumn("root", F.lit(bytes(top["root"]) if top else merkle_root([])))
+
+    def root(self) -> tuple[int, int, int, str]:
+        """Documents, tokens, packs and the root, as they were when the store was written."""
+        got = self.scratch.read("root", self.spark.createDataFrame([], ROOT)).first()
+        return got["documents"], got["n_tokens"], got["packs"], bytes(got["root"]).hex()
+
     def read(self, verify: bool = True) -> DataFrame:
         """doc_id, pack, begin (its offset in the pack), n_tokens, ids (little-endian unsigned 32-bit), put together from the files."""
         packs = self._stored("packs").drop("kind")
@@ -211,25 +251,29 @@ class IdStore:
         return plain.unionByName(whole).mapInArrow(_join(self.dtype), "doc_id long, pack long, begin long, n_tokens long, ids binary")
 
     def verify(self) -> None:
-        """Fails unless every pack's leaves give the root in the manifest."""
+        """Fails unless every document gives its leaf, every pack's leaves its root, and the packs' roots the store's."""
 
         def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pack, leaves, out = None, [], []
             for batch in batches:
-                for p, names, n in zip(*(batch.column(c).to_pylist() for c in ("pack", "names", "n_tokens")), strict=True):
+                for p, doc, names, n, said in zip(*(batch.column(c).to_pylist() for c in ("pack", "doc_id", "names", "n_tokens", "leaf")), strict=True):
                     if p != pack and leaves:
                         out.append((pack, merkle_root(leaves)))
                         leaves = []
                     pack = p
-                    leaves.append(leaf(names, n))
+                    own = leaf(doc, names, n)
+                    leaves.append(own if own == said else b"")  # a wrong leaf gives a wrong root
             if leaves:
                 out.append((pack, merkle_root(leaves)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["pack", "got"])
 
-        got = self._stored("packs").select("pack", "place", "names", "n_tokens").repartition("pack").sortWithinPartitions("pack", "place").mapInArrow(roots, "pack long, got binary")
+        got = self._stored("packs").select("pack", "place", "doc_id", "names", "n_tokens", "leaf").repartition("pack").sortWithinPartitions("pack", "place").mapInArrow(roots, "pack long, got binary")
         bad = self.manifest().join(got, "pack", "full").where("not (root <=> got)")
         if not bad.isEmpty():
             raise ValueError("a pack's documents do not give the root in its manifest")
+        now = self._top().first()
+        if (now["documents"], now["n_tokens"], now["packs"], bytes(now["root"]).hex()) != self.root():
+            raise ValueError("the packs do not give the root of the store")
 
 
 def _join(dtype: str):
