@@ -6,6 +6,14 @@ length, so the search works on that histogram (at most ``capacity`` entries, wha
 corpus). Its answer is a list of filling patterns with multiplicities. A piece finds its sequence
 from its rank among the pieces of its length, so that no task ever holds more than its own pieces.
 
+Two searches run over the histogram. `bin_completion` commits one filling around the largest piece after
+another; that gives the incumbent. `branch` is the branch and bound: at each largest piece it goes on with
+each of its undominated fillings (of a dominated one, one or two pieces could be changed for a longer single
+piece that is there and fits), those with the least waste first, and drops a branch whose sequences so far
+and lower bound for the rest are no fewer than the incumbent's. It ends after `nodes` of them; within one
+filling's enumeration SEARCH_NODES end it. Both are parameters (None: no end, the packing is the least
+possible). `solve` says whether its packing is proved to be.
+
 Defined cases: a null or empty text is the end token alone; a null doc_id stays null; repeated rows
 are packed as separate documents; an empty table gives no rows; other columns are not read.
 """
@@ -16,6 +24,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,6 +37,8 @@ from windgrid.llm.scratch import Scratch
 CAPACITY = 1024
 #: Fillings looked at for one largest piece before its best filling so far is taken.
 SEARCH_NODES = 3_000
+#: Branches that the search over whole packings looks at, and fillings of one largest piece that it goes on with.
+BRANCHES, WIDTH = 400, 4
 #: Wastes of a sequence that a search accepts at once; one search for each.
 ACCEPTED = (0, 1, 2, 4, 6, 8, 10, 12, 16, 24)
 #: A lookup is sent to every executor up to this many rows (about 50 bytes each), and joined by a shuffle beyond.
@@ -129,15 +140,107 @@ def fewest_possible(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[Filling]:
-    """The best of the best-fit incumbent and of bin completions with several accepted wastes."""
+def dominated(parts: dict[int, int], largest: int, left: np.ndarray, free: int) -> bool:
+    """Whether a filling that leaves `free` could have a longer piece, there in `left`, in place of one or two others.
+
+    Whatever packing uses such a filling is no worse with the pieces changed over (Martello and Toth). The largest
+    piece itself stays. With nothing to change, a piece that fits into `free` as well dominates.
+    """
+    spare = left.copy()
+    for n, k in parts.items():
+        spare[n] -= k
+    own = dict(parts)
+    own[largest] -= 1
+    have = [n for n, k in own.items() if k]
+    groups = [0, *have, *(a + b for i, a in enumerate(have) for b in have[i:] if a != b or own[a] > 1)]
+    # a piece equal to the pair's sum changes two for one of the same size: that dominates too
+    return any(spare[max(1, g + (g in own)) : g + free + 1].any() for g in groups)
+
+
+def fillings(left: np.ndarray, largest: int, capacity: int, most: int | None = WIDTH, nodes: int | None = SEARCH_NODES) -> tuple[list[tuple[tuple[int, int], ...]], bool]:
+    """The `most` undominated fillings around a largest piece with the least waste, and whether these are all there are."""
+    room, out, whole = capacity - largest, [], True
+    rest = left.copy()
+    rest[largest] -= 1
+    lengths = [int(x) for x in np.nonzero(rest[: room + 1])[0][::-1]]
+    stack: list[tuple[int, int, tuple]] = [(0, room, ())]
+    seen = 0
+    while stack:
+        if nodes is not None and seen >= nodes:
+            whole = False
+            break
+        seen += 1
+        i, free, chosen = stack.pop()
+        while i < len(lengths) and lengths[i] > free:
+            i += 1
+        if i == len(lengths):
+            parts = dict(chosen)
+            parts[largest] = parts.get(largest, 0) + 1
+            if not dominated(parts, largest, left, free):
+                out.append((free, tuple(sorted(parts.items(), reverse=True))))
+            continue
+        n = lengths[i]
+        for k in range(min(free // n, int(rest[n])) + 1):
+            stack.append((i + 1, free - k * n, (*chosen, (n, k)) if k else chosen))
+    out.sort(key=lambda x: x[0])
+    if most is not None and len(out) > most:
+        out, whole = out[:most], False
+    return [p for _, p in out], whole
+
+
+def branch(counts: np.ndarray, capacity: int, incumbent: list[Filling], nodes: int | None = BRANCHES, most: int | None = WIDTH, within: int | None = SEARCH_NODES) -> tuple[list[Filling], bool]:
+    """The branch and bound over packings: the fewest sequences found, and whether there can be none with fewer.
+
+    A filling is tried as often as the counts allow and, where nothing is cut short, less often as well.
+    """
+    total = sum(f.times for f in incumbent)
+    least = fewest_possible(counts, capacity)
+    best, exact, seen = incumbent, True, 0
+    whole_search = nodes is None and most is None and within is None
+    stack: list[tuple[np.ndarray, int, tuple]] = [(counts.astype(np.int64), 0, ())]
+    while stack and total > least:
+        if nodes is not None and seen >= nodes:
+            exact = False
+            break
+        seen += 1
+        left, used, done = stack.pop()
+        there = np.nonzero(left)[0]
+        if not there.size:
+            if used < total:
+                total, best = used, list(done)
+            continue
+        if used + fewest_possible(left, capacity) >= total:
+            continue
+        largest = int(there[-1])
+        found, whole = fillings(left, largest, capacity, most, within)
+        if not found:  # all of them beyond the nodes: the plain completion
+            found, whole = [tuple(complete(left, largest, capacity))], False
+        exact &= whole
+        for parts in reversed(found):
+            often = max(1, min(int(left[n]) // k for n, k in parts))
+            exact &= whole_search or often == 1
+            for times in range(1, often + 1) if whole_search else (often,):
+                after = left.copy()
+                for n, k in parts:
+                    after[n] -= k * times
+                stack.append((after, used + times, (*done, Filling(times, parts))))
+    return best, exact or total == least
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int | None = BRANCHES, most: int | None = WIDTH, within: int | None = SEARCH_NODES) -> list[Filling]:
+    """The best of the best-fit incumbent, of bin completions with several accepted wastes, and of the branch and bound."""
+    return packing_of(counts, capacity, nodes, most, within)[0]
+
+
+def packing_of(counts: np.ndarray, capacity: int = CAPACITY, nodes: int | None = BRANCHES, most: int | None = WIDTH, within: int | None = SEARCH_NODES) -> tuple[list[Filling], bool]:
+    """A packing, and whether it is proved that none has fewer sequences."""
     total = lambda fillings: sum(f.times for f in fillings)
     best, least = best_fit_decreasing(counts, capacity), fewest_possible(counts, capacity)
     for enough in ACCEPTED:
         if total(best) == least:
-            break
+            return best, True
         best = min(best, bin_completion(counts, capacity, enough), key=total)
-    return best
+    return branch(counts, capacity, best, nodes, most, within)
 
 
 def places(fillings: list[Filling]) -> list[tuple[int, int, int, int, int, int]]:
@@ -202,17 +305,35 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable], capacity: int = CAPAC
     ranks = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     if per_task.count() <= BROADCAST_ROWS:
         ranks = F.broadcast(ranks)
-    found = places(solve(counts, capacity))  # a few rows for each length
-    slots = spark.createDataFrame(found or [(0, 0, 0, 0, 1, 0)], "length long, low long, high long, sequence long, k long, first long")
-    rank = F.col("place") + F.col("earlier")
-    ranked = pieces.join(ranks, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids", rank.alias("rank"))
-    placed = ranked.join(F.broadcast(slots), "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    nth = F.col("rank") - F.col("low")
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids",
-        (F.col("sequence") + F.expr("(rank - low) div k")).alias("sequence_id"),
-        (F.col("first") + F.pmod(nth, F.col("k")) * F.col("length")).alias("offset"),
-    )
+    slots = Slots(places(solve(counts, capacity)))
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("sequence_id", "offset"), slots(length.to_numpy(dtype=np.int64), rank.to_numpy(dtype=np.int64)), strict=True)))
+
+    # only lengths and ranks go to Python
+    ranked = pieces.join(ranks, ["length", "task"]).withColumn("at", place("length", F.col("place") + F.col("earlier")))
+    return ranked.select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset")
+
+
+class Slots:
+    """Sequence and offset of a piece from its length and its rank among the pieces of that length."""
+
+    def __init__(self, found: list[tuple[int, int, int, int, int, int]]):
+        rows = np.array(sorted(found), dtype=np.int64).reshape(-1, 6)
+        self.length, self.low, _, self.sequence, self.times, self.first = rows.T
+        self.begin = np.searchsorted(self.length, np.arange(int(self.length[-1]) + 2 if len(rows) else 1))  # where each length's rows begin
+
+    def __call__(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((2, len(length)), dtype=np.int64)
+        for n in np.unique(length).tolist():
+            own = np.nonzero(length == n)[0]
+            low, high = self.begin[n], self.begin[n + 1]
+            k = low + np.searchsorted(self.low[low:high], rank[own], side="right") - 1
+            nth = rank[own] - self.low[k]
+            out[0, own] = self.sequence[k] + nth // self.times[k]
+            out[1, own] = self.first[k] + nth % self.times[k] * n
+        return out[0], out[1]
 
 
 def sequences(packed: DataFrame) -> DataFrame:
