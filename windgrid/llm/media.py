@@ -7,7 +7,8 @@ as 8-bit mono sound and give them back.
 
 Defined cases: a null blob counts as empty; an empty or unknown blob has type application/octet-stream
 and no carvings; a magic number without the structure of its format is nothing; repeated rows are
-sniffed alike; an empty table gives no rows; columns besides those named are not read.
+sniffed alike; a null doc_id stays null; an empty table gives no rows; `sniffed` keeps all columns but those
+of its own names, the others read the columns named only.
 """
 
 from __future__ import annotations
@@ -94,12 +95,19 @@ def _gif(b: memoryview) -> int:
     return 0
 
 
+#: A marker in entropy-coded data that ends it: no stuffed zero, restart or fill byte.
+_JPEG_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
+
+
 def _jpeg(b: memoryview) -> int:
     at = 2
     while at + 2 <= len(b):
         if b[at] != 0xFF:
             return 0
         mark = b[at + 1]
+        if mark == 0xFF:  # fill bytes may come before any marker
+            at += 1
+            continue
         if mark == 0xD9:
             return at + 2
         if mark in (0x01, *range(0xD0, 0xD8)):
@@ -109,13 +117,11 @@ def _jpeg(b: memoryview) -> int:
         if n < 2:
             return 0
         at += 2 + n
-        if mark == 0xDA:  # entropy-coded data up to the next marker that is no restart
-            raw, k = bytes(b[at:]), 0
-            while (k := raw.find(b"\xff", k)) >= 0 and k + 1 < len(raw) and (raw[k + 1] == 0 or 0xD0 <= raw[k + 1] <= 0xD7):
-                k += 2
-            if k < 0 or k + 1 >= len(raw):
+        if mark == 0xDA:
+            found = _JPEG_END.search(b, min(at, len(b)))
+            if not found:
                 return 0
-            at += k
+            at = found.start()
     return 0
 
 
@@ -133,16 +139,22 @@ def _gzip(b: memoryview) -> int:
     return min(at, len(b)) - len(one.unused_data) if one.eof else 0
 
 
+def _zip_ends(blob: bytes) -> dict[int, int]:
+    """Begin -> end of the archives in a blob: an end record says where its central directory is, so where the archive begins."""
+    out: dict[int, int] = {}
+    at = blob.find(b"PK\x05\x06")
+    while at >= 0 and at + 22 <= len(blob):
+        count, size, offset, note = struct.unpack_from("<HIIH", blob, at + 10)
+        begin = at - offset - size
+        if begin >= 0 and at + 22 + note <= len(blob) and (not count or blob[begin + offset : begin + offset + 4] == b"PK\x01\x02"):
+            out.setdefault(begin, at + 22 + note)
+        at = blob.find(b"PK\x05\x06", at + 4)
+    return out
+
+
 def _zip(b: memoryview) -> int:
-    """Local headers lead to the central directory, which the end record must describe."""
-    raw = bytes(b)
-    at = raw.find(b"PK\x05\x06")
-    while at >= 0 and at + 22 <= len(raw):
-        count, size, offset, note = struct.unpack_from("<HIIH", raw, at + 10)
-        if offset + size == at and at + 22 + note <= len(raw) and (not count or raw[offset : offset + 4] == b"PK\x01\x02"):
-            return at + 22 + note
-        at = raw.find(b"PK\x05\x06", at + 4)
-    return 0
+    """An archive of which the end record describes the central directory."""
+    return _zip_ends(bytes(b)).get(0, 0)
 
 
 def _pdf(b: memoryview) -> int:
@@ -206,7 +218,7 @@ def sniff(blob: bytes | None, inside: bool = True) -> tuple[str, int, list[tuple
     if not blob:
         return UNKNOWN, 0, []
     view, kind, size, carved, beyond = memoryview(blob), UNKNOWN, 0, [], 0
-    last_table = None  # of a PDF, before the last end mark: one that begins behind it has none
+    last_table = zips = None  # of a PDF, before the last end mark: one that begins behind it has none; of archives, see _zip_ends
     text = blob.decode("latin-1") if inside else blob[:16].decode("latin-1")
     for end, (n, what) in _automaton().iter(text):
         at = end + 1 - n
@@ -217,7 +229,12 @@ def sniff(blob: bytes | None, inside: bool = True) -> tuple[str, int, list[tuple
                 last_table = blob.rfind(b"startxref", 0, max(0, blob.rfind(b"%%EOF")))
             if at > last_table:
                 continue
-        if length := VALID[what](view[at:]):
+        if what == "application/zip":  # one pass for all that look like one
+            zips = _zip_ends(blob) if zips is None else zips
+            length = zips.get(at, at) - at
+        else:
+            length = VALID[what](view[at:])
+        if length:
             if at == 0:
                 kind, size = what, length
             else:
@@ -274,35 +291,42 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * (-len(raw) % UNIT or (0 if raw else UNIT))
 
 
+#: The declared type of stored texts. It is in front of the media in their cell, as a header of its own.
+DECLARED = "text/plain"
+
+
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, declared, media for docs (doc_id, text): texts as wave files, declared as unknown bytes."""
+    """doc_id, n_bytes, declared, blob for docs (doc_id, text): texts as wave files, each behind a header that declares another type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = f"Content-Type: {DECLARED}\r\n\r\n".encode()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 both = [padded(t.as_py()) for t in batch.column("text").slice(at, 512)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 512), pa.array([n for n, _ in both], pa.int64()), pa.array([UNKNOWN] * len(both)), pa.array([to_wave(p) for _, p in both], pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 512), pa.array([n for n, _ in both], pa.int64()), pa.array([DECLARED] * len(both)), pa.array([head + to_wave(p) for _, p in both], pa.binary())], names=["doc_id", "n_bytes", "declared", "blob"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, declared string, blob binary")
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, true_type string, corrected boolean"
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
-    """Digests and features of stored media, from the bytes read back: each is sniffed, confirmed and opened."""
+    """Digests and features of stored media, from the bytes read back: carved out of their cells, confirmed and opened."""
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
     names = [x.split()[0] for x in DIGESTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, n, declared, cell in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "declared", "media")), strict=True):
-                media = cell.as_py()
-                kind, size, carved = sniff(media)
-                if kind != "audio/wav" or size != len(media) or carved:
-                    raise ValueError(f"document {doc}: the stored media are not one whole wave file")
+            for doc, n, declared, cell in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "declared", "blob")), strict=True):
+                blob = cell.as_py()
+                kind, _, carved = sniff(blob)
+                if kind != UNKNOWN or len(carved) != 1 or carved[0][0] != "audio/wav" or sum(carved[0][1:]) != len(blob):
+                    raise ValueError(f"document {doc}: not one whole wave file is carved from what is stored")
+                kind, at, size = carved[0]
+                media = blob[at : at + size]
                 samples = wave_samples(media)
                 rows.append((doc.as_py(), n.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples), kind, kind != declared.as_py()))
             if rows:
@@ -313,6 +337,6 @@ def media_digests(stored: DataFrame) -> DataFrame:
 
 
 def op5_signature_sniffing(spark, sf_dir: str) -> DataFrame:
-    """All documents stored as sound under an unknown type, read back, sniffed and measured."""
+    """All documents stored as sound that is declared to be text, read back, carved out by its signature and measured."""
     stored = Scratch(spark, "media").save(text_media(table(spark, sf_dir, "documents")), "media")
     return media_digests(stored)
