@@ -5,7 +5,11 @@ equal payloads of at least LEAST bytes are stored once: the one with the largest
 response, the others are revisits that refer to it. ``captures`` reads archives back record by record,
 checks them, and gives each archive's captures as a run sorted by URL key, time and page_id.
 ``merged`` orders all runs at once: range partitioning cuts every run at the same keys, and each task
-merges its slices of the runs with a loser tree.
+merges its slices of the runs with a loser tree (a shuffle does not keep the order of a slice, so each is
+sorted again as it arrives). ``fetched`` reads the records that an index names, at their offsets, and holds
+payloads against their digests. Archives are cells of a Parquet table, since that is what every executor can
+write wherever the shared folder is; ``files`` writes them as .warc.gz files where the folder is mounted.
+Pages have no time of capture: WARC-Date is the second after EPOCH that the page_id counts.
 
 Defined cases: a null html is an empty payload; a null url has no target line and an empty key; a null
 page_id stays null and is never a response that others refer to; of repeated rows with the largest
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windgrid.llm.scratch import Scratch, table
+from windgrid.llm.scratch import Scratch, bounded_batches, table
 
 #: Payloads from this size on are stored once.
 LEAST = 1000
@@ -133,20 +138,22 @@ def _key(row: tuple) -> tuple:
     return row[0], row[1], -1 if row[2] is None else row[2], row[7], row[8]
 
 
+def _capture(content: bytes) -> tuple[tuple, bytes]:
+    """url_key, captured, page_id, payload_bytes, payload_digest, record_type, refers_to of a record; its payload."""
+    fields, http, payload = parse(content)
+    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+    said = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
+    page, refers = fields.get("X-Page"), fields.get("X-Refers-To-Page")
+    return (url_key(fields.get("WARC-Target-URI")), fields["WARC-Date"], int(page) if page else None, said, digest, fields["WARC-Type"], int(refers) if refers else None), payload
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Archives -> their captures, each archive's a sorted run. Payloads are held against their digests."""
+    """Archives -> their captures, each archive's a sorted run. Only headers are looked at."""
     for batch in batches:
         for archive, data in zip(batch.column("archive").to_pylist(), batch.column("data"), strict=True):
             rows = []
             for at, size, content in members(data.as_py()):
-                fields, http, payload = parse(content)
-                digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                kind = fields["WARC-Type"]
-                said = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-                if kind == "response" and (len(payload) != said or hashlib.sha1(payload).hexdigest() != digest):
-                    raise ValueError(f"{archive}, {at}: the payload is not what its record says")
-                page, refers = fields.get("X-Page"), fields.get("X-Refers-To-Page")
-                rows.append((url_key(fields.get("WARC-Target-URI")), fields["WARC-Date"], int(page) if page else None, said, digest, kind, int(refers) if refers else None, archive, at, size))
+                rows.append((*_capture(content)[0], archive, at, size))
             rows.sort(key=_key)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
@@ -233,12 +240,56 @@ def merged(runs: DataFrame) -> DataFrame:
     return runs.repartitionByRange(n, *order).sortWithinPartitions("archive", *order[:3], "at").mapInArrow(_merge, CAPTURE)
 
 
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives with the places (at, size) that an index has in them -> the captures there."""
+    for batch in batches:
+        for archive, data, places in zip(batch.column("archive").to_pylist(), batch.column("data"), batch.column("places").to_pylist(), strict=True):
+            rows, raw = [], data.as_py()
+            for place in places:
+                at, size = place["at"], place["size"]
+                (_, length, content), *_ = members(raw[at : at + size])
+                row, payload = _capture(content)
+                if length != size or row[5] == "response" and (len(payload) != row[3] or hashlib.sha1(payload).hexdigest() != row[4]):
+                    raise ValueError(f"{archive}, {at}: the payload is not what its record says")
+                rows.append((*row, archive, at, size))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+
+
+def fetched(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """The captures that an index (archive, at, size) names, from the records themselves; an archive holds a bounded number."""
+    places = index.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("places"))
+    return archives.join(places, "archive").select("archive", "data", "places").mapInArrow(_fetch, CAPTURE)
+
+
+def files(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes archives as files of their names into a folder that all executors mount: archive, bytes.
+
+    A file appears under its name when it is whole, so a task that is run again does no harm.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            sizes = []
+            for archive, data in zip(batch.column("archive").to_pylist(), batch.column("data"), strict=True):
+                part = os.path.join(folder, f".{archive}.{uuid.uuid4().hex}")
+                with open(part, "wb") as f:
+                    sizes.append(f.write(data.as_py()))
+                os.replace(part, os.path.join(folder, archive))
+            yield pa.RecordBatch.from_arrays([batch.column("archive"), pa.array(sizes, pa.int64())], names=["archive", "bytes"])
+
+    bounded_batches(archives.sparkSession)
+    return archives.select("archive", "data").mapInArrow(run, "archive string, bytes long")
+
+
 def op10_warc_index_merge(spark, sf_dir: str) -> DataFrame:
-    """Records of all pages, read back from the archives through the merged index."""
+    """Records of all pages, read back from the archives at the places that the merged index names."""
     scratch = Scratch(spark, "warc")
     archives = write(table(spark, sf_dir, "pages"), scratch)
     runs = scratch.save(captures(archives), "runs")
-    return merged(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = scratch.save(merged(runs), "index")
+    scratch.drop("runs")
+    return fetched(archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = """
