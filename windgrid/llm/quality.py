@@ -4,7 +4,8 @@ From labelled documents, pairs of a better and a worse one are drawn; the chance
 preferred is the logistic function of the difference of the two scores, and scores are linear in features
 of the text. So the fit is a logistic regression on feature differences, without a bias. The scores say
 which document is better, not which is good: the border is a quantile of the scores of the labelled
-documents, and scores are shifted so that it lies at THRESHOLD.
+documents (the one given, or the one whose cut agrees best with the labels), and scores are shifted so that
+it lies at THRESHOLD.
 
 Defined cases: a null or empty text has the features of no text and gets the score of that; a null doc_id
 is scored and never trained on; repeated rows are scored alike; without labels of both kinds every score
@@ -109,6 +110,7 @@ class RankModel:
     spread: np.ndarray
     border: float
     slope: float
+    quantile: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights
@@ -118,8 +120,21 @@ class RankModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> RankModel | None:
-    """The Bradley-Terry fit on drawn pairs (Adam, full batches), and the border among the scores."""
+def loss(w: np.ndarray, d: np.ndarray, decay: float) -> float:
+    """Mean logistic loss of the preferences, from feature differences (better less worse)."""
+    return float(np.logaddexp(0, -(d @ w)).mean() + decay * (w**2).sum() / 2)
+
+
+def gradient(w: np.ndarray, d: np.ndarray, decay: float) -> np.ndarray:
+    lost = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+    return -(lost @ d) / len(d) + decay * w
+
+
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, seed: int = 7, quantile: float | None = None) -> RankModel | None:
+    """The Bradley-Terry fit on drawn pairs (Adam, full batches), and the border among the scores.
+
+    quantile: the share of the labelled documents below the border; if not given, the best by the labels.
+    """
     good, bad = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
     if not len(good) or not len(bad):
         return None
@@ -129,28 +144,27 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 300, rate
     d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(1, steps + 1):
-        lost = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        g = -(lost @ d) / pairs + decay * w
+        g = gradient(w, d, decay)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     s = z @ w
-    # the quantile whose cut agrees best with the labels; both kinds weigh alike
     order = np.argsort(s, kind="stable")
+    # the quantile whose cut agrees best with the labels; both kinds weigh alike
     below_bad, below_good = np.cumsum(y[order] == 0) / len(bad), np.cumsum(y[order] == 1) / len(good)
     gain = below_bad - below_good
     gain[:-1][s[order][1:] == s[order][:-1]] = -1
-    k = int(np.argmax(gain))
+    k = int(np.argmax(gain)) if quantile is None else min(len(s) - 1, max(0, int(np.ceil(quantile * len(s))) - 1))
     border = float(s[order][k] + (s[order][min(k + 1, len(s) - 1)] - s[order][k]) / 2)
     slope = 4.0 / max(1e-9, float(np.quantile(s, 0.75) - np.quantile(s, 0.25)) + float(np.median(s[y == 1]) - np.median(s[y == 0])))
-    return RankModel(w, mean, spread, border, slope)
+    return RankModel(w, mean, spread, border, slope, (k + 1) / len(s))
 
 
 def _matrix(texts) -> np.ndarray:
     return np.array([features(t) for t in texts]).reshape(len(texts), len(NAMES))
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality") -> RankModel | None:
-    """Fits the model on labelled documents for which `keep` (of doc_id) holds."""
+def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", most: int = MOST_LABELLED, quantile: float | None = None) -> RankModel | None:
+    """Fits the model on labelled documents for which `keep` (of doc_id) holds, about `most` of them; quantile: see fit."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
             x = _matrix(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
-    rows = labelled(docs, labels, label, keep, MOST_LABELLED).select("label", "text").mapInArrow(run, "label int, x array<double>").toArrow()
+    rows = labelled(docs, labels, label, keep, most).select("label", "text").mapInArrow(run, "label int, x array<double>").toArrow()
     if not rows.num_rows:
         return None
-    return fit(np.array(rows["x"].to_pylist()), np.array(rows["label"].to_pylist()))
+    x, y = np.array(rows["x"].to_pylist()), np.array(rows["label"].to_pylist())
+    order = np.lexsort((*x.T, y))  # the pairs drawn must not depend on the order of the tasks
+    return fit(x[order], y[order], quantile=quantile)
 
 
 def score(docs: DataFrame, model: RankModel | None, carry: list[str] | None = None) -> DataFrame:
