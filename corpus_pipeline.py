@@ -2,6 +2,13 @@
 
 Every stage works on all documents that its predecessor kept. A stage's models learn from the labels of
 the documents it is given, held-out ones apart.
+
+Defined cases, of every stage but the last: a null or empty text is scored as one without words, is like no
+other document and is kept as its scores say; a row without a doc_id is never trained on and is no copy, so
+only the first two stages can reject it; of rows of equal doc_id all go or stay, until the near-duplicate
+stage keeps one (the first by text, then by the row as JSON); documents without any label of a kind are all
+kept by that stage; an empty table stays empty; all columns of the table, whatever their names, are kept as
+they are. The last stage packs each row as a document of its own; a null text is the end token alone.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ compatible, and note positions from which no end was reached in a bitfield, so t
 The pieces that start at each position come from one pass of an Aho-Corasick automaton.
 Words are independent, since no piece has a space mark after another character; their ids are kept.
 
-Defined cases: null counts as empty; characters outside the vocabulary become byte pieces; runs of the
+Defined cases: null counts as empty (no ids, decoded to the empty text); a null doc_id stays null; repeated rows
+are encoded alike; an empty table gives no rows; other columns are not read; characters outside the vocabulary become byte pieces; runs of the
 space mark, whose pieces all have one score, are merged by the plain rule (leftmost first).
 """
 
