@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from windgrid.operators.corruption import KINDS as CORRUPTIONS  # noqa: F401
+from windgrid.operators.corruption import corrupt  # noqa: F401
+from windgrid.operators.smoothing import smooth_states
 from windgrid.runtime import ship
 
 
@@ -17,29 +20,9 @@ from windgrid.runtime import ship
 
 
 def smooth(t: np.ndarray, x: np.ndarray, process: float, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """Position and variance of a scalar track: a filter forward, one backward, merged by precision."""
-
-    def one_way(t, x):
-        p, v = x[0], 0.0
-        var = noise
-        out, spread = [p], [var]
-        for k in range(1, len(x)):
-            dt = max(1e-3, abs(t[k] - t[k - 1]))
-            var = var + process * dt * dt + process
-            p = p + v * dt
-            gain = var / (var + noise)
-            miss = x[k] - p
-            p, var = p + gain * miss, (1 - gain) * var
-            v = v + min(0.8, 2 * gain / dt) * miss
-            out.append(p)
-            spread.append(var)
-        return np.array(out), np.array(spread)
-
-    a, va = one_way(t, x)
-    b, vb = one_way(t[::-1], x[::-1])
-    b, vb = b[::-1], vb[::-1]
-    w = 1 / va + 1 / vb
-    return (a / va + b / vb) / w, 1 / w
+    """Position and variance of a scalar track of one noise: see smoothing.smooth_states."""
+    found = smooth_states(t, x, np.full(len(x), noise), process)
+    return found[:, 0], found[:, 2]
 
 
 def smoothed(points: DataFrame, keys: list[str], order: list[str], time: str, axes: dict[str, tuple[float, float]]) -> DataFrame:
@@ -140,43 +123,6 @@ def stability(cost: np.ndarray, penalty: float, most: int = 5) -> float:
     return float(np.mean(out)) if out else 1.0
 
 
-CORRUPTIONS = ("reverse", "rotate", "drop_first", "drop_last", "drop_middle", "duplicate", "swap_neighbours", "shift_position", "shift_altitude", "jitter", "outlier", "shuffle", "time_bias", "mirror")
-
-
-def corrupt(points: np.ndarray, kind: str, seed: int) -> np.ndarray:
-    """A changed copy of ordered points (lat, lon, alt); the seed settles every random choice."""
-    rng, p = np.random.default_rng(seed), points.copy()
-    n = len(p)
-    if kind == "reverse":
-        return p[::-1]
-    if kind == "rotate":
-        return np.roll(p, n // 2, axis=0)
-    if kind == "drop_first":
-        return p[1:] if n > 1 else p
-    if kind == "drop_last":
-        return p[:-1] if n > 1 else p
-    if kind == "drop_middle":
-        return np.delete(p, n // 2, axis=0) if n > 2 else p
-    if kind == "duplicate":
-        return np.insert(p, n // 2, p[n // 2], axis=0)
-    if kind == "swap_neighbours" and n > 1:
-        k = int(rng.integers(n - 1))
-        p[[k, k + 1]] = p[[k + 1, k]]
-    elif kind == "shift_position":
-        p[:, :2] += 0.2
-    elif kind == "shift_altitude":
-        p[:, 2] += 1500
-    elif kind == "jitter":
-        p[:, :2] += rng.normal(0, 0.02, (n, 2))
-    elif kind == "outlier":
-        p[int(rng.integers(n)), :2] += 2.0
-    elif kind == "shuffle":
-        p = p[rng.permutation(n)]
-    elif kind == "mirror":
-        p[:, 1] = 2 * p[:, 1].mean() - p[:, 1]
-    return p  # time_bias touches no position: it corrupts the times that go with them
-
-
 def aligned(pairs: DataFrame, keys: list[str], rows: str, states: str, penalty: float) -> DataFrame:
     """Drop alignment per group.
 
@@ -226,28 +172,6 @@ def step_lookup(upper: np.ndarray, value: np.ndarray, score: np.ndarray) -> np.n
     return value[np.minimum(np.searchsorted(upper, score, side="left"), len(value) - 1)]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 1600, rate: float = 0.08, l2: float = 0.002) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Weights, bias, mean, scale of a standardized logistic regression by full-batch descent from the prior odds."""
-    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
-    z = (x - mean) / scale
-    prior = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    w, b = np.zeros(x.shape[1]), float(np.log(prior / (1 - prior)))
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w + b, -40, 40)))
-        w -= rate * (z.T @ (p - y) / len(y) + l2 * w)
-        b -= rate * float((p - y).mean())
-    return w, b, mean, scale
-
-
-def platt(score: np.ndarray, y: np.ndarray, steps: int = 1200, rate: float = 0.02) -> tuple[float, float]:
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * score + b, -40, 40)))
-        a -= rate * float(((p - y) * score).mean())
-        b -= rate * float((p - y).mean())
-    return a, b
-
-
 def binned(df: DataFrame, score: str, label: str, digits: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts and sums of labels by rounded score: at most 10 ** digits + 1 rows, whatever the size of df."""
     from pyspark.sql import functions as F

@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from windgrid.functions import clean, geo, weights
 from windgrid.operators import aggregates as A
+from windgrid.operators import corruption, smoothing
 from windgrid.operators import sequences as S
 from windgrid.operators import tracks as T
+from windgrid.operators.calibration import Logit, Sharpness
 from windgrid.operators.ordering import top_k
 from windgrid.plans.base import ERRORS, HAVERSINE, OBS, SCORED, errors, obs, query, r6, read, scored
 from windgrid.plans.tracks import TRACK_SQL, legs
@@ -25,11 +27,29 @@ def ends(spark, d):
     return T.leg_ends(legs(spark, d))
 
 
-@query("seq_01_smoother")
+#: the score of a point stands in for its consistency with its neighbours
+SMOOTH_SQL = f"""{TRACK_SQL}, mid AS (SELECT ident, leg, median(lat) AS lat0, median(lon) AS lon0, 111.32 * greatest(0.1, cos(radians(median(lat)))) AS wide FROM legs GROUP BY 1, 2),
+pts AS (SELECT l.ident, l.leg, event_id, us / 1e6::DOUBLE AS t, row_number() OVER w AS i, count(*) OVER (PARTITION BY l.ident, l.leg) AS n, (lon - lon0) * wide AS east, (lat - lat0) * 111.32 AS north, alt, wind_speed / 200 AS doubt, lat0, lon0, wide FROM legs l JOIN mid m ON l.ident = m.ident AND l.leg = m.leg WINDOW w AS (PARTITION BY l.ident, l.leg ORDER BY us, event_id)),
+axes AS (SELECT 'e' AS axis, ident, leg, i, n, t, east AS x, pow(0.025 + 0.2 * doubt, 2) AS r, 2e-6::DOUBLE AS q FROM pts UNION ALL SELECT 'n', ident, leg, i, n, t, north, pow(0.025 + 0.2 * doubt, 2), 2e-6::DOUBLE FROM pts UNION ALL SELECT 'a', ident, leg, i, n, t, alt, pow(20 + 180 * doubt, 2), 0.08::DOUBLE FROM pts),
+ways AS (SELECT 1 AS way, axis, ident, leg, i AS k, i, t, x, greatest(1e-6, r) AS r, q FROM axes UNION ALL SELECT -1, axis, ident, leg, n - i + 1, i, -t, x, greatest(1e-6, r), q FROM axes),
+f AS (SELECT way, axis, ident, leg, k, i, t, x AS p, 0.0::DOUBLE AS v, r AS pv, greatest(1e-6, q) AS vv FROM ways WHERE k = 1
+UNION ALL SELECT way, axis, ident, leg, k, i, t, p + g * (x - p), v + least(0.8, 2 * g / dt) * (x - p), greatest(1e-6, (1 - g) * pv), greatest(1e-8, (1 - least(g, 0.6)) * vv + q)
+FROM (SELECT *, pv / (pv + r) AS g FROM (SELECT d.way, d.axis, d.ident, d.leg, d.k, d.i, d.t, d.x, d.r, d.q, greatest(1.0, d.t - f.t) AS dt, f.p + f.v * greatest(1.0, d.t - f.t) AS p, f.v, f.vv, f.pv + pow(greatest(1.0, d.t - f.t), 2) * f.vv + d.q * greatest(1.0, d.t - f.t) AS pv
+FROM f JOIN ways d ON d.way = f.way AND d.axis = f.axis AND d.ident = f.ident AND d.leg = f.leg AND d.k = f.k + 1))),
+merged AS (SELECT a.axis, a.ident, a.leg, a.i, (a.p / a.pv + b.p / b.pv) / (1 / a.pv + 1 / b.pv) AS p, (a.v / a.pv + b.v / b.pv) / (1 / a.pv + 1 / b.pv) AS v, 1 / (1 / a.pv + 1 / b.pv) AS s FROM f a JOIN f b ON a.axis = b.axis AND a.ident = b.ident AND a.leg = b.leg AND a.i = b.i AND a.way = 1 AND b.way = -1),
+states AS (SELECT p.ident, p.leg, p.event_id, p.t, p.i, p.n, lat0 + n_.p / 111.32 AS lat, lon0 + e_.p / wide AS lon, a_.p AS alt, e_.v AS v_east, n_.v AS v_north, a_.v AS v_up, e_.s + n_.s AS var_across, a_.s AS var_alt
+FROM pts p JOIN merged e_ ON e_.axis = 'e' AND e_.ident = p.ident AND e_.leg = p.leg AND e_.i = p.i JOIN merged n_ ON n_.axis = 'n' AND n_.ident = p.ident AND n_.leg = p.leg AND n_.i = p.i JOIN merged a_ ON a_.axis = 'a' AND a_.ident = p.ident AND a_.leg = p.leg AND a_.i = p.i)"""
+
+
+def smoothed_legs(spark, d):
+    o = legs(spark, d).select("ident", "leg", "event_id", "us", (F.col("us") / 1e6).alias("t"), "lat", "lon", "alt", (1 - F.col("wind_speed") / 200).alias("score"))
+    return smoothing.smoothed_tracklets(o, ["ident", "leg"], ["us", "event_id"], "t", "lat", "lon", "alt", "score")
+
+
+@query("seq_01_smoother", f"WITH RECURSIVE {SMOOTH_SQL} SELECT event_id, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt, 3) AS alt, round(v_east, 6) AS v_east, round(v_north, 6) AS v_north, round(v_up, 5) AS v_up, round(sqrt(var_across), 5) AS radius_km FROM states")
 def seq_01(spark, d):
-    o = obs(spark, d).withColumn("t", F.col("us") / 1e6).select("ident", "event_id", "us", "t", "lat", "alt")
-    out = S.smoothed(o, ["ident"], ["us", "event_id"], "t", {"lat": (2e-6, 0.05), "alt": (0.08, 900.0)})
-    return out.select("event_id", r6(F.col("smooth_lat"), 4).alias("lat"), r6(F.col("smooth_alt"), 2).alias("alt"))
+    s = smoothed_legs(spark, d)
+    return s.select("event_id", r6(F.col("s_lat")).alias("lat"), r6(F.col("s_lon")).alias("lon"), r6(F.col("s_alt"), 3).alias("alt"), r6(F.col("v_east")).alias("v_east"), r6(F.col("v_north")).alias("v_north"), r6(F.col("v_up"), 5).alias("v_up"), r6(F.col("radius_km"), 5).alias("radius_km"))
 
 
 MODE_SQL = "least(1.0, abs((((heading - prev_heading + 180) % 360) + 360) % 360 - 180) / 90) AS turn, least(1.0, abs(alt - prev_alt) / 3000) AS vert"
@@ -52,9 +72,18 @@ def seq_03(spark, d):
     return T.tracklets(legs(spark, d)).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query("seq_04_candidate_edges", f"WITH {ENDS} SELECT ident, leg::BIGINT AS leg, to_leg::BIGINT AS to_leg, hop, round(m, 5) AS m, round(prior, 6) AS prior, physical FROM scored_edges")
+BRIDGES = f"""{SMOOTH_SQL}, tips AS (SELECT a.ident, a.leg, a.t AS a, a.lat AS slat, a.lon AS slon, a.alt AS salt, a.v_east AS sve, a.v_north AS svn, a.var_across AS svar, a.var_alt AS svar_alt, b.t AS b, b.lat AS elat, b.lon AS elon, b.alt AS ealt, b.v_east AS eve, b.v_north AS evn, b.v_up AS evu, b.var_across AS evar, b.var_alt AS evar_alt FROM states a JOIN states b ON a.ident = b.ident AND a.leg = b.leg AND a.i = 1 AND b.i = b.n),
+skips AS (""" + " UNION ALL ".join(f"SELECT *, {k} AS hop, lead(leg, {k}) OVER w AS to_leg, lead(a, {k}) OVER w - b AS gap, " + ", ".join(f"lead({c}, {k}) OVER w AS t{c}" for c in ("slat", "slon", "salt", "sve", "svn", "svar", "svar_alt")) + " FROM tips WINDOW w AS (PARTITION BY ident ORDER BY a, leg)" for k in (1, 2, 3)) + f"""),
+aimed AS (SELECT *, elat + evn * gap / 111.32 AS plat, elon + eve * gap / (111.32 * least(1.0, greatest(0.1, cos(radians(elat))))) AS plon, abs(tsalt - (ealt + evu * gap)) AS m, sqrt(pow(tsve - eve, 2) + pow(tsvn - evn, 2)) * 1000 AS turn FROM skips WHERE gap BETWEEN 1 AND 172800),
+missed AS (SELECT *, {HAVERSINE.format(a='p', b='ts')} AS km FROM aimed),
+bridges AS (SELECT *, km / greatest(0.02, sqrt(evar + tsvar + pow(0.0025 * gap, 2))) AS far, m / greatest(20.0, sqrt(evar_alt + tsvar_alt + pow(1.5 * gap, 2))) AS high FROM missed)"""
+
+
+@query("seq_04_candidate_edges", f"WITH RECURSIVE {BRIDGES} SELECT ident, leg::BIGINT AS leg, to_leg::BIGINT AS to_leg, hop, round(km, 3) AS km, round(far, 4) AS far, round(high, 4) AS high, round(turn, 4) AS turn, round(least(1.0, exp(-0.55 * far - 0.35 * high - 0.004 * turn - 0.001 * gap)), 6) AS prior, far <= 12 AND high <= 12 AND turn <= 180 AND km <= 3 + 0.03 * gap AS physical FROM bridges")
 def seq_04(spark, d):
-    return T.edges(ends(spark, d), 172800.0, 12.0).select("ident", "leg", "to_leg", "hop", r6(F.col("m"), 5).alias("m"), r6(F.col("prior")).alias("prior"), "physical")
+    e = smoothing.end_states(smoothed_legs(spark, d), ["ident", "leg"], F.struct("us", "event_id"))
+    e = smoothing.bridge_edges(e, ["ident"], "leg", 172800.0)
+    return e.select("ident", "leg", "to_leg", "hop", r6(F.col("km"), 3).alias("km"), *[r6(F.col(c), 4).alias(c) for c in ("far", "high", "turn")], r6(F.col("prior")).alias("prior"), "physical")
 
 
 @query("seq_05_paths", f"""
@@ -158,27 +187,38 @@ def seq_13(spark, d):
         g = g.sort_values(["us", "event_id"])
         p, case = g[["lat", "lon", "alt"]].to_numpy(float), int(g["ident"].iloc[0])
         out = []
-        for k, kind in enumerate(S.CORRUPTIONS):
-            q = S.corrupt(p, kind, 20260716 + 31 * case + k)
-            out.append((case, kind, len(q), round(float(np.abs(q[: len(p)] - p[: len(q)]).sum()), 4)))
-        return pd.DataFrame(out, columns=["ident", "kind", "n", "moved"])
+        for kind in corruption.KINDS:
+            order, shift = corruption.plan(len(p), kind, corruption.seed_of(case, kind))
+            out.append((case, kind, len(order), int((shift != 0).any(axis=1).sum()), int((np.diff(order) < 0).sum()), round(float(corruption.corrupt(p, kind, corruption.seed_of(case, kind)).sum()), 4)))
+        return pd.DataFrame(out, columns=["ident", "kind", "n", "outliers", "inversions", "total"])
 
-    return obs(spark, d).groupBy("ident").applyInPandas(run, "ident long, kind string, n long, moved double")
+    return obs(spark, d).groupBy("ident").applyInPandas(run, "ident long, kind string, n long, outliers long, inversions long, total double")
 
 
 @query("seq_14_hard_negatives", """
-WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 10 = 0), p AS (SELECT a.c_custkey, b.c_custkey AS neg, CASE WHEN a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment THEN 1 ELSE 2 END AS policy FROM c a JOIN c b ON a.c_custkey <> b.c_custkey AND a.c_nationkey = b.c_nationkey),
+WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer), p AS (SELECT a.c_custkey, b.c_custkey AS neg, CASE WHEN a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment THEN 1 WHEN a.c_nationkey = b.c_nationkey THEN 2 WHEN a.c_mktsegment = b.c_mktsegment THEN 3 ELSE 4 END AS policy FROM c a JOIN c b ON a.c_custkey <> b.c_custkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY policy, (neg * 2654435761) % 4294967296, neg) AS r FROM p) SELECT c_custkey, neg, policy FROM r WHERE r = 1""")
 def seq_14(spark, d):
-    c = read(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey", "c_nationkey", "c_mktsegment")
-    other = c.select(F.col("c_custkey").alias("neg"), "c_nationkey", F.col("c_mktsegment").alias("s"))
-    # the first of the nation by hash, and the first of the nation and segment: two ranks, no pairs
+    c = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    # the two first by hash of each nation and segment, of each nation, of each segment, and of all: ranks, no pairs
     h = F.pmod(F.col("neg") * 2654435761, F.lit(4294967296))
-    rank = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(h, "neg"))
-    near = other.withColumn("r", rank(["c_nationkey", "s"])).where("r <= 2").select("c_nationkey", F.col("s").alias("c_mktsegment"), "neg", F.lit(1).alias("policy"))
-    far = other.withColumn("r", rank(["c_nationkey"])).where("r <= 2").select("c_nationkey", "neg", F.lit(2).alias("policy"))
-    p = c.join(near, ["c_nationkey", "c_mktsegment"]).select("c_custkey", "neg", "policy").unionByName(c.join(far, "c_nationkey").select("c_custkey", "neg", "policy")).where("c_custkey <> neg")
-    return top_k(p, ["c_custkey"], ["policy", h, "neg"], 1)
+    least = lambda keys: c.withColumnRenamed("c_custkey", "neg").groupBy(*keys).agg(F.min(F.struct(h.alias("h"), "neg")).alias("one"))
+
+    def two(keys, policy):
+        """Per key the first by hash, and the first of the others."""
+        first = least(keys)
+        others = c.join(F.broadcast(first.select(F.col("one.neg").alias("c_custkey"))), "c_custkey", "left_anti").withColumnRenamed("c_custkey", "neg")
+        second = others.groupBy(*keys).agg(F.min(F.struct(h.alias("h"), "neg")).alias("two"))
+        both = first.join(second, keys, "left") if keys else first.crossJoin(second)  # one row each
+        return both.select(*keys, F.array_compact(F.array("one", "two")).alias(f"p{policy}"))
+
+    out = c
+    for policy, keys in ((1, ["c_nationkey", "c_mktsegment"]), (2, ["c_nationkey"]), (3, ["c_mktsegment"]), (4, [])):
+        found = two(keys, policy)
+        out = out.join(F.broadcast(found), keys, "left") if keys else out.join(F.broadcast(found))
+    mine = lambda k: F.try_element_at(F.filter(f"p{k}", lambda x: x["neg"] != F.col("c_custkey")), F.lit(1))["neg"]
+    pick = F.coalesce(*[F.when(mine(k).isNotNull(), F.struct(mine(k).alias("neg"), F.lit(k).alias("policy"))) for k in (1, 2, 3, 4)])
+    return out.select("c_custkey", pick.alias("x")).where("x is not null").select("c_custkey", "x.neg", "x.policy")
 
 
 @query("seq_15_pair_score", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(2 * l_discount + 1.5 * l_tax + 0.75 * l_quantity / 50 + 0.5 * l_linenumber / 7.0, 6) AS s FROM lineitem")
@@ -216,13 +256,12 @@ def _fitted(spark, d):
     x = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "n_chars", F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("upper"), F.length(F.regexp_replace("text", "[^#$%&*|!]", "")).alias("marks")), "doc_id")
     x = x.select("doc_id", F.log1p("n_chars").alias("a"), (F.col("upper") / F.greatest("n_chars", F.lit(1))).alias("b"), (F.col("marks") / F.greatest("n_chars", F.lit(1))).alias("c"), F.col("quality").cast("double").alias("y"))
     t = hash_sample(x, F.col("doc_id"), 5000).toPandas()
-    return x, S.logistic(t[["a", "b", "c"]].to_numpy(), t["y"].to_numpy()), t
+    return x, Logit.fit(t[["a", "b", "c"]].to_numpy(), t["y"].to_numpy()), t
 
 
 def _probability(x, model):
-    w, b, mean, scale = model
-    z = F.lit(float(b))
-    for c, wk, m, s in zip("abc", w, mean, scale, strict=True):
+    z = F.lit(model.bias)
+    for c, wk, m, s in zip("abc", model.weights, model.centre, model.scale, strict=True):
         z = z + float(wk) * (F.col(c) - float(m)) / float(s)
     return x.withColumn("z", z).withColumn("p", weights.sigmoid(F.col("z")))
 
@@ -236,9 +275,8 @@ def seq_18(spark, d):
 @query("seq_19_platt")
 def seq_19(spark, d):
     x, model, t = _fitted(spark, d)
-    w, b, mean, scale = model
-    a, c = S.platt(((t[["a", "b", "c"]].to_numpy() - mean) / scale) @ w + b, t["y"].to_numpy())
-    return _probability(x, model).select("doc_id", r6(weights.sigmoid(a * F.col("z") + c), 4).alias("p"))
+    line = Sharpness.fit(model.score(t[["a", "b", "c"]].to_numpy()), t["y"].to_numpy())
+    return _probability(x, model).select("doc_id", r6(weights.sigmoid(line.slope * F.col("z") + line.shift), 4).alias("p"))
 
 
 @query("seq_20_safety_gates", f"WITH {OBS} SELECT event_id, CASE WHEN heading > 150 OR event_id % 2000 < 10 OR event_id % 2000 > 1800 THEN least(alt / 15000, 1e-4) ELSE alt / 15000 END AS p FROM obs")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import functions as F
@@ -15,7 +17,14 @@ def _folder(spark, name: str) -> str:
     """A folder for a round trip, in the place that all executors share; a local one only where none is named."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="windgrid-src-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="windgrid-src-")
+        atexit.register(shutil.rmtree, folder, True)
+        base = "file://" + folder
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -69,10 +78,10 @@ def src_10(spark, d):
 
 
 @query("src_11_image_blocks", """
-WITH p AS (SELECT l_suppkey AS frame, l_partkey % 40 AS y, l_orderkey % 40 AS x, CASE WHEN l_quantity > 20 THEN l_quantity ELSE 0 END AS value FROM lineitem WHERE l_suppkey <= 10), b AS (SELECT frame, y // 4 AS y, x // 4 AS x, round(avg(value), 6) AS mean, max(value) AS top FROM p GROUP BY 1, 2, 3 HAVING max(value) > 0)
+WITH p AS (SELECT l_suppkey AS frame, l_partkey % 40 AS y, l_orderkey % 40 AS x, CASE WHEN l_quantity > 20 THEN l_quantity ELSE 0 END AS value FROM lineitem), b AS (SELECT frame, y // 4 AS y, x // 4 AS x, round(avg(value), 6) AS mean, max(value) AS top FROM p GROUP BY 1, 2, 3 HAVING max(value) > 0)
 SELECT frame, z, y, x, mean, top FROM b, range(3) r(z)""")
 def src_11(spark, d):
-    p = read(spark, d, "lineitem").where("l_suppkey <= 10").select(F.col("l_suppkey").alias("frame"), (F.col("l_partkey") % 40).alias("y"), (F.col("l_orderkey") % 40).alias("x"), F.when(F.col("l_quantity") > 20, F.col("l_quantity")).otherwise(0.0).alias("value"))
+    p = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("frame"), (F.col("l_partkey") % 40).alias("y"), (F.col("l_orderkey") % 40).alias("x"), F.when(F.col("l_quantity") > 20, F.col("l_quantity")).otherwise(0.0).alias("value"))
     return S.image_blocks(p, 4, 3).select("frame", F.col("z").cast("long").alias("z"), "y", "x", F.round("mean", 6).alias("mean"), "top")
 
 
@@ -125,10 +134,10 @@ def src_23(spark, d):
 
 
 @query("src_24_dense_restore", """
-WITH c AS (SELECT l_suppkey AS frame, l_linenumber % 3 AS z, l_partkey % 4 AS y, l_orderkey % 5 AS x, max(l_quantity) AS v FROM lineitem WHERE l_suppkey <= 20 AND l_quantity > 45 GROUP BY 1, 2, 3, 4), f AS (SELECT DISTINCT frame FROM c), g AS (SELECT frame, z, y, x FROM f, range(3) a(z), range(4) b(y), range(5) e(x))
+WITH c AS (SELECT l_suppkey AS frame, l_linenumber % 3 AS z, l_partkey % 4 AS y, l_orderkey % 5 AS x, max(l_quantity) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2, 3, 4), f AS (SELECT DISTINCT frame FROM c), g AS (SELECT frame, z, y, x FROM f, range(3) a(z), range(4) b(y), range(5) e(x))
 SELECT frame, z, y, x, coalesce(v, -1.0) AS v FROM g LEFT JOIN c USING (frame, z, y, x)""")
 def src_24(spark, d):
-    c = read(spark, d, "lineitem").where("l_suppkey <= 20 and l_quantity > 45").groupBy(F.col("l_suppkey").alias("frame"), (F.col("l_linenumber") % 3).cast("long").alias("z"), (F.col("l_partkey") % 4).alias("y"), (F.col("l_orderkey") % 5).alias("x")).agg(F.max("l_quantity").alias("v"))
+    c = read(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_suppkey").alias("frame"), (F.col("l_linenumber") % 3).cast("long").alias("z"), (F.col("l_partkey") % 4).alias("y"), (F.col("l_orderkey") % 5).alias("x")).agg(F.max("l_quantity").alias("v"))
     return S.densify(c, c.select("frame").distinct(), (3, 4, 5), "v", -1.0)
 
 
