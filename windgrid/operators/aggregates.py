@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from windgrid.operators.quantiles import with_quantiles
+
 
 def weighted_mean(x: Column, w: Column, guard: float | None = 1e-12) -> Column:
     """sum(x w) / max(sum(w), guard); without a guard null where nothing weighs."""
@@ -26,20 +28,6 @@ def mode(x: Column) -> Column:
     return F.mode(x, True)
 
 
-def quantile_nearest(x: Column, q: float) -> Column:
-    """The element at round((n - 1) q), halves away from zero, of the sorted values."""
-    values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, (F.round((F.count(x) - 1) * q) + 1).cast("int"))
-
-
-def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: str, name: str) -> DataFrame:
-    """The first value, in order, at which the running weight reaches half the total."""
-    w = Window.partitionBy(*keys)
-    running = F.sum(weight).over(w.orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0))
-    half = F.sum(weight).over(w) / 2
-    return df.withColumns({"__c": running, "__h": half}).where("__c >= __h - 1e-9").groupBy(*keys).agg(F.min(value).alias(name))
-
-
 def robust_centre(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Median of fewer than 5 values, else half the median and half the mean between p10 and p90."""
     stats = df.groupBy(*keys).agg(F.count(value).alias("__n"), F.median(value).alias("__m"), F.percentile(value, 0.1).alias("__lo"), F.percentile(value, 0.9).alias("__hi"))
@@ -80,11 +68,128 @@ def strata(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("stratum", F.explode(F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]))))
 
 
-def robust_sigma(x: Column, floor: float, cap: float) -> Column:
-    """Half the root mean square and half the 75th percentile of |x|, within [floor, cap]."""
-    return F.least(F.lit(cap), F.greatest(F.lit(floor), 0.5 * F.sqrt(F.avg(x * x)) + 0.5 * F.percentile(F.abs(x), 0.75)))
-
-
-def summary(x: Column, prefix: str) -> list[Column]:
-    q = lambda p: F.percentile(x, p)
-    return [F.min(x).alias(f"{prefix}_min"), q(0.1).alias(f"{prefix}_q10"), q(0.5).alias(f"{prefix}_q50"), q(0.9).alias(f"{prefix}_q90"), q(0.99).alias(f"{prefix}_q99"), F.max(x).alias(f"{prefix}_max"), F.count_if(x.isNull()).alias(f"{prefix}_nulls")]
+def _rounded(name: str, digits: int = 6) -> Column:
+    return F.round(name, digits).alias(name)
+
+
+def robust_sigmas(df: DataFrame, keys: list[str], x: str, floor: float, cap: float, least: int) -> DataFrame:
+    """keys, n, sigma: half the root mean square and half the 75th percentile of |x|, within [floor, cap]; null of fewer than `least` values."""
+    m = with_quantiles(df, keys, [F.count("*").alias("n"), F.sqrt(F.avg(F.col(x) * F.col(x))).alias("__rms")], F.abs(x), {"__p75": 0.75})
+    sigma = F.least(F.lit(cap), F.greatest(F.lit(floor), 0.5 * F.col("__rms") + 0.5 * F.col("__p75")))
+    return m.select(*keys, "n", F.when(F.col("n") >= least, sigma).alias("sigma"))
+
+
+def super_observation(rows: DataFrame, keys: list[str], weight: str, means: list[str], flight: str, order: str, time: str, doubtful: Column) -> DataFrame:
+    """One row per group of reports: weighted means (among them u, v, lat, lon, alt), spread, effective count, spans, first and most frequent flight."""
+    w, c = F.col(weight), F.col
+    span = lambda x: F.max(x) - F.min(x)
+    one = rows.groupBy(*keys).agg(
+        *[weighted_mean(c(m), w).alias(m) for m in means], weighted_mean(c("u") * c("u"), w).alias("__u2"), weighted_mean(c("v") * c("v"), w).alias("__v2"), F.sum(w).alias("weight"),
+        (F.pow(F.sum(w), 2) / F.greatest(F.sum(w * w), F.lit(1e-12))).alias("eff_n"), F.count("*").alias("n"), F.hypot(span("lat") * 111, span("lon") * 111).alias("hspan_km"), span("alt").alias("vspan_m"),
+        F.min_by(flight, order).alias(f"first_{flight}"), F.mode(c(flight), True).alias(f"mode_{flight}"), span(time).alias("span_us"), F.count_if(doubtful).alias("doubtful"),
+    )
+    beyond = lambda a, b: F.greatest(F.lit(0.0), c(a) - c(b) * c(b))
+    spread = F.sqrt(beyond("__u2", "u") + beyond("__v2", "v"))
+    return one.select(*keys, *[_rounded(m, 4) for m in means], F.round(spread, 4).alias("spread"), _rounded("weight", 2), _rounded("eff_n", 4), "n", _rounded("hspan_km", 4), "vspan_m", f"first_{flight}", f"mode_{flight}", "span_us", "doubtful")
+
+
+def by_height(alt: Column, steps) -> Column:
+    """The value of the first step (top, value) whose top lies above; the last one's beyond."""
+    out = F.when(alt < steps[0][0], float(steps[0][1]))
+    for top, value in steps[1:-1]:
+        out = out.when(alt < top, float(value))
+    return out.otherwise(float(steps[-1][1]))
+
+
+def component_summary(df: DataFrame, keys: list[str], eu: str, ev: str, alt: str, sigma_a, sigma_b) -> DataFrame:
+    """Errors by component and as vectors, and how they compare with two tables of standard deviations by height."""
+    u, v, a, b = F.col(eu), F.col(ev), by_height(F.col(alt), sigma_a), by_height(F.col(alt), sigma_b)
+    sq, vec = 0.5 * (u * u + v * v), F.sqrt(u * u + v * v)
+    rms = F.sqrt(F.avg(sq))
+    parts = {
+        "u_bias": F.avg(u), "v_bias": F.avg(v), "u_mae": F.avg(F.abs(u)), "v_mae": F.avg(F.abs(v)), "u_rmse": F.sqrt(F.avg(u * u)), "v_rmse": F.sqrt(F.avg(v * v)), "component_rmse": rms,
+        "vector_rmse": F.sqrt(F.avg(vec * vec)), "vector_mae": F.avg(vec), "sigma_a": F.avg(a), "sigma_b": F.avg(b), "over_a": rms / F.avg(a), "over_b": rms / F.avg(b), "chi2_a": F.avg(sq / (a * a)), "chi2_b": F.avg(sq / (b * b)), "worst": F.max(vec),
+    }
+    m = with_quantiles(df, keys, [F.count("*").alias("points"), *[F.round(x, 6).alias(n) for n, x in parts.items()]], vec, {"p95": 0.95})
+    return m.withColumn("p95", F.round("p95", 6))
+
+
+def frame_strata(frames: DataFrame, config: str, rules: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Every configuration in every stratum, empty ones too. frames: holdout, rmse, mae, bias_u, bias_v per frame.
+
+    rules: stratum -> (condition, official); error metrics are given for official strata only.
+    """
+    named = strata(frames, {n: F.expr(r) for n, (r, _) in rules.items()})
+    n = F.col("holdout")
+    pooled = lambda c, x: F.try_divide(F.sum(x * n), F.sum(F.when(F.col(c).isNotNull(), n)))
+    parts = {"mean_rmse": F.avg("rmse"), "mean_mae": F.avg("mae"), "worst": F.max("rmse"), "bias_u": F.avg("bias_u"), "bias_v": F.avg("bias_v"), "weighted_rmse": F.sqrt(pooled("rmse", F.col("rmse") * F.col("rmse"))), "weighted_mae": pooled("mae", F.col("mae"))}
+    wanted = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    m = with_quantiles(named, [config, "stratum"], [F.count("*").alias("frames"), F.sum("holdout").alias("points"), *[x.alias(c) for c, x in parts.items()]], F.col("rmse"), wanted)
+    every = F.explode(F.array(*[F.struct(F.lit(s).alias("stratum"), F.lit(o).alias("official")) for s, (_, o) in rules.items()]))
+    full = frames.select(config).distinct().select(config, every.alias("s")).select(config, "s.stratum", "s.official").join(m, [config, "stratum"], "left")
+    metrics = ["mean_rmse", "mean_mae", "p50", "p90", "p95", "p99", "worst", "bias_u", "bias_v", "weighted_rmse", "weighted_mae"]
+    return full.select(config, "stratum", "official", F.coalesce("frames", F.lit(0)).alias("frames"), F.coalesce("points", F.lit(0)).alias("points"), *[F.when(F.col("official"), F.round(c, 6)).alias(c) for c in metrics])
+
+
+def by_configuration(frames: DataFrame, settings: list[str], rmse: str, holdout: str, support: str) -> DataFrame:
+    """Frames by all settings of their configuration; only frames with a hold-out are official. Ordered by the mean error."""
+    has = F.col(holdout) > 0
+    held = F.when(has, F.col(rmse))
+    g = frames.groupBy(*settings).agg(
+        F.count("*").alias("frames"), F.count_if(has).alias("official"), F.sum(holdout).alias("points"), F.round(F.avg(held), 6).alias("mean_rmse"), F.round(F.max(held), 6).alias("worst"),
+        F.round(F.sqrt(F.try_divide(F.sum(F.col(rmse) * F.col(rmse) * F.col(holdout)), F.sum(holdout))), 6).alias("weighted_rmse"), F.round(F.avg(support), 6).alias("support"),
+    )
+    return g.orderBy(F.col("mean_rmse").asc_nulls_last(), *settings)
+
+
+def tail_metrics(points: DataFrame, frame: str, eu: str, ev: str, rules: dict[str, Column], means: dict[str, tuple[str, int]]) -> DataFrame:
+    """Per stratum: counts, errors, quantiles of them and the share of all squared error; rows may fall in several strata."""
+    sized = points.withColumn("__e", F.sqrt(F.col(eu) * F.col(eu) + F.col(ev) * F.col(ev)))
+    total = sized.agg(F.sum(F.col("__e") * F.col("__e")).alias("__sse"))  # one row
+    named = strata(sized, rules)
+    e = F.col("__e")
+    plain = [F.count("*").alias("points"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mae"), F.max(e).alias("worst"), F.sum(e * e).alias("__part"), *[F.round(F.avg(c), k).alias(n) for n, (c, k) in means.items()]]
+    m = with_quantiles(named, ["stratum"], plain, e, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    seen = named.select("stratum", frame).distinct().groupBy("stratum").agg(F.count("*").alias("frames"))
+    out = m.join(seen, "stratum").join(F.broadcast(total)).withColumn("sse_share", F.try_divide("__part", "__sse"))
+    return out.select("stratum", "points", "frames", *[_rounded(c) for c in ("rmse", "mae", "p50", "p90", "p95", "p99", "worst", "sse_share")], *means)
+
+
+def score_buckets(df: DataFrame, bucket: str, error: str, high: float) -> DataFrame:
+    """Errors by bucket of a score, and what the buckets from each upward hold: rows, high errors, squared error."""
+    e = F.col(error)
+    m = with_quantiles(df, [bucket], [F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mae"), F.count_if(e >= high).alias("high"), F.sum(e * e).alias("__sse")], e, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    down, all_ = Window.orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()  # a row per bucket
+    share = lambda c, w: F.round(F.try_divide(F.sum(c).over(w), F.sum(c).over(all_)), 6)
+    own = lambda c: F.round(F.try_divide(F.col(c), F.sum(c).over(all_)), 6)
+    return m.select(
+        bucket, "n", own("n").alias("share"), *[_rounded(c) for c in ("rmse", "mae", "p50", "p95", "p99")], "high", F.round(F.col("high") / F.col("n"), 6).alias("high_rate"), own("high").alias("high_recall"), own("__sse").alias("sse_share"),
+        F.sum("n").over(down).alias("n_above"), share("high", down).alias("recall_above"), share("__sse", down).alias("sse_above"),
+    )
+
+
+def correlations(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, a, b, r for all ordered pairs of columns, in one pass; null where one of them does not vary."""
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
+    varies = lambda c: F.max(c) > F.min(c)
+    r = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    wide = df.groupBy(*keys).agg(*[F.when(varies(a) & varies(b), F.round(r(a, b), 6)).alias(f"__{a}__{b}") for a, b in pairs])
+    both = [(a, b, f"__{a}__{b}") for a, b in pairs] + [(b, a, f"__{a}__{b}") for a, b in pairs if a != b]
+    return wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(c).alias("r")) for a, b, c in both])).alias("x")).select(*keys, "x.*")
+
+
+def baseline_chances(km: str, climb: str, gap: str, ahead: str, back: str, high: str, chance: str) -> dict[str, Column]:
+    """Chances that a bridge is right, by six models from none to a calibrated one."""
+    c = F.col
+    near = (c(km) <= 3) & (c(climb) <= 1000) & (c(gap) <= 900)
+    return {
+        "none": F.lit(0.0), "physical": F.when(near, 1.0).otherwise(0.0), "forward": F.exp(-0.5 * c(ahead)), "both_ways": F.exp(-0.25 * (c(ahead) + c(back))),
+        "covariance": F.exp(-0.20 * (c(ahead) + c(back) + c(high))), "calibrated": c(chance),
+    }
+
+
+def brier_scores(df: DataFrame, models: dict[str, Column], y: str, bins: int) -> DataFrame:
+    """model, brier, ece: each row meets every model inside one pass, and only bins are shuffled."""
+    long = df.select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(n).alias("model"), p.cast("double").alias("p")) for n, p in models.items()])).alias("x")).select("y", "x.*")
+    b = long.groupBy("model", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("y").alias("y"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("s"))
+    return b.groupBy("model").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("brier"), F.round(F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n"), 6).alias("ece"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from windgrid.functions import clean
 from windgrid.operators import aggregates as A
+from windgrid.operators import quantiles as Q
 from windgrid.operators.joins import box, offset_join
 from windgrid.operators.ordering import top_k
 from windgrid.operators.voxels import Grid, voxelize
@@ -71,16 +72,24 @@ def agg_08(spark, d):
     return errors(spark, d).groupBy("config").agg(r6(A.weighted_mean(F.col("eu"), F.col("w")), 5).alias("m"))
 
 
-@query("agg_09_super_observation", f"""
-WITH {CCELLS} SELECT z, y, x, source, round(sum(lat * alt) / greatest(sum(alt), 1e-12), 5) AS lat_w, round(sum(lon * alt) / greatest(sum(alt), 1e-12), 5) AS lon_w,
-round(greatest(0.0, sum(lat * lat * alt) / greatest(sum(alt), 1e-12) - pow(sum(lat * alt) / greatest(sum(alt), 1e-12), 2)), 3) AS var_lat,
-round(pow(sum(alt), 2) / sum(alt * alt), 5) AS n_eff, max(us) - min(us) AS span_us, count(*) AS n FROM cells WHERE alt > 0 GROUP BY z, y, x, source""")
+#: What is averaged over a super-observation, as SQL of both engines; the weight of a report is its height here.
+MEANS = {
+    "u": "-wind_speed * sin(radians(wind_dir))", "v": "-wind_speed * cos(radians(wind_dir))", "lat": "lat", "lon": "lon", "alt": "alt", "minute": "(us % 3600000000) / 60000000",
+    "time_conf": "exp(-(us % 3600000000) / 3600000000)", "space_conf": "exp(-abs(lat - 33) / 20)", "tail_factor": "least(1.0, 60 / greatest(wind_speed, 1e-6))",
+    "error_factor": "least(4.0, greatest(0.05, pow(8 / (2 + wind_speed / 20), 2)))", "obs_conf": "1 - wind_speed / 200", "raw_conf": "1 - speed / 1000", "sigma": "2 + wind_speed / 20",
+    "roi_km": "abs(lon - 104) * 111", "roi_m": "abs(alt - 9000)",
+}
+SUPER_COLUMNS = "z, y, x, source"
+SUPER = f"""{CCELLS}, val AS (SELECT z, y, x, source, ident, event_id, us, alt AS w, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in MEANS.items())} FROM cells WHERE alt > 0),
+one AS (SELECT {SUPER_COLUMNS}, {', '.join(f'sum({n} * w) / greatest(sum(w), 1e-12) AS {n}' for n in MEANS)}, sum(u * u * w) / greatest(sum(w), 1e-12) AS u2, sum(v * v * w) / greatest(sum(w), 1e-12) AS v2, sum(w) AS weight,
+pow(sum(w), 2) / greatest(sum(w * w), 1e-12) AS eff_n, count(*) AS n, sqrt(pow((max(lat) - min(lat)) * 111, 2) + pow((max(lon) - min(lon)) * 111, 2)) AS hspan_km, max(alt) - min(alt) AS vspan_m, arg_min(ident, event_id) AS first_ident, max(us) - min(us) AS span_us, count(*) FILTER (WHERE speed_conf < 0.5) AS doubtful FROM (SELECT *, raw_conf AS speed_conf FROM val) GROUP BY {SUPER_COLUMNS}),
+kinds AS (SELECT {SUPER_COLUMNS}, ident, count(*) AS c FROM val GROUP BY {SUPER_COLUMNS}, ident), most AS (SELECT {SUPER_COLUMNS}, arg_min(ident, (-c, ident)) AS mode_ident FROM kinds GROUP BY {SUPER_COLUMNS})"""
+
+
+@query("agg_09_super_observation", f"WITH {SUPER} SELECT {SUPER_COLUMNS}, {', '.join(f'round({n}, 4) AS {n}' for n in MEANS)}, round(sqrt(greatest(0.0, u2 - u * u) + greatest(0.0, v2 - v * v)), 4) AS spread, round(weight, 2) AS weight, round(eff_n, 4) AS eff_n, n, round(hspan_km, 4) AS hspan_km, vspan_m, first_ident, mode_ident, span_us, doubtful FROM one JOIN most USING ({SUPER_COLUMNS})")
 def agg_09(spark, d):
-    w = F.col("alt")
-    return coarse(spark, d).where("alt > 0").groupBy("z", "y", "x", "source").agg(
-        r6(A.weighted_mean(F.col("lat"), w), 5).alias("lat_w"), r6(A.weighted_mean(F.col("lon"), w), 5).alias("lon_w"), r6(A.weighted_variance(F.col("lat"), w), 3).alias("var_lat"),
-        r6(A.effective_count(w), 5).alias("n_eff"), (F.max("us") - F.min("us")).alias("span_us"), F.count("*").alias("n"),
-    )
+    rows = coarse(spark, d).where("alt > 0").select("z", "y", "x", "source", "ident", "event_id", "us", F.col("alt").alias("w"), *[F.expr(f"cast({e} as double)").alias(n) for n, e in MEANS.items()])
+    return A.super_observation(rows, ["z", "y", "x", "source"], "w", list(MEANS), "ident", "event_id", "us", F.col("raw_conf") < 0.5)
 
 
 @query("agg_10_weighted_mean_unguarded", f"WITH {ERRORS} SELECT l_orderkey, round(sum(eu * CASE WHEN w > 45 THEN w ELSE 0 END) / nullif(sum(CASE WHEN w > 45 THEN w ELSE 0 END), 0), 6) AS m FROM errors GROUP BY 1")
@@ -114,7 +123,7 @@ def agg_14(spark, d):
 
 @query("agg_15_quantile_nearest", "SELECT l_suppkey, list_sort(list(l_quantity))[(round((count(*) - 1) * 0.9) + 1)::INTEGER] AS q90 FROM lineitem GROUP BY 1")
 def agg_15(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(A.quantile_nearest(F.col("l_quantity"), 0.9).alias("q90"))
+    return Q.quantiles(read(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", {"q90": 0.9}, "nearest")
 
 
 @query("agg_16_quantile_linear", "SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10 FROM lineitem GROUP BY 1")
@@ -131,7 +140,7 @@ def agg_17(spark, d):
 WITH c AS (SELECT l_suppkey, l_extendedprice AS v, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey ROWS UNBOUNDED PRECEDING) AS c, sum(l_quantity) OVER (PARTITION BY l_suppkey) / 2 AS h FROM lineitem)
 SELECT l_suppkey, min(v) AS m FROM c WHERE c >= h - 1e-9 GROUP BY 1""")
 def agg_18(spark, d):
-    return A.weighted_median(read(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_quantity", "l_orderkey", "m")
+    return Q.weighted_median(read(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_quantity", "m")
 
 
 @query("agg_19_robust_centre", """
@@ -146,8 +155,8 @@ WITH {ERRORS}, e AS (SELECT config, sqrt(eu * eu + ev * ev) AS e FROM errors), q
 SELECT config, round(sqrt(avg(e * e)), 5) AS rmse FROM e JOIN q USING (config) WHERE e <= p + 1e-9 GROUP BY 1""")
 def agg_20(spark, d):
     e = errors(spark, d).select("config", F.sqrt(F.col("eu") * F.col("eu") + F.col("ev") * F.col("ev")).alias("e"))
-    p = e.groupBy("config").agg(F.percentile("e", 0.95).alias("p"))
-    return e.join(p, "config").where("e <= p + 1e-9").groupBy("config").agg(r6(F.sqrt(F.avg(F.col("e") * F.col("e"))), 5).alias("rmse"))
+    p = Q.quantiles(e, ["config"], "e", {"p": 0.95})
+    return e.join(F.broadcast(p), "config").where("e <= p + 1e-9").groupBy("config").agg(r6(F.sqrt(F.avg(F.col("e") * F.col("e"))), 5).alias("rmse"))
 
 
 METRICS = "round(sqrt(avg(eu * eu + ev * ev)), 5) AS rmse, round(avg(sqrt(eu * eu + ev * ev)), 5) AS mae, round(avg(eu), 5) AS bias_u, round(avg(ev), 5) AS bias_v, round(max(sqrt(eu * eu + ev * ev)), 5) AS worst, round(quantile_cont(sqrt(eu * eu + ev * ev), 0.95), 5) AS p95"
@@ -155,7 +164,9 @@ METRICS = "round(sqrt(avg(eu * eu + ev * ev)), 5) AS rmse, round(avg(sqrt(eu * e
 
 @query("agg_21_error_metrics", f"WITH {ERRORS} SELECT config, role, {METRICS} FROM errors GROUP BY config, role")
 def agg_21(spark, d):
-    return errors(spark, d).groupBy("config", "role").agg(*[r6(c, 5).alias(n) for n, c in A.error_metrics(F.col("eu"), F.col("ev")).items()])
+    plain = {n: c for n, c in A.error_metrics(F.col("eu"), F.col("ev")).items() if n != "p95"}
+    m = Q.with_quantiles(errors(spark, d), ["config", "role"], [r6(c, 5).alias(n) for n, c in plain.items()], F.hypot("eu", "ev"), {"p95": 0.95})
+    return m.withColumn("p95", r6(F.coalesce("p95", F.lit(0.0)), 5))
 
 
 @query("agg_22_pooled_rmse", f"""
@@ -167,10 +178,22 @@ def agg_22(spark, d):
     return f.groupBy("g").agg(r6(A.pooled_rmse(F.col("rmse"), F.col("n"), False), 5).alias("pairwise"), r6(A.pooled_rmse(F.col("rmse"), F.col("n"), True), 5).alias("stratified"))
 
 
-@query("agg_23_component_rmse", f"WITH {ERRORS} SELECT config, round(sqrt(avg(0.5 * (eu * eu + ev * ev))), 5) AS component, round(avg(0.5 * (eu * eu + ev * ev)) / 0.09, 4) AS chi2 FROM errors GROUP BY config")
+#: Standard deviations of wind components by height, of two published tables (metres below which, m/s; last: above).
+SIGMA_A = ((1000, 1.4), (3000, 1.3), (6000, 1.2), (None, 1.1))
+SIGMA_B = ((3000, 2.2), (6000, 2.5), (None, 2.8))
+
+
+def _case(table, column):
+    return "CASE " + " ".join(f"WHEN {column} < {top} THEN {v}" for top, v in table[:-1]) + f" ELSE {table[-1][1]} END"
+
+
+@query("agg_23_component_rmse", f"""
+WITH {ERRORS}, e AS (SELECT *, 0.5 * (eu * eu + ev * ev) AS sq, sqrt(eu * eu + ev * ev) AS vec, {_case(SIGMA_A, 'w * 300')}::DOUBLE AS a, {_case(SIGMA_B, 'w * 300')}::DOUBLE AS b FROM errors)
+SELECT config, count(*) AS points, round(avg(eu), 6) AS u_bias, round(avg(ev), 6) AS v_bias, round(avg(abs(eu)), 6) AS u_mae, round(avg(abs(ev)), 6) AS v_mae, round(sqrt(avg(eu * eu)), 6) AS u_rmse, round(sqrt(avg(ev * ev)), 6) AS v_rmse,
+round(sqrt(avg(sq)), 6) AS component_rmse, round(sqrt(avg(vec * vec)), 6) AS vector_rmse, round(avg(vec), 6) AS vector_mae, round(avg(a), 6) AS sigma_a, round(avg(b), 6) AS sigma_b, round(sqrt(avg(sq)) / avg(a), 6) AS over_a, round(sqrt(avg(sq)) / avg(b), 6) AS over_b,
+round(avg(sq / (a * a)), 6) AS chi2_a, round(avg(sq / (b * b)), 6) AS chi2_b, round(quantile_cont(vec, 0.95), 6) AS p95, round(max(vec), 6) AS worst FROM e GROUP BY config""")
 def agg_23(spark, d):
-    half = F.avg(F.expr("0.5D * (eu * eu + ev * ev)"))
-    return errors(spark, d).groupBy("config").agg(r6(F.sqrt(half), 5).alias("component"), r6(half / 0.09, 4).alias("chi2"))
+    return A.component_summary(errors(spark, d).withColumn("alt", F.col("w") * 300), ["config"], "eu", "ev", "alt", SIGMA_A, SIGMA_B)
 
 
 @query("agg_24_win_loss_tie", "SELECT l_returnflag, count(*) FILTER (WHERE l_discount - l_tax < -1e-12) AS wins, count(*) FILTER (WHERE l_discount - l_tax > 1e-12) AS losses, count(*) FILTER (WHERE abs(l_discount - l_tax) <= 1e-12) AS ties FROM lineitem GROUP BY 1")
@@ -179,30 +202,61 @@ def agg_24(spark, d):
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(delta < -1e-12).alias("wins"), F.count_if(delta > 1e-12).alias("losses"), F.count_if(F.abs(delta) <= 1e-12).alias("ties"))
 
 
-RULES = {"all": "true", "high_speed": "gt_speed > 60", "heavy": "w > 40", "role_o": "role = 'O'", "calm": "gt_speed < 5"}
-STRATA = f"{ERRORS}, s AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS stratum FROM errors WHERE {r}" for n, r in RULES.items()) + ")"
+#: Frames of an evaluation: counts of hold-out points, their errors, and what the strata ask.
+FRAMES = f"""{ERRORS}, frames AS (SELECT l_orderkey AS frame, l_orderkey % 3 AS config, count(*) FILTER (WHERE role = 'O') AS holdout, sqrt(avg(eu * eu + ev * ev) FILTER (WHERE role = 'O')) AS rmse, avg(sqrt(eu * eu + ev * ev)) FILTER (WHERE role = 'O') AS mae, avg(eu) FILTER (WHERE role = 'O') AS bias_u, avg(ev) FILTER (WHERE role = 'O') AS bias_v, count(*) FILTER (WHERE gt_speed > 60) AS strong, count(*) FILTER (WHERE w > 45) AS mismatch FROM errors GROUP BY 1, 2)"""
+#: name: (condition, official and with error metrics)
+FRAME_STRATA = {
+    "all_frames": ("true", False), "holdout_only": ("holdout > 0", True), "no_holdout": ("holdout = 0", False), "single_holdout": ("holdout = 1", True), "multi_holdout": ("holdout >= 2", True),
+    "multi_holdout_ge3": ("holdout >= 3", True), "rmse_le6": ("holdout > 0 and rmse <= 6", True), "rmse_gt6": ("holdout > 0 and rmse > 6", True), "strong_wind": ("holdout > 0 and strong > 0", True), "vertical_mismatch": ("holdout > 0 and mismatch > 0", True),
+}
+_FRAME_METRICS = """round(avg(rmse), 6) AS mean_rmse, round(avg(mae), 6) AS mean_mae, round(quantile_cont(rmse, 0.5), 6) AS p50, round(quantile_cont(rmse, 0.9), 6) AS p90, round(quantile_cont(rmse, 0.95), 6) AS p95, round(quantile_cont(rmse, 0.99), 6) AS p99, round(max(rmse), 6) AS worst, round(avg(bias_u), 6) AS bias_u, round(avg(bias_v), 6) AS bias_v,
+round(sqrt(sum(rmse * rmse * holdout) / nullif(sum(holdout) FILTER (WHERE rmse IS NOT NULL), 0)), 6) AS weighted_rmse, round(sum(mae * holdout) / nullif(sum(holdout) FILTER (WHERE mae IS NOT NULL), 0), 6) AS weighted_mae"""
+_NO_METRICS = "NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL"
+
+
+def frames(spark, d):
+    held = F.col("role") == "O"
+    e2 = F.expr("eu * eu + ev * ev")
+    return errors(spark, d).groupBy(F.col("l_orderkey").alias("frame"), (F.col("l_orderkey") % 3).alias("config")).agg(
+        F.count_if(held).alias("holdout"), F.sqrt(F.avg(F.when(held, e2))).alias("rmse"), F.avg(F.when(held, F.sqrt(e2))).alias("mae"), F.avg(F.when(held, F.col("eu"))).alias("bias_u"), F.avg(F.when(held, F.col("ev"))).alias("bias_v"),
+        F.count_if(F.col("gt_speed") > 60).alias("strong"), F.count_if(F.col("w") > 45).alias("mismatch"),
+    )
 
 
-@query("agg_25_strata", f"WITH {STRATA} SELECT config, stratum, count(*) AS n, CASE WHEN stratum <> 'calm' THEN round(sqrt(avg(eu * eu + ev * ev)), 5) END AS rmse FROM s GROUP BY config, stratum")
+@query("agg_25_strata", f"WITH {FRAMES}, configs AS (SELECT DISTINCT config FROM frames), " + ", ".join(f"s{k} AS (SELECT config, count(*) AS frames, sum(holdout)::BIGINT AS points, {_FRAME_METRICS if official else ', '.join('NULL::DOUBLE AS ' + c for c in ('mean_rmse', 'mean_mae', 'p50', 'p90', 'p95', 'p99', 'worst', 'bias_u', 'bias_v', 'weighted_rmse', 'weighted_mae'))} FROM frames WHERE {rule} GROUP BY config)" for k, (rule, official) in enumerate(FRAME_STRATA.values())) + " "
+       + " UNION ALL ".join(f"SELECT configs.config, '{name}' AS stratum, {str(official).lower()} AS official, coalesce(frames, 0) AS frames, coalesce(points, 0) AS points, mean_rmse, mean_mae, p50, p90, p95, p99, worst, bias_u, bias_v, weighted_rmse, weighted_mae FROM configs LEFT JOIN s{k} ON s{k}.config = configs.config" for k, (name, (_, official)) in enumerate(FRAME_STRATA.items())))
 def agg_25(spark, d):
-    s = A.strata(errors(spark, d), {n: F.expr(r) for n, r in RULES.items()})
-    return s.groupBy("config", "stratum").agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(F.expr("eu * eu + ev * ev"))), 5).alias("rmse")).withColumn("rmse", F.when(F.col("stratum") != "calm", F.col("rmse")))
+    return A.frame_strata(frames(spark, d), "config", FRAME_STRATA)
+
 
+#: the nineteen settings that name a configuration, as expressions of its number
+SETTINGS = {f"s{k:02d}": f"(l_suppkey % 10) {op} {c}" for k, (op, c) in enumerate([("%", 2), ("%", 3), ("%", 4), ("%", 5), ("*", 2), ("*", 3), ("*", 5), ("+", 1), ("+", 7), ("-", 3), ("*", 10), ("%", 6), ("%", 7), ("%", 8), ("%", 9), ("+", 100), ("*", 100), ("-", 1), ("+", 0)])}
 
-@query("agg_26_many_keys", f"WITH {ERRORS} SELECT config, role, l_linenumber, l_suppkey % 10 AS kernel, count(*) AS n, round(avg(sqrt(eu * eu + ev * ev)), 5) AS e FROM errors WHERE w > 0 GROUP BY 1, 2, 3, 4")
+
+@query("agg_26_many_keys", f"""
+WITH f AS (SELECT l_orderkey AS frame, {', '.join(f'{e} AS {n}' for n, e in SETTINGS.items())}, count(*) FILTER (WHERE l_linestatus = 'O') AS holdout, sqrt(avg(l_discount * l_discount * 100 + l_tax * l_tax * 100)) AS rmse, max(l_quantity) AS support FROM lineitem GROUP BY 1, l_suppkey % 10)
+SELECT {', '.join(SETTINGS)}, count(*) AS frames, count(*) FILTER (WHERE holdout > 0) AS official, sum(holdout)::BIGINT AS points, round(avg(rmse) FILTER (WHERE holdout > 0), 6) AS mean_rmse, round(max(rmse) FILTER (WHERE holdout > 0), 6) AS worst, round(sqrt(sum(rmse * rmse * holdout) / nullif(sum(holdout), 0)), 6) AS weighted_rmse, round(avg(support), 6) AS support FROM f GROUP BY ALL""")
 def agg_26(spark, d):
-    return errors(spark, d).where("w > 0").groupBy("config", "role", "l_linenumber", (F.col("l_suppkey") % 10).alias("kernel")).agg(F.count("*").alias("n"), r6(F.avg(F.sqrt(F.expr("eu * eu + ev * ev"))), 5).alias("e"))
+    li = read(spark, d, "lineitem")
+    f = li.groupBy(F.col("l_orderkey").alias("frame"), (F.col("l_suppkey") % 10).alias("c")).agg(F.count_if(F.col("l_linestatus") == "O").alias("holdout"), F.sqrt(F.avg(F.expr("l_discount * l_discount * 100 + l_tax * l_tax * 100"))).alias("rmse"), F.max("l_quantity").alias("support"))
+    f = f.select("*", *[F.expr(e.replace("(l_suppkey % 10)", "c")).alias(n) for n, e in SETTINGS.items()])
+    return A.by_configuration(f, list(SETTINGS), "rmse", "holdout", "support")
+
+
+POINT_STRATA = {
+    "all": "true", "single_line": "lines = 1", "ge2": "lines >= 2", "ge3": "lines >= 3", "alt_9_12km": "alt >= 9000 and alt < 12000", "alt_12km_plus": "alt >= 12000", "alt_12km_plus_single": "alt >= 12000 and lines = 1",
+    "context_only": "role = 'F'", "alt_12km_plus_context_only": "alt >= 12000 and role = 'F'", "single_context_only": "lines = 1 and role = 'F'", "current": "role = 'O'", "far": "l_linenumber > 4", "role_gap": "gt_speed >= 30",
+    "role_conflict": "config = 'R'", "review": "w > 48", "no_review": "not (w > 48)", "high_error": "sqrt(eu * eu + ev * ev) >= 1", "extreme_truth": "gt_speed >= 80", "extreme_config": "config = 'N' and w >= 40", "calm": "gt_speed < 5",
+}
+POINTS = f"{ERRORS}, points AS (SELECT *, w * 300 AS alt, count(*) OVER (PARTITION BY l_orderkey) AS lines FROM errors)"
 
 
-@query("agg_27_tail_metrics", f"""
-WITH {STRATA}, t AS (SELECT sum(eu * eu + ev * ev) AS total FROM errors)
-SELECT stratum, round(quantile_cont(sqrt(eu * eu + ev * ev), 0.5), 5) AS p50, round(quantile_cont(sqrt(eu * eu + ev * ev), 0.99), 5) AS p99, round(sum(eu * eu + ev * ev) / any_value(total), 5) AS sse_share, count(DISTINCT l_orderkey) AS frames FROM s, t GROUP BY stratum""")
+@query("agg_27_tail_metrics", f"WITH {POINTS}, total AS (SELECT sum(eu * eu + ev * ev) AS sse FROM errors), s AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS stratum FROM points WHERE {r}" for n, r in POINT_STRATA.items()) + """), e AS (SELECT *, sqrt(eu * eu + ev * ev) AS e FROM s)
+SELECT stratum, count(*) AS points, count(DISTINCT l_orderkey) AS frames, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS mae, round(quantile_cont(e, 0.5), 6) AS p50, round(quantile_cont(e, 0.9), 6) AS p90, round(quantile_cont(e, 0.95), 6) AS p95, round(quantile_cont(e, 0.99), 6) AS p99, round(max(e), 6) AS worst,
+round(sum(e * e) / any_value(sse), 6) AS sse_share, round(avg(alt), 4) AS mean_alt, round(avg(gt_speed), 4) AS mean_speed, round(avg(l_linenumber), 6) AS mean_distance FROM e, total GROUP BY stratum""")
 def agg_27(spark, d):
-    e = errors(spark, d)
-    total = e.agg(F.sum(F.expr("eu * eu + ev * ev")).alias("total"))  # one row
-    e = A.strata(e, {n: F.expr(r) for n, r in RULES.items()}).join(F.broadcast(total))
-    size = F.sqrt(F.expr("eu * eu + ev * ev"))
-    return e.groupBy("stratum").agg(r6(F.percentile(size, 0.5), 5).alias("p50"), r6(F.percentile(size, 0.99), 5).alias("p99"), r6(F.sum(F.expr("eu * eu + ev * ev")) / F.first("total"), 5).alias("sse_share"), F.count_distinct("l_orderkey").alias("frames"))
+    p = errors(spark, d).withColumn("alt", F.col("w") * 300).withColumn("lines", F.count("*").over(Window.partitionBy("l_orderkey")))
+    return A.tail_metrics(p, "l_orderkey", "eu", "ev", {n: F.expr(r) for n, r in POINT_STRATA.items()}, {"mean_alt": ("alt", 4), "mean_speed": ("gt_speed", 4), "mean_distance": ("l_linenumber", 6)})
 
 
 @query("agg_28_rule_recall", f"""
@@ -226,12 +280,12 @@ def agg_29(spark, d):
 
 
 @query("agg_30_score_buckets", f"""
-WITH {SCORED}, b AS (SELECT floor(p * 10)::BIGINT AS bucket, count(*) AS n, sum(y) AS hits FROM scored GROUP BY 1)
-SELECT bucket, n, round(sum(hits) OVER (ORDER BY bucket DESC) / sum(hits) OVER (), 6) AS recall FROM b""")
+WITH {ERRORS}, e AS (SELECT floor(gt_speed / 10)::BIGINT AS bucket, sqrt(eu * eu + ev * ev) AS e, sqrt(eu * eu + ev * ev) >= 1 AS high FROM errors), b AS (SELECT bucket, count(*) AS n, sqrt(avg(e * e)) AS rmse, avg(e) AS mae, quantile_cont(e, 0.5) AS p50, quantile_cont(e, 0.95) AS p95, quantile_cont(e, 0.99) AS p99, count(*) FILTER (WHERE high) AS high, sum(e * e) AS sse FROM e GROUP BY 1)
+SELECT bucket, n, round(n / sum(n) OVER ()::DOUBLE, 6) AS share, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99, high, round(high / n::DOUBLE, 6) AS high_rate, round(high / sum(high) OVER ()::DOUBLE, 6) AS high_recall, round(sse / sum(sse) OVER (), 6) AS sse_share,
+(sum(n) OVER w)::BIGINT AS n_above, round(sum(high) OVER w / sum(high) OVER ()::DOUBLE, 6) AS recall_above, round(sum(sse) OVER w / sum(sse) OVER (), 6) AS sse_above FROM b WINDOW w AS (ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING)""")
 def agg_30(spark, d):
-    b = scored(spark, d).groupBy(F.floor(F.col("p") * 10).alias("bucket")).agg(F.count("*").alias("n"), F.sum("y").alias("hits"))  # ten rows
-    down = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return b.select("bucket", "n", r6(F.sum("hits").over(down) / F.sum("hits").over(Window.partitionBy())).alias("recall"))
+    e = errors(spark, d).select(F.floor(F.col("gt_speed") / 10).alias("bucket"), F.sqrt(F.expr("eu * eu + ev * ev")).alias("e"))
+    return A.score_buckets(e, "bucket", "e", 1.0)
 
 
 @query("agg_31_top_examples", f"WITH {ERRORS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sqrt(eu * eu + ev * ev), 6) AS e FROM errors ORDER BY sqrt(eu * eu + ev * ev) DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25")
@@ -255,9 +309,13 @@ def agg_34(spark, d):
     return read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set("o_orderstatus")), "|").alias("statuses"), F.array_join(F.sort_array(F.collect_list("o_orderkey")).cast("array<string>"), "|").alias("keys"))
 
 
-@query("agg_35_correlations", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 5) AS qe, round(corr(l_discount, l_tax), 5) AS dt FROM lineitem GROUP BY 1")
+PEARSON = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber::DOUBLE", "fixed": "1.0::DOUBLE"}
+
+
+@query("agg_35_correlations", " UNION ALL ".join(f"SELECT l_returnflag, '{a}' AS a, '{b}' AS b, " + ("NULL::DOUBLE" if "fixed" in (a, b) else f"round(corr({x}, {y}), 6)") + " AS r FROM lineitem GROUP BY l_returnflag" for a, x in PEARSON.items() for b, y in PEARSON.items()))
 def agg_35(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(F.corr("l_quantity", "l_extendedprice"), 5).alias("qe"), r6(F.corr("l_discount", "l_tax"), 5).alias("dt"))
+    li = read(spark, d, "lineitem").select("l_returnflag", *[F.expr(e.replace("::DOUBLE", "")).cast("double").alias(n) for n, e in PEARSON.items()])
+    return A.correlations(li, ["l_returnflag"], list(PEARSON))
 
 
 @query("agg_36_calibration_error", f"""
@@ -266,32 +324,36 @@ def agg_36(spark, d):
     return A.calibration_error(scored(spark, d), [], "p", "y", 15).select(r6(F.col("ece")).alias("ece"))
 
 
-@query("agg_37_brier", f"WITH {SCORED} SELECT round(avg(pow(p - y, 2)), 6) AS plain, round(avg(pow(p * p - y, 2)), 6) AS squared, round(avg(pow(0.5 - y, 2)), 6) AS constant FROM scored")
+#: Candidate bridges: residuals, Mahalanobis distances, a calibrated chance and the truth.
+LINKS = "l AS (SELECT l_discount * 50 AS km, l_quantity * 40 AS climb, l_linenumber * 200 AS gap, l_discount * 20 AS ahead, l_tax * 20 AS back, l_quantity / 20 AS high, 1 / (1 + exp(l_discount * 30 - 2)) AS chance, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem)"
+FORMULAS = {
+    "none": "0.0", "physical": "CASE WHEN km <= 3 AND climb <= 1000 AND gap <= 900 THEN 1.0 ELSE 0.0 END", "forward": "exp(-0.5 * ahead)", "both_ways": "exp(-0.25 * (ahead + back))",
+    "covariance": "exp(-0.20 * (ahead + back + high))", "calibrated": "chance",
+}
+
+
+@query("agg_37_brier", f"WITH {LINKS}, p AS (" + " UNION ALL ".join(f"SELECT '{n}' AS model, ({e})::DOUBLE AS p, y FROM l" for n, e in FORMULAS.items()) + "), b AS (SELECT model, least(floor(p * 15), 14) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my, sum(pow(p - y, 2)) AS s FROM p GROUP BY 1, 2) SELECT model, round(sum(s) / sum(n), 6) AS brier, round(sum(n * abs(mp - my)) / sum(n), 6) AS ece FROM b GROUP BY 1")
 def agg_37(spark, d):
-    b = lambda f: r6(F.avg(F.pow(f - F.col("y"), 2)))
-    return scored(spark, d).agg(b(F.col("p")).alias("plain"), b(F.col("p") * F.col("p")).alias("squared"), b(F.lit(0.5)).alias("constant"))
+    li = read(spark, d, "lineitem").selectExpr("l_discount * 50 as km", "l_quantity * 40 as climb", "l_linenumber * 200 as gap", "l_discount * 20 as ahead", "l_tax * 20 as back", "l_quantity / 20 as high", "1 / (1 + exp(l_discount * 30 - 2)) as chance", "if(l_returnflag = 'R', 1D, 0D) as y")
+    return A.brier_scores(li, A.baseline_chances("km", "climb", "gap", "ahead", "back", "high", "chance"), "y", 15)
 
 
 @query("agg_38_robust_sigma", f"WITH {ERRORS} SELECT config, role, round(least(6.0, greatest(1.0, 0.5 * sqrt(avg(eu * eu)) + 0.5 * quantile_cont(abs(eu), 0.75))), 5) AS sigma FROM errors GROUP BY config, role")
 def agg_38(spark, d):
-    return errors(spark, d).groupBy("config", "role").agg(r6(A.robust_sigma(F.col("eu"), 1.0, 6.0), 5).alias("sigma"))
+    return A.robust_sigmas(errors(spark, d), ["config", "role"], "eu", 1.0, 6.0, 0).select("config", "role", r6(F.col("sigma"), 5).alias("sigma"))
 
 
-@query("agg_39_sigma_map", f"""
-WITH {ERRORS}, b AS (SELECT config, role, l_linenumber AS band, eu FROM errors)
-SELECT 'bin' AS kind, config || '|' || role || '|' || band AS key, round(sqrt(avg(eu * eu)), 5) AS sigma FROM b GROUP BY config, role, band HAVING count(*) >= 1000
-UNION ALL SELECT 'config', config, round(sqrt(avg(eu * eu)), 5) FROM b GROUP BY config HAVING count(*) >= 1000
-UNION ALL SELECT 'band', band::VARCHAR, round(sqrt(avg(eu * eu)), 5) FROM b GROUP BY band HAVING count(*) >= 1000""")
-def agg_39(spark, d):
-    b = errors(spark, d).select("config", "role", F.col("l_linenumber").alias("band"), "eu")
-    # partial sums per composite bin are enough for every marginal
-    part = b.groupBy("config", "role", "band").agg(F.count("*").alias("n"), F.sum(F.col("eu") * F.col("eu")).alias("s"))
+SIGMA_BINS = {"bin": ["config", "role", "band", "kernel"], "config": ["config"], "role": ["role"], "band": ["band"], "kernel": ["kernel"]}
 
-    def marginal(kind, keys):
-        g = part.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where("n >= 1000")
-        return g.select(F.lit(kind).alias("kind"), F.concat_ws("|", *keys).alias("key"), r6(F.sqrt(F.col("s") / F.col("n")), 5).alias("sigma"))
 
-    return marginal("bin", ["config", "role", "band"]).unionByName(marginal("config", ["config"])).unionByName(marginal("band", ["band"]))
+@query("agg_39_sigma_map", f"WITH {ERRORS}, b AS (SELECT config, role, l_linenumber::VARCHAR AS band, (l_suppkey % 4)::VARCHAR AS kernel, sqrt(eu * eu + ev * ev) AS x FROM errors) " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, {' || chr(124) || '.join(keys)} AS key, count(*) AS n, CASE WHEN count(*) >= 200 THEN round(least(6.0, greatest(0.1, 0.5 * sqrt(avg(x * x)) + 0.5 * quantile_cont(abs(x), 0.75))), 6) END AS sigma FROM b GROUP BY {', '.join(keys)}" for kind, keys in SIGMA_BINS.items()))
+def agg_39(spark, d):
+    b = errors(spark, d).select("config", "role", F.col("l_linenumber").cast("string").alias("band"), (F.col("l_suppkey") % 4).cast("string").alias("kernel"), F.sqrt(F.expr("eu * eu + ev * ev")).alias("x"))
+    out = None
+    for kind, keys in SIGMA_BINS.items():
+        part = A.robust_sigmas(b, keys, "x", 0.1, 6.0, 200).select(F.lit(kind).alias("kind"), F.concat_ws("|", *keys).alias("key"), "n", r6(F.col("sigma")).alias("sigma"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 AGG40 = f"{CCELLS}, v AS (SELECT z, y, x, avg(speed) AS s, count(*) AS n FROM cells GROUP BY z, y, x)"
@@ -315,7 +377,9 @@ def agg_41(spark, d):
 
 @query("agg_42_summary", "SELECT l_returnflag, min(l_quantity) AS q_min, round(quantile_cont(l_quantity, 0.1), 6) AS q_q10, round(quantile_cont(l_quantity, 0.5), 6) AS q_q50, round(quantile_cont(l_quantity, 0.9), 6) AS q_q90, round(quantile_cont(l_quantity, 0.99), 6) AS q_q99, max(l_quantity) AS q_max, count(*) FILTER (WHERE l_quantity IS NULL) AS q_nulls FROM lineitem GROUP BY 1")
 def agg_42(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(*A.summary(F.col("l_quantity"), "q"))
+    q = F.col("l_quantity")
+    m = Q.with_quantiles(read(spark, d, "lineitem"), ["l_returnflag"], [F.min(q).alias("q_min"), F.max(q).alias("q_max"), F.count_if(q.isNull()).alias("q_nulls")], q, {"q_q10": 0.1, "q_q50": 0.5, "q_q90": 0.9, "q_q99": 0.99})
+    return m.select("l_returnflag", "q_min", *[r6(F.col(c)).alias(c) for c in ("q_q10", "q_q50", "q_q90", "q_q99")], "q_max", "q_nulls")
 
 
 @query("agg_43_frame_scale", f"""
