@@ -66,3 +66,12 @@ def quality(legs: DataFrame, hard_gap_s: float, jump_km: float) -> DataFrame:
 
 def previous_within(df: DataFrame, keys: list[str], order: list, column: str, name: str) -> DataFrame:
     return df.withColumn(name, F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def pseudo_batches(points: DataFrame, keys: list[str], order: list[str], sizes: tuple[int, ...], least: int = 20, delay_us: int = 60_000_000) -> DataFrame:
+    """Legs of `least` points or more cut into whole batches of each size, as if received `delay_us` after their last point."""
+    w = Window.partitionBy(*keys)
+    r = points.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)}).where(F.col("__n") >= least)
+    r = r.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("batch", F.floor(F.col("__i") / F.col("size")))
+    g = r.groupBy(*keys, "size", "batch").agg(F.count("*").alias("n"), F.min("us").alias("start_us"), (F.max("us") + delay_us).alias("end_us"), F.min("event_id").alias("first_event"))
+    return g.where("n = size")
