@@ -60,7 +60,7 @@ ODDS = 1e-7
 #: Adjacent values that make a key of a long list (see run_sketch_for and _run_widths).
 RUN = 3
 #: Members of a list up to which all its pairs are looked at, and of a block of a longer one.
-SHORT, BLOCK = 64, 4096
+SHORT, BLOCK = 64, 512
 PIVOT_ROUNDS = 2
 #: Ids of paired documents are sent to every executor up to this many (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 500_000
@@ -383,9 +383,13 @@ def _prefixes(percent: int, common: np.ndarray):
     """Differences -> pivot, value, rep, n, d, place for the first values of each, rare ones first."""
     schema = pa.schema([*((c, pa.int64()) for c in ("pivot", "value", "rep", "n", "d", "place")), ("parity", pa.binary())])
 
+    def out(parts: list[list]) -> pa.RecordBatch:
+        *numbers, cells = zip(*parts, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)) for c in numbers), pa.array([x for c in cells for x in c], pa.binary())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            parts, size = [], 0
             for pivot, rep, n, x, odd in zip(*(batch.column(c).to_pylist() for c in ("pivot", "rep", "n", "apart", "parity")), strict=True):
                 values = np.frombuffer(x, dtype=np.uint64)
                 d, most = len(values), most_apart(n + 100 * n // percent, percent)  # T for the largest partner
@@ -394,9 +398,12 @@ def _prefixes(percent: int, common: np.ndarray):
                 values = np.append(first, np.full(int(near), NEAR, dtype=np.int64))
                 places = np.append(np.arange(len(first)), np.zeros(int(near), dtype=np.int64))
                 parts.append([np.full(len(values), pivot), values, np.full(len(values), rep), np.full(len(values), n), np.full(len(values), d), places, [odd] * len(values)])
+                size += len(values)
+                if size >= 10_000:
+                    yield out(parts)
+                    parts, size = [], 0
             if parts:
-                *numbers, cells = zip(*parts, strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)) for c in numbers), pa.array([x for c in cells for x in c], pa.binary())], schema=schema)
+                yield out(parts)
 
     return run
 
