@@ -38,6 +38,8 @@ from windgrid.llm.scratch import Scratch, bounded_batches, table
 LEAST = 1000
 #: An archive is closed at this many bytes.
 ARCHIVE_BYTES = 4 << 20
+#: Archives that one task reads, about.
+ARCHIVES = 8
 #: Captures that one task merges, about.
 MERGE_ROWS = 50_000
 #: Digests of repeated payloads are sent to every executor up to this many (60 bytes each), and joined by a shuffle beyond.
@@ -258,7 +260,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fetched(archives: DataFrame, index: DataFrame) -> DataFrame:
     """The captures that an index (archive, at, size) names, from the records themselves; an archive holds a bounded number."""
     places = index.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("places"))
-    return archives.join(places, "archive").select("archive", "data", "places").mapInArrow(_fetch, CAPTURE)
+    parts = max(archives.sparkSession.sparkContext.defaultParallelism, -(-archives.count() // ARCHIVES))
+    both = archives.repartition(parts, "archive").join(places.repartition(parts, "archive"), "archive")
+    return both.select("archive", "data", "places").mapInArrow(_fetch, CAPTURE)
 
 
 def files(archives: DataFrame, folder: str) -> DataFrame:
