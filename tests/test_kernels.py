@@ -124,3 +124,75 @@ def test_quantiles_against_numpy(spark):
     assert quantiles.quantiles(df.limit(0), ["g"], "x", wanted).count() == 0
     both = quantiles.with_quantiles(df, ["g"], [F.count("*").alias("n")], F.col("x"), {"m": 0.5})
     assert {r["g"]: (r["n"], r["m"]) for r in both.collect()}[9] == (1, None)
+
+
+def test_brackets_by_bucket(spark):
+    from windgrid.operators import joins
+
+    rng = np.random.default_rng(8)
+    right = spark.createDataFrame([(int(k), int(t), float(i)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 40), rng.choice(5000, 40, replace=False), strict=True))], "k int, s long, v double")
+    left = spark.createDataFrame([(int(k), int(t)) for k, t in zip(rng.integers(0, 4, 60), rng.integers(-500, 6000, 60), strict=True)] + [(None, 5)], "k int, t long")
+    plain, bucketed = (sorted(map(str, joins.bracket(left, right, ["k"], "t", "s", "v", width).collect())) for width in (None, 300))
+    assert plain == bucketed and len(plain) == 60
+    wide, narrow = (sorted(map(str, joins.asof_nearest(left, right, ["k"], "t", "s", "v", tolerance).collect())) for tolerance in (1e9, 250))
+    for a, b in zip(wide, narrow, strict=True):
+        assert a == b or "match=None" in b
+
+
+def test_nearest_cells_far_away(spark):
+    from windgrid.operators.nearest import nearest_cells
+
+    rng = np.random.default_rng(9)
+    a = [(i, 1, int(y), int(x)) for i, (y, x) in enumerate(rng.integers(0, 300, (30, 2)))]
+    b = [(i, 1, int(y), int(x)) for i, (y, x) in enumerate(rng.integers(0, 60, (25, 2)))]
+    got = nearest_cells(spark.createDataFrame(a, "a long, g int, y long, x long"), spark.createDataFrame(b, "b long, g int, y long, x long"), ["g"], "a", "b", 3).collect()
+    for i, _, y, x in a:
+        want = sorted(((y - v) ** 2 + (x - u) ** 2, j) for j, _, v, u in b)[:3]
+        assert sorted((r["d2"], r["b"]) for r in got if r["a"] == i) == want
+
+
+def test_pairs_over_pole_and_date_line(spark):
+    from windgrid.operators.nearest import pairs_on_sphere
+
+    points = spark.createDataFrame([(1, 10.0, 179.9), (2, 10.0, -179.9), (3, 89.5, 0.0), (4, 89.5, 180.0), (5, 40.0, 100.0)], "k int, lat double, lon double")
+    got = {(r["a"]["k"], r["b"]["k"]) for r in pairs_on_sphere(points, "k", "lat", "lon", 600.0).collect()}
+    assert {(1, 2), (2, 1), (3, 4), (4, 3)} <= got and not any(5 in p for p in got)
+
+
+def test_time_never_passes_the_end(spark):
+    from windgrid.operators import uncertainty
+
+    rng = np.random.default_rng(10)
+    rows = [(10**15, int(n), int(rng.integers(1, n + 1)), float(p) if rng.random() < 0.8 else None, float(g) if rng.random() < 0.8 else None, float(h), float(v), str(rng.choice(["ASC", "DES", "LVR", "x"])), bool(rng.random() < 0.5), 50.0, 2.0, 300.0, 10**15 + int(rng.integers(-(10**10), 10**10))) for n, p, g, h, v in zip(rng.integers(1, 12, 200), rng.uniform(0, 5000, 200), rng.uniform(-100, 9000, 200), rng.uniform(0, 1e6, 200), rng.uniform(0, 9000, 200), strict=True)]
+    df = spark.createDataFrame(rows, "us long, n int, nth int, prior_s double, gap_s double, hspan_m double, vspan_m double, phase string, accepted boolean, sampling_s double, cross_km double, vertical_m double, estimate_us long")
+    for r in uncertainty.row_times(df).collect():
+        assert r["q10_us"] <= r["q50_us"] <= r["q90_us"] <= r["us"]
+        assert r["accepted"] or 300 <= r["uncertainty_s"] <= 3600
+        assert not r["accepted"] or r["uncertainty_s"] <= 300
+
+
+def test_phases_and_profiles(spark, tmp_path):
+    from windgrid import jobs
+
+    lines = []
+    done = jobs.run_phases([("a", lambda: spark.range(3)), ("b", lambda: spark.read.parquet(f"{tmp_path}/none")), ("c", lambda: spark.range(1))], jobs.to_parquet(spark, str(tmp_path)), lines.append)
+    assert [(p.name, p.state, p.rows) for p in done] == [("a", "done", 3), ("b", "failed", 0), ("c", "skipped", 0)] and len(lines) == 4 and done[1].detail
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = jobs.compare_profiles(spark, lambda: spark.range(100).selectExpr("id % 7 as k"), {"base": {}, "two": {"spark.sql.shuffle.partitions": "2"}}, "base", 10)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and found[0]["checksum"] == found[1]["checksum"] and found[0]["share_of_base"] == 1.0
+
+
+def test_rejections_are_counted_by_the_first_rule(spark):
+    from windgrid.operators import joins
+
+    leg = dict(leg_id=1, tail=7, flight=70, start_s=1000, stop_s=5000, lat_a=30.0, lat_b=30.0, lon_a=100.0, lon_b=100.0, alt_a=9000.0, alt_b=9000.0, leg_phase="ASC")
+    ok = dict(tail=7, flight=70, end_s=2000, previous_s=None, n=1, lat=30.0, lon=100.0, low_m=9000.0, high_m=9000.0, phase="ASC")
+    changes = [
+        {}, {"flight": 71}, {"flight": None}, {"tail": None}, {"tail": 8}, {"tail": 8, "flight": 99}, {"end_s": 939}, {"end_s": 940}, {"end_s": 12200}, {"end_s": 12201}, {"previous_s": 12200}, {"previous_s": 12201},
+        {"lat": 30.75}, {"lat": 30.8}, {"low_m": 10500.0, "high_m": 10600.0}, {"low_m": 10501.0, "high_m": 10600.0}, {"phase": "DES"}, {"phase": "LVR"},
+    ]
+    batches = spark.createDataFrame([(i, *(ok | c).values()) for i, c in enumerate(changes)], "batch int, tail int, flight int, end_s long, previous_s long, n int, lat double, lon double, low_m double, high_m double, phase string")
+    legs = spark.createDataFrame([tuple(leg.values())], "leg_id int, tail int, flight int, start_s long, stop_s long, lat_a double, lat_b double, lon_a double, lon_b double, alt_a double, alt_b double, leg_phase string")
+    found, counts = joins.leg_candidates(batches, legs)
+    assert {r["batch"]: r["grade"] for r in found.collect()} == {0: "ID-A", 1: "ID-B", 2: "ID-C", 3: "ID-D", 7: "ID-A", 8: "ID-A", 10: "ID-A", 12: "ID-A", 14: "ID-A", 17: "ID-A"}
+    assert {r["verdict"]: r["n"] for r in counts.collect()} == {"candidate": 10, "identity_conflict": 1, "no_identity_candidate": 1, "time_failed": 3, "geometry_failed": 1, "altitude_failed": 1, "phase_failed": 1}

@@ -143,3 +143,41 @@ def guard(train: DataFrame, held: DataFrame, roles: set[str]) -> None:
         raise Leak("held-out rows are among the training rows")
     if not train.where(~F.col("role").isin(*sorted(roles)) | F.col("role").isNull()).isEmpty():
         raise Leak("training rows have a role that is no wind source")
+
+
+#: For each signal of a frame the least size (of the larger frame; of this one for wind and seed), change and share of change.
+TRIGGERS = {"wind": (8, 4, 0.35), "motion": (40, 10, 0.20), "pairs": (40, 15, 0.20), "links": (15, 4, 0.15), "seed": (120, 20, 0.15)}
+OWN_SIZE = ("wind", "seed")
+
+
+def event_trigger(frames: DataFrame, frame: str) -> DataFrame:
+    """frame, reason, fired: whether a frame is worth a reconstruction, against the frame before it.
+
+    The first frame is, one after a gap is, and one in which a signal changes by enough both in size and in share.
+    """
+    w = Window.orderBy(frame)  # a row per frame
+    s = frames.withColumn("__f", F.lag(frame).over(w)).withColumns({f"__{n}": F.lag(n).over(w) for n in TRIGGERS})
+    fired = {}
+    for n, (size, change, share) in TRIGGERS.items():
+        apart = F.abs(F.col(n) - F.col(f"__{n}"))
+        big = F.col(n) if n in OWN_SIZE else F.greatest(n, f"__{n}")
+        fired[n] = (big >= size) & (apart >= change) & (apart / F.greatest(F.lit(1.0), F.abs(f"__{n}")) >= share)
+    named = F.concat_ws("|", *[F.when(c, F.lit(n)) for n, c in fired.items()])
+    reason = F.when(F.col("__f").isNull(), "first").when(F.col(frame) - F.col("__f") > 1, "gap").otherwise(named)
+    return s.select(frame, reason.alias("reason")).withColumn("fired", F.col("reason") != "")
+
+
+def between_analyses(fields: DataFrame, wanted: DataFrame, scale: float = 24.0, rapid: float = 18.0) -> DataFrame:
+    """The field (frame, z, y, x, u, v) at times (t0, t1, a) between two analyses, a in [0, 1): nearest and linear.
+
+    change is the speed by which the two differ, conf falls with it, rapid marks where it is large. At an analysis
+    (a = 0) its own cells are taken; elsewhere those that both have.
+    """
+    cells = ["z", "y", "x"]
+    first = wanted.join(fields.withColumnsRenamed({"frame": "t0", "u": "u0", "v": "v0"}), "t0")
+    both = first.where("a > 0").join(fields.withColumnsRenamed({"frame": "t1", "u": "u1", "v": "v1"}), ["t1", *cells])
+    whole = first.where("a = 0").withColumns({"u1": F.col("u0"), "v1": F.col("v0")}).unionByName(both)
+    change = F.hypot(F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0"))
+    mix = lambda c: (1 - F.col("a")) * F.col(f"{c}0") + F.col("a") * F.col(f"{c}1")
+    out = whole.withColumns({"u_nearest": F.when(F.col("a") < 0.5, F.col("u0")).otherwise(F.col("u1")), "u_linear": mix("u"), "v_linear": mix("v"), "change": change})
+    return out.withColumns({"conf": F.exp(-F.col("change") / scale), "rapid": F.col("change") >= rapid})

@@ -28,6 +28,21 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
 
+def tiered_selection(df: DataFrame, keys: list[str], eligible: Column, usable: Column, count: str, confidence: str, tie: str, cap: int, fallback: int) -> DataFrame:
+    """Up to `cap` rows of each group, with origin: eligible ones by count, then usable ones by confidence to fill up.
+
+    A group with neither gets its `fallback` best by confidence.
+    """
+    tier = F.when(eligible, 1).when(usable, 2).otherwise(3)
+    w = Window.partitionBy(*keys)
+    t = df.withColumn("__t", tier).withColumn("__some", F.count_if(F.col("__t") < 3).over(w) > 0)
+    order = [F.when(F.col("__some"), F.col("__t")).otherwise(0), F.when(F.col("__some") & (F.col("__t") == 1), -F.col(count)).otherwise(0), F.col(confidence).desc(), F.col(tie)]
+    r = t.withColumn("__r", F.row_number().over(w.orderBy(*order)))
+    origin = F.when(~F.col("__some"), "fallback").when(F.col("__t") == 1, "eligible").otherwise("backfill")
+    kept = r.where(F.when(F.col("__some"), (F.col("__t") < 3) & (F.col("__r") <= cap)).otherwise(F.col("__r") <= fallback))
+    return kept.withColumn("origin", origin).drop("__t", "__some", "__r")
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return top_k(df, keys, order, 1)
 

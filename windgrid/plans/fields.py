@@ -389,12 +389,19 @@ def fld_42(spark, d):
     return h.groupBy("frame").agg(F.count_if(F.try_divide(F.col("h"), F.col("m")) > 0.6).alias("alerts"))
 
 
+#: the five signals of a frame, from reports of the day; the sum of winds stands for the strength of the seed
+SIGNALS = {"wind": "count(*) FILTER (WHERE source = 'turb')", "motion": "count(*) FILTER (WHERE source = 'amdar')", "pairs": "count(*) FILTER (WHERE speed > 50)", "links": "count(DISTINCT ident)", "seed": "round(sum(wind_speed) / 10, 6)"}
+
+
 @query("fld_43_event_trigger", f"""
-WITH {REC}, s AS (SELECT frame, avg(sqrt(u * u + v * v)) AS s, count(*) AS n FROM field GROUP BY 1), l AS (SELECT *, lag(s) OVER (ORDER BY frame) AS ps FROM s) SELECT frame, coalesce(abs(s - ps) > 1 AND abs(s - ps) / ps > 0.02, false) AS fired FROM l""")
+WITH {OBS}, s AS (SELECT us // 86400000000 AS frame, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in SIGNALS.items())} FROM obs WHERE event_id % 3 <> 0 OR us // 86400000000 % 5 <> 0 GROUP BY 1), l AS (SELECT *, lag(frame) OVER w AS pf, {', '.join(f'lag({n}) OVER w AS p{n}' for n in SIGNALS)} FROM s WINDOW w AS (ORDER BY frame)),
+e AS (SELECT *, {', '.join(f'abs({n} - p{n}) AS d{n}, abs({n} - p{n}) / greatest(1.0, abs(p{n})) AS j{n}' for n in SIGNALS)} FROM l),
+f AS (SELECT *, wind >= 8 AND dwind >= 4 AND jwind >= 0.35 AS fwind, greatest(motion, pmotion) >= 40 AND dmotion >= 10 AND jmotion >= 0.20 AS fmotion, greatest(pairs, ppairs) >= 40 AND dpairs >= 15 AND jpairs >= 0.20 AS fpairs, greatest(links, plinks) >= 15 AND dlinks >= 4 AND jlinks >= 0.15 AS flinks, seed >= 120 AND dseed >= 20 AND jseed >= 0.15 AS fseed FROM e)
+SELECT frame, CASE WHEN pf IS NULL THEN 'first' WHEN frame - pf > 1 THEN 'gap' ELSE concat_ws('|', CASE WHEN fwind THEN 'wind' END, CASE WHEN fmotion THEN 'motion' END, CASE WHEN fpairs THEN 'pairs' END, CASE WHEN flinks THEN 'links' END, CASE WHEN fseed THEN 'seed' END) END AS reason, pf IS NULL OR frame - pf > 1 OR fwind OR fmotion OR fpairs OR flinks OR fseed AS fired FROM f""")
 def fld_43(spark, d):
-    s = field(spark, d).groupBy("frame").agg(F.avg(F.sqrt(F.expr("u * u + v * v"))).alias("s"))
-    p = s.select((F.col("frame") + 1).alias("frame"), F.col("s").alias("ps"))  # the frame before, by its number
-    return s.join(p, "frame", "left").select("frame", F.coalesce((F.abs(F.col("s") - F.col("ps")) > 1) & (F.abs(F.col("s") - F.col("ps")) / F.col("ps") > 0.02), F.lit(False)).alias("fired"))
+    o = obs(spark, d).withColumn("frame", F.expr("us div 86400000000")).where("event_id % 3 <> 0 or frame % 5 <> 0")
+    s = o.groupBy("frame").agg(F.count_if(F.col("source") == "turb").alias("wind"), F.count_if(F.col("source") == "amdar").alias("motion"), F.count_if(F.col("speed") > 50).alias("pairs"), F.count_distinct("ident").alias("links"), r6(F.sum("wind_speed") / 10).alias("seed"))
+    return X.event_trigger(s.select("frame", *[F.col(c).cast("double").alias(c) for c in SIGNALS]), "frame")
 
 
 @query("fld_44_variational")
@@ -419,11 +426,16 @@ def fld_44(spark, d):
     return field(spark, d).select(*KEY, "u", "v", "conf").groupBy("frame").applyInPandas(run, "frame long, z long, y long, x long, u double, v double")
 
 
-@query("fld_45_time_interpolation", f"WITH {REC}, {BG} SELECT frame, z, y, x, round(0.75 * bu + 0.25 * u, 4) AS u, round(exp(-sqrt(pow(u - bu, 2) + pow(v - bv, 2)) / 24), 5) AS conf, sqrt(pow(u - bu, 2) + pow(v - bv, 2)) >= 18 AS rapid FROM field JOIN bg USING (frame, z, y, x)")
+@query("fld_45_time_interpolation", f"""
+WITH {REC}, fr AS (SELECT frame, lead(frame) OVER (ORDER BY frame) AS nxt FROM (SELECT DISTINCT frame FROM field)), t AS (SELECT frame AS t0, nxt AS t1, a FROM fr, (VALUES (0.0::DOUBLE), (0.25), (0.75)) v(a) WHERE nxt - frame <= 2),
+j AS (SELECT t0, t1, t.a, x.z, x.y, x.x, x.u AS u0, x.v AS v0, n.u AS u1, n.v AS v1 FROM t JOIN field x ON x.frame = t0 LEFT JOIN field n ON n.frame = t1 AND n.z = x.z AND n.y = x.y AND n.x = x.x AND t.a > 0 WHERE t.a = 0 OR n.u IS NOT NULL)
+SELECT t0, a, z, y, x, round(CASE WHEN a < 0.5 THEN u0 ELSE u1 END, 4) AS u_nearest, round(CASE WHEN a = 0 THEN u0 ELSE (1 - a) * u0 + a * u1 END, 4) AS u_linear, round(CASE WHEN a = 0 THEN v0 ELSE (1 - a) * v0 + a * v1 END, 4) AS v_linear, round(CASE WHEN a = 0 THEN 0 ELSE sqrt(pow(u1 - u0, 2) + pow(v1 - v0, 2)) END, 4) AS change, round(CASE WHEN a = 0 THEN 1 ELSE exp(-sqrt(pow(u1 - u0, 2) + pow(v1 - v0, 2)) / 24) END, 5) AS conf, coalesce(a > 0 AND sqrt(pow(u1 - u0, 2) + pow(v1 - v0, 2)) >= 18, false) AS rapid FROM j""")
 def fld_45(spark, d):
-    f = field(spark, d)
-    change = F.hypot(F.col("u") - F.col("bu"), F.col("v") - F.col("bv"))
-    return f.join(background(f), KEY).select(*KEY, r6(0.75 * F.col("bu") + 0.25 * F.col("u"), 4).alias("u"), r6(F.exp(-change / 24), 5).alias("conf"), (change >= 18).alias("rapid"))
+    f = field(spark, d).select(*KEY, "u", "v")
+    times = f.select("frame").distinct()
+    nxt = times.withColumn("t1", F.lead("frame").over(Window.orderBy("frame"))).withColumnRenamed("frame", "t0")  # a row per analysis
+    wanted = nxt.where("t1 - t0 <= 2").withColumn("a", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.75)))))
+    return X.between_analyses(f, wanted).select("t0", "a", "z", "y", "x", *[r6(F.col(c), 4).alias(c) for c in ("u_nearest", "u_linear", "v_linear", "change")], r6(F.col("conf"), 5).alias("conf"), "rapid")
 
 
 @query("fld_46_vertical_interpolation", f"""

@@ -602,3 +602,26 @@ def val_12(spark, d):
     grid = (0.0, 0.1, 0.2, 0.3)
     wide = errors(spark, d).agg(*[F.struct(F.lit(p).alias("p"), r6(F.sqrt(F.avg(F.pow(F.col("eu") * (1 - p), 2))) + p).alias("score")).alias(f"g{k}") for k, p in enumerate(grid)])
     return wide.select(F.explode(F.array(*[f"g{k}" for k in range(len(grid))])).alias("r")).select("r.*")
+
+
+@query("val_13_phases", "SELECT 'clean' AS phase, 'done' AS state, count(*) AS n FROM lineitem WHERE l_quantity > 10 UNION ALL SELECT 'group', 'done', count(DISTINCT l_orderkey) FROM lineitem WHERE l_quantity > 10 UNION ALL SELECT 'broken', 'failed', 0 UNION ALL SELECT 'after', 'skipped', 0")
+def val_13(spark, d):
+    from windgrid import jobs
+    from windgrid.plans.sources import _folder
+
+    at = _folder(spark, "phases")
+    phases = [
+        ("clean", lambda: read(spark, d, "lineitem").where("l_quantity > 10").select("l_orderkey", "l_quantity")), ("group", lambda: spark.read.parquet(f"{at}/clean").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))),
+        ("broken", lambda: spark.read.parquet(f"{at}/nothing")), ("after", lambda: spark.read.parquet(f"{at}/group")),
+    ]
+    done = jobs.run_phases(phases, jobs.to_parquet(spark, at))
+    return spark.createDataFrame([(p.name, p.state, p.rows) for p in done], "phase string, state string, n long")
+
+
+@query("val_14_speed_ab", "WITH n AS (SELECT count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem)) SELECT profile, n AS rows_out, true AS agrees, true AS timed FROM n, (VALUES ('base'), ('no_codegen'), ('no_adaptive')) v(profile)")
+def val_14(spark, d):
+    from windgrid import jobs
+
+    plan = lambda: read(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.max("l_quantity").alias("q"))
+    found = jobs.compare_profiles(spark, plan, {"base": {}, "no_codegen": {"spark.sql.codegen.wholeStage": "false"}, "no_adaptive": {"spark.sql.adaptive.enabled": "false"}}, "base", 1)
+    return spark.createDataFrame([(f["profile"], f["rows"], f["checksum"] == found[0]["checksum"], f["seconds"] > 0 and f["share_of_base"] > 0) for f in found], "profile string, rows_out long, agrees boolean, timed boolean")

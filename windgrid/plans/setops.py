@@ -52,11 +52,13 @@ def srt_05(spark, d):
 
 
 @query("srt_06_tiered_selection", """
-WITH t AS (SELECT *, CASE WHEN c_acctbal > 8000 THEN 1 WHEN c_acctbal > 0 THEN 2 ELSE 3 END AS tier FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY tier, c_acctbal DESC, c_custkey) AS r FROM t)
-SELECT c_nationkey, c_custkey, tier FROM r WHERE r <= 8 AND tier < 3""")
+WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT c_nationkey, c_custkey, c_acctbal, coalesce(n, 0) AS n, CASE WHEN c_acctbal > 9000 AND coalesce(n, 0) > 0 THEN 1 WHEN c_acctbal > 8000 THEN 2 ELSE 3 END AS tier FROM customer LEFT JOIN o ON o_custkey = c_custkey WHERE c_nationkey <> 7 OR c_acctbal < 0),
+g AS (SELECT *, count(*) FILTER (WHERE tier < 3) OVER (PARTITION BY c_nationkey) AS hits FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN hits = 0 THEN 0 ELSE tier END, CASE WHEN hits > 0 AND tier = 1 THEN -n ELSE 0 END, c_acctbal DESC, c_custkey) AS r FROM g)
+SELECT c_nationkey, c_custkey, CASE WHEN hits = 0 THEN 'fallback' WHEN tier = 1 THEN 'eligible' ELSE 'backfill' END AS origin FROM r WHERE r <= 8 AND (hits = 0 OR tier < 3)""")
 def srt_06(spark, d):
-    t = read(spark, d, "customer").withColumn("tier", F.when(F.col("c_acctbal") > 8000, 1).when(F.col("c_acctbal") > 0, 2).otherwise(3))
-    return O.top_k(t.where("tier < 3"), ["c_nationkey"], ["tier", F.col("c_acctbal").desc(), "c_custkey"], 8).select("c_nationkey", "c_custkey", "tier")
+    n = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    t = read(spark, d, "customer").where("c_nationkey <> 7 or c_acctbal < 0").join(n, "c_custkey", "left").na.fill(0, ["n"])
+    return O.tiered_selection(t, ["c_nationkey"], (F.col("c_acctbal") > 9000) & (F.col("n") > 0), F.col("c_acctbal") > 8000, "n", "c_acctbal", "c_custkey", 8, 8).select("c_nationkey", "c_custkey", "origin")
 
 
 @query("srt_07_hash_sample", f"SELECT event_id FROM events ORDER BY {HASH.format(k='event_id')}, event_id LIMIT 200")
