@@ -225,7 +225,7 @@ def _passing(percent: int):
 
 
 def _full(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id, s: the full sets of the documents in ids (one column), built again from their texts."""
+    """doc_id, s: the full sets of the documents in ids (one column), built again from their texts, of which each has one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
@@ -236,7 +236,7 @@ def _full(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     ids = ids.distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary").dropDuplicates(["doc_id"])
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -569,9 +569,8 @@ class _Search:
 
 
 def _one_set_each(docs: DataFrame, sets: DataFrame, scratch: Scratch, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Texts by doc_id and sets of all rows, where rows of one doc_id with different texts have their common set."""
-    known = sets.where("doc_id is not null").select("doc_id", F.coalesce(F.xxhash64("print"), F.lit(0)).alias("p"))
-    several = known.groupBy("doc_id").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("doc_id")
+    """Texts, one row per doc_id, and sets of all rows, where rows of one doc_id have the common set of their texts."""
+    several = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     several = scratch.save(several, "several")
     texts = docs.where("doc_id is not null").withColumn("more", F.lit(None).cast("array<string>"))
     if several.isEmpty():
