@@ -189,57 +189,3 @@ def pool_binned(score: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[np.nda
             s2, h2, c2 = blocks.pop()
             blocks[-1] = [s2, blocks[-1][1] + h2, blocks[-1][2] + c2]
     return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
-
-
-# ---- fields that need many sweeps
-
-
-def relax(u: np.ndarray, v: np.ndarray, conf: np.ndarray, fixed: np.ndarray, sweeps: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sweeps of a [z, y, x] field towards the mean of its six neighbours (edges repeat); fixed cells stay."""
-
-    def around(f):
-        p = np.pad(f, 1, mode="edge")
-        return (p[:-2, 1:-1, 1:-1] + p[2:, 1:-1, 1:-1] + p[1:-1, :-2, 1:-1] + p[1:-1, 2:, 1:-1] + p[1:-1, 1:-1, :-2] + p[1:-1, 1:-1, 2:]) / 6
-
-    g = np.where(fixed, 0.0, np.clip(gain * (1 - conf), 0, 0.65))
-    for _ in range(sweeps):
-        u, v = u + g * (around(u) - u), v + g * (around(v) - v)
-    return u, v
-
-
-def relaxed(field: DataFrame, sweeps: int = 10, gain: float = 0.5) -> DataFrame:
-    """Relaxes each frame's active box (frame, z, y, x, u, v, conf, fixed); returns all cells of the box."""
-    ship(field.sparkSession)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        low = g[["z", "y", "x"]].min().to_numpy()
-        shape = tuple(g[["z", "y", "x"]].max().to_numpy() - low + 1)
-        at = tuple((g[["z", "y", "x"]].to_numpy() - low).T)
-        dense = {c: np.zeros(shape) for c in ("u", "v", "conf")}
-        fixed = np.zeros(shape, dtype=bool)
-        for c in dense:
-            dense[c][at] = g[c]
-        fixed[at] = g["fixed"]
-        u, v = relax(dense["u"], dense["v"], dense["conf"], fixed, sweeps, gain)
-        z, y, x = (i.ravel() for i in np.indices(shape))
-        return pd.DataFrame({"frame": g["frame"].iloc[0], "z": z + low[0], "y": y + low[1], "x": x + low[2], "u": u.ravel(), "v": v.ravel()})
-
-    kind = field.schema["frame"].dataType.simpleString()
-    return field.groupBy("frame").applyInPandas(run, f"frame {kind}, z long, y long, x long, u double, v double")
-
-
-def variational(u_b: np.ndarray, v_b: np.ndarray, u_o: np.ndarray, v_o: np.ndarray, w_o: np.ndarray, steps: int = 60, rate: float = 0.1, smooth_: float = 0.2, limit: float = 120.0) -> tuple[np.ndarray, np.ndarray]:
-    """Descent on background, observation and smoothness terms of a field, with a speed limit."""
-
-    def laplace(f):
-        p = np.pad(f, 1, mode="edge")
-        return p[:-2, 1:-1, 1:-1] + p[2:, 1:-1, 1:-1] + p[1:-1, :-2, 1:-1] + p[1:-1, 2:, 1:-1] + p[1:-1, 1:-1, :-2] + p[1:-1, 1:-1, 2:] - 6 * f
-
-    u, v = u_b.copy(), v_b.copy()
-    for _ in range(steps):
-        u -= rate * ((u - u_b) + w_o * (u - u_o) - smooth_ * laplace(u))
-        v -= rate * ((v - v_b) + w_o * (v - v_o) - smooth_ * laplace(v))
-        speed = np.hypot(u, v)
-        scale = np.where(speed > limit, limit / np.maximum(speed, 1e-9), 1.0)
-        u, v = u * scale, v * scale
-    return u, v

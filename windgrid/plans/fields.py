@@ -203,10 +203,10 @@ def fld_16(spark, d):
 
 @query("fld_17_relaxation")
 def fld_17(spark, d):
-    from windgrid.operators.sequences import relaxed
+    from windgrid.operators.dense import relaxed
 
-    f = field(spark, d).select(*KEY, "u", "v", "conf", (F.col("conf") >= 0.75).alias("fixed"))
-    return relaxed(f).select(*KEY, r6(F.col("u"), 4).alias("u"), r6(F.col("v"), 4).alias("v"))
+    f = field(spark, d).select(*KEY, "u", "v", "conf", (F.col("cur_w") > 0).alias("source"))
+    return relaxed(f).select(*KEY, r6(F.col("u"), 4).alias("u"), r6(F.col("v"), 4).alias("v"), r6(F.col("conf"), 5).alias("conf"))
 
 
 @query("fld_18_support", f"WITH {REC} SELECT frame, z, y, x FROM field WHERE conf > 0.2")
@@ -406,24 +406,11 @@ def fld_43(spark, d):
 
 @query("fld_44_variational")
 def fld_44(spark, d):
-    import pandas as pd
+    from windgrid.operators.dense import analysed
 
-    from windgrid.operators.sequences import variational
-    from windgrid.runtime import ship
-
-    ship(spark)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        ub, vb, uo, vo, wo = (np.zeros((3, 5, 7)) for _ in range(5))
-        at = tuple(g[["z", "y", "x"]].to_numpy().T)
-        ub[:], vb[:] = g["u"].mean(), g["v"].mean()
-        uo[at], vo[at], wo[at] = g["u"], g["v"], g["conf"]
-        u, v = variational(ub, vb, uo, vo, wo)
-        return pd.DataFrame({"frame": g["frame"], "z": g["z"], "y": g["y"], "x": g["x"], "u": u[at].round(4), "v": v[at].round(4)})
-
-    return field(spark, d).select(*KEY, "u", "v", "conf").groupBy("frame").applyInPandas(run, "frame long, z long, y long, x long, u double, v double")
+    seen = wobs(spark, d).where("role = 'current'").groupBy(*KEY).agg(F.avg("u").alias("seen_u"), F.avg("v").alias("seen_v"), F.least(F.lit(1.0), F.sum("w")).alias("seen_conf"))
+    cells = field(spark, d).select(*KEY, "u", "v", "conf").join(seen, KEY, "left")
+    return analysed(cells, (3, 5, 7), [(0.0, 0.0, 0.0), (0.0, 4.0, 6.0)], (5.0, 1000.0)).select(*KEY, r6(F.col("u"), 4).alias("u"), r6(F.col("v"), 4).alias("v"))
 
 
 @query("fld_45_time_interpolation", f"""
@@ -453,12 +440,13 @@ def fld_46(spark, d):
 
 @query("fld_47_local_refine")
 def fld_47(spark, d):
-    from windgrid.operators.sequences import relaxed
+    from windgrid.operators.dense import Relaxation, relaxed
 
     f = field(spark, d)
     a = wobs(spark, d).where("role = 'current'").groupBy(*KEY).agg(F.avg("u").alias("au"), F.avg("v").alias("av"))
-    start = f.join(a, KEY, "left").select(*KEY, F.coalesce("au", "u").alias("u"), F.coalesce("av", "v").alias("v"), "conf", F.col("au").isNotNull().alias("fixed"))
-    out = relaxed(start, 6, 0.4).withColumnsRenamed({"u": "ru", "v": "rv"})
+    start = f.join(a, KEY, "left").select(*KEY, F.coalesce("au", "u").alias("u"), F.coalesce("av", "v").alias("v"), "conf", F.col("au").isNotNull().alias("source"))
+    # anchors stay as they are
+    out = relaxed(start, Relaxation(sweeps=6, diffusion=0.4, smooth=0.0, preserve=1.0)).drop("conf").withColumnsRenamed({"u": "ru", "v": "rv"})
     cap = lambda c: F.col(c) + clip(F.col(f"r{c}") - F.col(c), -12.0, 12.0)
     return f.join(out, KEY).select(*KEY, r6(cap("u"), 4).alias("u"), r6(cap("v"), 4).alias("v"))
 
