@@ -102,3 +102,22 @@ def good_posterior(departure: Column, sigma: Column, prior_bad: float, width: fl
 def cyclic(x: Column, period: float) -> tuple[Column, Column]:
     angle = 2 * 3.141592653589793 * x / period
     return F.sin(angle), F.cos(angle)
+
+
+def good_wind(du: Column, dv: Column, sigma: Column, prior: float = 0.06, width: float = 260.0, least: float = 0.05) -> Column:
+    """Chance that a wind's departure from the background is no gross error, at least `least`."""
+    two_pi = 6.283185307179586
+    good = F.ln((1 - prior) / (two_pi * sigma * sigma)) - 0.5 * (du * du + dv * dv) / (sigma * sigma)
+    return clip(sigmoid(good - F.ln(F.lit(prior / width**2))), least, 1.0)
+
+
+def background_sigma(alt: Column) -> Column:
+    """The spread of a background by height."""
+    return F.when(alt < 3000, 7.0).when(alt < 6000, 8.5).when(alt < 9000, 10.0).when(alt < 12000, 12.0).otherwise(15.0)
+
+
+def buddies(departure: Column, sigma: Column, spread: Column, neighbours: Column, k: float = 3.2, soft: float = 2.0, least: float = 0.15, few: int = 2) -> Column:
+    """1 within the tolerance of the neighbours or with too few of them, beyond it a Gaussian, at least `least`."""
+    ratio = departure / (k * F.hypot(sigma, clip(spread, 3.0, 45.0)))
+    soft_factor = F.greatest(F.lit(least), F.exp(-0.5 * F.pow((ratio - 1) / soft, 2)))
+    return F.when((neighbours >= few) & (ratio > 1), soft_factor).otherwise(1.0)

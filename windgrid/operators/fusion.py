@@ -33,18 +33,21 @@ def accumulate(obs: DataFrame, rz: int, ry: int, rx: int, sigma_z: float, sigma_
     """Every observation (frame, z, y, x, role, u, v, w) adds w * kernel to all cells of its box.
 
     Observations of one cell and role are summed before they are spread, since the kernel is the same
-    for all of them; so the fan-out is in cells, not in observations. Returns per cell the sums over all,
-    and those of the current and the context rows.
+    for all of them; so the fan-out is in cells, not in observations. Returns per cell the sums of the current
+    and of the context rows: weight, weighted u and v, their squares, weighted time_conf (1 where obs has none),
+    and weight times kernel (space); the rows that reach it (n), and those in it (own). Sums that are not asked for are pruned.
     """
     role = F.when(F.col("role") == "current", "cur").otherwise("ctx")
-    own = obs.groupBy(*CELL, role.alias("r")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("u")).alias("wu"), F.sum(F.col("w") * F.col("v")).alias("wv"), F.count("*").alias("n"))
+    fresh = F.col("time_conf") if "time_conf" in obs.columns else F.lit(1.0)
+    parts = {"w": F.lit(1.0), "wu": F.col("u"), "wv": F.col("v"), "wuu": F.col("u") * F.col("u"), "wvv": F.col("v") * F.col("v"), "time": fresh}
+    own = obs.groupBy(*CELL, role.alias("r")).agg(*[F.sum(F.col("w") * e).alias(c) for c, e in parts.items()], F.count("*").alias("n"))
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a, b, c in box(rz, ry, rx, own=True)]))
     k = F.exp(-0.5 * (F.pow(F.col("o.dz") / sigma_z, 2) + (F.pow(F.col("o.dy"), 2) + F.pow(F.col("o.dx"), 2)) / sigma_xy**2))
-    at = own.withColumn("o", moves).select("frame", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "r", k.alias("k"), "w", "wu", "wv", "n")
+    at = own.withColumn("o", moves).select("frame", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "r", k.alias("k"), *parts, (k * F.col("w")).alias("space"), "n", ((F.col("o.dz") == 0) & (F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("here"))
     if bounds:
         at = at.where(F.col("z").between(0, bounds[0] - 1) & F.col("y").between(0, bounds[1] - 1) & F.col("x").between(0, bounds[2] - 1))
     only = lambda r, c: F.sum(F.when(F.col("r") == r, F.col("k") * F.col(c)).otherwise(0.0))
-    return at.groupBy(*CELL).agg(*[only(r, c).alias(f"{r}_{c}") for r in ("cur", "ctx") for c in ("w", "wu", "wv")], F.sum("n").alias("n"))
+    return at.groupBy(*CELL).agg(*[only(r, c).alias(f"{r}_{c}") for r in ("cur", "ctx") for c in (*parts, "space")], F.sum("n").alias("n"), F.sum(F.when(F.col("here"), F.col("n")).otherwise(0)).alias("own"))
 
 
 def resolve_conflict(acc: DataFrame, threshold: float, keep: float) -> DataFrame:
@@ -65,15 +68,15 @@ def reconstruct(acc: DataFrame) -> DataFrame:
     return out.join(scale, "frame").withColumn("conf", clip(F.col("w") / F.col("p90"), 0.0, 1.0)).drop("p90")
 
 
-def vertical_jump(field: DataFrame) -> DataFrame:
-    """jump: largest vector difference to the cell above and below; an edge takes its own speed."""
+def vertical_jump(field: DataFrame, edges: bool = True) -> DataFrame:
+    """jump: largest vector difference to the cell above and below; an edge takes its own speed, or (edges=False) nothing."""
     w = Window.partitionBy("frame", "y", "x").orderBy("z")
 
     def to(f):
         there = f("z", 1).over(w)
         adjacent = F.abs(there - F.col("z")) == 1
         gap = F.hypot(f("u", 1).over(w) - F.col("u"), f("v", 1).over(w) - F.col("v"))
-        return F.when(adjacent, gap).otherwise(F.hypot("u", "v"))
+        return F.when(adjacent, gap).otherwise(F.hypot("u", "v") if edges else F.lit(0.0))
 
     return field.withColumn("jump", F.greatest(to(F.lag), to(F.lead)))
 

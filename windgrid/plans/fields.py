@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from windgrid.functions import weights
 from windgrid.functions.geo import clip
 from windgrid.operators import fusion as X
+from windgrid.operators import localization as L
 from windgrid.operators.joins import box, offset_join
 from windgrid.operators.ordering import spread_holdout
 from windgrid.plans.base import OBS, obs, query, r6
 
 #: weighted observations on a coarse grid, one frame per day
 W = f"""{OBS}, wobs AS (SELECT event_id, epoch_us(date_trunc('day', ts)) // 86400000000 AS frame, floor(alt / 5000)::BIGINT AS z, floor((54.2::DOUBLE - lat) / 10.0)::BIGINT AS y, floor((lon - 73.0::DOUBLE) / 10.0)::BIGINT AS x,
-    CASE WHEN source = 'turb' THEN 'current' ELSE 'context' END AS role, source, speed AS u, wind_speed AS v, 0.05 + alt / 15000 AS w FROM obs)"""
+    CASE WHEN source = 'turb' THEN 'current' ELSE 'context' END AS role, source, speed AS u, wind_speed AS v, 0.05 + alt / 15000 AS w,
+    us, alt, 0.203 + (event_id % 8) / 10.0::DOUBLE AS time_conf, 1 + event_id % 8 AS obs_count, 0.9203 + (event_id % 9) / 100.0::DOUBLE AS consistency, 0.703 + (event_id % 5) / 10.0::DOUBLE AS error_weight FROM obs)"""
 
 
 def wobs(spark, d):
     return obs(spark, d).select(
         "event_id", F.expr("unix_micros(cast(date_trunc('day', ts) as timestamp)) div 86400000000").alias("frame"), F.floor(F.col("alt") / 5000).alias("z"), F.floor((54.2 - F.col("lat")) / 10.0).alias("y"), F.floor((F.col("lon") - 73.0) / 10.0).alias("x"),
         F.when(F.col("source") == "turb", "current").otherwise("context").alias("role"), "source", F.col("speed").alias("u"), F.col("wind_speed").alias("v"), (0.05 + F.col("alt") / 15000).alias("w"),
+        "us", "alt", (0.203 + F.col("event_id") % 8 / 10.0).alias("time_conf"), (1 + F.col("event_id") % 8).alias("obs_count"), (0.9203 + F.col("event_id") % 9 / 100.0).alias("consistency"), (0.703 + F.col("event_id") % 5 / 10.0).alias("error_weight"),
     )
 
 
 ACC = f"""{W}, off AS (SELECT a.i AS dz, b.i AS dy, c.i AS dx, exp(-0.5 * (pow(a.i / 1.0::DOUBLE, 2) + (b.i * b.i + c.i * c.i) / 2.25::DOUBLE)) AS k FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)),
 acc AS (SELECT frame, z + dz AS z, y + dy AS y, x + dx AS x, sum(CASE WHEN role = 'current' THEN k * w ELSE 0 END) AS cur_w, sum(CASE WHEN role = 'current' THEN k * w * u ELSE 0 END) AS cur_wu, sum(CASE WHEN role = 'current' THEN k * w * v ELSE 0 END) AS cur_wv,
-sum(CASE WHEN role <> 'current' THEN k * w ELSE 0 END) AS ctx_w, sum(CASE WHEN role <> 'current' THEN k * w * u ELSE 0 END) AS ctx_wu, sum(CASE WHEN role <> 'current' THEN k * w * v ELSE 0 END) AS ctx_wv, count(*) AS n
+sum(CASE WHEN role <> 'current' THEN k * w ELSE 0 END) AS ctx_w, sum(CASE WHEN role <> 'current' THEN k * w * u ELSE 0 END) AS ctx_wu, sum(CASE WHEN role <> 'current' THEN k * w * v ELSE 0 END) AS ctx_wv, count(*) AS n,
+sum(CASE WHEN role <> 'current' THEN k * w * u * u ELSE 0 END) AS ctx_wuu, sum(CASE WHEN role <> 'current' THEN k * w * v * v ELSE 0 END) AS ctx_wvv, sum(k * w * time_conf) AS time, sum(k * k * w) AS space, count(*) FILTER (WHERE dz = 0 AND dy = 0 AND dx = 0) AS own
 FROM wobs, off WHERE z + dz BETWEEN 0 AND 2 AND y + dy BETWEEN 0 AND 4 AND x + dx BETWEEN 0 AND 6 GROUP BY 1, 2, 3, 4)"""
 CON = f"""{ACC}, gap AS (SELECT *, sqrt(pow(cur_wu / nullif(cur_w, 0) - ctx_wu / nullif(ctx_w, 0), 2) + pow(cur_wv / nullif(cur_w, 0) - ctx_wv / nullif(ctx_w, 0), 2)) AS role_gap FROM acc),
 con AS (SELECT *, coalesce(cur_w > 0 AND ctx_w > 0 AND role_gap >= 30, false) AS conflict FROM gap),
@@ -46,23 +51,43 @@ def field(spark, d):
     return X.reconstruct(conflicted(spark, d))
 
 
+BG = "bg AS (SELECT frame + 1 AS frame, z, y, x, u AS bu, v AS bv, conf AS bconf FROM field)"
+
+
+def background(f):
+    return f.select((F.col("frame") + 1).alias("frame"), "z", "y", "x", F.col("u").alias("bu"), F.col("v").alias("bv"), F.col("conf").alias("bconf"))
+
+
 KEY = ["frame", "z", "y", "x"]
 
 
-@query("fld_01_localized_accumulation", f"WITH {ACC} SELECT frame, z, y, x, round(cur_w, 5) AS cur_w, round(ctx_w, 5) AS ctx_w, round(cur_wu, 3) AS cur_wu, round(ctx_wv, 3) AS ctx_wv, n FROM acc")
+@query("fld_01_localized_accumulation", f"WITH {ACC} SELECT frame, z, y, x, round(cur_w, 5) AS cur_w, round(ctx_w, 5) AS ctx_w, round(cur_wu, 3) AS cur_wu, round(ctx_wv, 3) AS ctx_wv, round(ctx_wuu, 2) AS ctx_wuu, round(ctx_wvv, 2) AS ctx_wvv, round(time, 5) AS time, round(space, 5) AS space, n, own FROM acc")
 def fld_01(spark, d):
-    return acc(spark, d).select(*KEY, r6(F.col("cur_w"), 5).alias("cur_w"), r6(F.col("ctx_w"), 5).alias("ctx_w"), r6(F.col("cur_wu"), 3).alias("cur_wu"), r6(F.col("ctx_wv"), 3).alias("ctx_wv"), "n")
+    a = acc(spark, d)
+    sums = {"cur_w": 5, "ctx_w": 5, "cur_wu": 3, "ctx_wv": 3, "ctx_wuu": 2, "ctx_wvv": 2}
+    both = [r6(F.col(f"cur_{c}") + F.col(f"ctx_{c}"), 5).alias(c) for c in ("time", "space")]
+    return a.select(*KEY, *[r6(F.col(c), digits).alias(c) for c, digits in sums.items()], *both, "n", "own")
 
 
-MODE = "CASE mode WHEN 'diagnostic_only' THEN w WHEN 'diagnostic_weighted' THEN w * (1 - exp(-(event_id % 7) / 3.0)) WHEN 'obs_error_weighted' THEN w * least(4.0, greatest(0.05, pow(8.0 / (2 + u / 40), 2))) ELSE w * (1 - 0.45 * least(1.0, u / 200)) END"
-MODES = ["diagnostic_only", "diagnostic_weighted", "obs_error_weighted", "soft_weighted"]
+MODE = "CASE mode WHEN 'diagnostic_only' THEN w WHEN 'diagnostic_weighted' THEN w * (1 - exp(-(event_id % 7) / 3.0)) WHEN 'obs_error_weighted' THEN w * least(4.0, greatest(0.05, pow(8.0 / (2 + u / 40), 2))) WHEN 'varqc_buddy' THEN CASE WHEN role = 'current' THEN w * error_weight ELSE w * gamma * buddy END ELSE w * (1 - 0.45 * least(1.0, u / 200)) END"
+MODES = ["diagnostic_only", "diagnostic_weighted", "obs_error_weighted", "soft_weighted", "varqc_buddy"]
 
 
 @query("fld_02_confidence_modes", f"""
-WITH {W}, m AS (SELECT *, {MODE} AS c FROM wobs, (VALUES {', '.join(f"('{m}')" for m in MODES)}) t(mode)), f AS (SELECT mode, role, CASE WHEN role = 'current' THEN greatest(0.05, c) ELSE c END AS c FROM m)
+WITH {REC}, {BG}, cl AS (SELECT frame, z, y, x, count(*) AS n, avg(u) AS mu, avg(v) AS mv, sqrt(var_pop(u) + var_pop(v)) AS spread FROM wobs WHERE role = 'context' GROUP BY 1, 2, 3, 4),
+q AS (SELECT o.*, bu, bv, coalesce(bconf, 0) AS bconf, n, mu, mv, spread, sqrt(pow(2 + o.u / 40, 2) + pow(CASE WHEN alt < 3000 THEN 7 WHEN alt < 6000 THEN 8.5 WHEN alt < 9000 THEN 10 WHEN alt < 12000 THEN 12 ELSE 15 END::DOUBLE, 2)) AS sg, 3.2 * sqrt(pow(2 + o.u / 40, 2) + pow(least(45.0, greatest(3.0, spread)), 2)) AS tol FROM wobs o LEFT JOIN bg USING (frame, z, y, x) LEFT JOIN cl USING (frame, z, y, x)),
+f2 AS (SELECT *, CASE WHEN bconf > 0 THEN least(1.0, greatest(0.05, 0.94 / (2 * pi() * sg * sg) * exp(-0.5 * (pow(u - bu, 2) + pow(v - bv, 2)) / (sg * sg)) / (0.94 / (2 * pi() * sg * sg) * exp(-0.5 * (pow(u - bu, 2) + pow(v - bv, 2)) / (sg * sg)) + 0.06 / (260.0 * 260.0)))) ELSE 1.0 END AS gamma,
+CASE WHEN n >= 2 AND sqrt(pow(u - mu, 2) + pow(v - mv, 2)) / tol > 1 THEN greatest(0.15, exp(-0.5 * pow((sqrt(pow(u - mu, 2) + pow(v - mv, 2)) / tol - 1) / 2.0, 2))) ELSE 1.0 END AS buddy FROM q),
+m AS (SELECT *, {MODE} AS c FROM f2, (VALUES {', '.join(f"('{m}')" for m in MODES)}) t(mode)), f AS (SELECT mode, role, CASE WHEN role = 'current' THEN greatest(0.05, c) ELSE c END AS c FROM m)
 SELECT mode, role, count(*) AS n, round(sum(c), 3) AS s FROM f WHERE role = 'current' OR c > 0 GROUP BY 1, 2""")
 def fld_02(spark, d):
-    m = wobs(spark, d).withColumn("mode", F.explode(F.array(*map(F.lit, MODES)))).withColumn("c", F.expr(MODE.replace("8.0 /", "8.0D /").replace("/ 3.0", "/ 3.0D")))
+    o = wobs(spark, d)
+    near = o.where("role = 'context'").groupBy(*KEY).agg(F.count("*").alias("n"), F.avg("u").alias("mu"), F.avg("v").alias("mv"), F.sqrt(F.var_pop("u") + F.var_pop("v")).alias("spread"))
+    o = o.join(background(field(spark, d)), KEY, "left").join(near, KEY, "left").withColumn("sigma", 2 + F.col("u") / 40)
+    gamma = weights.good_wind(F.col("u") - F.col("bu"), F.col("v") - F.col("bv"), F.hypot("sigma", weights.background_sigma(F.col("alt"))))
+    buddy = weights.buddies(F.hypot(F.col("u") - F.col("mu"), F.col("v") - F.col("mv")), F.col("sigma"), F.col("spread"), F.col("n"))
+    o = o.withColumns({"gamma": F.when(F.col("bconf") > 0, gamma).otherwise(1.0), "buddy": buddy})
+    m = o.withColumn("mode", F.explode(F.array(*map(F.lit, MODES)))).withColumn("c", F.expr(MODE.replace("8.0 /", "8.0D /").replace("/ 3.0", "/ 3.0D")))
     m = m.withColumn("c", F.when(F.col("role") == "current", F.greatest(F.lit(0.05), F.col("c"))).otherwise(F.col("c"))).where("role = 'current' or c > 0")
     return m.groupBy("mode", "role").agg(F.count("*").alias("n"), r6(F.sum("c"), 3).alias("s"))
 
@@ -116,51 +141,101 @@ def fld_07(spark, d):
     return c.join(s, "frame").select(*KEY, F.coalesce((F.col("cur_w") > 0) & (F.col("ctx_w") > 0) & (F.col("role_gap") >= bound), F.lit(False)).alias("conflict"))
 
 
-@query("fld_08_kernel_choice", f"""
-WITH {W} SELECT frame, CASE WHEN count(*) FILTER (WHERE role = 'current') < 50 THEN 'wide' WHEN avg(u) > 62 THEN 'fast' WHEN avg(w) > 0.55 THEN 'high' ELSE 'standard' END AS kernel, (2 * round_even((4 + 200.0::DOUBLE / count(*)) / 2, 0))::BIGINT AS radius FROM wobs GROUP BY frame""")
-def fld_08(spark, d):
-    rule = F.when(F.count_if(F.col("role") == "current") < 50, "wide").when(F.avg("u") > 62, "fast").when(F.avg("w") > 0.55, "high").otherwise("standard")
-    return wobs(spark, d).groupBy("frame").agg(rule.alias("kernel"), (2 * F.bround((4 + 200.0 / F.count("*")) / 2)).cast("long").alias("radius"))
+#: frames of an hour, so that the rules meet frames of all kinds
+HOURLY = f"{W}, hobs AS (SELECT * REPLACE (us // 3600000000 AS frame) FROM wobs)"
+#: what the rules ask of a frame: numbers, freshness, agreement, error weight, role gap, shares of high and fast rows
+CTX = """ctx AS (SELECT frame, count(*) FILTER (WHERE role = 'current') AS n, count(*) FILTER (WHERE role = 'context') AS m, coalesce(avg(time_conf) FILTER (WHERE role = 'context'), 0) AS fresh, avg(consistency) AS agrees, avg(error_weight) AS ew,
+coalesce(sqrt(pow(avg(u) FILTER (WHERE role = 'current') - avg(u) FILTER (WHERE role = 'context'), 2) + pow(avg(v) FILTER (WHERE role = 'current') - avg(v) FILTER (WHERE role = 'context'), 2)), 0) AS gap,
+avg((alt >= 12000)::INT) AS high_share, avg((sqrt(u * u + v * v) >= 60)::INT) AS fast_share FROM {0} GROUP BY frame)"""
 
 
-def _gates(rules, low, high, suffix=""):
-    return f"least({high}{suffix}, greatest({low}{suffix}, " + " * ".join(f"CASE WHEN {r} THEN {f}{suffix} ELSE 1{suffix} END" for r, f in rules) + "))"
+def hourly(spark, d):
+    return wobs(spark, d).withColumn("frame", F.expr("us div 3600000000"))
 
 
-HORIZONTAL = [("u > 100", 0.9), ("z >= 2", 0.94), ("role = 'context'", 1.05), ("v > 80", 0.92), ("w < 0.2", 1.08), ("source = 'other'", 0.9)]
-VERTICAL = [("u > 100", 0.8), ("z >= 2", 0.9), ("role = 'context'", 1.1), ("w < 0.2", 1.15)]
+@query("fld_08_kernel_choice", f"""
+WITH {HOURLY}, {CTX.format('hobs')}, c AS (SELECT *, m >= 3 AND fresh >= 0.28 AS useful, gap / 90 AS ratio, ew < 0.9 AS weak, agrees < 0.94 OR gap / 90 >= 0.08 AS mis, high_share >= 0.22 OR fast_share >= 0.12 AS extreme FROM ctx),
+s AS (SELECT *, CASE WHEN n >= 8 AND ratio >= 0.18 AND fresh < 0.5 THEN 6 WHEN useful AND n > 2 AND n <= 18 AND fresh >= 0.5 THEN 10 WHEN useful AND n <= 2 AND fresh >= 0.55 AND NOT mis THEN 10 ELSE 8 END AS s3 FROM c),
+a AS (SELECT *, CASE WHEN weak AND useful AND n <= 12 THEN greatest(10, s3) ELSE s3 END AS a FROM s),
+g AS (SELECT *, CASE WHEN a > 8 AND ((n <= 8 AND fresh <= 0.57 AND agrees >= 0.98) OR (n <= 2 AND fresh <= 0.52 AND agrees >= 0.985)) THEN 8 ELSE a END AS g FROM a),
+r0 AS (SELECT *, CASE WHEN mis OR agrees <= 0.93 OR ratio >= 0.18 THEN 8 WHEN n <= 1 AND useful AND fresh >= 0.52 AND agrees >= 0.975 THEN 12 WHEN n <= 2 AND useful AND fresh >= 0.52 THEN greatest(g, 10) WHEN n >= 10 AND agrees >= 0.975 AND ratio < 0.1 THEN 8 ELSE g END AS r0 FROM g),
+r AS (SELECT *, CASE WHEN fresh <= 0.42 AND r0 > 8 THEN 8 WHEN weak AND r0 > 10 AND n >= 3 THEN 10 ELSE r0 END AS r FROM r0),
+p0 AS (SELECT *, CASE WHEN gap >= 30 OR agrees <= 0.93 THEN 8 WHEN n <= 2 AND useful AND fresh >= 0.5 AND agrees >= 0.975 THEN 10 WHEN n >= 10 AND gap < 18 THEN 8 WHEN useful AND fresh >= 0.5 AND NOT mis THEN 10 ELSE 8 END AS p0 FROM r),
+p AS (SELECT *, CASE WHEN fresh <= 0.36 OR (gap >= 18 AND n > 2) THEN 8 WHEN weak AND p0 > 8 AND NOT (n <= 2 AND fresh >= 0.5) THEN 8 ELSE p0 END AS p FROM p0),
+k AS (SELECT frame, 'adaptive' AS policy, a AS radius, false AS tight FROM p UNION ALL SELECT frame, 'adaptive_v3', g, false FROM p UNION ALL SELECT frame, 'regime_v4', r, false FROM p UNION ALL SELECT frame, 'support_role_height', p, extreme OR gap >= 18 FROM p)
+SELECT frame, policy, radius, radius / 2.0::DOUBLE AS sigma, CASE WHEN tight THEN 1 ELSE 2 END AS radius_z, (CASE WHEN tight THEN 0.75 ELSE 1 END)::DOUBLE AS sigma_z FROM k""")
+def fld_08(spark, d):
+    regime = L.Regime(enough_context=3)
+    return L.kernels(L.frame_context(hourly(spark, d), regime), regime)
 
 
-@query("fld_09_horizontal_gates", f"WITH {W} SELECT event_id, round({_gates(HORIZONTAL, 0.65, 1.15, '::DOUBLE')}, 6) AS f FROM wobs")
+@query("fld_09_horizontal_gates", f"""
+WITH {HOURLY}, {CTX.format('hobs')}, g AS (SELECT event_id, alt >= 12000 AS high, sqrt(u * u + v * v) >= 60 AS fast, gap >= 18 AS wide, role = 'context' AND (time_conf <= 0.36 OR fresh <= 0.36) AS stale, role = 'current' AND n >= 10 AS packed, n <= 2 AND fresh >= 0.5 AND agrees >= 0.975 AS thin FROM hobs JOIN ctx USING (frame)),
+h AS (SELECT *, thin AND NOT (wide OR high OR fast OR stale) AS widen FROM g),
+f AS (SELECT event_id, least(1.15, greatest(0.65, CASE WHEN high THEN 0.78::DOUBLE ELSE 1 END * CASE WHEN fast THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN wide THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN stale THEN 0.75::DOUBLE ELSE 1 END * CASE WHEN packed THEN 0.9::DOUBLE ELSE 1 END * CASE WHEN widen THEN 1.1::DOUBLE ELSE 1 END)) AS f,
+concat_ws('+', CASE WHEN high THEN 'high_altitude' END, CASE WHEN fast THEN 'high_speed' END, CASE WHEN wide THEN 'role_gap' END, CASE WHEN stale THEN 'stale_context' END, CASE WHEN packed THEN 'dense_current' END, CASE WHEN widen THEN 'sparse_fresh' END) AS reason FROM h)
+SELECT event_id, round(f, 6) AS f, greatest(1, round_even(8 * f, 0))::INT AS radius, reason FROM f""")
 def fld_09(spark, d):
-    return wobs(spark, d).select("event_id", r6(F.expr(_gates(HORIZONTAL, 0.65, 1.15, "D"))).alias("f"))
+    o = hourly(spark, d)
+    return L.horizontal(o, L.frame_context(o), 8).select("event_id", r6(F.col("xy_factor")).alias("f"), F.col("xy_radius").alias("radius"), F.col("xy_reason").alias("reason"))
+
 
+VERT = """vg AS (SELECT o.*, gap, fresh, sqrt(u * u + v * v) >= 60 AS fast, alt >= 9000 AS high, role = 'current' AND obs_count >= 6 AS packed, role = 'context' AND time_conf <= 0.28 AS stale FROM {0} o JOIN ctx USING (frame)),
+vf AS (SELECT *, least(1.25, greatest(0.55, CASE WHEN fast THEN 0.75::DOUBLE ELSE 1 END * CASE WHEN high THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN packed THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN stale THEN 0.7::DOUBLE ELSE 1 END
+* CASE WHEN NOT (fast OR high OR packed OR stale) AND obs_count <= 1 THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN gap >= 18 THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN role = 'context' AND fresh <= 0.36 THEN 0.85::DOUBLE ELSE 1 END)) AS f FROM vg)"""
 
-@query("fld_10_vertical_gates", f"WITH {W} SELECT event_id, round({_gates(VERTICAL, 0.55, 1.25, '::DOUBLE')}, 6) AS f FROM wobs")
+
+@query("fld_10_vertical_gates", f"""
+WITH {HOURLY}, {CTX.format('hobs')}, {VERT.format('hobs')} SELECT event_id, round(f, 6) AS f, greatest(1, round_even(2 * f, 0))::INT AS radius,
+concat_ws('+', CASE WHEN fast THEN 'strong_speed' END, CASE WHEN high THEN 'high_altitude' END, CASE WHEN packed THEN 'dense_current' END, CASE WHEN stale THEN 'stale_context' END, CASE WHEN NOT (fast OR high OR packed OR stale) AND obs_count <= 1 THEN 'sparse' END, CASE WHEN gap >= 18 THEN 'role_gap' END, CASE WHEN role = 'context' AND fresh <= 0.36 THEN 'frame_stale' END) AS reason FROM vf""")
 def fld_10(spark, d):
-    return wobs(spark, d).select("event_id", r6(F.expr(_gates(VERTICAL, 0.55, 1.25, "D"))).alias("f"))
+    o = hourly(spark, d)
+    return L.vertical(o, L.frame_context(o), 2).select("event_id", r6(F.col("z_factor")).alias("f"), F.col("z_radius").alias("radius"), F.col("z_reason").alias("reason"))
+
+
+#: reliability of the seed's cells
+RELI = """tops AS (SELECT frame, coalesce(quantile_cont(cur_w, 0.9) FILTER (WHERE cur_w > 0), 1) AS cp, coalesce(quantile_cont(ctx_w, 0.9) FILTER (WHERE ctx_w > 0), 1) AS xp FROM field GROUP BY 1),
+lay AS (SELECT a.*, g.role_gap, least(1, a.cur_w / cp) AS cs, least(1, a.ctx_w / xp) AS xs, sqrt(a.u * a.u + a.v * a.v) AS sp, coalesce(sqrt(b.u * b.u + b.v * b.v), sqrt(a.u * a.u + a.v * a.v)) AS below, coalesce(sqrt(c.u * c.u + c.v * c.v), sqrt(a.u * a.u + a.v * a.v)) AS above,
+greatest(coalesce(sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2)), 0), coalesce(sqrt(pow(a.u - c.u, 2) + pow(a.v - c.v, 2)), 0)) AS jump
+FROM field a JOIN tops USING (frame) JOIN con g ON g.frame = a.frame AND g.z = a.z AND g.y = a.y AND g.x = a.x LEFT JOIN field b ON a.frame = b.frame AND a.y = b.y AND a.x = b.x AND b.z = a.z - 1 LEFT JOIN field c ON a.frame = c.frame AND a.y = c.y AND a.x = c.x AND c.z = a.z + 1),
+rk AS (SELECT *, greatest(cs, xs) AS support, sp >= 60 AND greatest(below, above) < 42 AS isolated, jump >= 25 OR (sp >= 30 AND greatest(abs(sp - (below + above) / 2), jump) >= 10) AS rapid FROM lay),
+fc AS (SELECT *, CASE WHEN support >= 0.35 THEN 1 WHEN support >= 0.1 THEN 0.5 ELSE 0.15 END::DOUBLE AS fd, CASE WHEN coalesce(role_gap, 0) < 20 THEN 1 WHEN role_gap < 30 THEN 0.5 ELSE 0.15 END::DOUBLE AS fr, CASE WHEN cur_w > 0 OR xs >= 0.1 THEN 1 ELSE 0.4 END::DOUBLE AS fn, CASE WHEN isolated OR rapid THEN 0.25 WHEN jump >= 10 THEN 0.5 ELSE 1 END::DOUBLE AS fl FROM rk),
+rel AS (SELECT *, conf * fd * fr * fn * fl AS reliability, 0.2 * (1 - fd) + 0.2 * (1 - fr) + 0.2 * greatest(0, (0.2 - conf) / 0.2) + 0.15 * (1 - fn) + 0.15 * (1 - fl) + CASE WHEN ctx_w > 0 AND cur_w <= 0 THEN 0.1 ELSE 0 END AS risk FROM fc)"""
 
 
 @query("fld_11_two_pass_guard", f"""
-WITH {REC} SELECT event_id, CASE WHEN f.conf >= 0.5 AND NOT f.conflict THEN round({_gates(VERTICAL, 0.55, 1.25, '::DOUBLE').replace('u >', 'o.u >').replace('z >=', 'o.z >=').replace('w <', 'o.w <')}, 6) ELSE 1.0 END AS f FROM wobs o JOIN field f USING (frame, z, y, x)""")
+WITH {REC}, {RELI}, {CTX.format('wobs')}, {VERT.format('wobs')},
+gd AS (SELECT o.frame, o.z, o.y, o.x, o.role, o.w, CASE WHEN coalesce(reliability, 0) >= 0.2 AND coalesce(risk, 1) < 0.45 AND coalesce(s.conf, 0) >= 0.05 AND coalesce(support, 0) >= 0.1 AND greatest(coalesce(role_gap, 0), gap) < 30
+AND NOT (o.role = 'context' AND sqrt(o.u * o.u + o.v * o.v) >= 60) AND NOT coalesce(isolated OR rapid, false) AND NOT (sqrt(o.u * o.u + o.v * o.v) >= 60 AND coalesce(cs, 0) <= 0 AND coalesce(support, 0) < 0.35)
+AND NOT (sqrt(o.u * o.u + o.v * o.v) <= 30 AND greatest(coalesce(role_gap, 0), gap) >= 20) THEN f ELSE 1 END AS f FROM vf o LEFT JOIN rel s USING (frame, z, y, x)),
+o2 AS (SELECT a.i AS dz, b.i AS dy, c.i AS dx FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)),
+e AS (SELECT frame, z + dz AS z, y + dy AS y, x + dx AS x, role, w * exp(-0.5 * (pow(dz / f, 2) + (dy * dy + dx * dx) / 2.25::DOUBLE)) AS kw FROM gd, o2 WHERE abs(dz) <= greatest(1, round_even(f, 0)) AND z + dz BETWEEN 0 AND 2 AND y + dy BETWEEN 0 AND 4 AND x + dx BETWEEN 0 AND 6)
+SELECT frame, z, y, x, round(coalesce(sum(kw) FILTER (WHERE role = 'current'), 0), 4) AS cur_w, round(coalesce(sum(kw) FILTER (WHERE role <> 'current'), 0), 4) AS ctx_w FROM e GROUP BY 1, 2, 3, 4""")
 def fld_11(spark, d):
-    # seed field first, then each observation asks its own cell whether its own localization may apply
-    seed = field(spark, d).select(*KEY, "conf", "conflict")
-    own = F.expr(_gates(VERTICAL, 0.55, 1.25, "D"))
-    return wobs(spark, d).join(seed, KEY).select("event_id", F.when((F.col("conf") >= 0.5) & ~F.col("conflict"), r6(own)).otherwise(1.0).alias("f"))
+    # seed field first, then each observation asks its own cell whether its own localization may apply, then the field again
+    o = wobs(spark, d)
+    context = L.frame_context(o)
+    guarded = L.guarded(L.vertical(o, context, 1), L.reliability(field(spark, d)), context)
+    return L.accumulate_by(guarded, 1, 1, 1.0, 1.5, (3, 5, 7)).select(*KEY, r6(F.col("cur_w"), 4).alias("cur_w"), r6(F.col("ctx_w"), 4).alias("ctx_w"))
 
 
 @query("fld_12_point_regime", f"""
-WITH {W}, c AS (SELECT DISTINCT frame, z, y, x FROM wobs), s AS (SELECT c.frame, c.z, c.y, c.x, count(*) FILTER (WHERE role = 'current') AS cur, count(*) AS n, min(CASE WHEN role = 'current' THEN abs(c.y - o.y) + abs(c.x - o.x) END) AS near FROM c JOIN wobs o ON c.frame = o.frame AND abs(c.z - o.z) <= 1 AND abs(c.y - o.y) <= 1 AND abs(c.x - o.x) <= 1 GROUP BY 1, 2, 3, 4)
-SELECT frame, z, y, x, cur, round(least(1.06, greatest(0.84, CASE WHEN near >= 2 THEN 0.94 ELSE 1 END * CASE WHEN z >= 2 THEN 0.94 ELSE 1 END * CASE WHEN cur = 0 THEN 0.96 ELSE 1 END * CASE WHEN n < 20 THEN 1.04 ELSE 1 END)), 6)::DOUBLE AS fxy FROM s""")
+WITH {ACC}, t0 AS (SELECT *, (cur_wu + ctx_wu) / (cur_w + ctx_w) AS u, (cur_wv + ctx_wv) / (cur_w + ctx_w) AS v, CASE WHEN cur_w > 0 AND ctx_w > 0 THEN sqrt(pow(cur_wu / cur_w - ctx_wu / ctx_w, 2) + pow(cur_wv / cur_w - ctx_wv / ctx_w, 2)) ELSE 0 END AS gap FROM acc WHERE cur_w + ctx_w > 0),
+t1 AS (SELECT a.*, greatest(coalesce(sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2)), 0), coalesce(sqrt(pow(a.u - c.u, 2) + pow(a.v - c.v, 2)), 0)) AS jump FROM t0 a LEFT JOIN t0 b ON a.frame = b.frame AND a.y = b.y AND a.x = b.x AND b.z = a.z - 1 LEFT JOIN t0 c ON a.frame = c.frame AND a.y = c.y AND a.x = c.x AND c.z = a.z + 1),
+nr AS (SELECT t.frame, t.z, t.y, t.x, count(*) AS cn, min(sqrt(pow(t.z - o.z, 2) + pow(t.y - o.y, 2) + pow(t.x - o.x, 2))) AS dist FROM t1 t JOIN wobs o ON o.role = 'current' AND t.frame = o.frame AND abs(t.z - o.z) <= 1 AND abs(t.y - o.y) <= 2 AND abs(t.x - o.x) <= 2 GROUP BY 1, 2, 3, 4),
+t2 AS (SELECT t.*, coalesce(dist >= 2, true) AS far, z * 5000 >= 9000 AS high, gap >= 18 AS wide, jump >= 8 AS steep, ctx_w > 0 AND cur_w <= 0 AS lone, coalesce(cn, 0) <= 1 AND coalesce(dist <= 2, false) AND gap < 18 AND jump < 8 AND z * 5000 < 12000 AS still FROM t1 t LEFT JOIN nr USING (frame, z, y, x)),
+t3 AS (SELECT frame, z, y, x, least(1.06, greatest(0.84, CASE WHEN far THEN 0.94::DOUBLE ELSE 1 END * CASE WHEN high THEN 0.94::DOUBLE ELSE 1 END * CASE WHEN wide THEN 0.92::DOUBLE ELSE 1 END * CASE WHEN steep THEN 0.94::DOUBLE ELSE 1 END * CASE WHEN lone THEN 0.96::DOUBLE ELSE 1 END * CASE WHEN still THEN 1.04::DOUBLE ELSE 1 END)) AS fxy,
+least(1.04, greatest(0.78, CASE WHEN far THEN 0.94::DOUBLE ELSE 1 END * CASE WHEN high THEN 0.9::DOUBLE ELSE 1 END * CASE WHEN wide THEN 0.88::DOUBLE ELSE 1 END * CASE WHEN steep THEN 0.84::DOUBLE ELSE 1 END * CASE WHEN still THEN 1.02::DOUBLE ELSE 1 END)) AS fz FROM t2),
+e AS (SELECT t.frame, t.z, t.y, t.x, fxy, fz, role, w * exp(-0.5 * (pow((t.z - o.z) / fz, 2) + (pow(t.y - o.y, 2) + pow(t.x - o.x, 2)) / pow(1.5 * fxy, 2))) AS kw FROM t3 t JOIN wobs o ON t.frame = o.frame AND abs(t.z - o.z) <= round_even(fz, 0) AND abs(t.y - o.y) <= 1 AND abs(t.x - o.x) <= 1)
+SELECT frame, z, y, x, round(fxy, 6) AS fxy, round(fz, 6) AS fz, round(coalesce(sum(kw) FILTER (WHERE role = 'current'), 0), 4) AS cur_w, round(coalesce(sum(kw) FILTER (WHERE role <> 'current'), 0), 4) AS ctx_w FROM e GROUP BY 1, 2, 3, 4, 5, 6""")
 def fld_12(spark, d):
-    o = wobs(spark, d)
-    part = o.groupBy(*KEY).agg(F.count_if(F.col("role") == "current").alias("cur"), F.count("*").alias("n"))
-    near = offset_join(part.select(*KEY), part, ["frame"], box(1, 1, 1, own=True))
-    way = F.when(F.col("n_cur") > 0, F.abs(F.col("o.dy")) + F.abs(F.col("o.dx")))
-    s = near.groupBy(*KEY).agg(F.sum("n_cur").alias("cur"), F.sum("n_n").alias("n"), F.min(way).alias("near"))
-    f = F.expr("(case when near >= 2 then 0.94D else 1D end) * (case when z >= 2 then 0.94D else 1D end) * (case when cur = 0 then 0.96D else 1D end) * (case when n < 20 then 1.04D else 1D end)")
-    return s.select(*KEY, "cur", r6(clip(f, 0.84, 1.06)).alias("fxy"))
+    o, a = wobs(spark, d), acc(spark, d)
+    own = o.where("role = 'current'").groupBy(*KEY).agg(F.count("*").alias("n"))
+    way = F.sqrt((F.col("o.dz") * F.col("o.dz") + F.col("o.dy") * F.col("o.dy") + F.col("o.dx") * F.col("o.dx")).cast("double"))
+    near = offset_join(a.select(*KEY), own, ["frame"], box(1, 2, 2, own=True)).groupBy(*KEY).agg(F.sum("n_n").alias("n_current"), F.min(way).alias("distance"))
+    targets = L.point_regime(a, near, L.Point(remote=2.0)).select(*KEY, "xy_factor", "z_factor")
+    final = L.accumulate_by(o, 1, 1, 1.0, 1.5, (3, 5, 7), targets)
+    return final.join(targets, KEY).select(*KEY, r6(F.col("xy_factor")).alias("fxy"), r6(F.col("z_factor")).alias("fz"), r6(F.col("cur_w"), 4).alias("cur_w"), r6(F.col("ctx_w"), 4).alias("ctx_w"))
 
 
 @query("fld_13_reconstruction", f"WITH {REC} SELECT frame, z, y, x, round(u, 4) AS u, round(v, 4) AS v, round(conf, 5) AS conf FROM field")
@@ -168,13 +243,6 @@ def fld_13(spark, d):
     return field(spark, d).select(*KEY, r6(F.col("u"), 4).alias("u"), r6(F.col("v"), 4).alias("v"), r6(F.col("conf"), 5).alias("conf"))
 
 
-BG = "bg AS (SELECT frame + 1 AS frame, z, y, x, u AS bu, v AS bv, conf AS bconf FROM field)"
-
-
-def background(f):
-    return f.select((F.col("frame") + 1).alias("frame"), "z", "y", "x", F.col("u").alias("bu"), F.col("v").alias("bv"), F.col("conf").alias("bconf"))
-
-
 @query("fld_14_background_gate", f"""
 WITH {REC}, {BG}, g AS (SELECT frame, z, y, x, conf, coalesce(sqrt(pow(u - bu, 2) + pow(v - bv, 2)), 99) AS change, coalesce(bconf, 0) AS bconf FROM field LEFT JOIN bg USING (frame, z, y, x))
 SELECT frame, z, y, x, round(CASE WHEN bconf >= 0.55 AND change <= 8 THEN bconf WHEN change >= 18 THEN bconf * 0.35 ELSE bconf * 0.7 END, 5) AS gated FROM g""")
