@@ -6,7 +6,7 @@ reaches into neighbouring cells is an equi-join over a small table of offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,17 +57,88 @@ def resolve_conflict(acc: DataFrame, threshold: float, keep: float) -> DataFrame
     conflict = F.coalesce((F.col("cur_w") > 0) & (F.col("ctx_w") > 0) & (gap >= threshold), F.lit(False))
     factor = F.when(F.col("conflict"), keep).otherwise(1.0)
     acc = acc.withColumns({"role_gap": gap, "conflict": conflict})
-    return acc.withColumns({f"ctx_{c}": F.col(f"ctx_{c}") * factor for c in ("w", "wu", "wv")})
+    return acc.withColumns({c: F.col(c) * factor for c in acc.columns if c.startswith("ctx_")})
 
 
 def reconstruct(acc: DataFrame) -> DataFrame:
-    """u, v and conf = w / p90 of the frame's positive weights, within [0, 1]."""
+    """u, v, conf = w / p90 of the frame's positive weights within [0, 1], c_time, c_space; blind: no observation lies in the cell."""
     total = acc.withColumn("w", F.col("cur_w") + F.col("ctx_w")).where("w > 1e-12")
     scale = total.groupBy("frame").agg(F.greatest(F.lit(1e-6), F.percentile("w", 0.9)).alias("p90"))
-    out = total.withColumns({"u": (F.col("cur_wu") + F.col("ctx_wu")) / F.col("w"), "v": (F.col("cur_wv") + F.col("ctx_wv")) / F.col("w")})
+    mean = lambda c: (F.col(f"cur_{c}") + F.col(f"ctx_{c}")) / F.col("w")
+    out = total.withColumns({"u": mean("wu"), "v": mean("wv"), "c_time": mean("time"), "c_space": mean("space"), "blind": F.col("own") == 0})
     return out.join(scale, "frame").withColumn("conf", clip(F.col("w") / F.col("p90"), 0.0, 1.0)).drop("p90")
 
 
+#: Where current rows are dense there is no background, nor where it has hardly any confidence.
+SPARSE, LEAST_BACKGROUND = 0.18, 0.02
+
+
+def gate_background(conf: Column, temporal: Column, change: Column, source: str, gating: str) -> Column:
+    """Confidence of a background: conf is its coverage; source dense, coverage, temporal or coverage_temporal; gating none, change or strict."""
+    own = {"dense": F.lit(1.0), "coverage": conf, "temporal": temporal, "coverage_temporal": conf * temporal}[source]
+    if gating == "none":
+        return clip(own, 0.0, 1.0)
+    rapid = change >= 18
+    out = (own if "temporal" in source else own * temporal) * F.when(rapid, 0.35).otherwise(1.0)
+    if gating == "strict":
+        out = F.when((temporal >= 0.55) & (change <= 8) & ~rapid, out).otherwise(0.0)
+    return clip(out, 0.0, 1.0)
+
+
+def add_background(acc: DataFrame, background: DataFrame, mode: str, weight: float) -> DataFrame:
+    """Accumulated cells with a background (frame, z, y, x, bu, bv, bconf): u, v, w and bg_w.
+
+    mode fixed: bconf * weight everywhere; gated: less where current rows are dense; sparse_gated: besides, only where
+    a row reaches. A cell of widely spread context rows alone is drawn back to their mean.
+    """
+    tops = acc.groupBy("frame").agg(F.coalesce(F.percentile(F.when(F.col("cur_w") > 0, F.col("cur_w")), 0.9), F.lit(1.0)).alias("p90"))
+    j = acc.join(background, CELL, "full").join(tops, "frame", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    j = j.withColumns({c: zero(c) for c in ("cur_w", "cur_wu", "cur_wv", "ctx_w", "ctx_wu", "ctx_wv", "ctx_wuu", "ctx_wvv", "bu", "bv", "bconf")})
+    density = clip(F.col("cur_w") / F.greatest(F.coalesce("p90", F.lit(1.0)), F.lit(1e-6)), 0.0, 1.0)
+    gate = F.when(F.col("bconf") >= LEAST_BACKGROUND, clip((SPARSE - density) / SPARSE, 0.0, 1.0)).otherwise(0.0)
+    reached = (F.col("cur_w") > 0) | (F.col("ctx_w") > 0)
+    gate = {"fixed": F.lit(1.0), "gated": gate, "sparse_gated": F.when(reached, gate).otherwise(0.0)}[mode]
+    j = j.withColumn("bg_w", F.col("bconf") * gate * weight).withColumn("w", F.col("cur_w") + F.col("ctx_w") + F.col("bg_w")).where("w > 1e-12")
+    return drawn_back(j.withColumns({c: (F.col(f"cur_w{c}") + F.col(f"ctx_w{c}") + F.col(f"b{c}") * F.col("bg_w")) / F.col("w") for c in "uv"}))
+
+
+def drawn_back(cells: DataFrame, least_weight: float = 0.05, least_rows: int = 2, spread: float = 18.0) -> DataFrame:
+    """u and v of cells of context rows alone that differ by `spread` or more: towards the rows' mean, the more the wider."""
+    mean = lambda c: F.try_divide(F.col(f"ctx_w{c}"), F.col("ctx_w"))
+    var = lambda c: F.greatest(F.lit(0.0), F.try_divide(F.col(f"ctx_w{c}{c}"), F.col("ctx_w")) - mean(c) * mean(c))
+    wide = F.sqrt(var("u") + var("v"))
+    robust = F.coalesce((F.col("cur_w") <= 0) & (F.col("ctx_w") >= least_weight) & (F.col("n") >= least_rows) & (wide >= spread), F.lit(False))
+    shrink = F.least(F.lit(1.0), spread / wide)
+    return cells.withColumns({"robust": robust, "u": F.when(robust, mean("u") + shrink * (F.col("u") - mean("u"))).otherwise(F.col("u")), "v": F.when(robust, mean("v") + shrink * (F.col("v") - mean("v"))).otherwise(F.col("v"))})
+
+
+def layers(field: DataFrame) -> DataFrame:
+    """speed, and the speeds of the cells below and above, a cell's own where there is none."""
+    w = Window.partitionBy("frame", "y", "x").orderBy("z")
+    f = field.withColumn("speed", F.hypot("u", "v"))
+    near = lambda f: F.when(F.abs(f("z", 1).over(w) - F.col("z")) == 1, f("speed", 1).over(w)).otherwise(F.col("speed"))
+    return f.withColumns({"below": near(F.lag), "above": near(F.lead)})
+
+
+def diagnostics(field: DataFrame, strong: float = 60.0, rapid: float = 25.0, flat: float = 2.0, most: float = 120.0) -> DataFrame:
+    """A row per frame: smoothness, divergence, vorticity, shear, vertical jumps and the numbers of cells that look wrong."""
+    f = layers(vertical_jump(gradients(stencil(field, ["u", "v"])), edges=False))
+    n = F.coalesce("n_around", F.lit(0))
+    # missing neighbours stand for the cell itself
+    off = lambda c: F.coalesce(n * (F.col(f"mean_{c}") - F.col(c)) / 6, F.lit(0.0))
+    f = f.withColumn("rough", F.hypot(off("u"), off("v")))
+    fast, jump = F.col("speed") >= strong, F.col("jump")
+    count = {
+        "strong": fast, "rapid": jump >= rapid, "strong_rapid": fast & (jump >= rapid), "flat": fast & (jump <= flat), "mismatch": fast & (F.abs(F.col("speed") - (F.col("below") + F.col("above")) / 2) >= rapid),
+        "isolated": fast & (F.greatest("below", "above") < 0.7 * strong), "too_fast": F.col("speed") > most,
+    }
+    return f.groupBy("frame").agg(
+        F.count("*").alias("n"), F.avg("rough").alias("smoothness"), F.avg(F.abs("divergence")).alias("divergence"), F.avg(F.abs("vorticity")).alias("vorticity"), F.avg("shear").alias("shear"), F.avg("jump").alias("jump_mean"),
+        F.percentile("jump", 0.95).alias("jump_p95"), F.percentile("jump", 0.99).alias("jump_p99"), F.coalesce(F.avg(F.when(fast, jump)), F.lit(0.0)).alias("strong_jump"), *[F.count_if(c).alias(k) for k, c in count.items()],
+    )
+
+
 def vertical_jump(field: DataFrame, edges: bool = True) -> DataFrame:
     """jump: largest vector difference to the cell above and below; an edge takes its own speed, or (edges=False) nothing."""
     w = Window.partitionBy("frame", "y", "x").orderBy("z")

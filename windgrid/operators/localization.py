@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windgrid.functions.geo import clip
-from windgrid.operators.fusion import CELL, vertical_jump
-from windgrid.operators.joins import box, offset_join
+from windgrid.operators.fusion import CELL, layers, vertical_jump
+from windgrid.operators.joins import box
 
 
 def _is(role: str) -> Column:
@@ -138,14 +138,8 @@ def _share_of_p90(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def reliability(field: DataFrame) -> DataFrame:
     """A reconstructed field (u, v, conf, cur_w, ctx_w, role_gap) with support, reliability, tail_risk, no_claim, isolated and rapid."""
     f = _share_of_p90(vertical_jump(field, edges=False), {"current_support": "cur_w", "context_support": "ctx_w"})
-    near = offset_join(f.select(*CELL), f.select(*CELL, F.hypot("u", "v").alias("speed")), ["frame"], [(-1, 0, 0), (1, 0, 0)])
-    near = near.groupBy(*CELL).agg(F.sum("n_speed").alias("__sum"), F.max("n_speed").alias("__max"), F.count("*").alias("__n"))
-    speed = F.hypot("u", "v")
-    f = f.join(near, CELL, "left").withColumn("speed", speed)
-    # a missing cell above or below stands for the cell itself
-    n = F.coalesce("__n", F.lit(0))
-    mean = (F.coalesce("__sum", F.lit(0.0)) + (2 - n) * speed) / 2
-    top = F.when(n == 2, F.col("__max")).otherwise(F.greatest(F.coalesce("__max", F.lit(0.0)), speed))
+    f, speed = layers(f), F.col("speed")
+    mean, top = (F.col("below") + F.col("above")) / 2, F.greatest("below", "above")
     f = f.withColumns({"support": F.greatest("current_support", "context_support"), "isolated": (speed >= 60) & (top < 42), "rapid": (F.col("jump") >= 25) | ((speed >= 30) & (F.greatest(F.abs(speed - mean), F.col("jump")) >= 10))})
     gap, has_current = F.coalesce("role_gap", F.lit(0.0)), F.col("cur_w") > 0
     factors = {
@@ -155,7 +149,7 @@ def reliability(field: DataFrame) -> DataFrame:
     f = f.withColumns({f"f_{k}": v for k, v in factors.items()})
     risk = 0.20 * (1 - F.col("f_distance")) + 0.20 * (1 - F.col("f_role")) + 0.20 * clip((0.2 - F.col("conf")) / 0.2, 0.0, 1.0) + 0.15 * (1 - F.col("f_count")) + 0.15 * (1 - F.col("f_layer"))
     f = f.withColumns({"reliability": clip(F.col("conf") * F.col("f_distance") * F.col("f_role") * F.col("f_count") * F.col("f_layer"), 0.0, 1.0), "tail_risk": clip(risk + F.when((F.col("ctx_w") > 0) & ~has_current, 0.10).otherwise(0.0), 0.0, 1.0)})
-    return f.withColumn("no_claim", (F.col("conf") < 0.05) | (F.col("reliability") < 0.05)).drop("__sum", "__max", "__n", *[f"f_{k}" for k in factors])
+    return f.withColumn("no_claim", (F.col("conf") < 0.05) | (F.col("reliability") < 0.05)).drop("below", "above", *[f"f_{k}" for k in factors])
 
 
 def guarded(obs: DataFrame, seed: DataFrame, context: DataFrame) -> DataFrame:

@@ -30,13 +30,13 @@ def wobs(spark, d):
 ACC = f"""{W}, off AS (SELECT a.i AS dz, b.i AS dy, c.i AS dx, exp(-0.5 * (pow(a.i / 1.0::DOUBLE, 2) + (b.i * b.i + c.i * c.i) / 2.25::DOUBLE)) AS k FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)),
 acc AS (SELECT frame, z + dz AS z, y + dy AS y, x + dx AS x, sum(CASE WHEN role = 'current' THEN k * w ELSE 0 END) AS cur_w, sum(CASE WHEN role = 'current' THEN k * w * u ELSE 0 END) AS cur_wu, sum(CASE WHEN role = 'current' THEN k * w * v ELSE 0 END) AS cur_wv,
 sum(CASE WHEN role <> 'current' THEN k * w ELSE 0 END) AS ctx_w, sum(CASE WHEN role <> 'current' THEN k * w * u ELSE 0 END) AS ctx_wu, sum(CASE WHEN role <> 'current' THEN k * w * v ELSE 0 END) AS ctx_wv, count(*) AS n,
-sum(CASE WHEN role <> 'current' THEN k * w * u * u ELSE 0 END) AS ctx_wuu, sum(CASE WHEN role <> 'current' THEN k * w * v * v ELSE 0 END) AS ctx_wvv, sum(k * w * time_conf) AS time, sum(k * k * w) AS space, count(*) FILTER (WHERE dz = 0 AND dy = 0 AND dx = 0) AS own
+sum(CASE WHEN role <> 'current' THEN k * w * u * u ELSE 0 END) AS ctx_wuu, sum(CASE WHEN role <> 'current' THEN k * w * v * v ELSE 0 END) AS ctx_wvv, sum(CASE WHEN role = 'current' THEN k * w * time_conf ELSE 0 END) AS cur_time, sum(CASE WHEN role <> 'current' THEN k * w * time_conf ELSE 0 END) AS ctx_time, sum(CASE WHEN role = 'current' THEN k * k * w ELSE 0 END) AS cur_space, sum(CASE WHEN role <> 'current' THEN k * k * w ELSE 0 END) AS ctx_space, count(*) FILTER (WHERE dz = 0 AND dy = 0 AND dx = 0) AS own
 FROM wobs, off WHERE z + dz BETWEEN 0 AND 2 AND y + dy BETWEEN 0 AND 4 AND x + dx BETWEEN 0 AND 6 GROUP BY 1, 2, 3, 4)"""
 CON = f"""{ACC}, gap AS (SELECT *, sqrt(pow(cur_wu / nullif(cur_w, 0) - ctx_wu / nullif(ctx_w, 0), 2) + pow(cur_wv / nullif(cur_w, 0) - ctx_wv / nullif(ctx_w, 0), 2)) AS role_gap FROM acc),
 con AS (SELECT *, coalesce(cur_w > 0 AND ctx_w > 0 AND role_gap >= 30, false) AS conflict FROM gap),
-red AS (SELECT frame, z, y, x, conflict, cur_w, cur_wu, cur_wv, ctx_w * CASE WHEN conflict THEN 0.25 ELSE 1 END AS ctx_w, ctx_wu * CASE WHEN conflict THEN 0.25 ELSE 1 END AS ctx_wu, ctx_wv * CASE WHEN conflict THEN 0.25 ELSE 1 END AS ctx_wv FROM con)"""
+red AS (SELECT frame, z, y, x, conflict, cur_w, cur_wu, cur_wv, ctx_w * CASE WHEN conflict THEN 0.25 ELSE 1 END AS ctx_w, ctx_wu * CASE WHEN conflict THEN 0.25 ELSE 1 END AS ctx_wu, ctx_wv * CASE WHEN conflict THEN 0.25 ELSE 1 END AS ctx_wv, ctx_wuu * CASE WHEN conflict THEN 0.25 ELSE 1 END AS ctx_wuu, ctx_wvv * CASE WHEN conflict THEN 0.25 ELSE 1 END AS ctx_wvv, cur_time + ctx_time * CASE WHEN conflict THEN 0.25 ELSE 1 END AS time, cur_space + ctx_space * CASE WHEN conflict THEN 0.25 ELSE 1 END AS space, n, own FROM con)"""
 REC = f"""{CON}, tot AS (SELECT *, cur_w + ctx_w AS w FROM red WHERE cur_w + ctx_w > 1e-12), sc AS (SELECT frame, greatest(1e-6, quantile_cont(w, 0.9)) AS p90 FROM tot GROUP BY frame),
-field AS (SELECT frame, z, y, x, (cur_wu + ctx_wu) / w AS u, (cur_wv + ctx_wv) / w AS v, w, least(1.0, greatest(0.0, w / p90)) AS conf, conflict, cur_w, ctx_w FROM tot JOIN sc USING (frame))"""
+field AS (SELECT frame, z, y, x, (cur_wu + ctx_wu) / w AS u, (cur_wv + ctx_wv) / w AS v, w, least(1.0, greatest(0.0, w / p90)) AS conf, conflict, cur_w, ctx_w, time / w AS c_time, space / w AS c_space, own = 0 AS blind FROM tot JOIN sc USING (frame))"""
 
 
 def acc(spark, d):
@@ -61,7 +61,7 @@ def background(f):
 KEY = ["frame", "z", "y", "x"]
 
 
-@query("fld_01_localized_accumulation", f"WITH {ACC} SELECT frame, z, y, x, round(cur_w, 5) AS cur_w, round(ctx_w, 5) AS ctx_w, round(cur_wu, 3) AS cur_wu, round(ctx_wv, 3) AS ctx_wv, round(ctx_wuu, 2) AS ctx_wuu, round(ctx_wvv, 2) AS ctx_wvv, round(time, 5) AS time, round(space, 5) AS space, n, own FROM acc")
+@query("fld_01_localized_accumulation", f"WITH {ACC} SELECT frame, z, y, x, round(cur_w, 5) AS cur_w, round(ctx_w, 5) AS ctx_w, round(cur_wu, 3) AS cur_wu, round(ctx_wv, 3) AS ctx_wv, round(ctx_wuu, 2) AS ctx_wuu, round(ctx_wvv, 2) AS ctx_wvv, round(cur_time + ctx_time, 5) AS time, round(cur_space + ctx_space, 5) AS space, n, own FROM acc")
 def fld_01(spark, d):
     a = acc(spark, d)
     sums = {"cur_w": 5, "ctx_w": 5, "cur_wu": 3, "ctx_wv": 3, "ctx_wuu": 2, "ctx_wvv": 2}
@@ -238,29 +238,44 @@ def fld_12(spark, d):
     return final.join(targets, KEY).select(*KEY, r6(F.col("xy_factor")).alias("fxy"), r6(F.col("z_factor")).alias("fz"), r6(F.col("cur_w"), 4).alias("cur_w"), r6(F.col("ctx_w"), 4).alias("ctx_w"))
 
 
-@query("fld_13_reconstruction", f"WITH {REC} SELECT frame, z, y, x, round(u, 4) AS u, round(v, 4) AS v, round(conf, 5) AS conf FROM field")
+@query("fld_13_reconstruction", f"WITH {REC} SELECT frame, z, y, x, round(u, 4) AS u, round(v, 4) AS v, round(conf, 5) AS conf, round(c_time, 5) AS c_time, round(c_space, 5) AS c_space, blind FROM field")
 def fld_13(spark, d):
-    return field(spark, d).select(*KEY, r6(F.col("u"), 4).alias("u"), r6(F.col("v"), 4).alias("v"), r6(F.col("conf"), 5).alias("conf"))
+    return field(spark, d).select(*KEY, r6(F.col("u"), 4).alias("u"), r6(F.col("v"), 4).alias("v"), *[r6(F.col(c), 5).alias(c) for c in ("conf", "c_time", "c_space")], "blind")
+
+
+GATES = [(s, g) for s in ("dense", "coverage", "temporal", "coverage_temporal") for g in ("none", "change", "strict")]
+
+
+def _gate_sql(source: str, gating: str) -> str:
+    own = {"dense": "1.0::DOUBLE", "coverage": "bconf", "temporal": "t", "coverage_temporal": "bconf * t"}[source]
+    if gating == "none":
+        return own
+    factor = ("" if "temporal" in source else " * t") + " * CASE WHEN change >= 18 THEN 0.35 ELSE 1 END"
+    return f"CASE WHEN t >= 0.55 AND change <= 8 THEN {own}{factor} ELSE 0 END" if gating == "strict" else own + factor
 
 
 @query("fld_14_background_gate", f"""
-WITH {REC}, {BG}, g AS (SELECT frame, z, y, x, conf, coalesce(sqrt(pow(u - bu, 2) + pow(v - bv, 2)), 99) AS change, coalesce(bconf, 0) AS bconf FROM field LEFT JOIN bg USING (frame, z, y, x))
-SELECT frame, z, y, x, round(CASE WHEN bconf >= 0.55 AND change <= 8 THEN bconf WHEN change >= 18 THEN bconf * 0.35 ELSE bconf * 0.7 END, 5) AS gated FROM g""")
+WITH {REC}, {BG}, g AS (SELECT frame, z, y, x, bconf, coalesce(sqrt(pow(u - bu, 2) + pow(v - bv, 2)), 0) AS change FROM bg LEFT JOIN field USING (frame, z, y, x)), e AS (SELECT *, exp(-change / 24) AS t FROM g)
+SELECT frame, z, y, x, {', '.join(f"round({_gate_sql(s, g)}, 5) AS {s}_{g}" for s, g in GATES)} FROM e""")
 def fld_14(spark, d):
     f = field(spark, d)
-    g = f.join(background(f), KEY, "left").withColumn("change", F.coalesce(F.hypot(F.col("u") - F.col("bu"), F.col("v") - F.col("bv")), F.lit(99.0))).withColumn("bconf", F.coalesce("bconf", F.lit(0.0)))
-    return g.select(*KEY, r6(F.when((F.col("bconf") >= 0.55) & (F.col("change") <= 8), F.col("bconf")).when(F.col("change") >= 18, F.col("bconf") * 0.35).otherwise(F.col("bconf") * 0.7), 5).alias("gated"))
+    g = background(f).join(f.select(*KEY, "u", "v"), KEY, "left").withColumn("change", F.coalesce(F.hypot(F.col("u") - F.col("bu"), F.col("v") - F.col("bv")), F.lit(0.0)))
+    t = F.exp(-F.col("change") / 24)
+    return g.select(*KEY, *[r6(X.gate_background(F.col("bconf"), t, F.col("change"), s, m), 5).alias(f"{s}_{m}") for s, m in GATES])
 
 
 @query("fld_15_background_merge", f"""
-WITH {REC}, {BG} SELECT coalesce(f.frame, b.frame) AS frame, coalesce(f.z, b.z) AS z, coalesce(f.y, b.y) AS y, coalesce(f.x, b.x) AS x, round((coalesce(f.u * f.w, 0) + coalesce(bu * bconf * 0.1, 0)) / (coalesce(f.w, 0) + coalesce(bconf * 0.1, 0)), 4) AS u, f.u IS NULL AS only_background
-FROM field f FULL JOIN bg b ON f.frame = b.frame AND f.z = b.z AND f.y = b.y AND f.x = b.x""")
+WITH {REC}, {BG}, tp AS (SELECT frame, coalesce(quantile_cont(cur_w, 0.9) FILTER (WHERE cur_w > 0), 1) AS p FROM red GROUP BY 1),
+j AS (SELECT coalesce(f.frame, b.frame) AS frame, coalesce(f.z, b.z) AS z, coalesce(f.y, b.y) AS y, coalesce(f.x, b.x) AS x, coalesce(cur_w, 0) AS cw, coalesce(ctx_w, 0) AS xw, coalesce(cur_wu + ctx_wu, 0) AS su, coalesce(cur_wv + ctx_wv, 0) AS sv, ctx_wu / nullif(ctx_w, 0) AS xu, ctx_wv / nullif(ctx_w, 0) AS xv,
+sqrt(greatest(0, ctx_wuu / nullif(ctx_w, 0) - pow(ctx_wu / nullif(ctx_w, 0), 2)) + greatest(0, ctx_wvv / nullif(ctx_w, 0) - pow(ctx_wv / nullif(ctx_w, 0), 2))) AS spread, n, coalesce(bu, 0) AS bu, coalesce(bv, 0) AS bv, coalesce(bconf, 0) AS bconf FROM red f FULL JOIN bg b ON f.frame = b.frame AND f.z = b.z AND f.y = b.y AND f.x = b.x),
+g AS (SELECT j.*, CASE WHEN bconf >= 0.02 THEN least(1, greatest(0, (0.18 - least(1, cw / greatest(1e-6, coalesce(p, 1)))) / 0.18)) ELSE 0 END AS gate FROM j LEFT JOIN tp USING (frame)),
+w AS (SELECT *, bconf * 0.1 * CASE mode WHEN 'fixed' THEN 1 WHEN 'gated' THEN gate ELSE CASE WHEN cw > 0 OR xw > 0 THEN gate ELSE 0 END END AS bw FROM g, (VALUES ('fixed'), ('gated'), ('sparse_gated')) m(mode)),
+u AS (SELECT *, (su + bu * bw) / (cw + xw + bw) AS u0, coalesce(cw <= 0 AND xw >= 0.05 AND n >= 2 AND spread >= 18, false) AS robust FROM w WHERE cw + xw + bw > 1e-12)
+SELECT mode, frame, z, y, x, robust, round(CASE WHEN robust THEN xu + 18 / spread * (u0 - xu) ELSE u0 END, 4) AS u, round(bw, 5) AS bg_w FROM u""")
 def fld_15(spark, d):
-    f = field(spark, d)
-    j = f.join(background(f), KEY, "full")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    w = zero(F.col("bconf") * 0.1)
-    return j.select(*KEY, r6((zero(F.col("u") * F.col("w")) + zero(F.col("bu") * F.col("bconf") * 0.1)) / (zero(F.col("w")) + w), 4).alias("u"), F.col("u").isNull().alias("only_background"))
+    a, b = conflicted(spark, d), background(field(spark, d))
+    modes = [X.add_background(a, b, m, 0.1).select(F.lit(m).alias("mode"), *KEY, "robust", r6(F.col("u"), 4).alias("u"), r6(F.col("bg_w"), 5).alias("bg_w")) for m in ("fixed", "gated", "sparse_gated")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
 
 
 @query("fld_16_background_cap", f"WITH {REC}, {BG} SELECT frame, z, y, x, round(CASE WHEN f.conf IS NULL THEN least(0.3, bconf) ELSE f.conf END, 5) AS conf FROM bg LEFT JOIN field f USING (frame, z, y, x)")
@@ -306,11 +321,18 @@ def fld_21(spark, d):
 GRAD = f"""{REC}, g AS (SELECT a.frame, a.z, a.y, a.x, a.u, a.v, a.conf, coalesce((e.u - w.u) / 2, 0) AS ux, coalesce((e.v - w.v) / 2, 0) AS vx, coalesce((s.u - n.u) / 2, 0) AS uy, coalesce((s.v - n.v) / 2, 0) AS vy FROM field a
 LEFT JOIN field e ON a.frame = e.frame AND a.z = e.z AND a.y = e.y AND e.x = a.x + 1 LEFT JOIN field w ON a.frame = w.frame AND a.z = w.z AND a.y = w.y AND w.x = a.x - 1
 LEFT JOIN field s ON a.frame = s.frame AND a.z = s.z AND a.x = s.x AND s.y = a.y + 1 LEFT JOIN field n ON a.frame = n.frame AND a.z = n.z AND a.x = n.x AND n.y = a.y - 1)"""
+VERTICAL = """vt AS (SELECT a.frame, a.z, a.y, a.x, coalesce(sqrt(pow((t.u - b.u) / 2, 2) + pow((t.v - b.v) / 2, 2)), 0) AS shear, sqrt(a.u * a.u + a.v * a.v) AS sp, coalesce(sqrt(b.u * b.u + b.v * b.v), sqrt(a.u * a.u + a.v * a.v)) AS below, coalesce(sqrt(t.u * t.u + t.v * t.v), sqrt(a.u * a.u + a.v * a.v)) AS above,
+greatest(coalesce(sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2)), 0), coalesce(sqrt(pow(a.u - t.u, 2) + pow(a.v - t.v, 2)), 0)) AS jump FROM field a LEFT JOIN field b ON a.frame = b.frame AND a.y = b.y AND a.x = b.x AND b.z = a.z - 1 LEFT JOIN field t ON a.frame = t.frame AND a.y = t.y AND a.x = t.x AND t.z = a.z + 1),
+rg AS (SELECT a.frame, a.z, a.y, a.x, sqrt(pow(sum(b.u - a.u) / 6, 2) + pow(sum(b.v - a.v) / 6, 2)) AS rough FROM field a JOIN field b ON a.frame = b.frame AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY 1, 2, 3, 4)"""
 
 
-@query("fld_22_field_diagnostics", f"WITH {GRAD} SELECT frame, count(*) AS n, round(avg(abs(ux + vy)), 4) AS divergence, round(avg(abs(vx - uy)), 4) AS vorticity FROM g GROUP BY frame")
+@query("fld_22_field_diagnostics", f"""
+WITH {GRAD}, {VERTICAL} SELECT frame, count(*) AS n, round(avg(coalesce(rough, 0)), 4) AS smoothness, round(avg(abs(ux + vy)), 4) AS divergence, round(avg(abs(vx - uy)), 4) AS vorticity, round(avg(shear), 4) AS shear, round(avg(jump), 4) AS jump_mean, round(quantile_cont(jump, 0.95), 4) AS jump_p95, round(quantile_cont(jump, 0.99), 4) AS jump_p99,
+round(coalesce(avg(jump) FILTER (WHERE sp >= 60), 0), 4) AS strong_jump, count(*) FILTER (WHERE sp >= 60) AS strong, count(*) FILTER (WHERE jump >= 25) AS rapid, count(*) FILTER (WHERE sp >= 60 AND jump >= 25) AS strong_rapid, count(*) FILTER (WHERE sp >= 60 AND jump <= 2) AS flat,
+count(*) FILTER (WHERE sp >= 60 AND abs(sp - (below + above) / 2) >= 25) AS mismatch, count(*) FILTER (WHERE sp >= 60 AND greatest(below, above) < 42) AS isolated, count(*) FILTER (WHERE sp > 120) AS too_fast FROM g JOIN vt USING (frame, z, y, x) LEFT JOIN rg USING (frame, z, y, x) GROUP BY frame""")
 def fld_22(spark, d):
-    return X.gradients(field(spark, d)).groupBy("frame").agg(F.count("*").alias("n"), r6(F.avg(F.abs("divergence")), 4).alias("divergence"), r6(F.avg(F.abs("vorticity")), 4).alias("vorticity"))
+    f = X.diagnostics(field(spark, d))
+    return f.select(*[r6(F.col(c), 4).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes])
 
 
 @query("fld_23_extent", f"WITH {REC} SELECT frame, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, round(count(*) / (3 * 5 * 7)::DOUBLE, 6) AS coverage, round(max(sqrt(u * u + v * v)), 4) AS top FROM field WHERE conf > 0.1 GROUP BY frame")
