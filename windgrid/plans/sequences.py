@@ -440,10 +440,51 @@ def seq_35(spark, d):
     return a.join(w, ["user_id", "z"], "left").groupBy("user_id").agg(F.count("*").alias("dilated"), F.count("hit").alias("supported"))
 
 
-@query("seq_36_residual_features", f"WITH {OBS} SELECT event_id, round(sin(2 * 3.141592653589793 * hour(ts) / 24), 6) + 0.0 AS hour_sin, round(ln(1 + speed), 6) AS log_speed, round(alt / 15000, 6) AS height, round(speed * alt / 15000, 6) AS cross_, (speed > 100)::INT AS risky FROM obs")
+#: what the points of the query know, as SQL of an observation; all else is 0
+POINT = {
+    "z": "floor(alt / 500)", "y": "floor((54.2{D} - lat) * 4)", "x": "floor((lon - 73.0{D}) * 4)", "lat": "lat", "lon": "lon", "alt_m": "alt", "pred_u": "speed / 2", "pred_v": "wind_speed", "pred_speed": "wind_speed", "recon_confidence": "(event_id % 40) / 100.0{D}",
+    "nearest_role_gap_mps": "heading / 8", "nearest_current_count": "event_id % 3", "nearest_context_count": "event_id % 5", "recon_vertical_jump_mps": "speed / 10", "vertical_speed_gap_mps": "wind_speed / 5", "nearest_train_distance_vox": "event_id % 8",
+}
+RISK = """SELECT *, least(1, greatest(0, (nearest_train_distance_vox - 2) / 4)) AS d_, least(1, greatest(0, (nearest_role_gap_mps - 20) / 20)) AS g_, 1 - least(1, recon_confidence / 0.2::DOUBLE) AS l_, 1 - least(1, (nearest_current_count + 0.5 * nearest_context_count) / 3) AS s_,
+least(1, greatest(vertical_speed_gap_mps, recon_vertical_jump_mps) / 30) AS v_, (alt_m >= 12000)::INT AS h_, (nearest_current_count <= 0 AND src = 'context_wind')::INT AS c_, least(1, greatest(0, (pred_speed - 45) / 45)) AS f_ FROM p"""
+
+
+def _features_sql() -> str:
+    from windgrid.operators.residual import FLAGS, NUMBERS
+
+    def number(n):
+        return f"({POINT[n].format(D='::DOUBLE')})::DOUBLE" if n in POINT else "0.0::DOUBLE"
+
+    out = {n: n for n in NUMBERS} | {"role_overlap_at_point": "ov::INT::DOUBLE", "role_conflict_at_point": "0.0::DOUBLE"}
+    assert set(FLAGS) <= set(out)
+    out |= {f"{a}_norm": f"least(1.0, greatest(-1.0, {a} / {n - 1}.0 * 2 - 1))" for a, n in (("z", 40), ("y", 168), ("x", 248))}
+    out |= {"alt_norm": "least(1.2, greatest(0.0, alt_m / 20000))", "pred_speed_norm": "least(2.0, pred_speed / 120)", "support_total": "nearest_current_count + nearest_context_count", "support_log1p": "ln(1 + nearest_current_count + nearest_context_count)"}
+    hour, day = "2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24", "2 * pi() * (dayofyear(ts) - 1) / 366"
+    out |= {"hour_sin": f"sin({hour})", "hour_cos": f"cos({hour})", "day_sin": f"sin({day})", "day_cos": f"cos({day})"}
+    out |= {"nearest_source_current_train": "(src = 'current_wind_train')::INT::DOUBLE", "nearest_source_context": "(src = 'context_wind')::INT::DOUBLE", "nearest_source_unknown": "(src = '')::INT::DOUBLE"}
+    out |= {
+        "representation_risk_score": "risk", "sigma_rep_proxy_mps": "sig", "tail_probability_proxy": "pow(risk, 2.2)", "residual_gate_initial": "least(0.85, (1 - 0.8 * risk) * least(1, greatest(0.05, (recon_confidence - 0.02) / 0.18)) * greatest(0.1, 1 - 0.65 * g_) * greatest(0.15, 1 - 0.55 * s_))",
+        "sample_weight_raw": "1 / (4.84 + sig * sig)", "distance_risk_score": "d_", "role_gap_risk_score": "g_", "low_conf_risk_score": "l_", "support_risk_score": "s_", "vertical_risk_score": "v_", "context_only_risk_flag": "c_::DOUBLE",
+        "high_altitude_flag": "h_::DOUBLE", "pred_light_wind_flag": "(pred_speed >= 5 AND pred_speed < 15)::INT::DOUBLE",
+    }
+    source = "CASE event_id % 3 WHEN 0 THEN 'context_wind' WHEN 1 THEN 'current_wind_train' ELSE '' END"
+    return f"""WITH {OBS}, p AS (SELECT event_id, ts, {source} AS src, event_id % 4 = 0 AS ov, {', '.join(f'{number(n)} AS {n}' for n in NUMBERS)} FROM obs), r AS ({RISK}),
+t AS (SELECT *, least(1.0, 0.23 * d_ + 0.18 * g_ + 0.18 * l_ + 0.16 * s_ + 0.12 * v_ + 0.06 * h_ + 0.05 * c_ + 0.02 * f_) AS risk FROM r), u AS (SELECT *, least(32.0, 2 + 22 * risk + 4 * h_) AS sig FROM t)
+SELECT event_id, {', '.join(f'round(({e})::DOUBLE, 5) + 0.0 AS {n}' for n, e in out.items())} FROM u"""
+
+
+def points(spark, d):
+    o = obs(spark, d)
+    source = F.expr("case event_id % 3 when 0 then 'context_wind' when 1 then 'current_wind_train' else '' end")
+    return o.select("event_id", "ts", *[F.expr(e.format(D="D")).alias(n) for n, e in POINT.items()], (F.col("event_id") % 4 == 0).alias("role_overlap_at_point"), source.alias("nearest_train_source_role"))
+
+
+@query("seq_36_residual_features", _features_sql())
 def seq_36(spark, d):
-    s, _ = weights.cyclic(F.hour("ts"), 24.0)
-    return obs(spark, d).select("event_id", (r6(s) + 0.0).alias("hour_sin"), r6(F.log1p("speed")).alias("log_speed"), r6(F.col("alt") / 15000).alias("height"), r6(F.col("speed") * F.col("alt") / 15000).alias("cross_"), (F.col("speed") > 100).cast("int").alias("risky"))
+    from windgrid.operators.residual import features
+
+    f = features(points(spark, d), ["event_id"], "ts", (40, 168, 248), 20000.0)
+    return f.select("event_id", *[(r6(F.col(c), 5) + 0.0).alias(c) for c in f.columns[1:]])
 
 
 @query("seq_37_residual_network")
@@ -451,8 +492,8 @@ def seq_37(spark, d):
     from windgrid.operators.residual import predict, train
 
     e = read(spark, d, "embeddings").where("size(embedding) = 64")
-    e = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") % 2).cast("double").alias("y"))
-    return predict(e, train(e, "vec_id")).select("vec_id", r6(F.col("delta"), 4).alias("delta"), r6(F.col("sigma"), 4).alias("sigma"))
+    e = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") % 2).cast("double").alias("y_u"), (F.col("label") % 3).cast("double").alias("y_v"), F.lit(1.0).alias("gate"), F.lit(1.0).alias("weight"))
+    return predict(e, train(e, "vec_id")).select("vec_id", *[r6(F.col(c), 4).alias(c) for c in ("delta_u", "delta_v", "sigma_u", "sigma_v")])
 
 
 @query("seq_38_gate_rules", f"""
