@@ -322,10 +322,36 @@ def seq_22(spark, d):
     return gates.policies(p)
 
 
-@query("seq_23_frozen_posterior", f"WITH {OBS} SELECT event_id, round(1 / (1 + exp(-(0.4 * ln(1 + speed / 50) - 0.3 * ln(1 + alt / 5000) + 0.2 * ln(1 + wind_speed / 20) + CASE WHEN source = 'turb' THEN 0.5 ELSE 0 END))), 6) AS p FROM obs")
+def _frozen():
+    from windgrid.operators.confidence import Frozen
+
+    return Frozen(-0.2, [0.3 - 0.1 * (i % 5) for i in range(19)], [1.0 + 0.25 * (i % 4) if i < 8 else 0.25 for i in range(19)], [1.5 if i < 8 else 0.4 for i in range(19)], [0.2, 0.35, 0.5, 0.7, 1.0], [0.02, 0.2, 0.45, 0.8, 0.97])
+
+
+#: a case's numbers and marks, as SQL of an observation
+CASE = {
+    "best_cost": "CASE WHEN event_id % 17 = 0 THEN NULL ELSE speed / 10 END", "cross_track_q90_km": "wind_speed / 5", "vertical_q90_m": "alt / 3", "sampling_gap_max_seconds": "CASE WHEN event_id % 13 = 0 THEN NULL ELSE heading * 10 END", "monotonic_violation_count": "event_id % 6",
+    "candidate_leg_count": "event_id % 9 - 1", "ambiguity_margin": "heading / 360", "batch_size": "1 + event_id % 50", "flight_phase": "CASE event_id % 4 WHEN 0 THEN 'ASC' WHEN 1 THEN 'DES' WHEN 2 THEN 'LVR' END",
+    "source_tier": "CASE event_id % 5 WHEN 0 THEN 'S0_exact' WHEN 1 THEN 'S1_tail' WHEN 2 THEN 'S2_flight' WHEN 3 THEN 'other' END", "batch_size_bucket": "CASE WHEN event_id % 50 < 1 THEN '1' WHEN event_id % 50 < 4 THEN '2-4' WHEN event_id % 50 < 10 THEN '5-10' WHEN event_id % 50 < 25 THEN '11-25' ELSE '26-50' END",
+}
+
+
+def _posterior_sql() -> str:
+    m, terms = _frozen(), []
+    other = dict(zip(list(CASE)[:8], (50, 20, 5000, 3600, 20, 0, 1, 1), strict=True))
+    x = [f"ln(1 + greatest(0.0::DOUBLE, coalesce({n}, {v})))" for n, v in other.items()] + [f"coalesce({t}, false)::INT" for t in ("flight_phase = 'ASC'", "flight_phase = 'DES'", "flight_phase = 'LVR'", "source_tier LIKE 'S0%'", "source_tier LIKE 'S1%'", "source_tier LIKE 'S2%'")]
+    x += [f"(batch_size_bucket = '{b}')::INT" for b in ("1", "2-4", "5-10", "11-25", "26-50")]
+    for e, w, mean, std in zip(x, m.weights, m.means, m.stds, strict=True):
+        terms.append(f"({w!r}::DOUBLE * ({e} - {mean}) / {std}::DOUBLE)")
+    knots = " ".join(f"WHEN raw <= {k} THEN {v}" for k, v in zip(m.knots[:-1], m.values[:-1], strict=True))
+    return f"WITH {OBS}, c AS (SELECT event_id, {', '.join(f'{e} AS {n}' for n, e in CASE.items())} FROM obs), z AS (SELECT event_id, 1 / (1 + exp(-({m.intercept} + {' + '.join(terms)}))) AS raw FROM c) SELECT event_id, (CASE {knots} ELSE {m.values[-1]} END)::DOUBLE AS p FROM z"
+
+
+@query("seq_23_frozen_posterior", _posterior_sql())
 def seq_23(spark, d):
-    z = 0.4 * F.log1p(F.col("speed") / 50) - 0.3 * F.log1p(F.col("alt") / 5000) + 0.2 * F.log1p(F.col("wind_speed") / 20) + F.when(F.col("source") == "turb", 0.5).otherwise(0.0)
-    return obs(spark, d).select("event_id", r6(weights.sigmoid(z)).alias("p"))
+    from windgrid.operators.confidence import posterior
+
+    return obs(spark, d).select("event_id", *[F.expr(e).alias(n) for n, e in CASE.items()]).select("event_id", posterior(_frozen()).alias("p"))
 
 
 @query("seq_24_acceptance_roles", f"WITH {SCORED} SELECT doc_id, CASE WHEN p >= 0.9 AND doc_id % 3 <> 0 THEN 'unique' WHEN p >= 0.55 THEN 'mixture' ELSE 'reject' END AS role FROM scored")
@@ -382,21 +408,61 @@ def seq_28(spark, d):
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *before, "driver", r6(F.col("uncertainty_s"), 4).alias("uncertainty_s"), "grade", "clipped")
 
 
+#: a support row, as SQL of an observation
+SUPPORT = {
+    "source": "source", "wind_speed": "CASE WHEN event_id % 41 = 0 THEN NULL ELSE speed END", "wind_dir": "CAST(wind_dir + CASE WHEN event_id % 53 = 0 THEN 360 ELSE 0 END AS DOUBLE)", "u": "speed * sin(radians(wind_dir))", "v": "speed * cos(radians(wind_dir)) + CASE WHEN event_id % 19 = 0 THEN 5 ELSE 0 END", "alt": "alt",
+    "batch_rows": "CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 1 ELSE 1 + event_id % 57 END", "hspan": "CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(event_id % 37 AS DOUBLE) * (event_id % 11) / 60 END", "vspan": "CAST(event_id * 13 % 61 * (event_id % 7) * 16 AS DOUBLE)",
+    "phase": "CASE event_id % 5 WHEN 0 THEN 'LVR' WHEN 1 THEN 'ASC' WHEN 2 THEN 'DES' WHEN 3 THEN 'LVR' END", "wind_std": "CAST(event_id % 45 AS DOUBLE)", "cap": "CASE WHEN event_id % 31 = 0 THEN 0.0 WHEN event_id % 7 = 0 THEN NULL ELSE 0.5 + (event_id % 6) / 10.0 END", "review": "event_id % 10 = 0",
+    "tail": "CASE WHEN event_id % 4 = 0 THEN NULL ELSE 't' END", "flight": "CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'f' END", "strict": "CASE WHEN event_id % 8 = 0 THEN NULL ELSE event_id % 9 > 0 END", "error_s": "CAST(event_id * 7 % 4000 AS DOUBLE) / 5", "wrong": "event_id % 61 = 0", "valid": "event_id % 4 > 0",
+}
+
+
+def _support_columns() -> list[str]:
+    return [f"CAST({e} AS DOUBLE) AS {n}" if n in ("cap", "u", "v", "hspan") else f"{e} AS {n}" for n, e in SUPPORT.items()]
+
+
+SCORE = f"""{OBS}, s0 AS (SELECT event_id, {', '.join(_support_columns())} FROM obs),
+s1 AS (SELECT *, source = 'amdar' AS am, coalesce(batch_rows, 999999) AS sz, coalesce(hspan, 999) AS hs, coalesce(vspan, 999999) AS vs, coalesce(wind_std, 999) AS sd, coalesce(cap, 1) AS c0, coalesce(wind_speed IS NULL OR wind_speed < 0 OR wind_dir < 0 OR wind_dir >= 360, true) AS bad, coalesce(source = 'amdar' AND wind_speed > 150, false) AS high FROM s0),
+s2 AS (SELECT *, high AND (wind_speed <= 200 OR (alt >= 7000 AND hs <= 8 AND vs <= 6500)) AS backed, CASE WHEN sz <= 1 THEN 0.96 WHEN sz <= 4 THEN 0.88 WHEN sz <= 10 THEN 0.78 WHEN sz <= 25 THEN 0.6 WHEN sz <= 49 THEN 0.42 ELSE 0.28 END AS f1,
+CASE WHEN hs <= 0.2 AND vs <= 300 THEN 1.0 WHEN hs <= 0.5 AND vs <= 600 THEN 0.94 WHEN hs <= 0.8 AND vs <= 1000 THEN 0.88 WHEN hs <= 1.5 AND vs <= 1800 THEN 0.76 WHEN hs <= 3 AND vs <= 3000 THEN 0.62 WHEN hs <= 5 AND vs <= 5000 THEN 0.45 ELSE 0.25 END AS f2,
+CASE phase WHEN 'LVR' THEN 1.0 WHEN 'ASC' THEN 0.92 WHEN 'DES' THEN 0.88 ELSE 0.82 END AS f3, CASE WHEN sz <= 1 THEN 0.96 WHEN sd < 5 THEN 1.0 WHEN sd < 10 THEN 0.92 WHEN sd < 20 THEN 0.8 WHEN sd < 35 THEN 0.65 ELSE 0.45 END AS f4 FROM s1),
+s3 AS (SELECT *, CASE WHEN am THEN least(0.92, greatest(0.05, exp(0.3 * ln(f1::DOUBLE) + 0.35 * ln(f2::DOUBLE) + 0.1 * ln(f3::DOUBLE) + 0.25 * ln(f4::DOUBLE)))) ELSE 0.92 END AS rep, bad OR (high AND NOT backed) OR (CASE WHEN backed AND wind_speed > 200 THEN greatest(c0, 0.42) WHEN backed THEN greatest(c0, 0.55) ELSE c0 END) <= 0 AS rejected,
+CASE WHEN backed AND wind_speed > 200 THEN greatest(c0, 0.42) WHEN backed THEN greatest(c0, 0.55) ELSE c0 END AS cp, CASE WHEN bad OR (high AND NOT backed) THEN 1e-6 WHEN high AND wind_speed > 200 THEN 0.42 WHEN high AND alt >= 8000 THEN 0.78 WHEN high THEN 0.55 WHEN review OR abs(sqrt(u * u + v * v) - wind_speed) > 0.5 THEN 0.7 ELSE 1 END::DOUBLE AS ph,
+CASE WHEN tail IS NOT NULL AND flight IS NOT NULL THEN 1 WHEN tail IS NULL AND flight IS NULL THEN 0.45 ELSE 0.82 END::DOUBLE AS idn, CASE source WHEN 'turb' THEN 1 WHEN 'amdar' THEN 0.9 ELSE 0.7 END::DOUBLE AS sq FROM s2),
+s4 AS (SELECT *, CASE WHEN source = 'turb' THEN 1 WHEN rejected THEN 0 ELSE least(cp, 0.9, exp(0.22 * ln(sq) + 0.28 * ln(ph) + 0.4 * ln(rep) + 0.1 * ln(idn))) END AS support, CASE WHEN NOT am THEN 0 WHEN sz <= 1 THEN 240 WHEN sz <= 10 AND hs <= 0.8 AND vs <= 1000 THEN 300 WHEN sz <= 25 AND hs <= 5 AND vs <= 5000 THEN 900 WHEN sz <= 49 AND hs <= 5 AND vs <= 5000 THEN 1500 ELSE 2100 END AS seconds,
+greatest(hs * 111000 / CASE phase WHEN 'LVR' THEN 230 WHEN 'ASC' THEN 180 WHEN 'DES' THEN 190 ELSE 160 END, vs / CASE WHEN phase IN ('ASC', 'DES') THEN 8 ELSE 4 END) * 1.2 + CASE WHEN sz <= 1 THEN 60 WHEN sz <= 10 THEN 120 WHEN sz <= 25 THEN 180 ELSE 240 END AS across, CASE WHEN sz <= 1 THEN 180 WHEN sz <= 10 THEN 300 WHEN sz <= 25 THEN 600 WHEN sz <= 49 THEN 1200 ELSE 1800 END AS least_s FROM s3)"""
+
+
 @query("seq_29_confidence_tiers", f"""
-WITH {OBS}, c AS (SELECT event_id, exp(0.4 * ln(greatest(1e-6, least(1.0, 1 - wind_speed / 200))) + 0.3 * ln(greatest(1e-6, least(1.0, alt / 12000))) + 0.2 * ln(greatest(1e-6, CASE WHEN source = 'turb' THEN 1.0 WHEN source = 'amdar' THEN 0.8 ELSE 0.4 END)) + 0.1 * ln(greatest(1e-6, least(1.0, 1 - heading / 400)))) AS c FROM obs),
-k AS (SELECT event_id, round(CASE WHEN event_id % 50 = 0 THEN 0 ELSE c END, 6) AS c FROM c) SELECT event_id, c, CASE WHEN c >= 0.9 THEN 'T0' WHEN c >= 0.72 THEN 'T1' WHEN c >= 0.53 THEN 'T2' WHEN c >= 0.30 THEN 'T3' ELSE 'T4' END AS tier FROM k""")
+WITH {SCORE}, t AS (SELECT *, CASE WHEN source = 'turb' THEN CASE WHEN coalesce(strict, false) AND NOT rejected THEN 'T0' ELSE 'T4' END WHEN rejected THEN 'T4' WHEN support >= 0.72 AND seconds <= 300 THEN 'T1' WHEN support >= 0.53 AND seconds <= 900 THEN 'T2' WHEN support >= 0.3 AND seconds <= 1800 THEN 'T3' ELSE 'T4' END AS tier FROM s4),
+g AS (SELECT *, CASE WHEN tier = 'T0' THEN 'S' WHEN source = 'turb' OR rejected THEN 'R' WHEN tier = 'T1' THEN 'A' WHEN tier = 'T2' THEN 'B' WHEN tier = 'T3' THEN 'C' ELSE 'D' END AS grade,
+CASE WHEN tier = 'T0' THEN 'strict_holdout' WHEN source = 'turb' THEN 'strict_holdout_review' WHEN rejected THEN 'rejected_or_manual_review' WHEN tier IN ('T1', 'T2') THEN 'support_assimilation_candidate' WHEN tier = 'T3' THEN 'low_confidence_support_or_superob_only' ELSE 'display_only_or_reject' END AS role,
+CASE WHEN tier <> 'T2' THEN tier WHEN sz <= 10 AND hs <= 2 AND vs <= 2000 AND rep >= 0.72 THEN 'T2a_direct_support_candidate' ELSE 'T2b_broad_or_lower_weight_support' END AS subtier FROM t)
+SELECT event_id, round(rep, 6) AS representative, round(support::DOUBLE, 6) AS support, seconds::DOUBLE AS seconds, round((CASE WHEN am THEN least(seconds, greatest(across, least_s)) ELSE 0 END)::DOUBLE, 4) AS seconds_continuous, rejected, tier, grade, role, subtier,
+CASE subtier WHEN 'T0' THEN 'strict_holdout_evaluation_only' WHEN 'T1' THEN 'direct_support_high_weight' WHEN 'T2a_direct_support_candidate' THEN 'direct_support_medium_weight' WHEN 'T2b_broad_or_lower_weight_support' THEN 'low_weight_or_superob_preferred' WHEN 'T3' THEN 'superob_or_context_only' ELSE 'display_only_or_reject' END AS advice FROM g""")
 def seq_29(spark, d):
-    source = F.when(F.col("source") == "turb", 1.0).when(F.col("source") == "amdar", 0.8).otherwise(0.4)
-    c = weights.log_mean([1 - F.col("wind_speed") / 200, F.col("alt") / 12000, source, 1 - F.col("heading") / 400], [0.4, 0.3, 0.2, 0.1])
-    o = obs(spark, d).select("event_id", r6(F.when(F.col("event_id") % 50 == 0, 0.0).otherwise(c)).alias("c"))
-    return o.withColumn("tier", clean.first_reason([("T0", F.col("c") >= 0.9), ("T1", F.col("c") >= 0.72), ("T2", F.col("c") >= 0.53), ("T3", F.col("c") >= 0.30)], "T4"))
+    from windgrid.operators.confidence import graded, scored
+
+    g = graded(scored(supports(spark, d)))
+    return g.select("event_id", r6(F.col("representative")).alias("representative"), r6(F.col("support")).alias("support"), "seconds", r6(F.col("seconds_continuous"), 4).alias("seconds_continuous"), "rejected", "tier", "grade", "role", "subtier", "advice")
+
 
+def supports(spark, d):
+    return obs(spark, d).selectExpr("event_id", *_support_columns())
 
-@query("seq_30_threshold_grid", f"WITH {SCORED} SELECT t::DOUBLE AS t, count(*) FILTER (WHERE p >= t) AS kept, round(avg(y) FILTER (WHERE p >= t), 6) AS precision FROM scored, (VALUES (0.1), (0.3), (0.5), (0.7), (0.9)) v(t) GROUP BY 1")
+
+@query("seq_30_threshold_grid", f"""
+WITH {SCORE}, grid AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b FROM (VALUES (0.70), (0.72), (0.74), (0.76), (0.78)) x(a), (VALUES (0.50), (0.53), (0.56), (0.60)) y(b)),
+p AS (SELECT a, b, s4.*, CASE WHEN support >= a AND seconds <= 300 THEN 1 WHEN support >= b AND seconds <= 900 THEN 2 ELSE 0 END AS t FROM s4, grid),
+r AS (SELECT a, b, count(*) FILTER (WHERE am) AS n, count(*) FILTER (WHERE am AND t = 1) AS r1, count(*) FILTER (WHERE am AND t = 2) AS r2, count(*) FILTER (WHERE valid AND t = 1) AS n1, quantile_cont(round(error_s, 1), 0.9) FILTER (WHERE valid AND t = 1) AS q1, avg(wrong::INT) FILTER (WHERE valid AND t = 1) AS w1, count(*) FILTER (WHERE valid AND t = 2) AS n2, quantile_cont(round(error_s, 1), 0.9) FILTER (WHERE valid AND t = 2) AS q2, avg(wrong::INT) FILTER (WHERE valid AND t = 2) AS w2 FROM p GROUP BY 1, 2)
+SELECT a AS t1_min, b AS t2_min, r1 AS real_t1, r2 AS real_t2, n1 AS t1_n, round(q1, 4) AS t1_q90, round(w1, 6) AS t1_wrong, n2 AS t2_n, round(q2, 4) AS t2_q90, round(w2, 6) AS t2_wrong, round((r1 + r2) / greatest(1, n)::DOUBLE, 6) AS coverage, coalesce(q1 < 180 AND q2 < 600 AND w1 <= 0.01 AND w2 <= 0.02, false) AS passes FROM r""")
 def seq_30(spark, d):
-    levels = (0.1, 0.3, 0.5, 0.7, 0.9)
-    wide = scored(spark, d).agg(*[F.struct(F.lit(t).alias("t"), F.count_if(F.col("p") >= t).alias("kept"), r6(F.avg(F.when(F.col("p") >= t, F.col("y")))).alias("precision")).alias(f"g{k}") for k, t in enumerate(levels)])
-    return wide.select(F.explode(F.array(*[f"g{k}" for k in range(len(levels))])).alias("r")).select("r.*")
+    from windgrid.operators.confidence import scored as confidences
+    from windgrid.operators.confidence import threshold_grid
+
+    s = confidences(supports(spark, d))
+    g = threshold_grid(s.where("source = 'amdar'"), s.where("valid"))
+    return g.select("t1_min", "t2_min", "real_t1", "real_t2", *[c for t in ("t1", "t2") for c in (f"{t}_n", r6(F.col(f"{t}_q90"), 4).alias(f"{t}_q90"), r6(F.col(f"{t}_wrong")).alias(f"{t}_wrong"))], r6(F.col("coverage")).alias("coverage"), "passes")
 
 
 @query("seq_31_ground_agents", f"WITH {OBS} SELECT ident, round(median(lat), 6) AS lat, round(median(lon), 6) AS lon, count(DISTINCT floor(alt / 500)) AS levels, round(avg(speed), 8) AS speed FROM obs GROUP BY 1")
