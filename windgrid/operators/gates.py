@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,3 +90,74 @@ def promotion(errors: DataFrame, tolerance: float) -> DataFrame:
         overall = overall & F.coalesce(g, F.lit(False))
     every = [F.struct(F.lit(n).alias("gate"), F.coalesce(g, F.lit(False)).alias("passed")) for n, g in (found | {"overall": overall}).items()]
     return row.select(F.explode(F.array(*every)).alias("x")).select("x.*")
+
+
+#: The borders of the rules that switch a correction on, and its scales.
+SPEEDS, HEIGHTS, RISKS, JUMPS, SCALES = (15, 20, 30, 45, 60), (9000, 12000), (0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.50), (10, 15, 20, 30), (0.25, 0.5, 0.75, 1.0)
+
+
+def rules(profile: str = "broad") -> dict[str, tuple[int, Column]]:
+    """Rules by name with their complexity: where a correction is switched on, by what is known without truth.
+
+    Columns: pred_speed, alt_m, light (a light wind is predicted), risk, sigma_rep, role_gap, vertical_gap.
+    Profiles tail_safe and narrow_safe leave out rules that are on nearly everywhere, or at slow winds.
+    """
+    speed, alt, risk, dark = F.col("pred_speed"), F.col("alt_m"), F.col("risk"), ~F.col("light")
+    found: dict[str, tuple[int, Column, int]] = {"all_points": (1, F.lit(True), 0), "not_light": (1, dark, 0)}  # the last: 0 broad, 1 tail_safe, 2 narrow_safe
+    for s in SPEEDS:
+        found[f"speed_{s}"] = (1, speed >= s, 1 if s >= 45 else 0)
+        found[f"speed_{s}_not_light"] = (2, (speed >= s) & dark, 2 if s >= 45 else 0)
+    for h in HEIGHTS:
+        found[f"alt_{h}"] = (1, alt >= h, 0)
+        found[f"alt_{h}_not_light"] = (2, (alt >= h) & dark, 0)
+    for r in RISKS:
+        n, over = f"risk_{round(100 * r)}", risk >= r
+        found[n] = (1, over, 0)
+        found[f"{n}_not_light"] = (2, over & dark, 2 if r > 0.10 else 1)
+        for other, also, safe in (("speed_30", speed >= 30, 0), ("speed_45", speed >= 45, 1), ("alt_12000", alt >= 12000, 1)):
+            found[f"{n}_or_{other}_not_light"] = (3, (over | also) & dark, safe)
+    found["risk_20_to_50_not_light"] = (3, (risk >= 0.20) & (risk < 0.50) & dark, 2)
+    found["role_gap_30_not_light"] = (2, (F.col("role_gap") >= 30) & dark, 2)
+    found["sigma_10_not_light"] = (2, (F.col("sigma_rep") >= 10) & dark, 2)
+    for j in JUMPS:
+        found[f"vertical_gap_{j}_not_light"] = (2, (F.col("vertical_gap") >= j) & dark, 2)
+    least = {"broad": 0, "tail_safe": 1, "narrow_safe": 2}[profile]
+    return {n: (c, rule) for n, (c, rule, safe) in found.items() if safe >= least}
+
+
+def choose_rule(points: DataFrame, profile: str = "narrow_safe", scales: tuple[float, ...] = SCALES, tolerance: float = 1e-6, least_gain: float = 0.0, least_points: int = 1) -> DataFrame:
+    """A row per rule and scale: what it changes on val and on test, whether each passes all guardrails, and the chosen one.
+
+    points: split (val, test; others are not read), u_miss, v_miss (baseline minus truth), du, dv (the correction), speed
+    (true) and the columns of `rules`. Only val chooses: among those that pass there and gain, the one of the least
+    error, then of the least complexity, scale and name; test is reported. Errors are rounded to a hundredth, so that
+    the state of a quantile is bounded.
+    """
+    named = rules(profile)
+    p = points.where(F.col("split").isin("val", "test"))
+    on = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(c).alias("complexity"), F.coalesce(rule, F.lit(False)).alias("on")) for n, (c, rule) in named.items()]))
+    p = p.select("split", "u_miss", "v_miss", "du", "dv", "speed", on.alias("r")).select("*", "r.*").drop("r")
+    base = F.round(F.hypot("u_miss", "v_miss"), 2)
+    scale = lambda s: F.when(F.col("on"), F.lit(s)).otherwise(0.0)
+    p = p.withColumn("e", base).withColumns({f"e{i}": F.round(F.hypot(F.col("u_miss") + scale(s) * F.col("du"), F.col("v_miss") + scale(s) * F.col("dv")), 2) for i, s in enumerate(scales)})
+    light, mild = (F.col("speed") >= 5) & (F.col("speed") < 15), (F.col("speed") >= 5) & (F.col("speed") < 30)
+
+    def measures(e: str) -> dict[str, Column]:
+        x = F.col(e)
+        return {
+            "rmse": F.sqrt(F.avg(x * x)), "p95": F.percentile(x, 0.95), "p99": F.percentile(x, 0.99), "light_rmse": F.coalesce(F.sqrt(F.avg(F.when(light, x * x))), F.lit(0.0)), "light_mae": F.coalesce(F.avg(F.when(light, x)), F.lit(0.0)),
+            "floor10": F.avg(x / F.greatest(F.col("speed"), F.lit(10.0))), "large": F.count_if(x >= 30).cast("double"), "worse": F.count_if(mild & (x / F.greatest(F.col("speed"), F.lit(1e-6)) > 2) & (x - F.col("e") > 5)).cast("double"),
+        }
+
+    g = p.groupBy("rule", "complexity", "split").agg(F.count_if("on").alias("enabled"), *[F.struct(*[c.alias(n) for n, c in measures(e).items()]).alias(f"m_{e}") for e in ["e", *[f"e{i}" for i in range(len(scales))]]])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.col(f"m_e{i}").alias("m")) for i, s in enumerate(scales)]))
+    g = g.select("rule", "complexity", "split", "enabled", F.col("m_e").alias("b"), each.alias("s")).select("rule", "complexity", "split", "enabled", "b", "s.scale", "s.m")  # a row per rule, split and scale from here
+    ok = F.col("m.worse") == 0
+    for n in ("rmse", "p95", "p99", "light_rmse", "light_mae", "floor10"):
+        ok = ok & (F.col(f"m.{n}") <= F.col(f"b.{n}") + tolerance)
+    g = g.withColumns({"passes": ok & (F.col("m.large") <= F.col("b.large")), "delta": F.col("m.rmse") - F.col("b.rmse")})
+    of = lambda split, c: F.max(F.when(F.col("split") == split, F.col(c)))
+    wide = g.groupBy("rule", "complexity", "scale").agg(*[of(s, c).alias(f"{s}_{c}") for s in ("val", "test") for c in ("enabled", "delta", "passes")])
+    wide = wide.withColumn("eligible", F.coalesce(F.col("val_passes") & (F.round("val_delta", 6) < -least_gain) & (F.col("val_enabled") >= least_points), F.lit(False)))
+    place = F.row_number().over(Window.orderBy(F.col("eligible").desc(), F.round("val_delta", 6), "complexity", "scale", "rule"))
+    return wide.withColumn("chosen", (place == 1) & F.col("eligible"))

@@ -562,13 +562,29 @@ def seq_37(spark, d):
     return predict(e, train(e, "vec_id")).select("vec_id", *[r6(F.col(c), 4).alias(c) for c in ("delta_u", "delta_v", "sigma_u", "sigma_v")])
 
 
+#: a point with its baseline error and correction, as SQL of a line item
+GATED = {
+    "split": "CASE WHEN l_orderkey % 10 < 6 THEN 'train' WHEN l_orderkey % 10 < 8 THEN 'val' ELSE 'test' END", "u_miss": "l_discount * 203.3{D}", "v_miss": "l_tax * 207.7{D}", "du": "l_discount * 203.3{D} * CASE WHEN l_partkey % 9 = 0 THEN 0.31{D} ELSE -0.43{D} END",
+    "dv": "l_tax * 207.7{D} * -0.23{D}", "speed": "l_extendedprice / 1000", "pred_speed": "l_quantity * 2", "alt_m": "l_partkey * 37 % 16000", "light": "l_quantity * 2 >= 5 AND l_quantity * 2 < 15", "risk": "(l_orderkey * 7 % 100) / 100.0{D}", "sigma_rep": "2 + 22 * (l_orderkey * 7 % 100) / 100.0{D}",
+    "role_gap": "l_quantity", "vertical_gap": "l_tax * 400",
+}
+NARROW = {f"speed_{s}_not_light": (2, f"pred_speed >= {s}") for s in (45, 60)} | {f"risk_{round(100 * r)}_not_light": (2, f"risk >= {r}") for r in (0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.50)}
+NARROW |= {"risk_20_to_50_not_light": (3, "risk >= 0.2 AND risk < 0.5"), "role_gap_30_not_light": (2, "role_gap >= 30"), "sigma_10_not_light": (2, "sigma_rep >= 10")} | {f"vertical_gap_{j}_not_light": (2, f"vertical_gap >= {j}") for j in (10, 15, 20, 30)}
+
+
 @query("seq_38_gate_rules", f"""
-WITH {ERRORS}, g AS (SELECT rule, scale::DOUBLE AS scale, sqrt(avg(pow(CASE WHEN hit THEN eu * (1 - scale) ELSE eu END, 2))) AS rmse FROM (SELECT 'heavy' AS rule, w > 30 AS hit, eu FROM errors UNION ALL SELECT 'fast', gt_speed > 50, eu FROM errors UNION ALL SELECT 'always', true, eu FROM errors), (VALUES (0.25), (0.5)) s(scale) GROUP BY 1, 2) SELECT rule, scale, round(rmse, 6) AS rmse FROM g""")
+WITH p AS (SELECT {', '.join(f"{e.replace('{D}', '::DOUBLE')} AS {n}" for n, e in GATED.items())} FROM lineitem), r AS ({' UNION ALL '.join(f"SELECT '{n}' AS rule, {c} AS complexity, split, u_miss, v_miss, du, dv, speed, NOT light AND {e} AS hit FROM p WHERE split <> 'train'" for n, (c, e) in NARROW.items())}),
+x AS (SELECT *, round(sqrt(u_miss * u_miss + v_miss * v_miss), 2) AS b, round(sqrt(pow(u_miss + CASE WHEN hit THEN scale ELSE 0 END * du, 2) + pow(v_miss + CASE WHEN hit THEN scale ELSE 0 END * dv, 2)), 2) AS c FROM r, (VALUES (0.25::DOUBLE), (0.5), (0.75), (1.0)) s(scale)),
+m AS (SELECT rule, complexity, scale, split, count(*) FILTER (WHERE hit) AS enabled, sqrt(avg(b * b)) AS br, sqrt(avg(c * c)) AS cr, quantile_cont(b, 0.95) AS b95, quantile_cont(c, 0.95) AS c95, quantile_cont(b, 0.99) AS b99, quantile_cont(c, 0.99) AS c99, coalesce(sqrt(avg(b * b) FILTER (WHERE speed >= 5 AND speed < 15)), 0) AS blr, coalesce(sqrt(avg(c * c) FILTER (WHERE speed >= 5 AND speed < 15)), 0) AS clr,
+coalesce(avg(b) FILTER (WHERE speed >= 5 AND speed < 15), 0) AS blm, coalesce(avg(c) FILTER (WHERE speed >= 5 AND speed < 15), 0) AS clm, avg(b / greatest(speed, 10)) AS bf, avg(c / greatest(speed, 10)) AS cf, count(*) FILTER (WHERE b >= 30) AS bl, count(*) FILTER (WHERE c >= 30) AS cl, count(*) FILTER (WHERE speed >= 5 AND speed < 30 AND c / speed > 2 AND c - b > 5) AS worse FROM x GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, cr - br AS delta, cr <= br + 1e-6 AND c95 <= b95 + 1e-6 AND c99 <= b99 + 1e-6 AND clr <= blr + 1e-6 AND clm <= blm + 1e-6 AND cf <= bf + 1e-6 AND worse = 0 AND cl <= bl AS passes FROM m),
+w AS (SELECT rule, complexity, scale, max(enabled) FILTER (WHERE split = 'val') AS val_enabled, max(delta) FILTER (WHERE split = 'val') AS val_delta, bool_or(passes) FILTER (WHERE split = 'val') AS val_passes, max(enabled) FILTER (WHERE split = 'test') AS test_enabled, max(delta) FILTER (WHERE split = 'test') AS test_delta, bool_or(passes) FILTER (WHERE split = 'test') AS test_passes FROM k GROUP BY 1, 2, 3),
+e AS (SELECT *, coalesce(val_passes AND round(val_delta, 6) < 0 AND val_enabled >= 1, false) AS eligible FROM w)
+SELECT rule, complexity, scale, val_enabled, round(val_delta, 5) AS val_delta, val_passes, test_enabled, round(test_delta, 5) AS test_delta, test_passes, eligible, eligible AND row_number() OVER (ORDER BY eligible DESC, round(val_delta, 6), complexity, scale, rule) = 1 AS chosen FROM e""")
 def seq_38(spark, d):
-    rules = {"heavy": F.col("w") > 30, "fast": F.col("gt_speed") > 50, "always": F.lit(True)}
-    cells = [(n, s, F.sqrt(F.avg(F.pow(F.when(r, F.col("eu") * (1 - s)).otherwise(F.col("eu")), 2)))) for n, r in rules.items() for s in (0.25, 0.5)]
-    wide = errors(spark, d).agg(*[F.struct(F.lit(n).alias("rule"), F.lit(s).alias("scale"), r6(c).alias("rmse")).alias(f"g{k}") for k, (n, s, c) in enumerate(cells)])
-    return wide.select(F.explode(F.array(*[f"g{k}" for k in range(len(cells))])).alias("r")).select("r.*")
+    p = read(spark, d, "lineitem").select(*[F.expr(e.replace("{D}", "D")).alias(n) for n, e in GATED.items()])
+    g = gates.choose_rule(p)
+    return g.select(*[r6(F.col(c), 5).alias(c) if c.endswith("delta") else F.col(c) for c in g.columns])
 
 
 @query("seq_39_gate_replay", f"WITH {ERRORS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(eu - CASE WHEN w > 30 THEN 0.5 * least(0.4, greatest(-0.4, eu)) ELSE 0 END, 6) AS eu FROM errors")
