@@ -201,6 +201,47 @@ def fill_from_neighbours(field: DataFrame, wanted: DataFrame, rz: int, ry: int,
     return g.where(F.col("n") >= least)
 
 
+#: Least support and neighbours of a filled cell, the widest spread of its neighbours.
+FILL_SUPPORT, FILL_NEIGHBOURS, FILL_SPREAD = 0.12, 3, 18.0
+
+
+def supported_fill(field: DataFrame, support: DataFrame, rz: int, rxy: int, most: int = 10, spread: float = FILL_SPREAD) -> DataFrame:
+    """u, v, conf of cells (frame, z, y, x, support) that are not known, from their `most` nearest known cells.
+
+    A cell needs FILL_SUPPORT, FILL_NEIGHBOURS in the box, and neighbours that agree within `spread`.
+    """
+    open_ = support.where(F.col("support") >= FILL_SUPPORT).join(field.select(*CELL), CELL, "left_anti")
+    near = offset_join(open_.select(*CELL, "support"), field.select(*CELL, "u", "v", "conf"), ["frame"], box(rz, rxy, rxy))
+    d2 = F.pow(F.col("o.dz"), 2) + F.pow(F.col("o.dy"), 2) + F.pow(F.col("o.dx"), 2)
+    near = near.withColumn("d2", d2).withColumn("r", F.row_number().over(Window.partitionBy(*CELL).orderBy("d2", "o.dz", "o.dy", "o.dx"))).where(F.col("r") <= most)
+    w = clip(F.col("n_conf"), 0.05, 1.0) / (F.col("d2") + 1)
+    mean = lambda c: F.sum(w * F.col(f"n_{c}")) / F.sum(w)
+    square = F.sum(w * (F.col("n_u") * F.col("n_u") + F.col("n_v") * F.col("n_v"))) / F.sum(w)
+    g = near.groupBy(*CELL, "support").agg(F.count("*").alias("n"), mean("u").alias("u"), mean("v").alias("v"), square.alias("__e2"), F.avg(clip(F.col("n_conf"), 0.0, 1.0)).alias("__c"))
+    g = g.withColumn("spread", F.sqrt(F.greatest(F.lit(0.0), F.col("__e2") - F.col("u") * F.col("u") - F.col("v") * F.col("v")))).where((F.col("n") >= FILL_NEIGHBOURS) & (F.col("spread") <= spread))
+    conf = 0.13 + 0.50 * F.col("support") + 0.18 * clip(1 - F.col("spread") / spread, 0.0, 1.0) + 0.16 * F.col("__c")
+    return g.withColumn("conf", clip(conf, 0.10, 0.82)).drop("__e2", "__c")
+
+
+def targets(cells: DataFrame, share: float = 0.30, least: int = 32) -> DataFrame:
+    """frame, z, y, x, kind, score: the cells most worth sending, of kinds wind, motion, uncertainty and joint.
+
+    cells: wind_weight, wind_count, motion_count (null: none), support, conf, physics, diversity. Each kind keeps `share`
+    of the frame's supported cells, `least` at least; joint chooses among the kept ones by their weighted scores.
+    """
+    c = cells.withColumn("__k", F.greatest(F.lit(least), F.floor(share * F.count_if(F.col("support") > 0).over(Window.partitionBy("frame")))))
+    sure = clip(0.55 + 0.30 * clip(F.col("physics"), 0.0, 1.0) + 0.15 * clip(F.col("diversity"), 0.0, 1.0), 0.0, 1.25)
+    scores = {
+        "wind": (F.col("wind_count").isNotNull(), 0.65 * F.coalesce("wind_weight", F.lit(0.0)) + 0.35 * F.log1p("wind_count"), 0.70), "motion": (F.col("motion_count").isNotNull(), 0.55 * F.log1p("motion_count") + 0.45 * F.col("support"), 0.30),
+        "uncertainty": (F.col("support") > 0, F.col("support") * clip(1 - F.col("conf"), 0.0, 1.0) * sure, 0.20),
+    }
+    kinds = F.explode(F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(n).alias("kind"), score.alias("score"), F.lit(w).alias("weight"))) for n, (rule, score, w) in scores.items()])))
+    best = lambda df, keys, tie: df.withColumn("__r", F.row_number().over(Window.partitionBy("frame", *keys).orderBy(F.round("score", 6).desc(), "z", "y", "x", *tie))).where("__r <= __k").drop("__r")
+    single = best(c.select(*CELL, "__k", kinds.alias("k")).select(*CELL, "__k", "k.*"), ["kind"], [])
+    joint = best(single.withColumns({"score": F.col("score") * F.col("weight"), "of": F.col("kind"), "kind": F.lit("joint")}), [], ["of"])
+    return single.withColumn("of", F.col("kind")).unionByName(joint).select(*CELL, "kind", "of", "score")
+
+
 class Leak(ValueError):
     """Truth that was held out has found its way into training."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,15 +56,64 @@ def paths(ends: DataFrame, linked: DataFrame, k: int) -> DataFrame:
     return single.unionByName(best.select("ident", F.col("leg").alias("first_leg"), F.col("to_leg").alias("second_leg"), F.col("prior").alias("score")))
 
 
-def quality(legs: DataFrame, hard_gap_s: float, jump_km: float) -> DataFrame:
-    """Failure flags and grades per leg: A without failures and five points or more, B up to two failures, else C."""
+@dataclass(frozen=True)
+class LegRules:
+    """What a leg may have, in seconds, km, m and m/s."""
+
+    least_points: int = 5
+    least_s: float = 180.0
+    hard_gap_s: float = 900.0
+    warn_gap_s: float = 300.0
+    jump_km: float = 100.0
+    most_speed: float = 340.0
+    most_climb: float = 75.0
+    level_range_m: float = 1800.0
+    dense_s: tuple[float, float] = (90.0, 180.0)
+    fast: tuple[float, float] = (280.0, 320.0)
+    strong: tuple[int, float, float] = (20, 600.0, 20.0)
+    broad: tuple[int, float, float] = (10, 300.0, 10.0)
+    broad_gap_s: float = 120.0
+
+
+def quality(legs: DataFrame, rules: LegRules = LegRules()) -> DataFrame:
+    """Nine failure flags, five grades, the overall grade and the readiness of every leg.
+
+    legs: ident, leg, us, alt, prev_alt, dt, km, brk and tail, flight (null: missing). Steps over a break do not count.
+    Quantiles are within a leg, which is bounded by how long an aircraft flies.
+    """
+    r, inside = rules, ~F.col("brk")
+    step, gap = F.when(inside, F.col("alt") - F.col("prev_alt")), F.when(inside, F.col("dt"))
+    speed = F.try_divide(F.when(inside, F.col("km") * 1000), gap)
     g = legs.groupBy("ident", "leg").agg(
-        F.count("*").alias("n"), F.count_if((F.col("dt") > hard_gap_s) & ~F.col("brk")).alias("gaps"), F.count_if((F.col("km") > jump_km) & ~F.col("brk")).alias("jumps"),
-        F.count_if(F.abs(F.col("alt") - F.col("prev_alt")) > 5000).alias("climbs"), F.count_if((F.col("alt") < -500) | (F.col("alt") > 20000)).alias("outside"),
+        F.count("*").alias("n"), ((F.max("us") - F.min("us")) / 1e6).alias("seconds"), F.coalesce(F.sum(F.when(inside, F.col("km"))), F.lit(0.0)).alias("km"), (F.max_by("alt", F.struct("us", "event_id")) - F.min_by("alt", F.struct("us", "event_id"))).alias("change"), (F.max("alt") - F.min("alt")).alias("range"),
+        F.count_if(gap <= 0).alias("back"), F.count_if(speed > r.most_speed).alias("fast"), F.count_if(F.when(inside, F.col("km")) > r.jump_km).alias("jumps"), F.count_if(gap > r.warn_gap_s).alias("gaps"), F.count_if(F.try_divide(F.abs(step), gap) > r.most_climb).alias("steep"),
+        F.count_if(F.col("tail").isNull() & F.col("flight").isNull()).alias("unnamed"), F.max(F.col("tail").isNotNull().cast("int")).alias("has_tail"), F.max(F.col("flight").isNotNull().cast("int")).alias("has_flight"),
+        F.count_if(step > 50).alias("up"), F.count_if(step < -50).alias("down"), F.percentile(gap, 0.9).alias("gap_q90"), F.coalesce(F.max(gap), F.lit(0.0)).alias("gap_max"), F.percentile(speed, 0.99).alias("speed_q99"),
     )
-    flags = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in ("gaps", "jumps", "climbs", "outside")), F.when(F.col("n") < 5, 1).otherwise(0))
-    g = g.withColumn("failures", flags)
-    return g.withColumn("grade", F.when((F.col("failures") == 0) & (F.col("n") >= 5), "A").when(F.col("failures") <= 2, "B").otherwise("C"))
+    edges = F.greatest(F.col("n") - 1, F.lit(1))
+    phase = F.when(F.col("change") > 500, "ASC").when(F.col("change") < -500, "DES").otherwise("LVR")
+    g = g.withColumns({"phase": phase, "fast_ratio": F.col("fast") / edges, "gap_q": F.coalesce("gap_q90", F.lit(999_999.0)), "speed_q": F.coalesce("speed_q99", F.lit(0.0))})
+    mixed = ((F.col("phase") == "ASC") & (F.col("down") / edges > 0.35)) | ((F.col("phase") == "DES") & (F.col("up") / edges > 0.35)) | ((F.col("phase") == "LVR") & (F.col("range") > r.level_range_m))
+    flags = {"time_order": F.col("back") > 0, "speed": F.col("fast") > 0, "jump": F.col("jumps") > 0, "gap": F.col("gaps") > 0, "altitude": F.col("steep") > 0, "identity": F.col("unnamed") > 0, "duration": F.col("seconds") < r.least_s, "points": F.col("n") < r.least_points, "phase_mixed": mixed}
+    g = g.withColumns({f"failed_{n}": c for n, c in flags.items()})
+    failed = lambda *names: reduce(lambda a, b: a | b, [F.col(f"failed_{n}") for n in names])
+    near, far = r.dense_s
+    slow, quick = r.fast
+    named = F.col("has_tail") + F.col("has_flight")
+    dense = (F.col("n") >= r.strong[0]) & (F.col("seconds") >= r.strong[1]) & (F.col("gap_q") <= near)
+    grades = {
+        "time": F.when(failed("time_order") | (F.col("gap_max") > r.hard_gap_s), 1).when((F.col("gap_q") <= near) & (F.col("gap_max") <= far), 3).when((F.col("gap_q") <= far) & (F.col("gap_max") <= r.warn_gap_s), 2).otherwise(1),
+        "geometry": F.when(failed("jump") | (F.col("fast_ratio") > 0.02), 1).when((F.col("fast") == 0) & (F.col("speed_q") <= slow), 3).when(F.col("speed_q") <= quick, 2).otherwise(1),
+        "identity": F.when(named == 2, 3).when(named == 1, 2).otherwise(1),
+        "sampling": F.when(dense, 3).when((F.col("n") >= r.least_points) & (F.col("seconds") >= r.least_s) & (F.col("gap_q") <= far), 2).otherwise(1),
+        "phase": F.when(failed("phase_mixed"), 1).when((F.col("phase") == "LVR") & (F.col("range") > 1000), 2).otherwise(3),
+    }
+    g = g.withColumns({f"{n}_score": c for n, c in grades.items()}).withColumn("score", F.least(*[F.col(f"{n}_score") for n in grades]))
+    hard = failed("time_order", "altitude", "identity", "points", "duration", "jump", "phase_mixed") | (F.col("fast_ratio") > 0.02)
+    g = g.withColumns({"hard": hard, "failures": sum((F.col(f"failed_{n}").cast("int") for n in flags), F.lit(0)), "grade": F.when(hard | (F.col("score") < 2), "C").when(F.col("score") >= 3, "A").otherwise("B")})
+    fits = lambda size, q, most: (F.col("n") >= size[0]) & (F.col("seconds") >= size[1]) & (F.col("km") >= size[2]) & (F.col("gap_q") <= q) & (F.coalesce("speed_q99", F.lit(999_999.0)) <= most)
+    good = F.col("grade") != "C"
+    return g.withColumn("ready", F.when(good & fits(r.strong, near, slow), "M1_strong").when(good & fits(r.broad, r.broad_gap_s, quick), "M2_broad").otherwise("M3_not_ready"))
 
 
 def previous_within(df: DataFrame, keys: list[str], order: list, column: str, name: str) -> DataFrame:

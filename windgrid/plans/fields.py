@@ -390,10 +390,22 @@ def fld_29(spark, d):
     return s.groupBy(*KEY).agg(r6(F.max(F.least(F.lit(1.0), F.col("s")))).alias("strength"))
 
 
-@query("fld_30_supported_fill", f"WITH {FILL} SELECT frame, z, y, x, count(*) AS n, round(sum(conf / (d2 + 1) * v) / sum(conf / (d2 + 1)), 4) AS v FROM nb WHERE r <= 10 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4")
+SUP = "sup AS (SELECT frame, z, y, x, max(least(1.0, s)) AS support FROM (SELECT frame, z, y, x, source, ln(1 + count(*)) / ln(21) AS s FROM wobs GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4)"
+
+
+def support(spark, d):
+    s = wobs(spark, d).groupBy(*KEY, "source").agg((F.log1p(F.count("*")) / F.ln(F.lit(21.0))).alias("s"))
+    return s.groupBy(*KEY).agg(F.max(F.least(F.lit(1.0), F.col("s"))).alias("support"))
+
+
+@query("fld_30_supported_fill", f"""
+WITH {REC}, {SUP}, kn AS (SELECT * FROM field WHERE conf > 0.6), nb AS (SELECT o.frame, o.z, o.y, o.x, support, k.u, k.v, k.conf, least(1, greatest(0.05, k.conf)) / (pow(k.z - o.z, 2) + pow(k.y - o.y, 2) + pow(k.x - o.x, 2) + 1) AS kw, row_number() OVER (PARTITION BY o.frame, o.z, o.y, o.x ORDER BY pow(k.z - o.z, 2) + pow(k.y - o.y, 2) + pow(k.x - o.x, 2), k.z, k.y, k.x) AS r
+FROM sup o JOIN kn k ON o.frame = k.frame AND abs(o.z - k.z) <= 1 AND abs(o.y - k.y) <= 2 AND abs(o.x - k.x) <= 2 WHERE support >= 0.12 AND NOT EXISTS (SELECT 1 FROM kn q WHERE q.frame = o.frame AND q.z = o.z AND q.y = o.y AND q.x = o.x)),
+m AS (SELECT frame, z, y, x, support, count(*) AS n, sum(kw * u) / sum(kw) AS u, sum(kw * v) / sum(kw) AS v, sum(kw * (u * u + v * v)) / sum(kw) AS e2, avg(conf) AS c FROM nb WHERE r <= 10 GROUP BY 1, 2, 3, 4, 5), g AS (SELECT *, sqrt(greatest(0, e2 - u * u - v * v)) AS spread FROM m)
+SELECT frame, z, y, x, n, round(u, 4) AS u, round(v, 4) AS v, round(least(0.82, greatest(0.1, 0.13 + 0.5 * support + 0.18 * (1 - spread / 18) + 0.16 * c)), 5) AS conf FROM g WHERE n >= 3 AND spread <= 18""")
 def fld_30(spark, d):
-    want = wobs(spark, d).where("source = 'other'").select(*KEY).distinct()
-    return X.fill_from_neighbours(field(spark, d).where("conf > 0.6"), want, 1, 2, 2, 4, 10, 0.4).select(*KEY, "n", r6(F.col("v"), 4).alias("v"))
+    f = X.supported_fill(field(spark, d).where("conf > 0.6"), support(spark, d), 1, 2)
+    return f.select(*KEY, "n", r6(F.col("u"), 4).alias("u"), r6(F.col("v"), 4).alias("v"), r6(F.col("conf"), 5).alias("conf"))
 
 
 @query("fld_31_temporal_fill", f"WITH {REC}, {BG} SELECT frame, z, y, x, round(bu, 4) AS u, round(least(0.35, greatest(0.05, bconf * 0.5)), 5) AS conf FROM bg WHERE NOT EXISTS (SELECT 1 FROM field f WHERE f.conf > 0.4 AND f.frame = bg.frame AND f.z = bg.z AND f.y = bg.y AND f.x = bg.x)")
@@ -458,12 +470,20 @@ def fld_39(spark, d):
     return p.withColumn("sources", F.expr("cast((amdar > 0) as bigint) + cast((turb > 0) as bigint) + cast((other > 0) as bigint)"))
 
 
-@query("fld_40_targets", f"WITH {REC}, s AS (SELECT *, (1 - conf) * sqrt(u * u + v * v) AS s FROM field), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(s, 6) DESC, z, y, x) AS r, count(*) OVER (PARTITION BY frame) AS n FROM s) SELECT frame, z, y, x, round(s, 4) AS score FROM r WHERE r <= least(n, greatest(5, round(n * 0.1)))")
+@query("fld_40_targets", f"""
+WITH {REC}, {SUP}, cnt AS (SELECT frame, z, y, x, avg(w) FILTER (WHERE source = 'turb') AS ww, nullif(count(*) FILTER (WHERE source = 'turb'), 0) AS wc, nullif(count(*) FILTER (WHERE source = 'amdar'), 0) AS mc, count(DISTINCT source) / 3.0::DOUBLE AS dv FROM wobs GROUP BY 1, 2, 3, 4),
+c AS (SELECT frame, z, y, x, support, ww, wc, mc, coalesce(conf, 0) AS conf, coalesce(c_space, 0) AS ph, dv, greatest(5, floor(0.3::DOUBLE * count(*) FILTER (WHERE support > 0) OVER (PARTITION BY frame))) AS k FROM sup JOIN cnt USING (frame, z, y, x) LEFT JOIN field USING (frame, z, y, x)),
+e AS (SELECT frame, z, y, x, k, 'wind' AS kind, 0.65 * coalesce(ww, 0) + 0.35 * ln(1 + wc) AS score, 0.7 AS weight FROM c WHERE wc IS NOT NULL UNION ALL SELECT frame, z, y, x, k, 'motion', 0.55 * ln(1 + mc) + 0.45 * support, 0.3 FROM c WHERE mc IS NOT NULL UNION ALL SELECT frame, z, y, x, k, 'uncertainty', support * (1 - conf) * (0.55 + 0.3 * least(1, ph) + 0.15 * dv), 0.2 FROM c WHERE support > 0),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, kind ORDER BY round(score, 6) DESC, z, y, x) AS r FROM e) WHERE r <= k), j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(score * weight, 6) DESC, z, y, x, kind) AS rj FROM s) WHERE rj <= k)
+SELECT frame, z, y, x, kind, kind AS of, round(score, 4)::DOUBLE AS score FROM s UNION ALL SELECT frame, z, y, x, 'joint', kind, round(score * weight, 4)::DOUBLE FROM j""")
 def fld_40(spark, d):
-    f = field(spark, d).withColumn("s", (1 - F.col("conf")) * F.sqrt(F.expr("u * u + v * v")))
-    w = Window.partitionBy("frame")
-    f = f.withColumns({"r": F.row_number().over(w.orderBy(F.round("s", 6).desc(), "z", "y", "x")), "n": F.count("*").over(w)}).where("r <= least(n, greatest(5, round(n * 0.1D)))")
-    return f.select(*KEY, r6(F.col("s"), 4).alias("score"))
+    of = lambda s: F.col("source") == s
+    some = lambda s: F.nullif(F.count_if(of(s)), F.lit(0))
+    n = wobs(spark, d).groupBy(*KEY).agg(F.avg(F.when(of("turb"), F.col("w"))).alias("wind_weight"), some("turb").alias("wind_count"), some("amdar").alias("motion_count"), (F.count_distinct("source") / 3.0).alias("diversity"))
+    f = field(spark, d).select(*KEY, "conf", F.col("c_space").alias("physics"))
+    cells = support(spark, d).join(n, KEY).join(f, KEY, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("conf", "physics")})
+    t = X.targets(cells, 0.30, 5)
+    return t.withColumn("score", r6(F.col("score"), 4))
 
 
 @query("fld_41_forecast", f"WITH {REC}, {BG} SELECT frame, z, y, x, round(u + 0.5 * (u - bu), 4) AS u, round(conf * 0.9, 5) AS conf FROM field JOIN bg USING (frame, z, y, x)")

@@ -96,11 +96,21 @@ def seq_05(spark, d):
 
 
 @query("seq_06_leg_quality", f"""
-WITH {TRACK_SQL}, q AS (SELECT ident, leg, count(*) AS n, count(*) FILTER (WHERE dt > 14400 AND brk = 0) AS gaps, count(*) FILTER (WHERE km > 2000 AND brk = 0) AS jumps, count(*) FILTER (WHERE abs(alt - prev_alt) > 5000) AS climbs, count(*) FILTER (WHERE alt < -500 OR alt > 20000) AS outside FROM legs GROUP BY 1, 2),
-f AS (SELECT *, (gaps > 0)::INT + (jumps > 0)::INT + (climbs > 0)::INT + (outside > 0)::INT + (n < 5)::INT AS failures FROM q)
-SELECT ident, leg::BIGINT AS leg, failures, CASE WHEN failures = 0 AND n >= 5 THEN 'A' WHEN failures <= 2 THEN 'B' ELSE 'C' END AS grade FROM f""")
+WITH {TRACK_SQL}, e AS (SELECT ident, leg, us, event_id, alt, brk, CASE WHEN event_id % 7 > 0 THEN 1 ELSE 0 END AS tail, CASE WHEN event_id % 5 > 0 THEN 1 ELSE 0 END AS flight, CASE WHEN brk = 0 THEN alt - prev_alt END AS step, CASE WHEN brk = 0 THEN dt END AS gap, CASE WHEN brk = 0 THEN km END AS way FROM legs),
+q AS (SELECT ident, leg, count(*) AS n, (max(us) - min(us)) / 1e6 AS seconds, coalesce(sum(way), 0) AS km, arg_max(alt, (us, event_id)) - arg_min(alt, (us, event_id)) AS change, max(alt) - min(alt) AS rng, count(*) FILTER (WHERE gap <= 0) AS back, count(*) FILTER (WHERE way * 1000 / gap > 40) AS fast, count(*) FILTER (WHERE way > 2000) AS jumps, count(*) FILTER (WHERE gap > 43200) AS gaps,
+count(*) FILTER (WHERE abs(step) / gap > 0.2) AS steep, count(*) FILTER (WHERE tail = 0 AND flight = 0) AS unnamed, max(tail) + max(flight) AS named, count(*) FILTER (WHERE step > 50) AS up, count(*) FILTER (WHERE step < -50) AS down, quantile_cont(gap, 0.9) AS gq0, coalesce(max(gap), 0) AS gm, quantile_cont(way * 1000 / gap, 0.99) AS sq0 FROM e GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN change > 500 THEN 'ASC' WHEN change < -500 THEN 'DES' ELSE 'LVR' END AS phase, fast / greatest(1, n - 1)::DOUBLE AS fr, coalesce(gq0, 999999) AS gq, coalesce(sq0, 0) AS sq FROM q),
+f AS (SELECT *, (phase = 'ASC' AND down / greatest(1, n - 1)::DOUBLE > 0.35) OR (phase = 'DES' AND up / greatest(1, n - 1)::DOUBLE > 0.35) OR (phase = 'LVR' AND rng > 1800) AS mixed FROM p),
+s AS (SELECT *, CASE WHEN back > 0 OR gm > 72000 THEN 1 WHEN gq <= 21600 AND gm <= 43200 THEN 3 WHEN gq <= 43200 AND gm <= 43200 THEN 2 ELSE 1 END AS s1, CASE WHEN jumps > 0 OR fr > 0.02 THEN 1 WHEN fast = 0 AND sq <= 30 THEN 3 WHEN sq <= 40 THEN 2 ELSE 1 END AS s2, CASE named WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS s3,
+CASE WHEN n >= 4 AND seconds >= 3600 AND gq <= 21600 THEN 3 WHEN n >= 2 AND seconds >= 600 AND gq <= 43200 THEN 2 ELSE 1 END AS s4, CASE WHEN mixed THEN 1 WHEN phase = 'LVR' AND rng > 1000 THEN 2 ELSE 3 END AS s5 FROM f),
+g AS (SELECT *, least(s1, s2, s3, s4, s5) AS score, back > 0 OR steep > 0 OR unnamed > 0 OR n < 2 OR seconds < 600 OR jumps > 0 OR mixed OR fr > 0.02 AS hard, (back > 0)::INT + (fast > 0)::INT + (jumps > 0)::INT + (gaps > 0)::INT + (steep > 0)::INT + (unnamed > 0)::INT + (seconds < 600)::INT + (n < 2)::INT + mixed::INT AS failures FROM s)
+SELECT ident, leg::BIGINT AS leg, phase, failures, hard, s1 AS time_score, s2 AS geometry_score, s3 AS identity_score, s4 AS sampling_score, s5 AS phase_score, score, CASE WHEN hard OR score < 2 THEN 'C' WHEN score >= 3 THEN 'A' ELSE 'B' END AS grade,
+CASE WHEN NOT hard AND score >= 2 AND n >= 4 AND seconds >= 3600 AND km >= 100 AND gq <= 21600 AND coalesce(sq0, 999999) <= 30 THEN 'M1_strong' WHEN NOT hard AND score >= 2 AND n >= 2 AND seconds >= 600 AND km >= 10 AND gq <= 43200 AND coalesce(sq0, 999999) <= 40 THEN 'M2_broad' ELSE 'M3_not_ready' END AS ready FROM g""")
 def seq_06(spark, d):
-    return T.quality(legs(spark, d), 14400.0, 2000.0).select("ident", "leg", "failures", "grade")
+    # events are hours apart, so the borders are too
+    rules = T.LegRules(least_points=2, least_s=600.0, hard_gap_s=72000.0, warn_gap_s=43200.0, jump_km=2000.0, most_speed=40.0, most_climb=0.2, dense_s=(21600.0, 43200.0), fast=(30.0, 40.0), strong=(4, 3600.0, 100.0), broad=(2, 600.0, 10.0), broad_gap_s=43200.0)
+    named = legs(spark, d).withColumns({"tail": F.expr("case when event_id % 7 > 0 then 't' end"), "flight": F.expr("case when event_id % 5 > 0 then 'f' end")})
+    return T.quality(named, rules).select("ident", "leg", "phase", "failures", "hard", *[f"{n}_score" for n in ("time", "geometry", "identity", "sampling", "phase")], "score", "grade", "ready")
 
 
 def batch_pairs(spark, d, least: int = 3):
