@@ -242,6 +242,45 @@ def targets(cells: DataFrame, share: float = 0.30, least: int = 32) -> DataFrame
     return single.withColumn("of", F.col("kind")).unionByName(joint).select(*CELL, "kind", "of", "score")
 
 
+def point_errors(held: DataFrame, field: DataFrame) -> DataFrame:
+    """Held-out rows (frame, z, y, x, hu, hv, ...) with their error and those of the 27 cells around: number, mean, least, by confidence, spread."""
+    err = F.hypot(F.col("n_u") - F.col("hu"), F.col("n_v") - F.col("hv"))
+    near = offset_join(held, field.select(*CELL, "u", "v", "conf"), ["frame"], box(1, 1, 1, own=True)).withColumns({"e": err, "c": F.greatest("n_conf", F.lit(1e-6))})
+    centre = (F.col("o.dz") == 0) & (F.col("o.dy") == 0) & (F.col("o.dx") == 0)
+    g = near.groupBy(*held.columns).agg(
+        F.max(F.when(centre, F.col("e"))).alias("err"), F.count("*").alias("cells"), F.avg("e").alias("mean"), F.min("e").alias("best"), (F.sum(F.col("e") * F.col("c")) / F.sum("c")).alias("by_conf"), F.stddev_pop("e").alias("spread"),
+    )
+    return g.where("err is not null").withColumn("gap", F.col("err") - F.col("best"))
+
+
+def advected(cloud: DataFrame, field: DataFrame, shape: tuple[int, int], blend: float, levels: int = 3, most: int = 8) -> DataFrame:
+    """cloud (frame, y, x, cloud) moved by whole cells with the mean wind of the lowest levels; the edges wrap."""
+    part = lambda e: clip(F.avg(e) * blend, -most, most).cast("long")
+    m = field.where(F.col("z") < levels).groupBy("frame").agg(part(F.col("u")).alias("shift_x"), part(-F.col("v")).alias("shift_y"))
+    return cloud.join(m, "frame").withColumns({"y": F.pmod(F.col("y") + F.col("shift_y"), F.lit(shape[0])), "x": F.pmod(F.col("x") + F.col("shift_x"), F.lit(shape[1]))})
+
+
+def future_wind(field: DataFrame, smooth: float = 0.15, decay: float = 0.95) -> DataFrame:
+    """u and v drawn to the mean of the six neighbours (a missing one stands for the cell itself), conf decayed."""
+    f, n = stencil(field.select(*CELL, "u", "v", "conf"), ["u", "v"]), F.coalesce("n_around", F.lit(0))
+    off = lambda c: F.coalesce(n * (F.col(f"mean_{c}") - F.col(c)) / 6, F.lit(0.0))
+    return f.select(*CELL, *[(F.col(c) + smooth * off(c)).alias(c) for c in "uv"], clip(F.col("conf") * decay, 0.0, 1.0).alias("conf"))
+
+
+def regions(cloud: DataFrame, wind: DataFrame, shape: tuple[int, int], half: int = 64) -> DataFrame:
+    """frame, region, y0, y1, x0, x1, cloud, speed: the means of two windows, at a third and two thirds of the grid."""
+    h, w = shape
+    out = None
+    for i, (cy, cx) in enumerate(((h // 3, w // 3), (2 * h // 3, 2 * w // 3))):
+        y0, y1, x0, x1 = max(0, cy - half), min(h, cy + half), max(0, cx - half), min(w, cx + half)
+        inside = F.col("y").between(y0, y1 - 1) & F.col("x").between(x0, x1 - 1)
+        c = cloud.where(inside).groupBy("frame").agg(F.avg("cloud").alias("cloud"))
+        v = wind.where(inside).groupBy("frame").agg(F.avg(F.hypot("u", "v")).alias("speed"))
+        part = c.join(v, "frame", "full").select("frame", F.lit(i).alias("region"), *[F.lit(b).alias(n) for n, b in (("y0", y0), ("y1", y1), ("x0", x0), ("x1", x1))], "cloud", "speed")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 class Leak(ValueError):
     """Truth that was held out has found its way into training."""
 

@@ -341,14 +341,12 @@ def fld_23(spark, d):
 
 
 @query("fld_24_point_evaluation", f"""
-WITH {REC}, h AS (SELECT * FROM wobs WHERE role = 'current' AND event_id % 5 = 0), nb AS (SELECT h.event_id, count(*) AS cells, min(sqrt(pow(f.u - h.u, 2) + pow(f.v - h.v, 2))) AS best FROM h JOIN field f ON h.frame = f.frame AND abs(h.z - f.z) <= 1 AND abs(h.y - f.y) <= 1 AND abs(h.x - f.x) <= 1 GROUP BY 1)
-SELECT event_id, round(sqrt(pow(f.u - h.u, 2) + pow(f.v - h.v, 2)), 4) AS err, cells, round(best, 4) AS best FROM h JOIN field f USING (frame, z, y, x) JOIN nb USING (event_id)""")
+WITH {REC}, h AS (SELECT * FROM wobs WHERE role = 'current' AND event_id % 5 = 0), e AS (SELECT h.event_id, sqrt(pow(f.u - h.u, 2) + pow(f.v - h.v, 2)) AS e, greatest(f.conf, 1e-6) AS c, f.z = h.z AND f.y = h.y AND f.x = h.x AS own FROM h JOIN field f ON h.frame = f.frame AND abs(h.z - f.z) <= 1 AND abs(h.y - f.y) <= 1 AND abs(h.x - f.x) <= 1),
+g AS (SELECT event_id, max(e) FILTER (WHERE own) AS err, count(*) AS cells, avg(e) AS mean, min(e) AS best, sum(e * c) / sum(c) AS by_conf, stddev_pop(e) AS spread FROM e GROUP BY 1)
+SELECT event_id, round(err, 4) AS err, cells, round(mean, 4) AS mean, round(best, 4) AS best, round(by_conf, 4) AS by_conf, round(spread, 4) AS spread, round(err - best, 4) AS gap FROM g WHERE err IS NOT NULL""")
 def fld_24(spark, d):
-    f = field(spark, d)
     h = wobs(spark, d).where("role = 'current' and event_id % 5 = 0").select("event_id", *KEY, F.col("u").alias("hu"), F.col("v").alias("hv"))
-    err = lambda u, v: F.hypot(F.col(u) - F.col("hu"), F.col(v) - F.col("hv"))
-    nb = offset_join(h, f.select(*KEY, "u", "v"), ["frame"], box(1, 1, 1, own=True)).groupBy("event_id").agg(F.count("*").alias("cells"), F.min(err("n_u", "n_v")).alias("best"))
-    return h.join(f, KEY).join(nb, "event_id").select("event_id", r6(err("u", "v"), 4).alias("err"), "cells", r6(F.col("best"), 4).alias("best"))
+    return X.point_errors(h, field(spark, d)).select("event_id", "cells", *[r6(F.col(c), 4).alias(c) for c in ("err", "mean", "best", "by_conf", "spread", "gap")])
 
 
 @query("fld_25_leakage", f"WITH {W} SELECT count(*) AS leaked FROM wobs a JOIN wobs b ON a.frame = b.frame AND a.z = b.z AND a.y = b.y AND a.x = b.x AND round(a.u, 9) = round(b.u, 9) AND round(a.v, 9) = round(b.v, 9) WHERE a.event_id % 5 <> 0 AND b.event_id % 5 = 0 AND b.role = 'current' AND a.role = 'current'")
@@ -561,11 +559,17 @@ def fld_47(spark, d):
     return f.join(out, KEY).select(*KEY, r6(cap("u"), 4).alias("u"), r6(cap("v"), 4).alias("v"))
 
 
-@query("fld_48_advection", f"WITH {REC}, m AS (SELECT frame, round(avg(u) / 40)::BIGINT AS sx, round(avg(v) / 40)::BIGINT AS sy FROM field WHERE z = 0 GROUP BY 1) SELECT frame, z, ((y + sy) % 5 + 5) % 5 AS y, ((x + sx) % 7 + 7) % 7 AS x, round(conf, 5) AS conf FROM field JOIN m USING (frame)")
+@query("fld_48_advection", f"""
+WITH {REC}, m AS (SELECT frame, trunc(least(8, greatest(-8, avg(u) / 40)))::BIGINT AS sx, trunc(least(8, greatest(-8, -avg(v) / 40)))::BIGINT AS sy FROM field WHERE z < 3 GROUP BY 1), cl AS (SELECT frame, y, x, avg(conf) AS cloud FROM field GROUP BY 1, 2, 3),
+mv AS (SELECT frame, ((y + sy) % 5 + 5) % 5 AS y, ((x + sx) % 7 + 7) % 7 AS x, cloud FROM cl JOIN m USING (frame)), nb AS (SELECT a.frame, a.z, a.y, a.x, sum(b.u - a.u) / 6 AS du, sum(b.v - a.v) / 6 AS dv FROM field a JOIN field b ON a.frame = b.frame AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY 1, 2, 3, 4),
+fw AS (SELECT frame, y, x, sqrt(pow(u + 0.15 * coalesce(du, 0), 2) + pow(v + 0.15 * coalesce(dv, 0), 2)) AS sp FROM field LEFT JOIN nb USING (frame, z, y, x)), r AS (SELECT * FROM (VALUES (0, 0, 2, 1, 3), (1, 2, 4, 3, 5)) t(region, y0, y1, x0, x1)),
+c AS (SELECT frame, region, avg(cloud) AS cloud FROM mv, r WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY 1, 2), w AS (SELECT frame, region, avg(sp) AS speed FROM fw, r WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY 1, 2)
+SELECT frame, region, y0, y1, x0, x1, round(cloud, 5) AS cloud, round(speed, 4) AS speed FROM c FULL JOIN w USING (frame, region) JOIN r USING (region)""")
 def fld_48(spark, d):
     f = field(spark, d)
-    m = f.where("z = 0").groupBy("frame").agg(F.round(F.avg("u") / 40).cast("long").alias("sx"), F.round(F.avg("v") / 40).cast("long").alias("sy"))
-    return f.join(m, "frame").select("frame", "z", F.pmod(F.col("y") + F.col("sy"), F.lit(5)).alias("y"), F.pmod(F.col("x") + F.col("sx"), F.lit(7)).alias("x"), r6(F.col("conf"), 5).alias("conf"))
+    cloud = f.groupBy("frame", "y", "x").agg(F.avg("conf").alias("cloud"))
+    out = X.regions(X.advected(cloud, f, (5, 7), 1 / 40), X.future_wind(f), (5, 7), 1)
+    return out.withColumns({"cloud": r6(F.col("cloud"), 5), "speed": r6(F.col("speed"), 4)})
 
 
 @query("fld_49_dilation", f"WITH {W}, s AS (SELECT DISTINCT frame, z, y, x FROM wobs WHERE role = 'current') SELECT DISTINCT frame, z + dz AS z, y + dy AS y, x + dx AS x FROM s, range(-1, 2) a(dz), range(-1, 2) b(dy), range(-1, 2) c(dx)")
