@@ -12,7 +12,7 @@ from windgrid.operators import corruption, gates, smoothing, uncertainty
 from windgrid.operators import sequences as S
 from windgrid.operators import tracks as T
 from windgrid.operators.calibration import Logit, Sharpness
-from windgrid.operators.nearest import pairs_on_sphere
+from windgrid.operators.nearest import nearest_on_sphere
 from windgrid.operators.ordering import global_row_number, top_k
 from windgrid.plans.base import ERRORS, HAVERSINE, OBS, SCORED, errors, obs, query, r6, read, scored
 from windgrid.plans.tracks import TRACK_SQL, legs
@@ -486,10 +486,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(km, 6), b) AS r
 SELECT a, b, round(km, 3) AS km, round(dalt, 3) AS dalt, round(dt, 3) AS dt, slot, min(slot) OVER (PARTITION BY a) AS row_start FROM k""")
 def seq_32(spark, d):
     a = obs(spark, d).groupBy("ident").agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.avg("alt").alias("alt"), (F.max("us") / 1e6).alias("t"))
-    p = pairs_on_sphere(a, "ident", "lat", "lon", 600.0)
-    apart = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))
-    p = p.select(F.col("a.ident").alias("a"), F.col("b.ident").alias("b"), geo.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")).alias("km"), apart("alt").alias("dalt"), apart("t").alias("dt")).where("km <= 600 and dalt <= 900 and dt <= 172800")
-    p = p.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.round("km", 6), "b"))).where("r <= 12")
+    p = nearest_on_sphere(a, "ident", "lat", "lon", 600.0, 12, {"alt": 900.0, "t": 172800.0}).withColumnsRenamed({"d_alt": "dalt", "d_t": "dt"})
     # compressed rows: edges in one order, and where each agent's begin
     p = global_row_number(p, ["a", "r"], "slot", F.floor(F.col("a") / 1000)).withColumn("row_start", F.min("slot").over(Window.partitionBy("a")))
     return p.select("a", "b", *[r6(F.col(c), 3).alias(c) for c in ("km", "dalt", "dt")], "slot", "row_start")
