@@ -291,6 +291,14 @@ def leakage(train: DataFrame, held: DataFrame) -> DataFrame:
     return key(train).join(key(held), ["frame", "z", "y", "x", "u", "v"], "left_semi")
 
 
+def leaked_pairs(train: DataFrame, held: DataFrame) -> DataFrame:
+    """leaked: the pairs of a row of train and a held-out row that it equals. Equal rows are counted, not paired."""
+    at = ["frame", "z", "y", "x", "u", "v"]
+    count = lambda d, n: d.select(*at[:4], F.round("u", 9).alias("u"), F.round("v", 9).alias("v")).groupBy(*at).agg(F.count("*").alias(n))
+    pairs = count(train, "__n").join(count(held, "__m"), at)
+    return pairs.agg(F.coalesce(F.sum(F.col("__n") * F.col("__m")), F.lit(0)).alias("leaked"))
+
+
 def guard(train: DataFrame, held: DataFrame, roles: set[str]) -> None:
     """Raises on held-out rows in training, and on training rows of a role that is not wind."""
     if not leakage(train, held).isEmpty():
