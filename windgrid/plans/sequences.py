@@ -14,7 +14,7 @@ from windgrid.operators import tracks as T
 from windgrid.operators.calibration import Logit, Sharpness
 from windgrid.operators.nearest import nearest_on_sphere
 from windgrid.operators.ordering import global_row_number, top_k
-from windgrid.plans.base import ERRORS, HAVERSINE, OBS, SCORED, errors, obs, query, r6, read, scored
+from windgrid.plans.base import ERRORS, HAVERSINE, OBS, SCORED, errors, obs, query, r6, read, scaled_round, scored
 from windgrid.plans.tracks import TRACK_SQL, legs
 
 ENDS = f"""{TRACK_SQL}, ends AS (SELECT ident, leg, count(*) AS n, min(us) / 1e6::DOUBLE AS a, max(us) / 1e6::DOUBLE AS b, arg_min(lat, us) AS slat, arg_min(lon, us) AS slon, arg_min(alt, us) AS salt, arg_max(lat, us) AS elat, arg_max(lon, us) AS elon, arg_max(alt, us) AS ealt FROM legs GROUP BY 1, 2),
@@ -557,7 +557,7 @@ def seq_36(spark, d):
     from windgrid.operators.residual import features
 
     f = features(points(spark, d), ["event_id"], "ts", (40, 168, 248), 20000.0)
-    return f.select("event_id", *[(r6(F.col(c), 5) + 0.0).alias(c) for c in f.columns[1:]])
+    return f.select("event_id", *[(scaled_round(F.col(c), 5) + 0.0).alias(c) for c in f.columns[1:]])
 
 
 @query("seq_37_residual_network")
