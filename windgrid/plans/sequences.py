@@ -625,8 +625,8 @@ def seq_41(spark, d):
 
 @query("seq_42_oracle_kernel", f"WITH {ERRORS}, f AS (SELECT l_suppkey, config, round(sqrt(avg(eu * eu + ev * ev)), 8) AS rmse FROM errors GROUP BY 1, 2) SELECT l_suppkey, arg_min(config, rmse) AS best, round(min(rmse), 5) AS rmse FROM f GROUP BY 1")
 def seq_42(spark, d):
-    f = errors(spark, d).groupBy("l_suppkey", "config").agg(F.round(F.sqrt(F.avg(F.expr("eu * eu + ev * ev"))), 8).alias("rmse"))
-    return f.groupBy("l_suppkey").agg(F.min_by("config", F.struct("rmse", "config")).alias("best"), r6(F.min("rmse"), 5).alias("rmse"))
+    f = errors(spark, d).groupBy("l_suppkey", "config").agg(scaled_round(F.sqrt(F.avg(F.expr("eu * eu + ev * ev"))), 8).alias("rmse"))
+    return f.groupBy("l_suppkey").agg(F.min_by("config", F.struct("rmse", "config")).alias("best"), scaled_round(F.min("rmse"), 5).alias("rmse"))
 
 
 @query("seq_43_parameter_scores", f"WITH {ERRORS} SELECT config, role, round(sqrt(avg(eu * eu)) + 0.2 * avg(CASE WHEN w < 10 THEN 1.0 ELSE 0.0 END) - 0.1 * count(*) / 60000.0, 5) AS score FROM errors GROUP BY 1, 2")
